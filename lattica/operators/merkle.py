@@ -69,8 +69,11 @@ def differing_leaves(current: Sequence[DataFrame], saved: Sequence[DataFrame], o
     frontier = None
     for level in range(top, -1, -1):
         now = current[level].select("node", F.col("digest").alias("now"), F.col("n").alias("now_n"))
-        if frontier is None:  # the nodes of the top level are no more than one fanout
-            candidates = now if owners is None else owners.withColumn("__one", F.lit(1)).join(now.withColumn("__one", F.lit(1)), "__one").drop("__one")
+        if frontier is None and owners is None:
+            candidates = now
+        elif frontier is None:  # every owner begins at the top, whose nodes are no more than one fanout
+            tops = [F.struct(*[F.lit(v).cast("long").alias(k) for k, v in r.asDict().items()]) for r in now.limit(fanout + 1).collect()]
+            candidates = owners.select(*owner, F.inline(F.array(*tops)))
         else:
             candidates = now.withColumn("__up", F.shiftright("node", shift)).join(frontier.withColumnRenamed("node", "__up"), "__up").drop("__up")
         old = saved[level].select(*owner, "node", F.col("digest").alias("old"), F.col("n").alias("old_n"))
