@@ -62,7 +62,9 @@ def differing_leaves(current: Sequence[DataFrame], saved: Sequence[DataFrame], o
     """(owner..., node) of the current leaves whose digest is not the saved one's, found from the root downwards.
 
     owners: one row per owner of a saved tree, each compared with the same current tree; None for a single tree.
-    A node that the saved tree lacks differs.  A level is joined with the children of differing nodes only.
+    A node that the saved tree lacks differs.  A level is joined with the children of differing nodes only; the joins
+    are merge joins throughout, as the trees grow with the data and compress so well that they may look small enough
+    to broadcast.
     """
     shift, owner = fanout.bit_length() - 1, list(owners.columns) if owners is not None else []
     top = len(current) - 1
@@ -75,10 +77,10 @@ def differing_leaves(current: Sequence[DataFrame], saved: Sequence[DataFrame], o
             tops = [F.struct(*[F.lit(v).cast("long").alias(k) for k, v in r.asDict().items()]) for r in now.limit(fanout + 1).collect()]
             candidates = owners.select(*owner, F.inline(F.array(*tops)))
         else:
-            candidates = now.withColumn("__up", F.shiftright("node", shift)).join(frontier.withColumnRenamed("node", "__up"), "__up").drop("__up")
+            candidates = now.withColumn("__up", F.shiftright("node", shift)).join(frontier.withColumnRenamed("node", "__up").hint("merge"), "__up").drop("__up")
         old = saved[level].select(*owner, "node", F.col("digest").alias("old"), F.col("n").alias("old_n"))
         same = F.col("now").eqNullSafe(F.col("old")) & F.col("now_n").eqNullSafe(F.col("old_n"))
-        frontier = candidates.join(old, [*owner, "node"], "left").where(~same).select(*owner, "node")
+        frontier = candidates.join(old.hint("merge"), [*owner, "node"], "left").where(~same).select(*owner, "node")
     return frontier
 
 
@@ -158,7 +160,7 @@ def unseen_changes(changes: DataFrame, cursors: DataFrame, path: str, width: int
     last = F.least(leaf_of(F.col("hi"), width), F.lit(high))
     cover = steps.where(first <= last).select("consumer", "lo", "hi", "seen_until", F.explode(F.sequence(first, last)).alias("leaf"))
     by_leaf = (
-        cover.join(stats, "leaf")
+        cover.join(stats.hint("merge"), "leaf")
         .where((F.col("lo").isNull() | (F.col("lo") < F.col("max_seq"))) & (F.col("hi") >= F.col("min_seq")))
         .groupBy("consumer", "leaf")
         .agg(F.min("seen_until").alias("until"), F.bool_or(F.col("seen_until").isNull()).alias("untimed"), F.max("hi").alias("reach"),
@@ -169,16 +171,16 @@ def unseen_changes(changes: DataFrame, cursors: DataFrame, path: str, width: int
     in_part = by_leaf.where(~F.col("whole")).select("consumer", "leaf")
     inside = (F.col("lo").isNull() | (F.col("seq") > F.col("lo"))) & (F.col("seq") <= F.col("hi"))
     seen = F.coalesce(F.col("commit_time") <= F.col("seen_until"), F.lit(False))
-    part_seen = rows.join(cover.join(in_part, ["consumer", "leaf"]), "leaf").where(inside & seen)
+    part_seen = rows.join(cover.join(in_part.hint("merge"), ["consumer", "leaf"]).hint("merge"), "leaf").where(inside & seen)
     whole = by_leaf.where("whole").select("consumer", F.col("leaf").alias("node"), "digest", "n")
     saved_leaves = stage(whole.unionByName(leaves(part_seen, ["consumer"])), "saved-leaves")
 
     depth = depth_for(low, high, fanout)
     current = tree(stats.select(F.col("leaf").alias("node"), "digest", "n"), depth, (), fanout)
     changed = stage(differing_leaves(current, tree(saved_leaves, depth, ["consumer"], fanout), consumers, fanout), "changed").withColumnRenamed("node", "leaf")
-    candidates = rows.join(changed, "leaf")
+    candidates = rows.join(changed.hint("merge"), "leaf")
     covered = candidates.alias("c").join(
-        cover.alias("s"),
+        cover.alias("s").hint("merge"),
         (F.col("c.leaf") == F.col("s.leaf")) & (F.col("c.consumer") == F.col("s.consumer")) & (F.col("s.lo").isNull() | (F.col("c.seq") > F.col("s.lo"))) & (F.col("c.seq") <= F.col("s.hi")),
         "left")
     unseen = covered.where(~F.coalesce(F.col("c.commit_time") <= F.col("s.seen_until"), F.lit(False))).select("c.consumer", "c.seq").distinct()
