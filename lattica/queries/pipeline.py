@@ -71,9 +71,11 @@ def p5_found(spark: SparkSession, root: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     p1_found, p1_change_collections, p1_document_collections, p2_found, p2_nodes, p2_documents, p3_found, p4_found, p4_report, p5_found)}
 
+# arg_max skips rows whose argument is null, so the row is taken as one struct
 _CURRENT = """current AS (
-    SELECT document_path, arg_max(data, k) AS data, arg_max(collection_id, k) AS collection_id, arg_max(created_at, k) AS created_at, arg_max(updated_at, k) AS updated_at
-    FROM (SELECT *, struct_pack(v := version, c := collection_id IS NOT NULL, u := updated_at) AS k FROM winche_documents WHERE document_path IS NOT NULL) GROUP BY document_path)"""
+    SELECT document_path, r.data AS data, r.collection_id AS collection_id, r.created_at AS created_at, r.updated_at AS updated_at
+    FROM (SELECT document_path, arg_max(struct_pack(data := data, collection_id := collection_id, created_at := created_at, updated_at := updated_at), k) AS r
+        FROM (SELECT *, struct_pack(v := version, c := collection_id IS NOT NULL, u := updated_at) AS k FROM winche_documents WHERE document_path IS NOT NULL) GROUP BY document_path))"""
 
 # a node is a tagged value; ``v`` is what stands under its tag
 _NODES = _CURRENT + """,
