@@ -7,12 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lattica.functions.values import micros
 from lattica.operators.aggregates import count_frame, typed_frame
+from lattica.operators.bulk import increment, merge_rows, remove_elements, union_elements
+from lattica.operators.diff import frame_difference
+from lattica.operators.listing import collection_ids, expired
+from lattica.operators.lookup import rows_for
 from lattica.plans.compiler import matching, page
 from lattica.plans.parser import parse_aggregations, parse_query
 from lattica.queries.pipeline import _CURRENT
 from lattica.sources.collections import TaggedCollections, TypedCollection
+from lattica.sources.shared import fresh
+from lattica.sources.store import DocumentStore, descendants
 from lattica.sources.tables import table
+from lattica.streaming.feed import change_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -91,7 +99,7 @@ _match("filter_in", "part", field("p_brand", "in", arrayValue={"values": [{"stri
 _match("filter_not_in", "orders", field("status", "notIn", arrayValue={"values": [{"stringValue": "O"}]}), "status IS NOT NULL AND status NOT IN ('O')", "o_orderkey, status")
 _match("filter_contains", "part", field("p_name", "contains", stringValue="RED"), "p_name ILIKE '%red%'", "p_partkey, p_name")
 _match("filter_starts_with", "customer", field("c_name", "startsWith", stringValue="customer#00000"), "c_name ILIKE 'customer#00000%'", "c_custkey, c_name")
-_match("filter_ends_with", "part", field("p_type", "endsWith", stringValue="steel"), "p_type ILIKE '%steel'", "p_partkey, p_type")
+_match("filter_ends_with", "part", field("p_type", "endsWith", stringValue="ard"), "p_type ILIKE '%ard'", "p_partkey, p_type")
 _match("filter_regex", "part", field("p_name", "regex", stringValue="^(small|red) "), "regexp_matches(p_name, '^(small|red) ')", "p_partkey, p_name")
 _match("filter_and_or_not", "orders", {"and": [{"or": [field("o_orderpriority", "eq", stringValue="1-URGENT"), field("o_totalprice", "gt", doubleValue=300000)]}, {"not": field("status", "eq", stringValue="O")}]},
        "(o_orderpriority = '1-URGENT' OR o_totalprice > 300000) AND NOT (status = 'O')", "o_orderkey, o_totalprice")
@@ -194,3 +202,83 @@ _add("stored_order_cross_type", lambda spark, root: page(stored(spark, root), pa
         WHEN json_exists(j, '$.total.doubleValue') OR json_exists(j, '$.total.integerValue') THEN 30 WHEN json_exists(j, '$.total.timestampValue') THEN 40 WHEN json_exists(j, '$.total.stringValue') THEN 50 ELSE 60 END AS r,
         CASE WHEN json_extract_string(j, '$.total.doubleValue') <> 'NaN' THEN (json_extract_string(j, '$.total.doubleValue'))::DOUBLE ELSE (json_extract_string(j, '$.total.integerValue'))::DOUBLE END AS n, json_extract_string(j, '$.total.stringValue') AS s FROM docs WHERE json_exists(j, '$.total'))
      SELECT document_path FROM keyed ORDER BY r, n, s, document_path LIMIT 200""")
+
+# batch gets, subtrees, listing, expiry
+_PATHS = ["customer/7", "customer/999999999", "customer/3", "customer/1200", "customer/x"]
+
+
+def _multi_get(spark: SparkSession, root: str) -> DataFrame:
+    """In the order asked for, with nulls for the missing; the asked paths are a handful of literals."""
+    return rows_for(typed(spark, root, "customer").df, _PATHS, "document_path").select("pos", "document_path", "c_name")
+
+
+_add("multi_get", _multi_get, f"SELECT pos, p.document_path, c_name FROM (VALUES {', '.join(f'({i}, {p!r})' for i, p in enumerate(_PATHS))}) p(pos, document_path) LEFT JOIN {_SQL_TABLES['customer']} c ON c.document_path = p.document_path")
+_add("subtree_scan", lambda spark, root: descendants(stored(spark, root).df, "tenants/kestrel-works").select("document_path", "version"),
+     "SELECT document_path, max(version) AS version FROM winche_documents WHERE document_path = 'tenants/kestrel-works' OR starts_with(document_path, 'tenants/kestrel-works/') GROUP BY document_path")
+_add("list_collections", lambda spark, root: collection_ids(table(spark, root, "winche_documents")), "SELECT DISTINCT split_part(document_path, '/', 1) AS collection_id FROM winche_documents")
+_add("list_subcollections", lambda spark, root: collection_ids(table(spark, root, "winche_documents"), "tenants/kestrel-works"),
+     "SELECT DISTINCT split_part(document_path, '/', 3) AS collection_id FROM winche_documents WHERE starts_with(document_path, 'tenants/kestrel-works/')")
+_NOW = "2025-04-01T00:00:00Z"
+_add("ttl_expired", lambda spark, root: expired(stored(spark, root).df, "sessions", "startedAt", micros(_NOW)).select("document_path"),
+     f"WITH {_CURRENT} SELECT document_path FROM current WHERE split_part(document_path, '/', -2) = 'sessions' AND json_valid(data) AND json_extract_string(data, '$.startedAt.timestampValue')::TIMESTAMP < TIMESTAMP '2025-04-01 00:00:00'")
+
+# the change feed
+_add("feed_after", lambda spark, root: table(spark, root, "winche_changes").where(F.col("seq") > 5000).select("seq", "type", "document_path", "version"), "SELECT seq, type, document_path, version FROM winche_changes WHERE seq > 5000")
+_add("feed_ends", lambda spark, root: table(spark, root, "winche_changes").agg(F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq")), "SELECT min(seq) AS first_seq, max(seq) AS last_seq FROM winche_changes")
+_add("feed_touched_documents", lambda spark, root: stored(spark, root).df.select("document_path").join(
+    table(spark, root, "winche_changes").where((F.col("seq") > 5000) & (F.col("type") != "removed")).select("document_path").distinct(), "document_path", "left_semi"),
+     "SELECT DISTINCT document_path FROM winche_documents WHERE document_path IN (SELECT document_path FROM winche_changes WHERE seq > 5000 AND type <> 'removed')")
+_add("feed_cursors", lambda spark, root: table(spark, root, "winche_feed_cursors").groupBy("consumer").agg(F.max("seq").alias("seq")), "SELECT consumer, max(seq) AS seq FROM winche_feed_cursors GROUP BY consumer")
+_add("feed_latest_version", lambda spark, root: table(spark, root, "winche_changes").groupBy("document_path").agg(F.max(F.struct("seq", "version")).alias("m")).select("document_path", F.col("m.seq").alias("seq"), F.col("m.version").alias("version")),
+     "SELECT document_path, max(seq) AS seq, max((seq, version))[2] AS version FROM winche_changes GROUP BY document_path")
+
+
+# differences of two results
+def _snapshot_diff(spark: SparkSession, root: str) -> DataFrame:
+    e = table(spark, root, "events").withColumn("path", F.concat(F.lit("events/"), F.col("event_id").cast("string")))
+    old = e.where(F.col("value") < 120).select("path", F.col("ts").alias("stamp"))
+    new = e.where(F.col("value") > 60).select("path", F.expr("CASE WHEN user_id % 3 = 0 THEN ts + INTERVAL 1 SECOND ELSE ts END").alias("stamp"))
+    return frame_difference(old, new, "path", "stamp")
+
+
+_add("snapshot_diff", _snapshot_diff, """
+    WITH o AS (SELECT 'events/' || event_id AS path, ts AS stamp FROM events WHERE value < 120), n AS (SELECT 'events/' || event_id AS path, CASE WHEN user_id % 3 = 0 THEN ts + INTERVAL 1 SECOND ELSE ts END AS stamp FROM events WHERE value > 60)
+    SELECT coalesce(o.path, n.path) AS path, CASE WHEN n.path IS NULL THEN 'removed' WHEN o.path IS NULL THEN 'added' ELSE 'modified' END AS type FROM o FULL JOIN n ON o.path = n.path WHERE o.path IS NULL OR n.path IS NULL OR o.stamp <> n.stamp""")
+
+
+# write semantics over whole tables
+def _merge_apply(spark: SparkSession, root: str) -> DataFrame:
+    target = table(spark, root, "customer").select(F.col("c_custkey").alias("id"), "c_name", "c_acctbal")
+    patch = table(spark, root, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.max("o_totalprice").alias("c_acctbal"))
+    return merge_rows(target, patch, "id")
+
+
+_add("merge_apply", _merge_apply, """SELECT coalesce(p.id, c_custkey) AS id, c_name, coalesce(p.total, c_acctbal) AS c_acctbal FROM customer FULL JOIN (SELECT o_custkey AS id, max(o_totalprice) AS total FROM orders GROUP BY 1) p ON p.id = c_custkey""")
+_add("transform_increment", lambda spark, root: table(spark, root, "orders").select("o_orderkey", increment(F.expr("CASE WHEN o_orderstatus = 'F' THEN NULL WHEN o_orderstatus = 'P' THEN 9223372036854775807L ELSE o_custkey END"), F.col("o_orderkey")).alias("n")),
+     "SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN o_orderkey WHEN o_orderstatus = 'P' THEN least(9223372036854775807::HUGEINT + o_orderkey, 9223372036854775807)::BIGINT ELSE o_custkey + o_orderkey END AS n FROM orders")
+_add("transform_array_union", lambda spark, root: typed(spark, root, "documents").df.where("text IS NOT NULL").select("doc_id", F.size(union_elements(F.col("tags"), F.array(F.lit("the"), F.lit("zzz"), F.lit("zzz")))).alias("n")),
+     f"SELECT doc_id, (len(tags) + CASE WHEN list_contains(tags, 'the') THEN 0 ELSE 1 END + CASE WHEN list_contains(tags, 'zzz') THEN 0 ELSE 1 END)::INT AS n FROM {D} WHERE text IS NOT NULL")
+_add("transform_array_remove", lambda spark, root: typed(spark, root, "documents").df.where("text IS NOT NULL").select("doc_id", F.size(remove_elements(F.col("tags"), F.array(F.lit("the"), F.lit("a")))).alias("n")),
+     f"SELECT doc_id, len(list_filter(tags, lambda x: x NOT IN ('the', 'a')))::INT AS n FROM {D} WHERE text IS NOT NULL")
+
+
+# the store: what is written comes back
+def _store_round_trip(spark: SparkSession, root: str) -> DataFrame:
+    store = DocumentStore(spark, fresh(spark, "store"))
+    store.load(stored(spark, root).df)
+    return store.snapshot().select("document_path", "collection_path", "data", "version")
+
+
+_add("store_load_snapshot", _store_round_trip, f"WITH {_CURRENT}, v AS (SELECT document_path, max(version) AS version FROM winche_documents GROUP BY document_path) SELECT c.document_path, regexp_replace(c.document_path, '/[^/]*$', '') AS collection_path, data, version FROM current c JOIN v USING (document_path)")
+
+
+def _store_feed(spark: SparkSession, root: str) -> DataFrame:
+    """The feed of a bulk load, through the streaming source, in one available-now run."""
+    store = DocumentStore(spark, fresh(spark, "store"))
+    store.load(stored(spark, root).df)
+    out = fresh(spark, "streamed")
+    change_stream(store, 0).writeStream.format("parquet").option("checkpointLocation", fresh(spark, "stream")).trigger(availableNow=True).start(out).awaitTermination()
+    return spark.read.parquet(out).select("document_path", "type", "version")
+
+
+_add("stream_feed", _store_feed, "SELECT document_path, 'added' AS type, max(version) AS version FROM winche_documents GROUP BY document_path")
