@@ -94,22 +94,22 @@ def process_new(spark: SparkSession, rows: DataFrame, key: str, path: str, proce
     """
     versions = Versions(spark, path)
     number, before = versions.latest()
-    marked = rows.where(F.col(key).isNotNull()).distinct().withColumn("leaf", leaf_of(F.col(key), width)).withColumn("digest", row_digest(*rows.columns))
-    marked = stage(marked, "rows")
+    # the row stays in one struct, so its columns may have any names
+    keyed = rows.where(F.col(key).isNotNull()).distinct()
+    marked = stage(keyed.select(F.struct(*rows.columns).alias("row"), leaf_of(F.col(key), width).alias("leaf"), row_digest(*rows.columns).alias("digest")), "rows")
     now_leaves = stage(leaves(marked), "leaves")
     span = now_leaves.agg(F.min("node"), F.max("node")).first()
     out_at, tree_at, handled_at = fresh(spark, "output"), fresh(spark, "tree"), fresh(spark, "handled")
+    handled = spark.read.parquet(before["handled"]) if before else None
+    new = marked
     if before and span[0] is not None:
         old = spark.read.parquet(before["tree"])
         depth = depth_for(*span, fanout)
         changed = differing_leaves(tree(now_leaves, depth, (), fanout), tree(old, depth, (), fanout), None, fanout)
         in_changed = marked.join(changed.withColumnRenamed("node", "leaf"), "leaf", "left_semi")
-        handled = spark.read.parquet(before["handled"])
         new = in_changed.join(handled, ["leaf", "digest"], "left_anti")
-    else:
-        handled, new = None, marked
     new = stage(new, "new")
-    process(new.select(*rows.columns)).write.parquet(out_at)
+    process(new.select("row.*")).write.parquet(out_at)
     fresh_rows = new.select("leaf", "digest")
     all_handled = fresh_rows if handled is None else handled.unionByName(fresh_rows)
     all_handled.write.parquet(handled_at)
