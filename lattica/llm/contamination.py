@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 from itertools import islice
 
 import numpy as np
@@ -36,6 +37,7 @@ MISS = 1e-7
 BLOCK = 20_000
 
 _PRIME_SEED = 0x9E3779B97F4A7C15
+_LONG = b"\x01" * (LONG_RUN - RUN + 1)
 
 
 def shingles(ws: list[str], size: int = RUN) -> np.ndarray:
@@ -82,49 +84,39 @@ class Index:
     """Signatures of a block of items by size partition, and what their verification needs."""
 
     def __init__(self, items: list[tuple[int, str]]):
-        self.ids, self.words, sets = [], [], []
+        self.ids, self.words, runs = [], [], []
         for item_id, text in items:
             ws = words(text)
             if len(ws) >= RUN:
                 self.ids.append(item_id)
                 self.words.append(ws)
-                sets.append(np.unique(shingles(ws)))
+                runs.append(shingles(ws))
         sizes = np.array([len(w) for w in self.words], np.int64)
         # verification asks for as many distinct shingles; an item that repeats some may share fewer than its runs
-        repeats = [len(w) - RUN + 1 > len(d) for w, d in zip(self.words, sets)]
-        self.need = np.array([1 if r else least_shared(int(n)) for n, r in zip(sizes, repeats)], np.int64)
-        # partitions: sizes within a factor of two, each with the functions its hardest item needs
-        self.bands: list[tuple[int, np.ndarray, np.ndarray]] = []
-        classes = np.array([max(1, int(n) - 1).bit_length() for n in sizes], np.int64)
-        self.functions = 0
-        for c in sorted(set(classes.tolist())):
-            members = np.flatnonzero(classes == c)
-            b = max(functions_for(int(sizes[m])) for m in members)
-            self.functions = max(self.functions, b)
-            self.bands.append((b, members, None))
-        self.perms = permutations(self.functions)
-        for k, (b, members, _) in enumerate(self.bands):
-            starts = np.cumsum([0, *[len(sets[m]) for m in members[:-1]]])
-            signature = minhash(np.concatenate([sets[m] for m in members]), self.perms[:, :b], starts)
-            self.bands[k] = (b, members, signature)
-        # (function, value) -> items: sorted keys with the items behind them
-        self.tables = []
-        for b, members, signature in self.bands:
-            keys = band_keys(signature)
-            flat, owner = keys.ravel(), np.repeat(members, b)
-            order = np.argsort(flat, kind="stable")
-            self.tables.append((b, flat[order], owner[order]))
-        # exact shingle containment: shingle -> items
-        pairs = np.concatenate([s for s in sets]) if sets else np.empty(0, np.uint64)
-        owners = np.repeat(np.arange(len(sets)), [len(s) for s in sets]) if sets else np.empty(0, np.int64)
-        order = np.argsort(pairs, kind="stable")
-        self.shingle, self.holder = pairs[order], owners[order]
+        self.need = np.array([1 if len(np.unique(r)) < len(r) else least_shared(int(n)) for n, r in zip(sizes, runs)], np.int64)
+        # exact shingle containment: distinct shingles, the items that hold each, and each item's shingles in text order
+        self.shingle, places = np.unique(np.concatenate(runs) if runs else np.empty(0, np.uint64), return_inverse=True)
+        owners = np.repeat(np.arange(len(runs)), [len(r) for r in runs]).astype(np.int64)
+        self.order = np.split(places, np.cumsum([len(r) for r in runs])[:-1]) if runs else []
+        self.holder, self.holder_at = _grouped(places, owners, len(self.shingle))
+        # partitions: sizes within a factor of two, each with the functions that its hardest item needs
+        classes = np.array([int(n - 1).bit_length() for n in sizes], np.int64)
+        partitions = [np.flatnonzero(classes == c) for c in sorted(set(classes.tolist()))]
+        self.functions = [max(functions_for(int(sizes[m])) for m in members) for members in partitions]
+        self.perms = permutations(max(self.functions, default=1))
+        keys, holders = [], []
+        for b, members in zip(self.functions, partitions):
+            starts = np.cumsum([0, *[len(runs[m]) for m in members[:-1]]])
+            keys.append(band_keys(minhash(np.concatenate([runs[m] for m in members]), self.perms[:, :b], starts)).ravel())
+            holders.append(np.repeat(members, b))
+        # (function, value) -> items, for all partitions: a smaller one simply has no keys of the later functions
+        self.key, at = np.unique(np.concatenate(keys) if keys else np.empty(0, np.uint64), return_inverse=True)
+        self.owner, self.owner_at = _grouped(at, np.concatenate(holders) if holders else at, len(self.key))
 
     def candidates(self, text_shingles: np.ndarray) -> np.ndarray:
         """Items of which some window of the text agrees in some hash function."""
-        n = len(text_shingles)
-        step, wide = WINDOW - OVERLAP, WINDOW - RUN + 1
-        found: list[np.ndarray] = []
+        n, step, wide = len(text_shingles), WINDOW - OVERLAP, WINDOW - RUN + 1
+        found = np.zeros(len(self.ids), bool)
         group = step * 64
         for base in range(0, n, group):  # so that a very long text takes no more memory than a short one
             part = text_shingles[base : base + group + wide]
@@ -132,21 +124,17 @@ class Index:
             lengths = np.minimum(wide, len(part) - begin)
             at = np.repeat(begin - np.cumsum([0, *lengths[:-1]]), lengths) + np.arange(int(lengths.sum()))
             starts = np.cumsum([0, *lengths[:-1]])
-            signature = minhash(part[at], self.perms, starts)
-            for b, keys, owner in self.tables:
-                mine = band_keys(signature[:, :b]).ravel()
-                lo = np.searchsorted(keys, mine, "left")
-                hi = np.searchsorted(keys, mine, "right")
-                hit = hi > lo
-                found += [owner[a:z] for a, z in zip(lo[hit], hi[hit])]
-        return np.unique(np.concatenate(found)) if found else np.empty(0, np.int64)
-
-    def shared(self, text_shingles: np.ndarray) -> np.ndarray:
-        """For each item, how many of its distinct shingles the text holds."""
-        distinct = np.unique(text_shingles)
-        lo, hi = np.searchsorted(self.shingle, distinct, "left"), np.searchsorted(self.shingle, distinct, "right")
-        held = [self.holder[a:z] for a, z in zip(lo, hi) if z > a]
-        return np.bincount(np.concatenate(held), minlength=len(self.ids)) if held else np.zeros(len(self.ids), np.int64)
+            for k in _found(self.key, np.unique(band_keys(minhash(part[at], self.perms, starts)))):
+                found[self.owner[self.owner_at[k] : self.owner_at[k + 1]]] = True
+        return np.flatnonzero(found)
+
+    def near(self, text_shingles: np.ndarray, candidates: np.ndarray) -> list[int]:
+        """Candidates that the text may hold by exact containment of shingles: enough of them, and in the right places."""
+        present = np.zeros(len(self.shingle), bool)
+        present[_found(self.shingle, np.unique(text_shingles))] = True
+        held = np.flatnonzero(present)
+        counts = np.bincount(np.concatenate([self.holder[self.holder_at[k] : self.holder_at[k + 1]] for k in held]), minlength=len(self.ids)) if len(held) else np.zeros(len(self.ids), np.int64)
+        return [i for i in candidates[counts[candidates] >= self.need[candidates]].tolist() if _may_hold(present[self.order[i]], len(self.words[i]))]
 
     def matches(self, text: str | None) -> list[int]:
         """Ids of the items the text holds."""
@@ -157,12 +145,35 @@ class Index:
         candidates = self.candidates(hashed)
         if not len(candidates):
             return []
-        near = candidates[self.shared(hashed)[candidates] >= self.need[candidates]]
-        if not len(near):
+        near = self.near(hashed, candidates)
+        if not near:
             return []
         runs = set(zip(*[islice(ws, i, None) for i in range(RUN)]))
         long_runs = set(zip(*[islice(ws, i, None) for i in range(LONG_RUN)])) if len(ws) >= LONG_RUN else set()
-        return [self.ids[i] for i in near.tolist() if holds(self.words[i], runs, long_runs)]
+        return [self.ids[i] for i in near if holds(self.words[i], runs, long_runs)]
+
+
+def _grouped(group: np.ndarray, member: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct members by group, and where each group begins."""
+    pairs = np.unique(np.stack([group, member], axis=1), axis=0) if len(group) else np.empty((0, 2), np.int64)
+    return pairs[:, 1], np.searchsorted(pairs[:, 0], np.arange(n + 1))
+
+
+def _found(table: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Places in the sorted ``table`` of those of ``wanted`` that it has."""
+    if not len(table):
+        return np.empty(0, np.int64)
+    at = np.minimum(np.searchsorted(table, wanted), len(table) - 1)
+    return at[table[at] == wanted]
+
+
+def _may_hold(present: np.ndarray, n_words: int) -> bool:
+    """Whether shingles present in these places can be a long run or cover enough of the item."""
+    if _LONG in present.tobytes():
+        return True
+    bits = int.from_bytes(np.packbits(present).tobytes()) << 8  # room for the words of the last shingle
+    covered = reduce(int.__or__, (bits >> k for k in range(RUN)))
+    return covered.bit_count() >= SHARE * n_words - 1e-9
 
 
 def band_keys(signature: np.ndarray) -> np.ndarray:

@@ -183,6 +183,7 @@ def line_kinds(text: str, common: Mapping[str, frozenset[str]]) -> dict[str, int
     elif sum(bool(_ENDS.search(lines[i])) for i in rows) > 0.5 * len(rows):
         rows = set()  # lines of sentences that happen to have as many commas
     bare: list[list[str]] = [[]]
+    spoken = False
     for i, line in enumerate(lines):
         s = line.strip()
         if i in rows or (rows and _RULE.match(line)):
@@ -191,7 +192,9 @@ def line_kinds(text: str, common: Mapping[str, frozenset[str]]) -> dict[str, int
         elif m := _MARKER.match(line):
             item = line[m.end():]
             whole = len(item.split()) >= 4 and _ENDS.search(item) and _reads_as_text(item, common)
-            reads = whole or len(item.split()) > 9 and _reads_as_text(item, common)
+            # a long dash opens speech; a line that is cut off counts as the sentences before it
+            open_ended = len(item.split()) > 9 or line.lstrip().startswith("—") or spoken
+            reads = spoken = bool(whole or open_ended and _reads_as_text(item, common))
             size["sentence" if reads else "list" if _item(item) else "other"] += len(s)
             bare.append([])
         else:
