@@ -104,6 +104,8 @@ class Index:
         partitions = [np.flatnonzero(classes == c) for c in sorted(set(classes.tolist()))]
         self.functions = [max(functions_for(int(sizes[m])) for m in members) for members in partitions]
         self.perms = permutations(max(self.functions, default=1))
+        # windows are partitioned by size, too: a short text needs fewer functions for the same chance
+        self.by_window = [(w, max((functions_for(int(n), w) for n in sizes), default=1)) for w in (8, 16, 32, 48, WINDOW - RUN + 1)]
         keys, holders = [], []
         for b, members in zip(self.functions, partitions):
             starts = np.cumsum([0, *[len(runs[m]) for m in members[:-1]]])
@@ -124,16 +126,15 @@ class Index:
             lengths = np.minimum(wide, len(part) - begin)
             at = np.repeat(begin - np.cumsum([0, *lengths[:-1]]), lengths) + np.arange(int(lengths.sum()))
             starts = np.cumsum([0, *lengths[:-1]])
-            for k in _found(self.key, np.unique(band_keys(minhash(part[at], self.perms, starts)))):
-                found[self.owner[self.owner_at[k] : self.owner_at[k + 1]]] = True
+            functions = next(b for w, b in self.by_window if w >= lengths.max())
+            found[_members(self.owner, self.owner_at, _found(self.key, band_keys(minhash(part[at], self.perms[:, :functions], starts)).ravel()))] = True
         return np.flatnonzero(found)
 
     def near(self, text_shingles: np.ndarray, candidates: np.ndarray) -> list[int]:
         """Candidates that the text may hold by exact containment of shingles: enough of them, and in the right places."""
         present = np.zeros(len(self.shingle), bool)
-        present[_found(self.shingle, np.unique(text_shingles))] = True
-        held = np.flatnonzero(present)
-        counts = np.bincount(np.concatenate([self.holder[self.holder_at[k] : self.holder_at[k + 1]] for k in held]), minlength=len(self.ids)) if len(held) else np.zeros(len(self.ids), np.int64)
+        present[_found(self.shingle, text_shingles)] = True
+        counts = np.bincount(_members(self.holder, self.holder_at, np.flatnonzero(present)), minlength=len(self.ids))
         return [i for i in candidates[counts[candidates] >= self.need[candidates]].tolist() if _may_hold(present[self.order[i]], len(self.words[i]))]
 
     def matches(self, text: str | None) -> list[int]:
@@ -159,6 +160,13 @@ def _grouped(group: np.ndarray, member: np.ndarray, n: int) -> tuple[np.ndarray,
     return pairs[:, 1], np.searchsorted(pairs[:, 0], np.arange(n + 1))
 
 
+def _members(member: np.ndarray, begins: np.ndarray, groups: np.ndarray) -> np.ndarray:
+    """The members of all of these groups, one after the other."""
+    lengths = begins[groups + 1] - begins[groups]
+    ends = np.cumsum(lengths)
+    return member[np.repeat(begins[groups] - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)]
+
+
 def _found(table: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     """Places in the sorted ``table`` of those of ``wanted`` that it has."""
     if not len(table):

@@ -63,8 +63,9 @@ def _top_ngram(ws: list[str]) -> float:
         if len(ws) < n:
             break
         grams = Counter(zip(*[ws[i:] for i in range(n)]))
-        gram, times = max(grams.items(), key=lambda g: (g[1], sum(map(len, g[0]))))
+        times = max(grams.values())
         if times > 1:
+            gram = max((g for g, t in grams.items() if t == times), key=lambda g: sum(map(len, g)))
             covered = [False] * len(ws)
             for i in range(len(ws) - n + 1):
                 if ws[i] == gram[0] and tuple(ws[i : i + n]) == gram:
@@ -80,6 +81,8 @@ def _repeated_ngrams(ws: list[str], n: int = 5) -> float:
         return 0.0
     grams = list(zip(*[ws[i:] for i in range(n)]))
     times, covered = Counter(grams), [False] * len(ws)
+    if len(times) == len(grams):
+        return 0.0
     for i, g in enumerate(grams):
         if times[g] > 1:
             covered[i : i + n] = [True] * n
@@ -134,20 +137,19 @@ def _bare_cells(line: str) -> bool:
 
 def common_share(ws: list[str], common: Mapping[str, frozenset[str]]) -> float:
     """Share of the words that are common in the language in which most of them are."""
-    if not ws or not common:
+    return _common_share(Counter(ws), len(ws), common)
+
+
+def _common_share(counts: Counter, total: int, common: Mapping[str, frozenset[str]]) -> float:
+    if not total or not common:
         return 0.0
-    counts = Counter(ws)
-    return max(sum(n for w, n in counts.items() if w in held) for held in common.values()) / len(ws)
+    return max(sum([counts[w] for w in counts.keys() & held]) for held in common.values()) / total
 
 
-def _excess(ws: list[str], common: Mapping[str, frozenset[str]]) -> bool:
+def _excess(counts: Counter, total: int, common: Mapping[str, frozenset[str]]) -> bool:
     """Whether one word that is common in no language makes up too much of the text."""
-    for w, n in Counter(ws).most_common(8):
-        if n <= MOST_TOP_WORD * len(ws):
-            return False
-        if not any(w in held for held in common.values()):
-            return True
-    return False
+    least = MOST_TOP_WORD * total
+    return any(n > least and not any(w in held for held in common.values()) for w, n in counts.items())
 
 
 def _reads_as_text(text: str, common: Mapping[str, frozenset[str]]) -> bool:
@@ -155,16 +157,18 @@ def _reads_as_text(text: str, common: Mapping[str, frozenset[str]]) -> bool:
     if sum(map(len, _TAG.findall(text))) > MOST_TAGS * len(text):
         return False
     tokens = text.split()
-    if sum(bool(_CODE.match(t.strip(".,;:!?\"'()“”«»*"))) for t in tokens) > MOST_CODE * len(tokens):
+    if sum([1 for t in tokens if len(t) > 3 and _CODE.match(t.strip(".,;:!?\"'()“”«»*"))]) > MOST_CODE * len(tokens):
         return False
     ws = [w.casefold() for w in _WORD.findall(text)]
     if not ws:
         return False
-    if len(ws) >= 12 and (_excess(ws, common) or _top_ngram(ws) > MOST_TOP_NGRAM):
+    counts = Counter(ws)
+    # a text of nearly all different words has no dominant n-gram
+    if len(ws) >= 12 and (_excess(counts, len(ws), common) or len(counts) < 0.85 * len(ws) and _top_ngram(ws) > MOST_TOP_NGRAM):
         return False
     if len(_BROKEN.findall(text)) > MOST_BROKEN * len(text):
         return False
-    if common_share(ws, common) >= LEAST_COMMON:
+    if _common_share(counts, len(ws), common) >= LEAST_COMMON:
         return True
     # a few words may do without: then they must look like a sentence
     return len(ws) <= 8 and text.strip()[:1].isupper() and bool(_ENDS.search(text)) and len(ws) >= 2
