@@ -34,7 +34,7 @@ WINDOW, OVERLAP = 64, LONG_RUN - 1
 #: Greatest chance that MinHash misses a case.
 MISS = 1e-7
 #: Items indexed at once; more items mean more passes over the documents.
-BLOCK = 20_000
+BLOCK = 5_000
 
 _PRIME_SEED = 0x9E3779B97F4A7C15
 _LONG = b"\x01" * (LONG_RUN - RUN + 1)
