@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lattica.functions.values import INT_MAX, INT_MIN, NULL, Value, double, integer
 from lattica.plans.ast import Aggregation, Query
-from lattica.plans.compiler import matching, sort_columns
+from lattica.plans.compiler import matching, sort_columns, sorted_by
 from lattica.plans.normalizer import check_aggregations, normalize
 
 #: Doubles up to this size whose decimal text has at most 15 places after the point are added as decimals.
@@ -20,7 +20,7 @@ def capped(source, q: Query) -> DataFrame:
     """Matching rows, no more than an explicit limit; offset and limitToLast play no part.  The cap takes the first in order."""
     plan = normalize(q)
     df = matching(source, plan)
-    return df if plan.explicit_limit is None else df.orderBy(*sort_columns(source, plan)).limit(plan.explicit_limit)
+    return df if plan.explicit_limit is None else sorted_by(df, sort_columns(source, plan)).limit(plan.explicit_limit)
 
 
 def count_frame(source, q: Query, alias: str = "count") -> DataFrame:

@@ -18,6 +18,8 @@ from lattica.sources.shared import Versions, fresh
 
 #: What makes two rows of the feed the same change.
 IDENTITY = ["type", "document_path", "version", "commit_time"]
+#: Most changes of a bucket on average, and documents of a task's own table: both keep DuckDB in memory.
+BUCKET_ROWS, LOCAL_ROWS = 500_000, 300_000
 STATE_SCHEMA = "document_path string, type string, version long, seq long"
 
 
@@ -32,8 +34,12 @@ def known_changes(changes: DataFrame, *columns: str) -> DataFrame:
     return known
 
 
-def _upsert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (document_path, type, version, seq) in, the latest of each document out, by conditional upserts."""
+def _upsert(batches: Iterator[pa.RecordBatch], most: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Rows (document_path, type, version, seq) in, the latest of each document out, by conditional upserts.
+
+    With ``most``, the table is put out and begun anew whenever it has as many documents; a document may then come out
+    more than once.
+    """
     import duckdb
 
     db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "1GB", "temp_directory": ""})
@@ -47,6 +53,8 @@ def _upsert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ON CONFLICT (document_path) DO UPDATE SET type = excluded.type, version = excluded.version, seq = excluded.seq
         WHERE excluded.seq > state.seq OR (excluded.seq = state.seq AND coalesce(excluded.version, -1) > coalesce(state.version, -1))"""
 
+    export = "SELECT document_path, type, version, seq FROM state"
+
     def flush(held: list[pa.RecordBatch]) -> None:
         db.register("incoming", pa.Table.from_batches(held))
         db.execute(statement)
@@ -59,24 +67,27 @@ def _upsert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if rows >= 100_000:
             flush(held)
             held, rows = [], 0
+            if most and db.sql("SELECT count(*) FROM state").fetchone()[0] >= most:
+                yield from db.sql(export).to_arrow_reader(50_000)
+                db.execute("TRUNCATE state")
     if rows:
         flush(held)
-    for chunk in db.sql("SELECT document_path, type, version, seq FROM state").to_arrow_reader(50_000):
-        yield chunk
+    yield from db.sql(export).to_arrow_reader(50_000)
     db.close()
 
 
 def upsert_latest(changes: DataFrame, buckets: int | None = None) -> DataFrame:
     """The last change of each document of ``changes`` (document_path, type, version, seq), tombstones included.
 
-    First each task upserts what it holds, leaving one row per document and task; then the documents are hashed to
-    buckets and each bucket is upserted.  A document with a third of all changes thus sends its bucket no more than
-    one row per task.  Equal sequence numbers of a document go to the greater version, then type.
+    First each task upserts what it holds, leaving one row per document and task (or per LOCAL_ROWS documents, so that
+    its table stays small); then the documents are hashed to buckets and each bucket is upserted.  A document with a
+    third of all changes thus sends its bucket a few rows per task.  ``changes`` must be a written table: its rows are
+    counted to give a bucket BUCKET_ROWS changes on average at most, and so no more documents.  Equal sequence numbers of a document go to the greater version, then type.
     """
     spark = changes.sparkSession
-    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = buckets or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-changes.count() // BUCKET_ROWS))
     rows = changes.select("document_path", "type", F.col("version").cast("long").alias("version"), F.col("seq").cast("long").alias("seq"))
-    local = rows.mapInArrow(_upsert, STATE_SCHEMA)
+    local = rows.mapInArrow(lambda batches: _upsert(batches, LOCAL_ROWS), STATE_SCHEMA)
     return local.repartition(n, "document_path").mapInArrow(_upsert, STATE_SCHEMA)
 
 

@@ -123,13 +123,18 @@ def cursor_steps(cursors: DataFrame) -> DataFrame:
 
     A save counts only if it goes beyond all earlier saves (by ``updated_at``); saves with a null ``seq`` say nothing.
     A save without a time is taken as before all times, so it has seen nothing by then.
-    The saves of one consumer are sorted in one task; they are few beside the changes (each stands for a whole run).
+    The greatest earlier save is found in two steps, over the days of a consumer and inside each day, so that a consumer
+    with very many saves is spread over tasks by day.
     """
     from pyspark.sql import Window
 
     saves = cursors.where(F.col("consumer").isNotNull() & F.col("seq").isNotNull()).groupBy("consumer", F.col("updated_at").cast("timestamp_ntz").alias("seen_until")).agg(F.max("seq").alias("hi"))
-    earlier = Window.partitionBy("consumer").orderBy(F.col("seen_until").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
-    stepped = saves.withColumn("lo", F.max("hi").over(earlier))
+    saves = saves.withColumn("day", F.to_date("seen_until"))
+    before = Window.partitionBy("consumer").orderBy(F.col("day").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    days = saves.groupBy("consumer", "day").agg(F.max("hi").alias("top")).withColumn("before_day", F.max("top").over(before)).select(F.col("consumer").alias("c"), F.col("day").alias("d"), "before_day")
+    within = Window.partitionBy("consumer", "day").orderBy(F.col("seen_until").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    placed = saves.withColumn("in_day", F.max("hi").over(within)).join(days, F.col("consumer").eqNullSafe(F.col("c")) & F.col("day").eqNullSafe(F.col("d")))
+    stepped = placed.withColumn("lo", F.greatest("before_day", "in_day"))
     return stepped.where(F.col("lo").isNull() | (F.col("hi") > F.col("lo"))).select("consumer", "lo", "hi", "seen_until")
 
 

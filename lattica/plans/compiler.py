@@ -36,22 +36,32 @@ def matching(source, q: Query | Plan) -> DataFrame:
     return df
 
 
-def sort_columns(source, plan: Plan, reverse: bool = False) -> list[Column]:
-    out = []
-    for o in plan.order:
-        for c in source.field(o.field).order():
-            out.append(c.desc_nulls_last() if o.descending != reverse else c.asc_nulls_first())
-    return out
+def sort_columns(source, plan: Plan) -> list[tuple[Column, bool]]:
+    """Sort keys and whether each descends."""
+    return [(c, o.descending) for o in plan.order for c in source.field(o.field).order()]
+
+
+def sorted_by(df: DataFrame, keys: list[tuple[Column, bool]]) -> DataFrame:
+    """Ordered by the keys; nulls (absent parts of a key) come first ascending and last descending."""
+    return df.orderBy(*[c.desc_nulls_last() if down else c.asc_nulls_first() for c, down in keys])
 
 
 def page(source, q: Query | Plan, extra: int = 0) -> DataFrame:
-    """The rows of the query's page in the order asked for, with ``extra`` rows beyond it (to tell whether there are more)."""
+    """The rows of the query's page in the order asked for, with ``extra`` rows beyond it (to tell whether there are more).
+
+    Sort keys are columns of a projection below the top-k operator: a stored document's JSON is then parsed once for all
+    parts of its keys, and the keys are there again to turn a last page round.
+    """
     plan = q if isinstance(q, Plan) else normalize(q)
-    df = matching(source, plan).orderBy(*sort_columns(source, plan))
+    df, keys = matching(source, plan), sort_columns(source, plan)
+    names = [f"__sort{i}" for i in range(len(keys))]
+    ready = [(F.col(n), down) for n, (_, down) in zip(names, keys)]
+    df = sorted_by(df.withColumns({n: c for n, (c, _) in zip(names, keys)}), ready)
     if plan.offset:
         df = df.offset(plan.offset)
     df = df.limit(plan.limit + extra)
     if plan.reverse:
-        df = df.orderBy(*sort_columns(source, plan, reverse=True))
+        df = sorted_by(df, [(c, not down) for c, down in ready])
+    df = df.drop(*names)
     return source.project(df, plan.select)
 
