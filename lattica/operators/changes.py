@@ -18,6 +18,8 @@ from lattica.sources.shared import Versions, fresh
 
 #: What makes two rows of the feed the same change.
 IDENTITY = ["type", "document_path", "version", "commit_time"]
+#: Changes given to DuckDB at once.
+FLUSH = 100_000
 #: Most changes of a bucket on average, and documents of a task's own table: both keep DuckDB in memory.
 BUCKET_ROWS, LOCAL_ROWS = 500_000, 300_000
 STATE_SCHEMA = "document_path string, type string, version long, seq long"
@@ -64,10 +66,10 @@ def _upsert(batches: Iterator[pa.RecordBatch], most: int | None = None) -> Itera
     for b in batches:
         held.append(b)
         rows += b.num_rows
-        if rows >= 100_000:
+        if rows >= FLUSH:
             flush(held)
             held, rows = [], 0
-            if most and db.sql("SELECT count(*) FROM state").fetchone()[0] >= most:
+            if most and db.execute("SELECT count(*) FROM state").fetchall()[0][0] >= most:
                 yield from db.sql(export).to_arrow_reader(50_000)
                 db.execute("TRUNCATE state")
     if rows:

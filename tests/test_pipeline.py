@@ -197,6 +197,20 @@ def test_changes_in_any_order_and_several_runs(spark, seed):
     assert {tuple(r) for r in C.apply_changes(spark, frame([feed[0]]).limit(0), steps, 2).collect()} == plain_live(feed)
 
 
+def test_local_tables_are_put_out_when_full(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(C, "FLUSH", 10)
+    rng = random.Random(3)
+    feed = [(f"d{rng.randrange(40)}", "added", n, n) for n in range(500)]
+    batch = lambda part: pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*part)], ["document_path", "type", "version", "seq"])
+    want = {p: s for p, _, _, s in feed}
+    for most in (None, 1, 7, 1000):
+        out = [r for b in C._upsert((batch(feed[k : k + 13]) for k in range(0, 500, 13)), most) for r in b.to_pylist()]
+        assert {p: max(r["seq"] for r in out if r["document_path"] == p) for p in want} == want
+        assert most is not None and most < 40 or len(out) == len(want)
+
+
 def test_changes_with_nulls_and_tombstones(spark):
     feed = [(1, "added", "a", None, 1, T0), (2, "removed", "a", None, 1, T0), (3, None, "b", None, None, None), (4, None, "b", None, None, None), (None, "added", "c", None, 1, T0), (5, "added", None, None, 1, T0)]
     at = fresh(spark, "t3")
