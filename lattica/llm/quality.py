@@ -21,9 +21,9 @@ from pyspark.sql import functions as F
 SENTENCE_END = ".!?…。！？"
 CLOSERS = "\"'”’»›“‘)]*_"
 
-_WORD = regex.compile(r"[\p{L}\p{N}]+")
-_LETTERS = regex.compile(r"\p{L}+")
-_SYMBOL = regex.compile(r"[^\p{L}\p{N}\p{M}\s]")
+_WORD = re.compile(r"[^\W_]+")  # letters and digits of any script
+_LETTERS = re.compile(r"[^\W\d_]")
+_MARKS = regex.compile(r"\p{M}")
 _ENDS = re.compile(rf"[{re.escape(SENTENCE_END)}][{re.escape(CLOSERS)}]*(?=\s|$)")
 _LINE_END = regex.compile(rf"[\p{{P}}][{re.escape(CLOSERS)}]*$")
 _MARKER = regex.compile(r"^\s*(?:[-*+•·▪◦‣○●■□–—>✓✔☐☑]|\(?\d{1,4}[.)\]:]|\(?[a-zA-Z][.)]|\(?[ivxIVX]{1,5}[.)]|\[[ xX✓]?\])\s+(?=\S)")
@@ -34,6 +34,8 @@ _QUOTED = re.compile(r'"(?:[^"]|"")*"')
 _BROKEN = re.compile("[\ufffd\x80-\x84\x86-\x9f]|[\u00c2\u00c3](?=[\u0080-\u00bf\u00c2\u00c3])")
 _CODE = regex.compile(r"^(?:0x)?[0-9a-fA-F]{4,}$|^(?=.*\d)(?=.*\p{L}).{6,}$|^\S{28,}$")
 
+_HINT = re.compile(r"\d[A-Za-z]|[A-Za-z]\d|\S{28}|(?<!\S)[0-9a-fA-F]{4,}(?!\S)")  # where one of these stands there may be codes
+
 STAT_FIELDS = [
     ("n_words", pa.int64(), "long"), ("mean_word_length", pa.float64(), "double"), ("symbol_ratio", pa.float64(), "double"),
     ("punct_line_share", pa.float64(), "double"), ("common_word_share", pa.float64(), "double"),
@@ -64,7 +66,9 @@ def _top_ngram(ws: list[str]) -> float:
             break
         grams = Counter(zip(*[ws[i:] for i in range(n)]))
         times = max(grams.values())
-        if times > 1:
+        if times == 1:
+            break  # nor does a longer one repeat
+        if best < 1.0:
             gram = max((g for g, t in grams.items() if t == times), key=lambda g: sum(map(len, g)))
             covered = [False] * len(ws)
             for i in range(len(ws) - n + 1):
@@ -152,14 +156,21 @@ def _excess(counts: Counter, total: int, common: Mapping[str, frozenset[str]]) -
     return any(n > least and not any(w in held for held in common.values()) for w, n in counts.items())
 
 
+def _symbols(text: str, found: list[str]) -> int:
+    """Characters that are no letters, digits, marks or white space; found: the words."""
+    shown = sum(map(len, text.split()))
+    return shown - sum(map(len, found)) - (0 if text.isascii() else len(_MARKS.findall(text)))
+
+
 def _reads_as_text(text: str, common: Mapping[str, frozenset[str]]) -> bool:
     """Whether words of a language stand here: common words among them, no word in excess, few codes and tags."""
-    if sum(map(len, _TAG.findall(text))) > MOST_TAGS * len(text):
+    if ("<" in text or "{" in text or "&" in text) and sum(map(len, _TAG.findall(text))) > MOST_TAGS * len(text):
         return False
     tokens = text.split()
-    if sum([1 for t in tokens if len(t) > 3 and _CODE.match(t.strip(".,;:!?\"'()“”«»*"))]) > MOST_CODE * len(tokens):
+    odd = [t for t in tokens if len(t) > 3 and (t.isascii() or len(t) > 27)] if _HINT.search(text) else ()
+    if len(odd) > MOST_CODE * len(tokens) and sum([1 for t in odd if _CODE.match(t.strip(".,;:!?\"'()“”«»*"))]) > MOST_CODE * len(tokens):
         return False
-    ws = [w.casefold() for w in _WORD.findall(text)]
+    ws = _WORD.findall(text.casefold())
     if not ws:
         return False
     counts = Counter(ws)
@@ -257,7 +268,7 @@ def statistics(text: str | None, common: Mapping[str, frozenset[str]]) -> tuple:
     kind = max(("sentence", "list", "table", "other"), key=lambda k: (size[k], k == "sentence"))
     kind = {"sentence": "prose", "list": "list", "table": "table", "other": "junk"}[kind]
     return (
-        len(ws), sum(map(len, found)) / len(found) if found else 0.0, len(_SYMBOL.findall(text)) / len(text),
+        len(ws), sum(map(len, found)) / len(found) if found else 0.0, _symbols(text, found) / len(text),
         sum(bool(_LINE_END.search(x)) for x in lines) / len(lines), common_share(ws, common),
         dup, _duplicates(paragraphs), top, repeated, share["sentence"], share["list"], share["table"],
         dup > BOILERPLATE_LINES or _duplicates(paragraphs) > BOILERPLATE_LINES or len(ws) >= 20 and repeated > 0.6, kind)

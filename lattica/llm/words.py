@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import regex
 
 #: Runs of letters and digits.
-WORD = regex.compile(r"[\p{L}\p{N}]+")
+WORD = re.compile(r"[^\W_]+")
 #: Marks on letters, and characters that do not show: formatting characters and controls other than white space.
 UNSEEN = regex.compile(r"[\p{M}\p{Cf}ᅟᅠㅤﾠ]+|(?![\t\n\v\f\r\x1c-\x1f\x85])\p{Cc}")
 ASCII_CONTROLS = regex.compile(r"[\x00-\x08\x0e-\x1b\x7f]+")
