@@ -181,6 +181,68 @@ def element_maps(documents: DataFrame) -> DataFrame:
     return documents.select("document_path", "data").mapInArrow(label, schema)
 
 
+FLAT_SCHEMA = (
+    "document_path string, table_name string, kind string, pre long, post long, parent_pre long, pointer string, fields map<string,string>, types map<string,string>"
+)
+_FLAT_TYPES = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.map_(pa.string(), pa.string()), pa.map_(pa.string(), pa.string())]
+
+
+def flatten(data: str | None) -> list[tuple]:
+    """The rows of one document as (table, kind, pre, post, parent_pre, pointer, fields, types).
+
+    The document is a row of the table "" and every map or plain value in an array a row of the table named by its way
+    there, indexes left out (``items[].options[]``).  Plain values under maps become fields of the row around them, named
+    by their way from it (``address.city``); a plain value in an array is the field ``value`` of its own row, of kind ``value`` (else ``map`` or ``document``).  Empty maps
+    give rows without fields.
+    """
+    nodes, sizes = walk(parse(data))
+    tables, names, rows, at = [""] * len(nodes), [""] * len(nodes), [], [0] * len(nodes)
+    for i, (parent, depth, tag, in_array, pointer, name, payload) in enumerate(nodes):
+        plain = tag not in ("mapValue", "arrayValue", "document")
+        if parent >= 0:
+            tables[i] = f"{tables[parent]}[]" if in_array else f"{tables[parent]}.{name}" if tables[parent] else name
+        if parent < 0 or in_array and tag != "arrayValue":
+            at[i] = len(rows)
+            kind = "value" if plain else "map" if parent >= 0 else "document"
+            rows.append((tables[i], kind, i, i + sizes[i] - 1 - depth, pointer, {}, {}))
+            if plain:
+                rows[-1][5]["value"], rows[-1][6]["value"] = _text(payload), tag
+            continue
+        at[i] = at[parent]
+        names[i] = f"{names[parent]}.{name}" if names[parent] else name
+        if plain:
+            row = rows[at[i]]
+            row[5][names[i]], row[6][names[i]] = _text(payload), tag
+    ups = nearest_enclosing([(r[2], r[3]) for r in rows])
+    return [(*r[:4], rows[up][2] if up >= 0 else -1, *r[4:]) for r, up in zip(rows, ups)]
+
+
+def flat_rows(documents: DataFrame) -> DataFrame:
+    """Rows of all flat tables of the documents (``document_path``, ``data``): see ``flatten``; pass current rows.
+
+    Parents are found by interval containment; ``parent_pre`` with ``document_path`` is the key of the parent row.  Unreadable
+    data gives the document's row without fields.
+    """
+
+    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [f.split()[0] for f in FLAT_SCHEMA.split(", ")]
+        for b in batches:
+            cols: list[list] = [[] for _ in names]
+            for path, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                for row in flatten(data):
+                    for c, x in zip(cols, (path, *row[:6], list(row[6].items()), list(row[7].items()))):
+                        c.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _FLAT_TYPES)], names)
+
+    return documents.select("document_path", "data").mapInArrow(label, FLAT_SCHEMA)
+
+
+def flat_table(rows: DataFrame, name: str, columns: dict[str, str], kind: str = "map") -> DataFrame:
+    """One flat table as columns: document_path, pre, parent_pre, pointer and ``columns`` (column -> field); null where a row lacks one."""
+    of_table = rows.where((F.col("table_name") == name) & (F.col("kind") == kind))
+    return of_table.select("document_path", "pre", "parent_pre", "pointer", *[F.col("fields")[f].alias(c) for c, f in columns.items()])
+
+
 def contained(outer: DataFrame, inner: DataFrame) -> DataFrame:
     """(document_path, outer_pre, inner_pre) of every node of ``inner`` inside a node of ``outer`` of the same document.
 

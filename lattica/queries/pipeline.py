@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from lattica.operators.changes import apply_changes
 from lattica.operators.merkle import unseen_changes
-from lattica.operators.nested import current_rows, element_maps, node_table
+from lattica.operators.nested import current_rows, element_maps, flat_rows, flat_table, node_table
 from lattica.operators.orphans import document_orphans, orphan_report
 from lattica.operators.skew import frequent_keys, salted_aggregate
-from lattica.sources.shared import fresh
+from lattica.sources.shared import fresh, stage
 from lattica.sources.tables import table
 
 
@@ -52,6 +52,26 @@ def p2_documents(spark: SparkSession, root: str) -> DataFrame:
     return nodes.select("document_path", "pre", "post", ((F.col("post") - F.col("pre")) + F.col("depth")).alias("descendants"))
 
 
+def _flat(spark: SparkSession, root: str) -> DataFrame:
+    return flat_rows(current_rows(table(spark, root, "winche_documents"), "document_path", "version", "collection_id", "data"))
+
+
+def p2_flat_rows(spark: SparkSession, root: str) -> DataFrame:
+    return _flat(spark, root).select("document_path", "table_name", "kind", "pre", "parent_pre", "pointer", F.size("fields").alias("n_fields"))
+
+
+def p2_items(spark: SparkSession, root: str) -> DataFrame:
+    return flat_table(_flat(spark, root), "items[]", {"product": "product", "qty": "qty", "price": "price"}).select("document_path", "pointer", "product", "qty", "price")
+
+
+def p2_item_options(spark: SparkSession, root: str) -> DataFrame:
+    """Options with the item they stand in, by the parent's label."""
+    rows = stage(_flat(spark, root).where(F.col("table_name").isin("items[]", "items[].options[]")), "flat")
+    options = flat_table(rows, "items[].options[]", {"name": "name", "value": "value"})
+    items = flat_table(rows, "items[]", {"product": "product"}).select("document_path", F.col("pre").alias("parent_pre"), F.col("pointer").alias("item"), "product")
+    return options.join(items, ["document_path", "parent_pre"]).select("document_path", "pointer", "item", "product", "name", "value")
+
+
 def p3_found(spark: SparkSession, root: str) -> DataFrame:
     return apply_changes(spark, table(spark, root, "winche_changes"), fresh(spark, "p3"))
 
@@ -69,7 +89,7 @@ def p5_found(spark: SparkSession, root: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    p1_found, p1_change_collections, p1_document_collections, p2_found, p2_nodes, p2_documents, p3_found, p4_found, p4_report, p5_found)}
+    p1_found, p1_change_collections, p1_document_collections, p2_found, p2_nodes, p2_documents, p2_flat_rows, p2_items, p2_item_options, p3_found, p4_found, p4_report, p5_found)}
 
 # arg_max skips rows whose argument is null, so the row is taken as one struct
 _CURRENT = """current AS (
@@ -113,6 +133,15 @@ SQL = {
     "p2_documents": f"""
         WITH RECURSIVE {_NODES} SELECT c.document_path, 0::BIGINT AS pre, count(n.document_path) AS post, count(n.document_path) AS descendants
         FROM current c LEFT JOIN nodes n ON n.document_path = c.document_path GROUP BY c.document_path""",
+    "p2_items": f"""
+        WITH {_CURRENT}, i AS (SELECT document_path, v.key AS n, v.value->'mapValue'->'fields' AS f, json_exists(v.value, '$.mapValue') AS is_map FROM (SELECT * FROM current WHERE json_valid(data)) c, json_each(coalesce(json_extract(c.data, '$.items.arrayValue.values'), '[]'::JSON)) v)
+        SELECT document_path, 'items[' || n || ']' AS pointer, json_extract_string(f, '$.product.referenceValue') AS product, coalesce(json_extract_string(f, '$.qty.integerValue'), json_extract_string(f, '$.qty.doubleValue')) AS qty,
+            coalesce(json_extract_string(f, '$.price.doubleValue'), json_extract_string(f, '$.price.integerValue')) AS price FROM i WHERE is_map""",
+    "p2_item_options": f"""
+        WITH {_CURRENT}, i AS (SELECT document_path, 'items[' || v.key || ']' AS item, v.value->'mapValue'->'fields' AS f FROM (SELECT * FROM current WHERE json_valid(data)) c, json_each(coalesce(json_extract(c.data, '$.items.arrayValue.values'), '[]'::JSON)) v WHERE json_exists(v.value, '$.mapValue')),
+        o AS (SELECT document_path, item, f AS parent, item || '.options[' || v.key || ']' AS pointer, v.value->'mapValue'->'fields' AS g FROM i, json_each(coalesce(json_extract(i.f, '$.options.arrayValue.values'), '[]'::JSON)) v WHERE json_exists(v.value, '$.mapValue'))
+        SELECT document_path, pointer, item, json_extract_string(parent, '$.product.referenceValue') AS product, json_extract_string(g, '$.name.stringValue') AS name,
+            coalesce(json_extract_string(g, '$.value.stringValue'), json_extract_string(g, '$.value.integerValue'), json_extract_string(g, '$.value.doubleValue')) AS value FROM o""",
     "p3_found": """
         WITH known AS (SELECT document_path, type, version, commit_time, min(seq) AS seq FROM winche_changes WHERE document_path IS NOT NULL AND seq IS NOT NULL GROUP BY ALL)
         SELECT document_path, arg_max(version, seq) AS version, max(seq) AS seq FROM known GROUP BY document_path HAVING arg_max(type, seq) <> 'removed'""",

@@ -134,6 +134,20 @@ def test_current_rows_and_element_maps(spark):
     assert inside.count() == 4
 
 
+def test_flat_tables(spark):
+    fields = {"n": tagged("x"), "address": tagged({"city": "y", "geo": {"deep": "z"}}), "items": tagged([{"a": "1", "opts": [{"b": "2"}, "plain", [{"b": "3"}]]}, {}]), "gone": {"nullValue": None}, "point": {"geoPointValue": {"latitude": 1, "longitude": 2}}, "i": {"integerValue": 5}}
+    got = {r[5]: (r[0], r[2], r[3], r[4], r[5], *r[6:]) for r in N.flatten(json.dumps(fields))}
+    assert got[""][5] == {"n": "x", "address.city": "y", "address.geo.deep": "z", "gone": None, "point": '{"latitude": 1, "longitude": 2}', "i": "5"} and got[""][6]["i"] == "integerValue"
+    assert [(p, r[0], r[5]) for p, r in got.items() if p] == [
+        ("items[0]", "items[]", {"a": "1"}), ("items[0].opts[0]", "items[].opts[]", {"b": "2"}), ("items[0].opts[1]", "items[].opts[]", {"value": "plain"}), ("items[0].opts[2][0]", "items[].opts[][]", {"b": "3"}), ("items[1]", "items[]", {})]
+    assert got["items[0].opts[2][0]"][3] == got["items[0]"][1] and got["items[1]"][3] == got[""][1] == 0 and got[""][3] == -1
+    df = spark.createDataFrame([doc("a/1", fields), doc("a/2", data=None), doc("a/3", data="{")], DOCS).withColumn("fields", F.lit(1))
+    rows_ = N.flat_rows(df)
+    assert rows_.where("table_name = ''").count() == 3 and rows_.count() == 8
+    assert rows(N.flat_table(rows_, "items[]", {"a": "a", "none": "x"}).select("pointer", "a", "none")) == {("items[0]", "1", None): 1, ("items[1]", None, None): 1}
+    assert N.flat_rows(df.limit(0)).count() == 0
+
+
 def test_escaped_tags_count(spark):
     text = '{"i":{"array\\u0056alue":{"values":[{"mapValue":{}}]}},"r":{"\\u0072eferenceValue":"a/none"}}'
     df = spark.createDataFrame([doc("a/1", data=text)], DOCS)
