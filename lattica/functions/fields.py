@@ -252,7 +252,7 @@ class TypedField(Field):
                 return F.lit(v.v)
             return typed_literal(v.v)
         if self.kind == "integer" and v.kind == "double":
-            return F.lit(int(v.v)) if v.v == math.floor(v.v) and V.INT_MIN <= v.v < 2**63 else None
+            return F.lit(int(v.v)) if V.INT_MIN <= v.v < 2**63 and v.v == math.floor(v.v) else None
         if self.real and v.kind == "integer":
             return F.lit(float(v.v)) if int(float(v.v)) == v.v else None
         return F.lit(v.v)
