@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import math
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -120,6 +121,10 @@ class Field:
             cond = strict(part, lit) | ((part == lit) & cond)
         return F.when(self.rank.isNotNull(), (self.rank == F.lit(r)) & F.coalesce(cond, F.lit(False)))
 
+    def let(self, condition: Callable[[Field], Column], v: Value) -> Column:
+        """A condition on this field and ``v``; fields that are dear to read bind their value first."""
+        return condition(self)
+
     def beyond(self, greater: bool, v: Value) -> Column:
         """Strictly after (or before) ``v`` in the total order over all types."""
         r = F.lit(V.rank(v))
@@ -133,10 +138,10 @@ class Field:
 class TaggedField(Field):
     """A field of a stored document: a column with one tagged value as JSON text, null if missing."""
 
-    def __init__(self, tagged: Column):
+    def __init__(self, tagged: Column, one: Column | None = None):
         self.tagged = tagged
-        one = F.from_json(tagged, _MAP)
-        self.tag, self.payload = F.element_at(F.map_keys(one), 1), F.element_at(F.map_values(one), 1)
+        self.one = one = F.from_json(tagged, _MAP) if one is None else one
+        self.tag, self.payload = F.try_element_at(F.map_keys(one), F.lit(1)), F.try_element_at(F.map_values(one), F.lit(1))
         self.exists = tagged.isNotNull()
         rank = F.when(self.tag == V.TAGS["double"], F.when(self.payload == "NaN", V.NAN_RANK).otherwise(30))
         for kind, r in V.RANKS.items():
@@ -144,6 +149,16 @@ class TaggedField(Field):
                 rank = rank.when(self.tag == V.TAGS[kind], r)
         self.rank = rank
 
+    def let(self, condition: Callable[[TaggedField], Column], v: Value) -> Column:
+        """A condition on this field and ``v``, with the JSON parsed once and bound to a variable.
+
+        A filter evaluates every mention of an expression anew, and a condition mentions the parsed value many times.
+        Arrays and maps need a Python function, which cannot stand inside; their conditions are used as they are.
+        """
+        if v.kind in ("array", "map"):
+            return condition(self)
+        return F.element_at(F.transform(F.array(self.one), lambda m: condition(TaggedField(m, m))), 1)
+
     def _of(self, kind: str, column: Column) -> Column:
         return F.when(self.tag == V.TAGS[kind], column)
 
@@ -342,7 +357,7 @@ def _instant(us: int) -> Column:
     return F.lit(V.stamp(us)[:-1].replace("T", " ")).cast("timestamp_ntz")
 
 
-class NestedField(TaggedField):
+class NestedField(TaggedField):  # its JSON is made from the column, not parsed
     """An array, struct or map column of a typed table, through its tagged form."""
 
     def __init__(self, column: Column, t: T.DataType):

@@ -48,8 +48,9 @@ def collection_page(documents: DataFrame, parent: str | None = None, size: int =
 
 def expired(documents: DataFrame, collection_id: str, field: str, now_us: int) -> DataFrame:
     """Documents of all collections of this id whose ``field`` is a timestamp before now; a missing or other value never expires."""
-    f = TaggedField(tagged_at(F.col("data"), field))
+    now = V.Value("timestamp", now_us)
+    passed = TaggedField(tagged_at(F.col("data"), field)).let(lambda f: f.within("lt", now), now)
     of_id = F.split_part(F.col("document_path"), F.lit("/"), F.lit(-2)) == collection_id
-    return documents.where(of_id & (F.col("collection_id").isNull() | (F.col("collection_id") == collection_id))).where(f.within("lt", V.Value("timestamp", now_us)))
+    return documents.where(of_id & (F.col("collection_id").isNull() | (F.col("collection_id") == collection_id))).where(passed)
 
 

@@ -17,6 +17,9 @@ from lattica.functions.values import Value
 from lattica.plans.ast import And, Compare, Not, Or, Test, Unary
 
 
+_NAN = V.double(float("nan"))
+
+
 def compile_filter(source, f) -> Column:
     match f:
         case And(items):
@@ -28,13 +31,18 @@ def compile_filter(source, f) -> Column:
         case Unary("exists", field):
             return source.field(field).exists
         case Unary("isNull", field):
-            return source.field(field).equals(V.NULL)
+            return source.field(field).let(lambda f: f.equals(V.NULL), V.NULL)
         case Unary("isNan", field):
-            return source.field(field).equals(V.double(float("nan")))
+            return source.field(field).let(lambda f: f.equals(_NAN), _NAN)
         case Compare(left, op, right):
             return _compare(source.field(left), op, source.field(right))
         case Test(field, op, value):
-            return _test(source.field(field), op, value)
+            f = source.field(field)
+            if op.startswith("arrayContains"):
+                return _test(f, op, value)
+            # of an operand that lists values, any that needs a key decides how the field is read
+            deciding = next((v for v in value.v if v.kind in ("array", "map")), V.NULL) if op in ("in", "notIn") else value
+            return f.let(lambda x: _test(x, op, value), deciding)
     raise TypeError(f)
 
 

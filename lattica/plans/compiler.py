@@ -18,8 +18,8 @@ def bound_filter(source, plan: Plan, bound: Bound, lower: bool) -> Column:
     """Rows on the inner side of a bound: strictly beyond it in the first key, or equal there and beyond in the next ..."""
     cond = F.lit(bound.inclusive)
     for o, v in reversed(list(zip(plan.order, bound.values))):
-        field = source.field(o.field)
-        cond = field.beyond(lower != o.descending, v) | (field.equals(v) & cond)
+        field, after = source.field(o.field), lower != o.descending
+        cond = field.let(lambda f, v=v, after=after: f.beyond(after, v), v) | (field.let(lambda f, v=v: f.equals(v), v) & cond)
     return cond
 
 
