@@ -13,10 +13,12 @@ from lattica.operators.bulk import increment, merge_rows, remove_elements, union
 from lattica.operators.diff import frame_difference
 from lattica.operators.listing import collection_ids, expired
 from lattica.operators.lookup import rows_for
+from lattica.plans.ast import Order, Unary
 from lattica.plans.compiler import matching, page
 from lattica.plans.parser import parse_aggregations, parse_query
 from lattica.queries.pipeline import _CURRENT
 from lattica.sources.collections import TaggedCollections, TypedCollection
+from lattica.sources.indexes import Index, Indexes
 from lattica.sources.shared import fresh
 from lattica.sources.store import DocumentStore, descendants
 from lattica.sources.tables import table
@@ -282,3 +284,16 @@ def _store_feed(spark: SparkSession, root: str) -> DataFrame:
 
 
 _add("stream_feed", _store_feed, "SELECT document_path, 'added' AS type, max(version) AS version FROM winche_documents GROUP BY document_path")
+
+
+# an index on stored documents: the same answers from shredded columns
+def _indexed(spark: SparkSession, root: str, q: dict) -> DataFrame:
+    index = Index("orders", (Order("total"), Order("status")), Unary("exists", "total"))
+    src = Indexes(spark, fresh(spark, "indexes")).build(stored(spark, root).df, index)
+    return matching(src, parse_query({"collection": _ORDERS, **q})).select("document_path")
+
+
+_add("indexed_gt_number", lambda spark, root: _indexed(spark, root, {"where": field("total", "gt", integerValue="100")}), SQL["stored_gt_number"])
+_add("indexed_cursor", lambda spark, root: _indexed(spark, root, {"where": field("status", "eq", stringValue="paid"), "orderBy": [{"field": "total", "direction": "desc"}], "end": _at(True, {"integerValue": "50"})}),
+     f"{_C} SELECT document_path FROM docs WHERE json_extract_string(j, '$.status.stringValue') = 'paid' AND (NOT json_exists(j, '$.total.nullValue') AND NOT json_exists(j, '$.total.booleanValue') AND json_exists(j, '$.total') "
+     "AND (json_extract_string(j, '$.total.doubleValue') IS NULL OR json_extract_string(j, '$.total.doubleValue') <> 'NaN')) AND coalesce(coalesce(json_extract_string(j, '$.total.doubleValue'), json_extract_string(j, '$.total.integerValue'))::DOUBLE > 50, true)")
