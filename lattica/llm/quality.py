@@ -47,12 +47,14 @@ STAT_FIELDS = [
 
 #: The rules' thresholds.
 LEAST_COMMON = 0.06  # of the words of a text that reads as one
+CLEARLY_COMMON = 0.15  # the same, for a text without capitals
 MOST_TOP_WORD = 0.30  # of the words of a text of at least 12 words, for a word that is not common
 MOST_TOP_NGRAM = 0.60  # of the word characters under the dominant n-gram
 MOST_BROKEN = 0.08  # of the characters lost in decoding
 MOST_CODE = 0.4  # of the tokens that are hex, keys or other strings no one reads
 MOST_TAGS = 0.3  # of the characters in mark-up
 SAME_CELLS = 0.7  # of the lines that have the cells of a table
+ALIGNED_CELLS = 0.35  # the same where cells stand in one column, as rows may lack all but their first cell
 BOILERPLATE_LINES = 0.5  # of the lines (characters) that are repeats
 
 
@@ -134,6 +136,12 @@ def table_lines(lines: list[str]) -> tuple[str, set[int]]:
     return best
 
 
+def _aligned(lines: list[str], rows: set[int]) -> bool:
+    """Whether the second cells of the rows begin in the same column, and no line is long or ends a sentence."""
+    starts = Counter(m.end() for i in rows if (m := _GAP.search(lines[i])))
+    return starts.most_common(1)[0][1] >= 0.9 * len(rows) and not any(_ENDS.search(x) or len(x.split()) > 2 * len(rows) + 6 for x in lines)
+
+
 def _bare_cells(line: str) -> bool:
     """Two comma cells that are plainly data: quoted, or a number in one of them, without blanks after the comma."""
     return '"' in line or (", " not in line and len(line.split()) <= 4)
@@ -179,8 +187,9 @@ def _reads_as_text(text: str, common: Mapping[str, frozenset[str]]) -> bool:
         return False
     if len(_BROKEN.findall(text)) > MOST_BROKEN * len(text):
         return False
-    if _common_share(counts, len(ws), common) >= LEAST_COMMON:
-        return True
+    share = _common_share(counts, len(ws), common)
+    if share >= LEAST_COMMON and (share >= CLEARLY_COMMON or text != text.lower()):
+        return True  # short common words also turn up among random letters, but there nothing is capitalised
     # a few words may do without: then they must look like a sentence
     return len(ws) <= 8 and text.strip()[:1].isupper() and bool(_ENDS.search(text)) and len(ws) >= 2
 
@@ -193,7 +202,7 @@ def line_kinds(text: str, common: Mapping[str, frozenset[str]]) -> dict[str, int
     body = [i for i in range(len(lines)) if not _RULE.match(lines[i])]
     fit = len(rows & set(body))
     # every second line of cells would do in a text with headings, were they not fewer than the rows
-    if not (fit >= 2 and fit >= SAME_CELLS * len(body)):
+    if not (fit >= 2 and fit >= (ALIGNED_CELLS if mark == "gap" and _aligned(lines, rows) else SAME_CELLS) * len(body)):
         rows = set()
     elif sum(bool(_ENDS.search(lines[i])) for i in rows) > 0.5 * len(rows):
         rows = set()  # lines of sentences that happen to have as many commas
@@ -201,7 +210,7 @@ def line_kinds(text: str, common: Mapping[str, frozenset[str]]) -> dict[str, int
     spoken = False
     for i, line in enumerate(lines):
         s = line.strip()
-        if i in rows or (rows and _RULE.match(line)):
+        if i in rows or (rows and (_RULE.match(line) or mark == "gap" and fit < SAME_CELLS * len(body))):
             size["table"] += len(s)
             bare.append([])
         elif m := _MARKER.match(line):

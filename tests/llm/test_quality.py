@@ -19,6 +19,7 @@ KINDS = [
     ("- lamp\n- road mill\n- bridge", "list"), ("1. lamp\n2. road\n3. bridge sky", "list"), ("[x] Lamp\n[ ] Road Mill", "list"), ("lamp road\nmill\nbridge sky\nboat", "list"), ("Things:\na) lamp;\nb) road\nc) mill", "list"),
     ("Mill behind the church\nRoad in a small room\nBoat under the trees\nLamp over the water", "list"), (" * Kitchen, 48\n * Boat station, 47\n * Song, 33", "list"),
     ("a\tb\nc\td", "table"), ("| a | 1 |\n|---|---|\n| b | 2 |", "table"), ('"a","1.5","x"\n"b","","y"', "table"), ("a;1;x\nb;2;\nc;;z", "table"), ("mill              12.5            boat\nroof                              lamp\nmap               3               door", "table"),
+    ("2655              814.43\n2461\n1233\n1273              553.29\n3551              348.43", "table"), ("rskdt it qwpt aflpp elyup ord foitd lposa ooeae jokae oykh ewpyf lsega", "junk"),
     ("xqzv wrtk plmn bvcx zzkq trwq mmnb qqwe", "junk"), ("station " * 60, "junk"), ("0x1F2A deadbeef 0x33 8f3b2c1d a9b8c7d6", "junk"), ("aGVsbG8gd29ybGQgdGhpcyBpcyBiYXNlNjQ5MDg\nQ9xkLmN0aGVzZSBhcmUgbm90IHdvcmRz8812ab==", "junk"),
     ('<div class="a"></div><li class="b">{x:1}<td class="c"></td>', "junk"), ("#$%^ &*( )_+ {}[] |||", "junk"), ("S�n emb�rgo �� the l��via a�� ��o.", "junk"),
 ]
