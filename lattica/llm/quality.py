@@ -104,10 +104,10 @@ def _duplicates(parts: list[str]) -> float:
 def cells(line: str, mark: str) -> int:
     """How many cells ``mark`` parts the line into."""
     if mark == "gap":
-        return len(_GAP.findall(line.strip())) + 1
+        return len(_GAP.findall(line.strip())) + 1 if "  " in line or "\t" in line else 1
     if mark == "|":
         return len(line.strip().strip("|").split("|"))
-    if mark == ",":
+    if mark == "," and '"' in line:
         line = _QUOTED.sub("q", line)
     return line.count(mark) + 1
 
@@ -116,6 +116,8 @@ def table_lines(lines: list[str]) -> tuple[str, set[int]]:
     """The mark that parts most lines into the same number (two or more) of cells, and those lines' positions."""
     best: tuple[str, set[int]] = ("", set())
     for mark in ("\t", "|", ";", ",", "gap"):
+        if mark != "gap" and not any(mark in line for line in lines):
+            continue
         counts = [cells(line, mark) for line in lines]
         if mark == "gap":  # an empty cell widens a gap, so the number of cells varies a little
             fit = {i for i, (c, line) in enumerate(zip(counts, lines)) if c >= 2 and not _ENDS.search(line)}
