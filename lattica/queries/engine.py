@@ -38,7 +38,7 @@ def typed(spark: SparkSession, root: str, name: str) -> TypedCollection:
     if name == "events":  # a field with NaN, and a nested one
         df = df.withColumn("reading", F.expr("CASE WHEN user_id % 7 = 0 THEN double('NaN') ELSE value END")).withColumn("nested", F.from_json("props", "k bigint"))
     if name == "documents":
-        df = df.withColumn("tags", F.expr("slice(split(text, ' '), 1, 12)"))
+        df = df.withColumn("tags", F.split("text", " "))
     return TypedCollection(name, df, _KEYS[name])
 
 
