@@ -26,6 +26,8 @@ from lattica.sources.shared import stage
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 #: Bins per round of the search for a quota's place, and documents that one round may leave to be ranked one by one.
 BINS, LAST = 4096, 20_000
+#: A size of the mix: as many tokens as the sources with targets have.
+AVAILABLE = "available"
 _loaded: dict = {}
 
 
@@ -57,16 +59,20 @@ def token_counts(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     return source.mapInArrow(count, "doc_id long, source string, tokens long")
 
 
-def quotas(targets: list[tuple[str, float, int]], available: dict[str, int], total: float | None = None) -> dict[str, float]:
+def quotas(targets: list[tuple[str, float, int]], available: dict[str, int], total: float | str | None = None) -> dict[str, float]:
     """Tokens each source shall give.
 
     Without ``total``: the largest size at which every source that has any tokens meets its share of them all within
-    its repeats.  With it: each source's share of ``total``, cut where its repeats end.
+    its repeats; one tiny source makes that tiny.  With it: each source's share of ``total``, cut where its repeats
+    end.  ``AVAILABLE`` as total: the tokens of all sources that can give any.
     """
     able = {s: (share, available[s] * repeats) for s, share, repeats in targets if share > 0 and repeats > 0 and available.get(s, 0) > 0}
     if not able:
         return {}
-    size = total if total is not None else min(most / share for share, most in able.values())
+    if total == AVAILABLE:
+        size = sum(available[s] for s in able)
+    else:
+        size = total if total is not None else min(most / share for share, most in able.values())
     return {s: min(size * share, most) for s, (share, most) in able.items()}
 
 
@@ -77,7 +83,7 @@ def _targets(targets: DataFrame) -> list[tuple[str, float, int]]:
     return [(r["source"], float(r["s"] or 0), int(r["r"] or 0)) for r in rows]
 
 
-def mix(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER, total: float | None = None, seed: int = 7, weights: DataFrame | None = None) -> DataFrame:
+def mix(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER, total: float | str | None = None, seed: int = 7, weights: DataFrame | None = None) -> DataFrame:
     """(doc_id, source, tokens, copies) of the selected documents, ``copies`` >= 1.
 
     documents: doc_id, text, source.  targets: source, target_share, max_repeats (of repeated sources the greatest

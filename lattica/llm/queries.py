@@ -18,12 +18,12 @@ def p6_leak_report(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p7_mix(spark: SparkSession, root: str) -> DataFrame:
-    return mixing.mix(table(spark, root, "documents"), table(spark, root, "mix_targets"))
+    return mixing.mix(table(spark, root, "documents"), table(spark, root, "mix_targets"), total=mixing.AVAILABLE)
 
 
 def p7_shares(spark: SparkSession, root: str) -> DataFrame:
     targets = table(spark, root, "mix_targets")
-    return mixing.shares(mixing.mix(table(spark, root, "documents"), targets), targets)
+    return mixing.shares(p7_mix(spark, root), targets)
 
 
 def p8_statistics(spark: SparkSession, root: str) -> DataFrame:
