@@ -26,6 +26,8 @@ from lattica.sources.shared import stage
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 #: Bins per round of the search for a quota's place, and documents that one round may leave to be ranked one by one.
 BINS, LAST = 4096, 20_000
+#: Equal rows that one array lists when they are told apart.
+CHUNK = 65_536
 #: A size of the mix: as many tokens as the sources with targets have.
 AVAILABLE = "available"
 _loaded: dict = {}
@@ -122,19 +124,25 @@ def mix(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER, to
     given = {r["source"]: r["t"] for r in ranked.groupBy("source").agg(F.sum(F.col("whole") * F.col("tokens")).alias("t")).collect()}
     left = {s: q - float(given.get(s, 0)) for s, q, _ in rates}
     cuts = _places(ranked.where(F.col("rank").isNotNull()).select("source", "rank", "tokens", "doc_id"), left)
-    cut_df = spark.createDataFrame([(s, *c) for s, c in cuts.items()] or [], "source string, cut_rank double, cut_doc long, cut_rows long") if cuts else None
-    if cut_df is None:
-        extra = F.lit(0)
-        chosen = ranked
-    else:
-        chosen = ranked.join(F.broadcast(cut_df), "source", "left")
-        before = (F.col("rank") < F.col("cut_rank")) | ((F.col("rank") == F.col("cut_rank")) & (F.col("doc_id") <= F.col("cut_doc")))
-        extra = F.coalesce(before, F.lit(False)).cast("int")
-    return chosen.select("doc_id", "source", "tokens", (F.col("whole") + extra).cast("long").alias("copies")).where(F.col("copies") > 0)
-
-
-def _places(ranked: DataFrame, left: dict[str, float]) -> dict[str, tuple[float, int, int]]:
-    """For each source the last (rank, doc_id) taken: ranked documents are taken until the tokens come nearest to what is left.
+    if not cuts:
+        return ranked.select("doc_id", "source", "tokens", F.col("whole").alias("copies")).where(F.col("copies") > 0)
+    cut_df = spark.createDataFrame([(s, *c) for s, c in cuts.items()], "source string, cut_rank double, cut_doc long, cut_tokens long, cut_rows long")
+    chosen = ranked.join(F.broadcast(cut_df), "source", "left")
+    # structs compare with nulls first, as the running sum sorts them
+    place, end = (F.struct(F.col(r).alias("rank"), F.col(d).alias("doc_id"), F.col(t).alias("tokens")) for r, d, t in (("rank", "doc_id", "tokens"), ("cut_rank", "cut_doc", "cut_tokens")))
+    cuttable = F.col("rank").isNotNull() & F.col("cut_rank").isNotNull()
+    chosen = chosen.withColumn("place", F.when(cuttable & (place < end), "before").when(cuttable & ~(place > end), "at").otherwise("after"))
+    apart = chosen.where(F.col("place") != "at").select("doc_id", "source", "tokens", (F.col("whole") + (F.col("place") == "before").cast("long")).alias("copies"))
+    # rows equal to the last one taken are interchangeable: cut_rows of them get a copy more
+    many = chosen.where(F.col("place") == "at").groupBy("doc_id", "source", "tokens", "whole", "cut_rows").agg(F.count(F.lit(1)).alias("n"))
+    begun = many.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(CHUNK).cast("long"))).alias("at"))
+    each = begun.select("*", F.explode(F.sequence(F.col("at"), F.least(F.col("at") + F.lit(CHUNK), F.col("n")) - 1)).alias("k"))
+    tied = each.select("doc_id", "source", "tokens", (F.col("whole") + (F.col("k") < F.col("cut_rows")).cast("long")).alias("copies"))
+    return apart.unionByName(tied).where(F.col("copies") > 0)
+
+
+def _places(ranked: DataFrame, left: dict[str, float]) -> dict[str, tuple[float, int | None, int, int]]:
+    """For each source the last (rank, doc_id, tokens) taken, and how many rows equal in these: ranked documents are taken until the tokens come nearest to what is left.
 
     Each round adds up the tokens of BINS bins per source (few numbers, whatever the size of the source) and goes on
     inside the bin that crosses the quota.  When that bin holds no more than LAST documents they are ranked one by one.
@@ -162,7 +170,7 @@ def _places(ranked: DataFrame, left: dict[str, float]) -> dict[str, tuple[float,
                 seen += b["t"]
             if crossing is None:  # all of them are needed
                 if mine:
-                    out[s] = (mine[-1]["last"], 2**63 - 1, 0)
+                    out[s] = (mine[-1]["last"], 2**63 - 1, 2**63 - 1, 0)
                 del open_[s]
             elif crossing["n"] <= LAST or crossing["first"] == crossing["last"]:
                 close[s] = (crossing["first"], crossing["last"], seen)
@@ -172,26 +180,28 @@ def _places(ranked: DataFrame, left: dict[str, float]) -> dict[str, tuple[float,
         if close:
             out |= _in_bin(ranked, left, close)
     for s, (_, high, _) in open_.items():  # not reached: six rounds tell 2**72 ranks apart
-        out[s] = (high, 2**63 - 1, 0)
+        out[s] = (high, 2**63 - 1, 2**63 - 1, 0)
     return out
 
 
-def _in_bin(ranked: DataFrame, left: dict[str, float], close: dict[str, tuple[float, float, float]]) -> dict[str, tuple[float, int, int]]:
-    """The last document taken inside a bin of few documents (or of equal ranks), by a running sum over the bin."""
+def _in_bin(ranked: DataFrame, left: dict[str, float], close: dict[str, tuple[float, float, float]]) -> dict[str, tuple[float, int | None, int, int]]:
+    """The last document taken inside a bin of few documents (or of equal ranks), by a running sum over its different rows."""
     from pyspark.sql import Window
 
     spark = ranked.sparkSession
     ranges = spark.createDataFrame([(s, a, b, seen, left[s]) for s, (a, b, seen) in close.items()], "source string, lo double, hi double, seen double, need double")
     inside = ranked.join(F.broadcast(ranges), "source").where((F.col("rank") >= F.col("lo")) & (F.col("rank") <= F.col("hi")))
-    order = Window.partitionBy("source").orderBy("rank", "doc_id")
-    after = inside.withColumn("sum", F.col("seen") + F.sum("tokens").over(order))
+    equal = inside.groupBy("source", "rank", "doc_id", "tokens", "seen", "need").agg(F.count(F.lit(1)).alias("n"))
+    order = Window.partitionBy("source").orderBy("rank", "doc_id", "tokens")
+    before = equal.withColumn("before", F.col("seen") + F.sum(F.col("tokens") * F.col("n")).over(order) - F.col("tokens") * F.col("n"))
     # take the crossing document when that comes nearer to the quota than leaving it out
-    taken = after.where((F.col("sum") <= F.col("need")) | (F.col("sum") - F.col("need") <= F.col("need") - (F.col("sum") - F.col("tokens"))))
-    last = taken.groupBy("source").agg(F.max(F.struct("rank", "doc_id")).alias("m")).collect()
-    found = {r["source"]: (r["m"]["rank"], r["m"]["doc_id"], 0) for r in last}
+    fit = F.floor((F.col("need") - F.col("before")) / F.col("tokens") + F.lit(0.5))
+    taken = before.withColumn("rows", F.least(fit, F.col("n")).cast("long")).where(F.col("rows") > 0)
+    last = taken.groupBy("source").agg(F.max(F.struct("rank", "doc_id", "tokens", "rows")).alias("m")).collect()
+    found = {r["source"]: tuple(r["m"]) for r in last}
     import math
 
-    return {s: found.get(s, (math.nextafter(a, -1.0), 2**63 - 1, 0)) for s, (a, _, _) in close.items()}
+    return {s: found.get(s, (math.nextafter(a, -1.0), 2**63 - 1, 2**63 - 1, 0)) for s, (a, _, _) in close.items()}
 
 
 def shares(selection: DataFrame, targets: DataFrame) -> DataFrame:
