@@ -8,7 +8,8 @@ whole in one of them; a window's set of four-word shingles is then of bounded si
 items are partitioned by the size of their sets.  For each partition the least overlap that makes a case is turned
 into the least Jaccard similarity a window can have with such an item, and the number of hash functions is chosen so
 that the chance of missing a case stays below ``MISS``.  The overlap is small by the definition of a case, so each
-hash value is a band of its own.  Candidates are verified by exact containment: of four-word shingles, then of the
+hash value is a band of its own.  Items whose repeated shingles allow a smaller overlap than that are candidates
+always.  Candidates are verified by exact containment: of four-word shingles, then of the
 words themselves.
 """
 
@@ -69,6 +70,15 @@ def least_shared(n_words: int) -> int:
     return min(by_share, LONG_RUN - RUN + 1) if n_words >= LONG_RUN else by_share
 
 
+def least_distinct(runs: np.ndarray, n_words: int) -> int:
+    """Lower bound of the distinct shingles that an item of these shingles, in text order, shares with a text that holds it."""
+    _, at = np.unique(runs, return_inverse=True)
+    covers = np.sort(np.bincount(at) * RUN)[::-1]  # words under all places of a shingle, at most
+    by_share = int(np.searchsorted(np.cumsum(covers), math.ceil(SHARE * n_words - 1e-9))) + 1
+    long = LONG_RUN - RUN + 1
+    return min([by_share, *[len(set(at[i : i + long].tolist())) for i in range(len(at) - long + 1)]])
+
+
 def functions_for(n_words: int, window_shingles: int = WINDOW - RUN + 1, miss: float = MISS) -> int:
     """Hash functions needed so that an item of this size is missed with no more than the chance ``miss``.
 
@@ -94,6 +104,8 @@ class Index:
         sizes = np.array([len(w) for w in self.words], np.int64)
         # verification asks for as many distinct shingles; an item that repeats some may share fewer than its runs
         self.need = np.array([1 if len(np.unique(r)) < len(r) else least_shared(int(n)) for n, r in zip(sizes, runs)], np.int64)
+        # items that repeat shingles so that a case may share fewer than the number of functions allows for: always verified
+        self.frail = np.array([least_distinct(r, int(n)) < least_shared(int(n)) for n, r in zip(sizes, runs)], bool)
         # exact shingle containment: distinct shingles, the items that hold each, and each item's shingles in text order
         self.shingle, places = np.unique(np.concatenate(runs) if runs else np.empty(0, np.uint64), return_inverse=True)
         owners = np.repeat(np.arange(len(runs)), [len(r) for r in runs]).astype(np.int64)
@@ -116,9 +128,9 @@ class Index:
         self.owner, self.owner_at = _grouped(at, np.concatenate(holders) if holders else at, len(self.key))
 
     def candidates(self, text_shingles: np.ndarray) -> np.ndarray:
-        """Items of which some window of the text agrees in some hash function."""
+        """Items of which some window of the text agrees in some hash function, and the frail ones."""
         n, step, wide = len(text_shingles), WINDOW - OVERLAP, WINDOW - RUN + 1
-        found = np.zeros(len(self.ids), bool)
+        found = self.frail.copy()
         group = step * 64
         for base in range(0, n, group):  # so that a very long text takes no more memory than a short one
             part = text_shingles[base : base + group + wide]
