@@ -258,9 +258,9 @@ def _merge_apply(spark: SparkSession, root: str) -> DataFrame:
 _add("merge_apply", _merge_apply, """SELECT coalesce(p.id, c_custkey) AS id, c_name, coalesce(p.total, c_acctbal) AS c_acctbal FROM customer FULL JOIN (SELECT o_custkey AS id, max(o_totalprice) AS total FROM orders GROUP BY 1) p ON p.id = c_custkey""")
 _add("transform_increment", lambda spark, root: table(spark, root, "orders").select("o_orderkey", increment(F.expr("CASE WHEN o_orderstatus = 'F' THEN NULL WHEN o_orderstatus = 'P' THEN 9223372036854775807L ELSE o_custkey END"), F.col("o_orderkey")).alias("n")),
      "SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN o_orderkey WHEN o_orderstatus = 'P' THEN least(9223372036854775807::HUGEINT + o_orderkey, 9223372036854775807)::BIGINT ELSE o_custkey + o_orderkey END AS n FROM orders")
-_add("transform_array_union", lambda spark, root: typed(spark, root, "documents").df.where("text IS NOT NULL").select("doc_id", F.size(union_elements(F.col("tags"), F.array(F.lit("the"), F.lit("zzz"), F.lit("zzz")))).alias("n")),
+_add("transform_array_union", lambda spark, root: typed(spark, root, "documents").df.select("doc_id", F.size(union_elements(F.col("tags"), F.array(F.lit("the"), F.lit("zzz"), F.lit("zzz")))).alias("n")),
      f"SELECT doc_id, (len(tags) + CASE WHEN list_contains(tags, 'the') THEN 0 ELSE 1 END + CASE WHEN list_contains(tags, 'zzz') THEN 0 ELSE 1 END)::INT AS n FROM {D} WHERE text IS NOT NULL")
-_add("transform_array_remove", lambda spark, root: typed(spark, root, "documents").df.where("text IS NOT NULL").select("doc_id", F.size(remove_elements(F.col("tags"), F.array(F.lit("the"), F.lit("a")))).alias("n")),
+_add("transform_array_remove", lambda spark, root: typed(spark, root, "documents").df.select("doc_id", F.size(remove_elements(F.col("tags"), F.array(F.lit("the"), F.lit("a")))).alias("n")),
      f"SELECT doc_id, len(list_filter(tags, lambda x: x NOT IN ('the', 'a')))::INT AS n FROM {D} WHERE text IS NOT NULL")
 
 

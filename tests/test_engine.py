@@ -21,3 +21,9 @@ def test_array_transforms_take_the_whole_text(spark, tmp_path):
     words = {k: x.split(" ") for k, x in enumerate(TEXTS)}
     assert run(spark, tmp_path, "transform_array_union") == {k: len(w) + ("the" not in w) + ("zzz" not in w) for k, w in words.items()}
     assert run(spark, tmp_path, "transform_array_remove") == {k: sum(x not in ("the", "a") for x in w) for k, w in words.items()}
+
+
+def test_array_transforms_of_a_missing_text(spark, tmp_path):
+    texts = [None, "the a b", None]
+    assert run(spark, tmp_path, "transform_array_union", texts) == {0: 2, 1: 4, 2: 2}  # the operand alone, each element once
+    assert run(spark, tmp_path, "transform_array_remove", texts) == {0: 0, 1: 1, 2: 0}
