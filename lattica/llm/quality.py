@@ -56,6 +56,8 @@ MOST_TAGS = 0.3  # of the characters in mark-up
 SAME_CELLS = 0.7  # of the lines that have the cells of a table
 ALIGNED_CELLS = 0.35  # the same where cells stand in one column, as rows may lack all but their first cell
 BOILERPLATE_LINES = 0.5  # of the lines (characters) that are repeats
+MOST_AGAIN = 0.6  # of the n-grams of a text that stand in it before; one that says all of it twice has a half
+LEAST_REPEATED = 20  # words of a text that is no prose for its repeats; a few repeated words may be dialogue
 
 
 def _top_ngram(ws: list[str]) -> float:
@@ -95,6 +97,12 @@ def _repeated_ngrams(ws: list[str], n: int = 5) -> float:
     return sum(len(w) for w, c in zip(ws, covered) if c) / total
 
 
+def _again(ws: list[str], n: int = 5) -> float:
+    """Share of the n-grams that repeat an earlier one."""
+    grams = list(zip(*[ws[i:] for i in range(n)]))
+    return 1 - len(set(grams)) / len(grams) if grams else 0.0
+
+
 def _duplicates(parts: list[str]) -> float:
     """Share of the characters in parts that repeat an earlier one."""
     total = sum(map(len, parts))
@@ -278,11 +286,14 @@ def statistics(text: str | None, common: Mapping[str, frozenset[str]]) -> tuple:
     top, repeated, dup = _top_ngram(ws), _repeated_ngrams(ws), _duplicates(lines)
     kind = max(("sentence", "list", "table", "other"), key=lambda k: (size[k], k == "sentence"))
     kind = {"sentence": "prose", "list": "list", "table": "table", "other": "junk"}[kind]
+    boilerplate = dup > BOILERPLATE_LINES or _duplicates(paragraphs) > BOILERPLATE_LINES or len(ws) >= 20 and repeated > 0.6
+    if kind == "prose" and boilerplate and len(ws) >= LEAST_REPEATED and (max(dup, _duplicates(paragraphs)) > BOILERPLATE_LINES or _again(ws) > MOST_AGAIN):
+        kind = "junk"  # sentences, but mostly the same ones
     return (
         len(ws), sum(map(len, found)) / len(found) if found else 0.0, _symbols(text, found) / len(text),
         sum(bool(_LINE_END.search(x)) for x in lines) / len(lines), common_share(ws, common),
         dup, _duplicates(paragraphs), top, repeated, share["sentence"], share["list"], share["table"],
-        dup > BOILERPLATE_LINES or _duplicates(paragraphs) > BOILERPLATE_LINES or len(ws) >= 20 and repeated > 0.6, kind)
+        boilerplate, kind)
 
 
 def _common(common_words: DataFrame) -> dict[str, frozenset[str]]:
