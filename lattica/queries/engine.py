@@ -205,6 +205,18 @@ _add("stored_order_cross_type", lambda spark, root: page(stored(spark, root), pa
         CASE WHEN json_extract_string(j, '$.total.doubleValue') <> 'NaN' THEN (json_extract_string(j, '$.total.doubleValue'))::DOUBLE ELSE (json_extract_string(j, '$.total.integerValue'))::DOUBLE END AS n, json_extract_string(j, '$.total.stringValue') AS s FROM docs WHERE json_exists(j, '$.total'))
      SELECT document_path FROM keyed ORDER BY r, n, s, document_path LIMIT 200""")
 
+
+def _mixed_types(spark: SparkSession, root: str) -> DataFrame:
+    """Order over a field that is null or a string (``total`` is always a double): all nulls, and 100 rows beyond them."""
+    src = stored(spark, root)
+    nulls = count_frame(src, parse_query({"collection": _ORDERS, "where": {"unary": "isNull", "field": "coupon"}}), "n").first()["n"]
+    return page(src, parse_query({"collection": _ORDERS, "orderBy": [{"field": "coupon"}], "limit": nulls + 100})).select("document_path")
+
+
+_add("stored_order_mixed_types", _mixed_types,
+     f"""{_C} SELECT document_path FROM docs WHERE json_exists(j, '$.coupon') ORDER BY CASE WHEN json_exists(j, '$.coupon.nullValue') THEN 10 ELSE 50 END, json_extract_string(j, '$.coupon.stringValue'), document_path
+     LIMIT (SELECT count(*) + 100 FROM docs WHERE json_exists(j, '$.coupon.nullValue'))""")
+
 # batch gets, subtrees, listing, expiry
 _PATHS = ["customer/7", "customer/999999999", "customer/3", "customer/1200", "customer/x"]
 

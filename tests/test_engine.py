@@ -1,5 +1,8 @@
 """Queries over whole fields, against brute force."""
 
+from helpers import documents, s
+
+from lattica.functions import values as V
 from lattica.queries import engine
 
 TEXTS = ["the mill", " ".join(["x"] * 12 + ["the", "The", "casa"]), " ".join(["the"] * 6 + ["y"] * 9 + ["The", "a", "boat"]), " ".join(["z"] * 40), "", " the  The "]
@@ -27,3 +30,12 @@ def test_array_transforms_of_a_missing_text(spark, tmp_path):
     texts = [None, "the a b", None]
     assert run(spark, tmp_path, "transform_array_union", texts) == {0: 2, 1: 4, 2: 2}  # the operand alone, each element once
     assert run(spark, tmp_path, "transform_array_remove", texts) == {0: 0, 1: 1, 2: 0}
+
+
+def test_stored_order_compares_types(spark, tmp_path):
+    path = lambda k: f"tenants/kestrel-works/orders/{k:05d}"
+    kinds = {path(k): {"coupon": V.NULL if k % 3 == 0 else s(f"c{k % 7}")} for k in range(1600)} | {path(9000): {"total": V.NULL}}
+    documents(spark, kinds).write.parquet(f"{tmp_path}/winche_documents.parquet")
+    got = [r[0] for r in engine.QUERIES["stored_order_mixed_types"](spark, str(tmp_path)).collect()]
+    held = [(f["coupon"] is not V.NULL, f["coupon"].v if f["coupon"] is not V.NULL else "", p) for p, f in kinds.items() if "coupon" in f]
+    assert got == [p for _, _, p in sorted(held)][: 534 + 100]
