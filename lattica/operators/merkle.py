@@ -4,83 +4,108 @@ Records lie on an integer key (a sequence number).  A leaf digests the records o
 digests its children.  Two trees are compared from the root: only nodes whose digests differ are descended into, so
 the records of equal ranges are never looked at.  A run publishes its output and the tree of what it has handled in
 one manifest: after a failure neither is visible and the next run starts from the same tree, so no record is skipped
-or handled twice.
+or handled twice.  All that a manifest names lies below the result's own path.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lattica.operators.changes import IDENTITY, known_changes
-from lattica.sources.shared import Versions, fresh, stage
+from lattica.sources.shared import Parts, Versions, stage
 
 #: Keys per leaf, and children per inner node.
 WIDTH, FANOUT = 128, 64
+#: Folders of handled marks after which they are written as one.
+MARK_FOLDERS = 16
+_NEVER, _ALWAYS = -(2**63), 2**63 - 1
+MARKS = "leaf long, digest long"
+NODES = "node long, digest long, n long"
 
 
 def leaf_of(key: Column, width: int = WIDTH) -> Column:
-    return F.floor(key / F.lit(width)).cast("long") if width & (width - 1) else F.shiftright(key, width.bit_length() - 1)
+    return F.call_function("div", key - F.pmod(key, F.lit(width)), F.lit(width)) if width & (width - 1) else F.shiftright(key, width.bit_length() - 1)
 
 
 def row_digest(*columns: str) -> Column:
     """64 bits of a record; nulls and their places count (a null and the next column's value can't be confused)."""
-    return F.xxhash64(*[x for c in columns for x in (F.col(c).isNull(), F.col(c))])
+    return F.xxhash64(*[x for c in columns for x in (F.col(f"`{c}`").isNull(), F.col(f"`{c}`"))])
 
 
-def leaves(rows: DataFrame, owner: Sequence[str] = ()) -> DataFrame:
-    """(owner..., node, digest, n) from rows with ``leaf`` and ``digest``; the order of rows does not matter."""
-    return rows.groupBy(*owner, F.col("leaf").alias("node")).agg(F.bit_xor("digest").alias("digest"), F.count(F.lit(1)).alias("n"))
+def leaves(rows: DataFrame, late: bool = False) -> DataFrame:
+    """(node, digest, n) from rows with ``leaf`` and ``digest``, with ``late`` also the latest of ``late``; the order of rows does not matter."""
+    return rows.groupBy(F.col("leaf").alias("node")).agg(F.bit_xor("digest").alias("digest"), F.count(F.lit(1)).alias("n"), *([F.max("late").alias("late")] if late else []))
 
 
-def parents(nodes: DataFrame, owner: Sequence[str] = (), fanout: int = FANOUT) -> DataFrame:
+def parents(nodes: DataFrame, fanout: int = FANOUT) -> DataFrame:
     """The next level up; a node's digest covers its children's places, digests and counts."""
     shift = fanout.bit_length() - 1
     child = F.xxhash64("node", "digest", "n")
-    return nodes.groupBy(*owner, F.shiftright("node", shift).alias("node")).agg(F.bit_xor(child).alias("digest"), F.sum("n").alias("n"))
+    more = [F.max("late").alias("late")] if "late" in nodes.columns else []
+    return nodes.groupBy(F.shiftright("node", shift).alias("node")).agg(F.bit_xor(child).alias("digest"), F.sum("n").alias("n"), *more)
 
 
-def tree(leaf_nodes: DataFrame, depth: int, owner: Sequence[str] = (), fanout: int = FANOUT) -> list[DataFrame]:
-    """Levels from the leaves (0) to the roots (``depth``)."""
+def tree(leaf_nodes: DataFrame, depth: int, fanout: int = FANOUT) -> list[DataFrame]:
+    """Levels from the leaves (0) to the top (``depth``)."""
     levels = [leaf_nodes]
     for _ in range(depth):
-        levels.append(parents(levels[-1], owner, fanout))
+        levels.append(parents(levels[-1], fanout))
     return levels
 
 
 def depth_for(leaf_low: int, leaf_high: int, fanout: int = FANOUT) -> int:
     """Levels above the leaves until the range of nodes is no wider than one fanout."""
-    depth = 0
+    depth, shift = 0, fanout.bit_length() - 1
     while leaf_high - leaf_low >= fanout:
-        leaf_low, leaf_high, depth = leaf_low // fanout, leaf_high // fanout, depth + 1
+        leaf_low, leaf_high, depth = leaf_low >> shift, leaf_high >> shift, depth + 1
     return depth
 
 
-def differing_leaves(current: Sequence[DataFrame], saved: Sequence[DataFrame], owners: DataFrame | None = None, fanout: int = FANOUT) -> DataFrame:
-    """(owner..., node) of the current leaves whose digest is not the saved one's, found from the root downwards.
+def written_tree(leaf_nodes: DataFrame, at: str, fanout: int = FANOUT) -> tuple[list[DataFrame], int]:
+    """Write all levels of a tree to folders ``<at>/<level>`` and read them back; also the depth (-1: no leaves)."""
+    spark, levels = leaf_nodes.sparkSession, []
 
-    owners: one row per owner of a saved tree, each compared with the same current tree; None for a single tree.
-    A node that the saved tree lacks differs.  A level is joined with the children of differing nodes only; the joins
-    are merge joins throughout, as the trees grow with the data and compress so well that they may look small enough
-    to broadcast.
+    def put(nodes: DataFrame) -> None:
+        nodes.write.parquet(f"{at}/{len(levels)}")
+        levels.append(spark.read.schema(nodes.schema).parquet(f"{at}/{len(levels)}"))
+
+    put(leaf_nodes)
+    low, high = levels[0].agg(F.min("node"), F.max("node")).first()
+    if low is None:
+        return levels, -1
+    for _ in range(depth_for(low, high, fanout)):
+        put(parents(levels[-1], fanout))
+    return levels, len(levels) - 1
+
+
+def saved_tree(spark: SparkSession, at: str, depth: int, wanted: int, fanout: int = FANOUT) -> list[DataFrame]:
+    """The levels of a written tree up to ``wanted``; those above its own top follow from it."""
+    levels = [spark.read.schema(NODES).parquet(f"{at}/{n}") for n in range(max(depth, 0) + 1)]
+    while len(levels) <= wanted:
+        levels.append(parents(levels[-1], fanout))
+    return levels
+
+
+def differing_leaves(current: Sequence[DataFrame], saved: Sequence[DataFrame], fanout: int = FANOUT) -> DataFrame:
+    """(node) of the current leaves whose digest is not the saved one's, found from the top downwards.
+
+    A node that the saved tree lacks differs.  A level is joined with the children of differing nodes only, and as soon
+    as no node differs the lower levels are not read at all.  The joins are merge joins throughout, as the trees grow
+    with the data and compress so well that they may look small enough to broadcast.
     """
-    shift, owner = fanout.bit_length() - 1, list(owners.columns) if owners is not None else []
-    top = len(current) - 1
-    frontier = None
-    for level in range(top, -1, -1):
+    shift, frontier = fanout.bit_length() - 1, None
+    for level in range(len(current) - 1, -1, -1):
         now = current[level].select("node", F.col("digest").alias("now"), F.col("n").alias("now_n"))
-        if frontier is None and owners is None:
-            candidates = now
-        elif frontier is None:  # every owner begins at the top, whose nodes are no more than one fanout
-            tops = [F.struct(*[F.lit(v).cast("long").alias(k) for k, v in r.asDict().items()]) for r in now.limit(fanout + 1).collect()]
-            candidates = owners.select(*owner, F.inline(F.array(*tops)))
-        else:
-            candidates = now.withColumn("__up", F.shiftright("node", shift)).join(frontier.withColumnRenamed("node", "__up").hint("merge"), "__up").drop("__up")
-        old = saved[level].select(*owner, "node", F.col("digest").alias("old"), F.col("n").alias("old_n"))
+        if frontier is not None:
+            now = now.withColumn("__up", F.shiftright("node", shift)).join(frontier.withColumnRenamed("node", "__up").hint("merge"), "__up", "left_semi")
+        old = saved[level].select("node", F.col("digest").alias("old"), F.col("n").alias("old_n"))
         same = F.col("now").eqNullSafe(F.col("old")) & F.col("now_n").eqNullSafe(F.col("old_n"))
-        frontier = candidates.join(old.hint("merge"), [*owner, "node"], "left").where(~same).select(*owner, "node")
+        frontier = stage(now.join(old.hint("merge"), "node", "left").where(~same).select("node"), "differing")
+        if level and frontier.isEmpty():
+            break
     return frontier
 
 
@@ -89,114 +114,153 @@ def process_new(spark: SparkSession, rows: DataFrame, key: str, path: str, proce
     """Run ``process`` over the rows of ``rows`` that no published run has handled; returns the published output.
 
     A row is told by all its columns, so a changed row is a new one; repeated rows are one.  Rows without a key lie in
-    no range and are not processed.  Output, tree and handled rows appear together in one manifest (output, tree, handled): if
-    ``process`` or a write fails, nothing does.  A run that finds nothing new publishes an empty output.
+    no range and are not processed.  Output, tree and marks of the handled rows appear together in one manifest: if
+    ``process`` or a write fails, nothing does.  A run that finds nothing new publishes an empty output.  ``rows`` is
+    digested in one pass; whole rows are read again in differing leaves only.  The marks (leaf and digest of a row) lie
+    in parts by a hash of their place, of which only those with differing leaves are read; new marks are added to them.
     """
     versions = Versions(spark, path)
     number, before = versions.latest()
+    n = before.get("parts") or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    part = F.pmod(F.hash(F.shiftright("leaf", 6)), F.lit(n)).alias("part")
     # the row stays in one struct, so its columns may have any names
-    keyed = rows.where(F.col(key).isNotNull()).distinct()
-    marked = stage(keyed.select(F.struct(*rows.columns).alias("row"), leaf_of(F.col(key), width).alias("leaf"), row_digest(*rows.columns).alias("digest")), "rows")
-    now_leaves = stage(leaves(marked), "leaves")
-    span = now_leaves.agg(F.min("node"), F.max("node")).first()
-    out_at, tree_at, handled_at = fresh(spark, "output"), fresh(spark, "tree"), fresh(spark, "handled")
-    handled = spark.read.parquet(before["handled"]) if before else None
-    new = marked
-    if before and span[0] is not None:
-        old = spark.read.parquet(before["tree"])
-        depth = depth_for(*span, fanout)
-        changed = differing_leaves(tree(now_leaves, depth, (), fanout), tree(old, depth, (), fanout), None, fanout)
-        in_changed = marked.join(changed.withColumnRenamed("node", "leaf"), "leaf", "left_semi")
-        new = in_changed.join(handled, ["leaf", "digest"], "left_anti")
-    new = stage(new, "new")
-    process(new.select("row.*")).write.parquet(out_at)
-    fresh_rows = new.select("leaf", "digest")
-    all_handled = fresh_rows if handled is None else handled.unionByName(fresh_rows)
-    all_handled.write.parquet(handled_at)
-    leaves(spark.read.parquet(handled_at)).write.parquet(tree_at)
-    versions.publish(number, {"output": out_at, "tree": tree_at, "handled": handled_at})
-    return spark.read.parquet(out_at)
+    keyed = rows.where(F.col(f"`{key}`").isNotNull()).select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row"), leaf_of(F.col(f"`{key}`").cast("long"), width).alias("leaf"), row_digest(*rows.columns).alias("digest"))
+    marks = Parts(spark, MARKS, before.get("marks"))
+    with versions.writing(number) as at:
+        levels, depth = written_tree(leaves(keyed.select("leaf", "digest").distinct()), f"{at}/tree", fanout)
+        new = keyed
+        if before and depth >= 0:
+            changed = differing_leaves(levels, saved_tree(spark, before["tree"], before["depth"], depth, fanout), fanout).withColumnRenamed("node", "leaf")
+            touched = [r[0] for r in changed.select(part).distinct().collect()]  # numbers of parts, whose count is fixed
+            new = keyed.join(changed, "leaf", "left_semi").join(marks.read(touched), ["leaf", "digest"], "left_anti") if touched else keyed.limit(0)
+        new = stage(new.distinct(), "new")
+        process(new.select("row.*")).write.parquet(f"{at}/output")
+        marks = marks.replace(new.select("leaf", "digest", part), f"{at}/marks")
+        if len(marks.folders) > MARK_FOLDERS:
+            marks = Parts(spark, MARKS).replace(marks.read().repartition(n, "part"), f"{at}/all-marks")
+        versions.publish(number, {"output": f"{at}/output", "tree": f"{at}/tree", "depth": depth, "marks": marks.folders, "parts": n})
+    return spark.read.parquet(f"{at}/output")
+
+
+# ---- the change feed and its consumers
 
 
 def cursor_steps(cursors: DataFrame) -> DataFrame:
-    """Per consumer, ranges ``(lo, hi]`` of ``seq`` with ``seen_until``: the time of the first save at or above them.
+    """Per consumer, ranges ``(lo, hi]`` of ``seq`` with ``until``: microseconds of the first save at or above them.
 
     A save counts only if it goes beyond all earlier saves (by ``updated_at``); saves with a null ``seq`` say nothing.
-    A save without a time is taken as before all times, so it has seen nothing by then.
-    The greatest earlier save is found in two steps, over the days of a consumer and inside each day, so that a consumer
-    with very many saves is spread over tasks by day.
+    A save without a time is taken as before all times, so it has seen nothing by then.  What lies beyond all saves is a
+    last range with a null ``hi`` that nobody has seen.  The greatest earlier save is found in two steps, over sorted
+    partitions and inside each, so a consumer with very many saves is spread over tasks.
+    """
+    saves = cursors.where(F.col("consumer").isNotNull() & F.col("seq").isNotNull()).groupBy("consumer", F.coalesce(F.unix_micros(F.col("updated_at").cast("timestamp_ntz").cast("timestamp")), F.lit(_NEVER)).alias("until")).agg(F.max("seq").cast("long").alias("hi"))
+    placed = stage(saves.repartitionByRange("consumer", "until").sortWithinPartitions("consumer", "until").withColumn("p", F.spark_partition_id()), "saves")
+    earlier = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    carried = placed.groupBy("consumer", "p").agg(F.max("hi").alias("top")).withColumn("before", F.max("top").over(earlier("consumer").orderBy("p")))
+    within = placed.withColumn("inside", F.max("hi").over(earlier("p", "consumer").orderBy("until")))
+    stepped = within.join(carried.select("consumer", "p", "before"), ["consumer", "p"]).withColumn("lo", F.greatest("before", "inside"))
+    beyond = placed.groupBy("consumer").agg(F.max("hi").alias("lo")).select("consumer", "lo", F.lit(None).cast("long").alias("hi"), F.lit(_NEVER).alias("until"))
+    return stepped.where(F.col("lo").isNull() | (F.col("hi") > F.col("lo"))).select("consumer", "lo", "hi", "until").unionByName(beyond)
+
+
+def _covered(steps: DataFrame, low: int, high: int, depth: int, width: int, fanout: int) -> tuple[list[DataFrame], DataFrame]:
+    """Steps taken apart along the tree whose leaves go from ``low`` to ``high``.
+
+    Per level (consumer, until, node) of the largest nodes that lie whole inside a step, at most two fanouts of them a
+    level however long the step is; and (consumer, until, lo, hi, leaf) of the leaves at a step's ends.
     """
-    from pyspark.sql import Window
+    shift = fanout.bit_length() - 1
+    span = lambda a, b: F.when(a <= b, F.sequence(a, b)).otherwise(F.array().cast("array<long>"))
+    first = F.greatest(F.coalesce(F.col("lo") + 1, F.lit(low * width)), F.lit(low * width))
+    last = F.least(F.coalesce(F.col("hi"), F.lit(high * width + width - 1)), F.lit(high * width + width - 1))
+    cut = steps.withColumns({"first": first, "last": last}).where("first <= last").withColumn("a", leaf_of(F.col("first") + (width - 1), width)).withColumn("b", leaf_of(F.col("last") + 1, width) - 1)
+    ends = F.array_compact(F.array(F.when(F.pmod("first", F.lit(width)) != 0, leaf_of(F.col("first"), width)), F.when(F.pmod(F.col("last") + 1, F.lit(width)) != 0, leaf_of(F.col("last"), width))))
+    partial = cut.select("consumer", "until", "lo", "hi", F.explode(F.array_distinct(ends)).alias("leaf"))
+    out = []
+    for level in range(depth + 1):
+        a, b = F.col("a"), F.col("b")
+        if level == depth:
+            nodes = span(a, b)
+        else:
+            up_a, up_b = F.shiftright(a + (fanout - 1), shift), F.shiftright(b + 1, shift) - 1
+            nodes = F.when(up_a <= up_b, F.concat(span(a, F.shiftleft(up_a, shift) - 1), span(F.shiftleft(up_b + 1, shift), b))).otherwise(span(a, b))
+        out.append(cut.select("consumer", "until", F.explode(nodes).alias("node")))
+        if level < depth:
+            cut = cut.withColumns({"a": up_a, "b": up_b})
+    return out, partial
 
-    saves = cursors.where(F.col("consumer").isNotNull() & F.col("seq").isNotNull()).groupBy("consumer", F.col("updated_at").cast("timestamp_ntz").alias("seen_until")).agg(F.max("seq").alias("hi"))
-    saves = saves.withColumn("day", F.to_date("seen_until"))
-    before = Window.partitionBy("consumer").orderBy(F.col("day").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
-    days = saves.groupBy("consumer", "day").agg(F.max("hi").alias("top")).withColumn("before_day", F.max("top").over(before)).select(F.col("consumer").alias("c"), F.col("day").alias("d"), "before_day")
-    within = Window.partitionBy("consumer", "day").orderBy(F.col("seen_until").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
-    placed = saves.withColumn("in_day", F.max("hi").over(within)).join(days, F.col("consumer").eqNullSafe(F.col("c")) & F.col("day").eqNullSafe(F.col("d")))
-    stepped = placed.withColumn("lo", F.greatest("before_day", "in_day"))
-    return stepped.where(F.col("lo").isNull() | (F.col("hi") > F.col("lo"))).select("consumer", "lo", "hi", "seen_until")
+
+def _unseen(rows: DataFrame, levels: Sequence[DataFrame], steps: DataFrame, width: int, fanout: int) -> DataFrame:
+    """(consumer, seq) of the rows (seq, late, leaf) that consumers have not seen.
+
+    A consumer's saved digest of a node inside a step is the current one if the latest commit in it is no later than the
+    step's save, for then all of it was seen; else the saved tree lacks a record there and the digests differ.  The
+    descent begins at the largest nodes inside each step, so a range seen whole costs a node or two, not its leaves.
+    """
+    low, high = levels[0].agg(F.min("node"), F.max("node")).first()
+    if low is None:
+        return steps.limit(0).select("consumer", F.col("lo").alias("seq"))
+    shift, frontier = fanout.bit_length() - 1, None
+    cover, partial = _covered(steps, low, high, len(levels) - 1, width, fanout)
+    for level in range(len(levels) - 1, -1, -1):
+        nodes = levels[level].select("node", "digest", "late")
+        here = nodes.join(cover[level].hint("merge"), "node")
+        if frontier is not None:
+            children = nodes.withColumn("up", F.shiftright("node", shift)).join(frontier.withColumnRenamed("node", "up").hint("merge"), "up").drop("up")
+            here = here.unionByName(children)
+        saved = F.when(F.col("late") <= F.col("until"), F.col("digest"))
+        frontier = here.where(~F.col("digest").eqNullSafe(saved)).select("consumer", "until", "node")
+    no = F.lit(None).cast("long")
+    opened = frontier.select("consumer", "until", no.alias("lo"), no.alias("hi"), F.col("node").alias("leaf")).unionByName(partial)
+    inside = (F.col("lo").isNull() | (F.col("seq") > F.col("lo"))) & (F.col("hi").isNull() | (F.col("seq") <= F.col("hi"))) & (F.col("late") > F.col("until"))
+    # rows of one seq lie in one leaf, so telling them apart needs no further shuffle
+    return rows.select("seq", "late", "leaf").join(opened.hint("merge"), "leaf").where(inside).groupBy("leaf", "consumer", "seq").agg(F.lit(1)).select("consumer", "seq")
 
 
 def unseen_changes(changes: DataFrame, cursors: DataFrame, path: str, width: int = WIDTH, fanout: int = FANOUT) -> DataFrame:
-    """(consumer, seq) of each known change that a consumer has not seen; published with the trees below ``path``.
+    """(consumer, seq) of each known change that a consumer has not seen; published with the tree below ``path``.
 
-    The saved tree of a consumer digests the changes it has seen: those committed by the time of its first save at or
-    above them.  Where a leaf's latest commit lies before all saves that cover the leaf, everything in it was seen and
-    the current digest is the saved one; the other leaves of the consumer are digested row by row.  The trees are then
-    compared from the root, and only the changes in differing leaves are looked at.  The first publication at ``path``
-    wins: a later call with the same path returns only what no earlier one has put out.
+    The first run derives every consumer's saved tree from its saves.  A run publishes its output, the tree of the
+    changes it has been over, their marks and the consumers it has served; a later run compares the current tree with
+    that one from the top, and a consumer served before is given only unseen changes that the differing leaves hold and
+    their marks lack.  A consumer that has started since is looked at as in a first run.  So each change is put out once,
+    and a run that fails has put out nothing.
     A change without a ``commit_time`` was seen by nobody.  Consumers without a save have not started.
     """
     spark = changes.sparkSession
-    known = known_changes(changes)
-    rows = stage(known.select("seq", F.col("commit_time").cast("timestamp_ntz").alias("commit_time"), leaf_of(F.col("seq"), width).alias("leaf"), row_digest(*IDENTITY, "seq").alias("digest")), "known")
-    stats = stage(
-        rows.groupBy("leaf").agg(F.bit_xor("digest").alias("digest"), F.count(F.lit(1)).alias("n"), F.max("seq").alias("max_seq"), F.min("seq").alias("min_seq"),
-                                 F.max("commit_time").alias("max_commit"), F.bool_or(F.col("commit_time").isNull()).alias("undated")), "leaf-stats")
-    low, high = stats.agg(F.min("leaf"), F.max("leaf")).first()
-    schema = "consumer string, seq long"
-    if low is None:
-        return spark.createDataFrame([], schema)
-    steps = stage(cursor_steps(cursors), "steps")
-    consumers = steps.select("consumer").distinct()
-    # the leaves each step covers; all in all, the leaves of the consumers' trees
-    first = F.greatest(leaf_of(F.coalesce(F.col("lo") + 1, F.lit(low * width)), width), F.lit(low))
-    last = F.least(leaf_of(F.col("hi"), width), F.lit(high))
-    cover = steps.where(first <= last).select("consumer", "lo", "hi", "seen_until", F.explode(F.sequence(first, last)).alias("leaf"))
-    by_leaf = (
-        cover.join(stats.hint("merge"), "leaf")
-        .where((F.col("lo").isNull() | (F.col("lo") < F.col("max_seq"))) & (F.col("hi") >= F.col("min_seq")))
-        .groupBy("consumer", "leaf")
-        .agg(F.min("seen_until").alias("until"), F.bool_or(F.col("seen_until").isNull()).alias("untimed"), F.max("hi").alias("reach"),
-             *[F.first(c).alias(c) for c in ("digest", "n", "max_seq", "max_commit", "undated")])
-        .withColumn("whole", ~F.col("undated") & ~F.col("untimed") & (F.col("reach") >= F.col("max_seq")) & (F.col("max_commit") <= F.col("until")))
-    )
-    by_leaf = stage(by_leaf.select("consumer", "leaf", "digest", "n", "whole"), "coverage")
-    in_part = by_leaf.where(~F.col("whole")).select("consumer", "leaf")
-    inside = (F.col("lo").isNull() | (F.col("seq") > F.col("lo"))) & (F.col("seq") <= F.col("hi"))
-    seen = F.coalesce(F.col("commit_time") <= F.col("seen_until"), F.lit(False))
-    part_seen = rows.join(cover.join(in_part.hint("merge"), ["consumer", "leaf"]).hint("merge"), "leaf").where(inside & seen)
-    whole = by_leaf.where("whole").select("consumer", F.col("leaf").alias("node"), "digest", "n")
-    saved_leaves = stage(whole.unionByName(leaves(part_seen, ["consumer"])), "saved-leaves")
-
-    depth = depth_for(low, high, fanout)
-    current = tree(stats.select(F.col("leaf").alias("node"), "digest", "n"), depth, (), fanout)
-    changed = stage(differing_leaves(current, tree(saved_leaves, depth, ["consumer"], fanout), consumers, fanout), "changed").withColumnRenamed("node", "leaf")
-    candidates = rows.join(changed.hint("merge"), "leaf")
-    covered = candidates.alias("c").join(
-        cover.alias("s").hint("merge"),
-        (F.col("c.leaf") == F.col("s.leaf")) & (F.col("c.consumer") == F.col("s.consumer")) & (F.col("s.lo").isNull() | (F.col("c.seq") > F.col("s.lo"))) & (F.col("c.seq") <= F.col("s.hi")),
-        "left")
-    unseen = covered.where(~F.coalesce(F.col("c.commit_time") <= F.col("s.seen_until"), F.lit(False))).select("c.consumer", "c.seq").distinct()
-
     versions = Versions(spark, path)
     number, before = versions.latest()
-    if before:
-        unseen = unseen.join(spark.read.parquet(*before["outputs"]), ["consumer", "seq"], "left_anti")
-    out_at, tree_at = fresh(spark, "unseen"), fresh(spark, "tree")
-    unseen.write.parquet(out_at)
-    # after this run every consumer that has started has been given all of the current tree
-    stats.select(F.col("leaf").alias("node"), "digest", "n").write.parquet(tree_at)
-    versions.publish(number, {"output": out_at, "outputs": [*before.get("outputs", []), out_at], "tree": tree_at})
-    return spark.read.schema(schema).parquet(out_at)
+    late = F.coalesce(F.unix_micros(F.col("commit_time").cast("timestamp_ntz").cast("timestamp")), F.lit(_ALWAYS)).alias("late")
+    schema = "leaf long, digest long, seq long, late long"
+    known = known_changes(changes.select(*IDENTITY, F.col("seq").cast("long").alias("seq")))
+    with versions.writing(number) as at:
+        known.select(leaf_of(F.col("seq"), width).alias("leaf"), row_digest(*IDENTITY, "seq").alias("digest"), "seq", late).write.parquet(f"{at}/marks")
+        rows = spark.read.schema(schema).parquet(f"{at}/marks")
+        levels, depth = written_tree(leaves(rows, late=True), f"{at}/tree", fanout)
+        steps = stage(cursor_steps(cursors), "steps")
+        started = steps.select("consumer").distinct()
+        if before:
+            served = spark.read.schema("consumer string").parquet(before["served"])
+            started = started.unionByName(served).distinct()
+            new = _new_rows(spark, rows, levels, depth, before, fanout)
+            unseen = _unseen(rows, levels, steps.join(served, "consumer", "left_anti"), width, fanout)
+            if new is not None:
+                mine = steps.join(served, "consumer", "left_semi")
+                unseen = unseen.unionByName(_unseen(new, [stage(x, "level") for x in tree(leaves(new, late=True), depth, fanout)], mine, width, fanout))
+        else:
+            unseen = _unseen(rows, levels, steps, width, fanout)
+        unseen.write.parquet(f"{at}/output")
+        started.write.parquet(f"{at}/served")
+        versions.publish(number, {"output": f"{at}/output", "tree": f"{at}/tree", "depth": depth, "marks": f"{at}/marks", "served": f"{at}/served"})
+    return spark.read.schema("consumer string, seq long").parquet(f"{at}/output")
+
+
+def _new_rows(spark: SparkSession, rows: DataFrame, levels: Sequence[DataFrame], depth: int, before: dict, fanout: int) -> DataFrame | None:
+    """The rows in differing leaves whose marks the version before lacks; None if no leaf differs."""
+    if depth < 0:
+        return None
+    changed = differing_leaves(levels, saved_tree(spark, before["tree"], before["depth"], depth, fanout), fanout).withColumnRenamed("node", "leaf")
+    if changed.isEmpty():
+        return None
+    old = spark.read.schema(MARKS).parquet(before["marks"]).join(changed.hint("merge"), "leaf", "left_semi")
+    return stage(rows.join(changed.hint("merge"), "leaf", "left_semi").join(old.hint("merge"), ["leaf", "digest"], "left_anti"), "new")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.operators.changes import apply_changes
-from lattica.operators.merkle import unseen_changes
+from lattica.operators.merkle import process_new, unseen_changes
 from lattica.operators.nested import current_rows, element_maps, flat_rows, flat_table, node_table
 from lattica.operators.orphans import document_orphans, orphan_report
 from lattica.operators.skew import frequent_keys, salted_aggregate
@@ -76,6 +76,15 @@ def p3_found(spark: SparkSession, root: str) -> DataFrame:
     return apply_changes(spark, table(spark, root, "winche_changes"), fresh(spark, "p3"))
 
 
+def p3_two_runs(spark: SparkSession, root: str) -> DataFrame:
+    """The feed in two runs, its later rows first: the second meets repeats, lower places of known changes and tombstones."""
+    changes, at = table(spark, root, "winche_changes"), fresh(spark, "p3")
+    middle = changes.agg(F.avg("seq")).first()[0] or 0
+    later = F.coalesce(F.col("seq") > middle, F.lit(False))
+    apply_changes(spark, changes.where(later), at)
+    return apply_changes(spark, changes.where(~later), at)
+
+
 def p4_found(spark: SparkSession, root: str) -> DataFrame:
     return document_orphans(table(spark, root, "winche_documents")).select("document_path", "target_path")
 
@@ -88,8 +97,25 @@ def p5_found(spark: SparkSession, root: str) -> DataFrame:
     return unseen_changes(table(spark, root, "winche_changes"), table(spark, root, "winche_feed_cursors"), fresh(spark, "p5"))
 
 
+def p5_two_runs(spark: SparkSession, root: str) -> DataFrame:
+    """The feed in two runs; the second, over all of it, gives what the first has not put out."""
+    changes, cursors, at = table(spark, root, "winche_changes"), table(spark, root, "winche_feed_cursors"), fresh(spark, "p5")
+    middle = changes.agg(F.avg("seq")).first()[0] or 0
+    first = unseen_changes(changes.where(F.col("seq") <= middle), cursors, at)
+    return first.unionByName(unseen_changes(changes, cursors, at))
+
+
+def p5_process_new(spark: SparkSession, root: str) -> DataFrame:
+    """Rows of the feed that have been handled after three runs (half of it, all of it, all of it again), each once."""
+    changes, at = table(spark, root, "winche_changes"), fresh(spark, "p5")
+    middle = changes.agg(F.avg("seq")).first()[0] or 0
+    handled = [process_new(spark, part, "seq", at, lambda new: new) for part in (changes.where(F.col("seq") <= middle), changes, changes)]
+    return handled[0].unionByName(handled[1]).unionByName(handled[2])
+
+
 QUERIES = {f.__name__: f for f in (
-    p1_found, p1_change_collections, p1_document_collections, p2_found, p2_nodes, p2_documents, p2_flat_rows, p2_items, p2_item_options, p3_found, p4_found, p4_report, p5_found)}
+    p1_found, p1_change_collections, p1_document_collections, p2_found, p2_nodes, p2_documents, p2_flat_rows, p2_items, p2_item_options, p3_found, p3_two_runs, p4_found, p4_report,
+    p5_found, p5_two_runs, p5_process_new)}
 
 # arg_max skips rows whose argument is null, so the row is taken as one struct
 _CURRENT = """current AS (
@@ -153,3 +179,5 @@ SQL = {
         SELECT DISTINCT c.consumer, k.seq FROM known k, (SELECT DISTINCT consumer FROM saves) c
         WHERE k.commit_time IS NULL OR coalesce(k.commit_time > (SELECT min(s.updated_at) FROM saves s WHERE s.consumer = c.consumer AND s.seq >= k.seq), true)""",
 }
+SQL["p3_two_runs"], SQL["p5_two_runs"] = SQL["p3_found"], SQL["p5_found"]
+SQL["p5_process_new"] = "SELECT DISTINCT * FROM winche_changes WHERE seq IS NOT NULL"

@@ -20,7 +20,7 @@ from lattica.functions.values import Value
 from lattica.operators.predicates import compile_filter
 from lattica.plans.ast import NAME, And, Order, QueryError, Test, Unary, filter_json
 from lattica.sources.collections import TaggedCollections, tagged_at
-from lattica.sources.shared import Versions, fresh, remove
+from lattica.sources.shared import Versions, remove
 
 #: Columns of a shredded field after its number, in sort order.
 PARTS = ("rank", "num", "res", "num2", "text", "bytes", "key")
@@ -138,9 +138,9 @@ class Indexes:
     def build(self, documents: DataFrame, index: Index) -> IndexedCollections:
         versions = Versions(self.spark, f"{self.path}/{index.name}")
         number, _ = versions.latest()
-        at = fresh(self.spark, index.name)
-        shredded(documents, index).write.parquet(at)
-        versions.publish(number, {"layout": at})
+        with versions.writing(number) as at:
+            shredded(documents, index).write.parquet(at)
+            versions.publish(number, {"layout": at})
         return self.open(index)
 
     def open(self, index: Index) -> IndexedCollections:
@@ -150,8 +150,5 @@ class Indexes:
         return IndexedCollections(self.spark.read.parquet(manifest["layout"]), index)
 
     def drop(self, index: Index) -> None:
-        _, manifest = Versions(self.spark, f"{self.path}/{index.name}").latest()
         remove(self.spark, f"{self.path}/{index.name}")
-        if manifest:
-            remove(self.spark, manifest["layout"])
 

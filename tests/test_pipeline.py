@@ -345,7 +345,7 @@ def test_only_differing_leaves_are_found(spark):
     rows_ = spark.range(4000).select(M.leaf_of(F.col("id"), 8).alias("leaf"), M.row_digest("id").alias("digest"))
     saved = M.leaves(rows_.where("leaf not in (3, 499)"))
     depth = M.depth_for(0, 499, 4)
-    found = M.differing_leaves(M.tree(M.leaves(rows_), depth, (), 4), M.tree(saved, depth, (), 4), None, 4)
+    found = M.differing_leaves(M.tree(M.leaves(rows_), depth, 4), M.tree(saved, depth, 4), 4)
     assert rows(found) == {(3,): 1, (499,): 1}
 
 
