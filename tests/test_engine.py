@@ -22,6 +22,10 @@ def test_array_filters_see_words_after_the_twelfth(spark, tmp_path):
 
 def test_array_transforms_take_the_whole_text(spark, tmp_path):
     words = {k: x.split(" ") for k, x in enumerate(TEXTS)}
+    texts = lambda name: {r["doc_id"]: r["tags"] for r in engine.QUERIES[name](spark, str(tmp_path)).collect()}
+    run(spark, tmp_path, "transform_array_union")
+    assert texts("transform_array_union") == {k: " ".join([*w, *[x for x in ("the", "zzz") if x not in w]]) for k, w in words.items()}
+    assert texts("transform_array_remove") == {k: " ".join(x for x in w if x not in ("the", "a")) for k, w in words.items()}
     assert run(spark, tmp_path, "transform_array_union") == {k: len(w) + ("the" not in w) + ("zzz" not in w) for k, w in words.items()}
     assert run(spark, tmp_path, "transform_array_remove") == {k: sum(x not in ("the", "a") for x in w) for k, w in words.items()}
 
