@@ -10,14 +10,15 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterable, Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 NODE_SCHEMA = (
-    "document_path string, pre long, post long, depth int, parent_pre long, kind string, in_array boolean,"
-    " pointer string, name string, value string"
+    "document_path string, pre long, post long, depth int, parent_pre long, parent_pointer string, kind string,"
+    " in_array boolean, pointer string, name string, value string"
 )
 
 
@@ -114,37 +115,40 @@ def _text(payload: object) -> str | None:
     return payload if payload is None or isinstance(payload, str) else json.dumps(payload, ensure_ascii=False, sort_keys=True)
 
 
+#: Nodes put out at once, whatever the size of the documents.
+NODES_A_BATCH = 20_000
+
+
+def _batched(rows: Iterator[tuple], names: list[str], types: list[pa.DataType]) -> Iterator[pa.RecordBatch]:
+    """Rows as Arrow batches of NODES_A_BATCH."""
+    while held := list(islice(rows, NODES_A_BATCH)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), types)], names)
+
+
 def node_table(documents: DataFrame, keep: Callable[[tuple], bool] | None = None) -> DataFrame:
     """Labelled nodes of the documents (``document_path``, ``data``), one row per node for which ``keep`` holds.
 
-    ``parent_pre`` is the label of the nearest enclosing kept node, -1 if there is none.  ``keep`` sees (parent index,
-    depth, tag, in_array, pointer, name, payload) and may restrict what is emitted, never how nodes are numbered.
+    ``parent_pre`` and ``parent_pointer`` are label and pointer of the nearest enclosing kept node, -1 and "" if there is
+    none.  ``keep`` sees (parent index, depth, tag, in_array, pointer, name, payload) and may restrict what is emitted,
+    never how nodes are numbered.
     Null, empty or unreadable ``data`` gives the document node alone.  Repeated paths give repeated nodes: pass
     current rows.
     """
+    names = [f.split()[0] for f in NODE_SCHEMA.split(", ")]
+    types = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.string(), pa.string(), pa.string()]
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["document_path", "pre", "post", "depth", "parent_pre", "kind", "in_array", "pointer", "name", "value"]
-        types = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.bool_(), pa.string(), pa.string(), pa.string()]
-
-        def batch(cols: list[list]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names)
-
-        cols: list[list] = [[] for _ in names]
-        for b in batches:
-            for path, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                nodes, sizes = walk(parse(data))
-                kept = [(i, i + sizes[i] - 1 - n[1]) for i, n in enumerate(nodes) if keep is None or keep(n)]
-                for (pre, post), up in zip(kept, nearest_enclosing(kept)):
-                    _, depth, tag, in_array, pointer, name, payload = nodes[pre]
-                    row = (path, pre, post, depth, kept[up][0] if up >= 0 else -1, tag, in_array, pointer, name, _text(payload))
-                    for c, x in zip(cols, row):
-                        c.append(x)
-                if len(cols[0]) >= 20_000:
-                    yield batch(cols)
-                    cols = [[] for _ in names]
-        if cols[0]:
-            yield batch(cols)
+        def rows() -> Iterator[tuple]:
+            for b in batches:
+                for path, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                    nodes, sizes = walk(parse(data))
+                    kept = [(i, i + sizes[i] - 1 - n[1]) for i, n in enumerate(nodes) if keep is None or keep(n)]
+                    for (pre, post), up in zip(kept, nearest_enclosing(kept)):
+                        _, depth, tag, in_array, pointer, name, payload = nodes[pre]
+                        parent, above = (kept[up][0], nodes[kept[up][0]][4]) if up >= 0 else (-1, "")
+                        yield path, pre, post, depth, parent, above, tag, in_array, pointer, name, _text(payload)
+
+        return _batched(rows(), names, types)
 
     return documents.select("document_path", "data").mapInArrow(label, NODE_SCHEMA)
 
@@ -157,28 +161,10 @@ def is_element_map(node: tuple) -> bool:
 def element_maps(documents: DataFrame) -> DataFrame:
     """The maps in the documents' arrays: (document_path, pre, post, parent_pre, pointer, parent_pointer).
 
-    The parent is the nearest enclosing map of the same table, found by interval containment on the labels, or the
-    document itself (``parent_pre`` -1, empty pointer).
+    The node table of that type; the parent is the nearest enclosing map of the same table, found by interval
+    containment on the labels, or the document itself (``parent_pre`` -1, empty pointer).
     """
-    schema = "document_path string, pre long, post long, parent_pre long, pointer string, parent_pointer string"
-
-    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            cols: list[list] = [[] for _ in range(6)]
-            for path, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if data is None or '"arrayValue"' not in data:  # a tag is written out in full, never escaped, where arrays exist
-                    if data is None or "\\u" not in data:
-                        continue
-                nodes, sizes = walk(parse(data))
-                kept = [(i, i + sizes[i] - 1 - n[1]) for i, n in enumerate(nodes) if n[3] and n[2] == "mapValue"]
-                for (pre, post), up in zip(kept, nearest_enclosing(kept)):
-                    parent = kept[up][0] if up >= 0 else -1
-                    for c, x in zip(cols, (path, pre, post, parent, nodes[pre][4], nodes[parent][4] if up >= 0 else "")):
-                        c.append(x)
-            types = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], [f.split()[0] for f in schema.split(", ")])
-
-    return documents.select("document_path", "data").mapInArrow(label, schema)
+    return node_table(documents, is_element_map).select("document_path", "pre", "post", "parent_pre", "pointer", "parent_pointer")
 
 
 FLAT_SCHEMA = (
@@ -225,14 +211,13 @@ def flat_rows(documents: DataFrame) -> DataFrame:
     """
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [f.split()[0] for f in FLAT_SCHEMA.split(", ")]
-        for b in batches:
-            cols: list[list] = [[] for _ in names]
-            for path, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                for row in flatten(data):
-                    for c, x in zip(cols, (path, *row[:6], list(row[6].items()), list(row[7].items()))):
-                        c.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _FLAT_TYPES)], names)
+        def rows() -> Iterator[tuple]:
+            for b in batches:
+                for path, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                    for row in flatten(data):
+                        yield path, *row[:6], list(row[6].items()), list(row[7].items())
+
+        return _batched(rows(), [f.split()[0] for f in FLAT_SCHEMA.split(", ")], _FLAT_TYPES)
 
     return documents.select("document_path", "data").mapInArrow(label, FLAT_SCHEMA)
 
@@ -246,9 +231,30 @@ def flat_table(rows: DataFrame, name: str, columns: dict[str, str], kind: str =
 def contained(outer: DataFrame, inner: DataFrame) -> DataFrame:
     """(document_path, outer_pre, inner_pre) of every node of ``inner`` inside a node of ``outer`` of the same document.
 
-    The result has one row for each ancestor and descendant; a document's depth bounds the ancestors of a node.
+    A structural join: the nodes of both tables, brought together by document and sorted in pre-order, pass one stack
+    of open intervals, so that only pairs that are results are ever made; there is one for each ancestor and descendant,
+    and a document's depth bounds the ancestors of a node.  Repeated rows of a node count once.  Rows with a null path or
+    label stand in no document and are left out.
     """
-    o = outer.select("document_path", F.col("pre").alias("outer_pre"), F.col("post").alias("outer_post"))
-    i = inner.select("document_path", F.col("pre").alias("inner_pre"), F.col("post").alias("inner_post"))
-    inside = (F.col("outer_pre") < F.col("inner_pre")) & (F.col("outer_post") > F.col("inner_post"))
-    return o.join(i, "document_path").where(inside).select("document_path", "outer_pre", "inner_pre")
+    mark = lambda df, side: df.select("document_path", F.col("pre").cast("long").alias("pre"), F.col("post").cast("long").alias("post"), F.lit(side).alias("side"))
+    both = mark(outer, 0).unionByName(mark(inner, 1)).where("document_path IS NOT NULL AND pre IS NOT NULL AND post IS NOT NULL")
+    sides = both.groupBy("document_path", "pre", "post").agg(F.min("side").alias("low"), F.max("side").alias("high"))
+    ordered = sides.repartition("document_path").sortWithinPartitions("document_path", "pre")
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
+            here, open_ = None, []
+            for b in batches:
+                for path, pre, post, low, high in zip(*[b.column(k).to_pylist() for k in range(5)]):
+                    if path != here:
+                        here, open_ = path, []
+                    while open_ and open_[-1][1] < post:
+                        open_.pop()
+                    if high == 1:
+                        yield from [(path, up, pre) for up, _ in open_]
+                    if low == 0:
+                        open_.append((pre, post))
+
+        return _batched(rows(), ["document_path", "outer_pre", "inner_pre"], [pa.string(), pa.int64(), pa.int64()])
+
+    return ordered.mapInArrow(join, "document_path string, outer_pre long, inner_pre long")
