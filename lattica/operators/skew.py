@@ -14,6 +14,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lattica.sources.shared import stage
+
 #: A key is heavy when it holds at least this share of all rows, so there are at most 1 / SHARE heavy keys.
 SHARE = 1 / 256
 #: Salts for a key that held all rows; a heavy key gets its share of them.
@@ -25,7 +27,8 @@ _KEY, _SALT, _N = "__key{}", "__salt", "__n"
 def heavy_keys(df: DataFrame, keys: Sequence[Column], share: float = SHARE) -> list[tuple]:
     """``(key values..., rows, all rows)`` of each key that holds at least ``share`` of the rows.
 
-    At most ``1 / share`` rows reach the driver whatever the size of ``df``; counting combines on the map side.
+    At most ``1 / share`` rows reach the driver whatever the size of ``df``; counting combines on the map side, and the
+    count of all rows needs no column of a stored table, only its files' footers.
     """
     named = df.select(*[k.alias(_KEY.format(i)) for i, k in enumerate(keys)])
     total = named.count()
@@ -119,8 +122,9 @@ def salted_aggregate(
 
 def frequent_keys(df: DataFrame, key: str, least: float) -> DataFrame:
     """The non-null keys that hold at least the share ``least`` of all rows of ``df``, null keys counted in the whole."""
-    per_key = salted_aggregate(df, key, {"rows": ("count", None)})
-    return per_key.where(F.col(f"`{key}`").isNotNull() & (F.col("rows") >= F.lit(least * df.count()))).select(key)
+    per_key = stage(salted_aggregate(df, key, {"rows": ("count", None)}), "per-key")
+    total = per_key.agg(F.sum("rows")).first()[0] or 0
+    return per_key.where(F.col(f"`{key}`").isNotNull() & (F.col("rows") >= F.lit(least * total))).select(key)
 
 
 def skew_join(left: DataFrame, right: DataFrame, on: Sequence[tuple[str, str]], how: str, extra: Column | None = None,
