@@ -12,6 +12,7 @@ from collections.abc import Iterator, Sequence
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lattica.operators.nested import current_rows, parse, walk
 from lattica.operators.skew import skew_join
@@ -68,56 +69,48 @@ def orphans(references: DataFrame, targets: DataFrame, on: Sequence[tuple[str, s
     return out
 
 
-def _split(path: str) -> tuple[str | None, str]:
-    """A path as (collection path or null, document id); the two join to the path again."""
-    parent, slash, last = path.rpartition("/")
-    return (parent, last) if slash else (None, last)
-
-
 def document_references(rows: DataFrame) -> DataFrame:
     """The references of stored documents: reference values at any depth, and the owner of a document's collection.
 
-    rows: document_path, data, updated_at, collection_id.  Returns those but data, with target_path, target_collection
-    (null for a target without a slash) and target_id; a target named twice by a document comes out once.
+    rows: document_path, data, and any others.  Returns those but data, with ``targets``: the paths a document names, each
+    once.
     """
-    schema = "document_path string, collection_id string, updated_at timestamp_ntz, target_path string, target_collection string, target_id string"
+    kept = [c for c in rows.columns if c != "data"]
+    schema = T.StructType([*[rows.schema[c] for c in kept], T.StructField("targets", T.ArrayType(T.StringType()))])
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            paths, cids, times, targets = [], [], [], []
-            stamps = b.column(3)
-            for i, (path, data, cid) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist())):
+            targets = []
+            for path, data in zip(b.column(0).to_pylist(), b.column(b.num_columns - 1).to_pylist()):
                 named = set()
                 if data is not None and ("referenceValue" in data or "\\u" in data):
                     named = {n[6] for n in walk(parse(data))[0] if n[2] == "referenceValue" and isinstance(n[6], str)}
                 segments = path.split("/")
                 if len(segments) > 2:
                     named.add("/".join(segments[:-2]))
-                for t in named:
-                    paths.append(path), cids.append(cid), times.append(i), targets.append(t)
-            split = [_split(t) for t in targets]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(paths, pa.string()), pa.array(cids, pa.string()), stamps.take(pa.array(times, pa.int64())), pa.array(targets, pa.string()), pa.array([c for c, _ in split], pa.string()), pa.array([i for _, i in split], pa.string())],
-                ["document_path", "collection_id", "updated_at", "target_path", "target_collection", "target_id"])
+                targets.append(sorted(named))
+            at = [b.schema.get_field_index(c) for c in kept]
+            yield pa.RecordBatch.from_arrays([*[b.column(i) for i in at], pa.array(targets, pa.list_(pa.string()))], [*kept, "targets"])
 
-    source = rows.select("document_path", "data", "collection_id", F.col("updated_at").cast("timestamp_ntz").alias("updated_at"))
-    return source.mapInArrow(extract, schema)
+    return rows.select("document_path", *[c for c in kept if c != "document_path"], "data").mapInArrow(extract, schema)
 
 
 def document_orphans(documents: DataFrame) -> DataFrame:
     """References of current rows to documents that are absent or were created after the referring row was written.
 
-    documents: the stored rows, repeats and earlier versions included.  A null ``created_at`` or ``updated_at`` leaves
-    the order in time unproven, and the reference is an orphan.  Strings compare as they are; the composite key is
-    (collection path, document id) under the ``exact`` rule, so a target without a slash meets only such a path.
+    documents: the stored rows, repeats and earlier versions included; the current ones are found once, and stand both for
+    the references and for their targets.  A null ``created_at`` or ``updated_at`` leaves the order in time unproven, and
+    the reference is an orphan.  Strings compare as they are; the composite key is (collection path, document id) under
+    the ``exact`` rule, so a target without a slash meets only such a path.
     """
-    rows = current_rows(documents, "document_path", "version", "collection_id", "updated_at", "data")
-    refs = stage(document_references(rows), "references")
-    held = current_rows(documents, "document_path", "version", "created_at").select("document_path", F.col("created_at").cast("timestamp_ntz").alias("created_at"))
-    split_at = F.length("document_path") - F.length(F.substring_index("document_path", "/", -1))
-    targets = held.select(
-        F.when(split_at > 0, F.expr("left(document_path, length(document_path) - length(substring_index(document_path, '/', -1)) - 1)")).alias("collection"),
-        F.substring_index("document_path", "/", -1).alias("id"), "created_at")
+    ntz = lambda c: F.col(c).cast("timestamp_ntz").alias(c)
+    rows = current_rows(documents, "document_path", "version", "collection_id", "created_at", "updated_at", "data")
+    held = stage(document_references(rows.select("document_path", "collection_id", ntz("created_at"), ntz("updated_at"), "data")), "references")
+    last = lambda c: F.substring_index(c, "/", -1)
+    owner = lambda c: F.when(F.length(c) > F.length(last(c)), F.substring(F.col(c), F.lit(1), F.length(c) - F.length(last(c)) - 1))
+    refs = held.select("document_path", "collection_id", "updated_at", F.explode("targets").alias("target_path"))
+    refs = refs.select("*", owner("target_path").alias("target_collection"), last("target_path").alias("target_id"))
+    targets = held.select(owner("document_path").alias("collection"), last("document_path").alias("id"), "created_at")
     in_time = F.col("r.created_at") <= F.col("l.updated_at")
     return orphans(refs, targets, [("target_collection", "collection"), ("target_id", "id")], "exact", in_time)
 
