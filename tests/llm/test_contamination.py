@@ -1,6 +1,9 @@
 """Containment search against brute force."""
 
 import random
+import tracemalloc
+
+import numpy as np
 
 from lattica.llm import contamination as K
 from lattica.llm.words import words
@@ -87,8 +90,51 @@ def test_leaked_items(spark):
     assert report[77] == 0 and sum(report.values()) == len(want)
 
 
-def test_functions_hold_the_chance_of_a_miss():
-    for n in (4, 12, 13, 40, 85, 500):
-        b = K.functions_for(n)
-        jaccard = K.least_shared(n) / (n - 3 + K.WINDOW - 3)
-        assert (1 - jaccard) ** b <= K.MISS
+def test_bins_hold_the_chance_of_a_miss():
+    for shared in range(1, 10):
+        for size in (1, 9, 37, 61, 7997):
+            assert ((min(size, K.WIDE) + K.WIDE) / 2 ** (K.bits_for(shared, size) + 1)) ** shared <= K.MISS
+    # measured where misses are frequent: windows of 61 shingles of which 3 are those of an item window of 20
+    rng, miss, n = np.random.default_rng(3), 0.2, 4000
+    bits = K.bits_for(3, 20, miss)
+    at = np.repeat(np.arange(n), K.WIDE)
+    text = rng.integers(0, 2**64, (n, K.WIDE), np.uint64)
+    item = np.concatenate([text[:, :3], rng.integers(0, 2**64, (n, 17), np.uint64)], axis=1)
+    pairs = [set(zip(*[x.tolist() for x in K.signature(v.ravel(), w, bits)])) for v, w in ((text, at), (item, np.repeat(np.arange(n), 20)))]
+    found = {w for _, w in pairs[0] & pairs[1]}
+    assert 1 - len(found) / n <= miss
+
+
+def test_windows_cover_every_long_run():
+    lengths = np.array([0, 1, 60, 61, 62, 114, 115, 700, 0, 5])
+    at, window = K.windows(lengths)
+    assert np.bincount(window).max() <= K.WIDE
+    held = {}
+    for a, w in zip(at.tolist(), window.tolist()):
+        held.setdefault(w, []).append(a)
+    runs = {(w[k], w[k] + 8) for w in held.values() for k in range(len(w) - 8)}
+    ends = np.cumsum(lengths)
+    for begin, end in zip((ends - lengths).tolist(), ends.tolist()):
+        assert all((p, p + 8) in runs for p in range(begin, end - 8)) and set(range(begin, end)) <= set(at.tolist())
+
+
+def test_a_very_long_item_takes_bounded_work():
+    rng = random.Random(4)
+    words_ = [word(rng) + str(k) for k in range(8000)]
+    text = " ".join([f"f{k}" for k in range(1000)] + words_[4000:4012] + [f"g{k}" for k in range(1000)])
+    tracemalloc.start()
+    index = K.Index([(1, " ".join(words_)), (2, " ".join(words_[:100]))])
+    assert index.matches(text) == [1] and index.matches(" ".join(words_)) == [1, 2]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 30e6 and max(b for _, _, b in index.partitions) <= 12
+
+
+def test_texts_are_grouped_whole(monkeypatch):
+    docs, items = make(random.Random(11), 40, 20)
+    index = K.Index(items)
+    texts = [t for _, t in docs] + [None, "with\x1emark", "ünï " + docs[0][1]]
+    for size in (1, 500, 10**7):
+        monkeypatch.setattr(K, "GROUP", size)
+        got = {(b + p, i) for b, group in K._groups(texts) for p, i in index.find(group)}
+        assert got == brute(list(enumerate(texts)), items)
