@@ -1,7 +1,8 @@
 """Mixing sources to target weights (problem 7).
 
 Sizes are tokens of a public tokenizer.  Every source gets a quota of tokens.  The expected number of copies of a
-document is its source's quota over the source's tokens, times the document's weight if weights are given; its whole
+document is its source's quota over the source's tokens, times the document's weight if weights are given (raised
+for the others where documents end at their cap); its whole
 part is allocated to every document, and the fraction is the document's inclusion probability in a Pareto order
 sample (Rosen 1997): documents are ranked by the odds of a random number divided by the odds of inclusion, and taken
 from the lowest rank until the quota is filled.  The random numbers are hashes of the document ids, so a task that
@@ -28,6 +29,8 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 BINS, LAST = 4096, 20_000
 #: Equal rows that one array lists when they are told apart.
 CHUNK = 65_536
+#: Most steps towards the rate at which a weighted source meets its quota.
+STEPS = 60
 #: A size of the mix: as many tokens as the sources with targets have.
 AVAILABLE = "available"
 _loaded: dict = {}
@@ -90,7 +93,7 @@ def mix(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER, to
 
     documents: doc_id, text, source.  targets: source, target_share, max_repeats (of repeated sources the greatest
     values hold; null is 0).  weights: doc_id, weight >= 0 (once per id), relative within a source; a missing or null
-    weight is 1.  Documents of sources without a target, with a null source or with no tokens are never selected.
+    weight is 1, a negative or NaN one 0.  Documents of weight 0 and of sources without a target, with a null source or with no tokens are never selected.
     A source gives the tokens of its quota to within one document; whole copies never exceed ``max_repeats``.
     Repeated rows are documents of their own; equal ones are interchangeable.  Empty tables give no rows.
     """
@@ -104,25 +107,26 @@ def mix(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER, to
     sized = sized.join(F.broadcast(named), "source").where(F.col("tokens") > 0)
     if weights is not None:
         sized = sized.join(weights.select("doc_id", F.col("weight").cast("double").alias("weight")), "doc_id", "left")
-    sized = sized.withColumn("weight", F.coalesce("weight", F.lit(1.0)) if weights is not None else F.lit(1.0))
+    weight = F.when(F.isnan("weight") | (F.col("weight") < 0), F.lit(0.0)).otherwise(F.coalesce("weight", F.lit(1.0))) if weights is not None else F.lit(1.0)
+    sized = sized.withColumn("weight", weight)
     uniform = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id"), 11) + F.lit(0.5)) / F.lit(float(2**53))
     sized = stage(sized.select("doc_id", "source", "tokens", "max_repeats", "weight", uniform.alias("u")), "sized")
-    totals = {r["source"]: r for r in sized.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.sum(F.col("tokens") * F.col("weight")).alias("weighted")).collect()}
-    quota = quotas(wanted, {s: r["tokens"] for s, r in totals.items()}, total)
-    rates = [(s, float(q), float(q / totals[s]["weighted"])) for s, q in quota.items() if totals[s]["weighted"] > 0]
+    totals = {r["source"]: r["tokens"] for r in sized.groupBy("source").agg(F.sum("tokens").alias("tokens")).collect()}
+    quota = quotas(wanted, totals, total)
+    rates = _rates(sized, {s: float(q) for s, q in quota.items()}, weights is not None, totals)
     if not rates:
         return spark.createDataFrame([], schema)
-    rated = sized.join(F.broadcast(spark.createDataFrame(rates, "source string, quota double, rate double")), "source")
+    rated = sized.join(F.broadcast(spark.createDataFrame([(s, r) for s, (_, r) in rates.items()], "source string, rate double")), "source")
     expected = F.least(F.col("rate") * F.col("weight"), F.col("max_repeats").cast("double"))
     whole = F.floor(expected + F.lit(1e-9)).cast("long")
     rated = rated.withColumn("whole", whole).withColumn("part", F.greatest(expected - F.col("whole"), F.lit(0.0)))
     # Pareto rank: odds of the random number over odds of inclusion, monotonically mapped into (0, 1)
     ratio = (F.col("u") / (1 - F.col("u"))) / (F.col("part") / (1 - F.col("part")))
     sampled = (F.col("part") > 0) & (F.col("whole") < F.col("max_repeats"))
-    ranked = stage(rated.select("doc_id", "source", "tokens", "whole", "quota", F.when(sampled, ratio / (1 + ratio)).alias("rank")), "ranked")
+    ranked = rated.select("doc_id", "source", "tokens", "whole", F.when(sampled, ratio / (1 + ratio)).alias("rank"))
 
     given = {r["source"]: r["t"] for r in ranked.groupBy("source").agg(F.sum(F.col("whole") * F.col("tokens")).alias("t")).collect()}
-    left = {s: q - float(given.get(s, 0)) for s, q, _ in rates}
+    left = {s: q - float(given.get(s, 0)) for s, (q, _) in rates.items()}
     cuts = _places(ranked.where(F.col("rank").isNotNull()).select("source", "rank", "tokens", "doc_id"), left)
     if not cuts:
         return ranked.select("doc_id", "source", "tokens", F.col("whole").alias("copies")).where(F.col("copies") > 0)
@@ -141,42 +145,72 @@ def mix(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER, to
     return apart.unionByName(tied).where(F.col("copies") > 0)
 
 
+def _rates(sized: DataFrame, quota: dict[str, float], weighted: bool, totals: dict[str, int]) -> dict[str, tuple[float, float]]:
+    """For each source its quota and the expected copies of a document of weight 1 with which the quota is met.
+
+    Expected copies end at ``max_repeats``; what a capped document cannot give is shared out among the others by raising
+    their rate until the quota holds.  The tokens given are a concave function of the rate, made of straight pieces that
+    end where documents reach their cap, so Newton's steps from below end at the exact rate after no more steps than there
+    are pieces, in practice a few; each is one aggregation for all sources.  Documents of weight 0 give nothing: a quota
+    beyond what the others can give is cut.
+    """
+    if not weighted:
+        return {s: (q, q / totals[s]) for s, q in quota.items()}
+    spark = sized.sparkSession
+    cap = F.col("max_repeats").cast("double")
+    most = {r["source"]: r["t"] for r in sized.where("weight > 0").groupBy("source").agg(F.sum(F.col("tokens") * cap).alias("t")).collect()}
+    quota = {s: min(q, most[s]) for s, q in quota.items() if most.get(s)}
+    done, rate = {}, {s: 0.0 for s in quota}
+    for _ in range(STEPS):
+        if not rate:
+            break
+        known = spark.createDataFrame(list(rate.items()), "source string, rate double")
+        each = F.col("rate") * F.col("weight")
+        pieces = sized.where("weight > 0").join(F.broadcast(known), "source").groupBy("source").agg(
+            F.sum(F.col("tokens") * F.least(each, cap)).alias("given"), F.sum(F.when(each < cap, F.col("tokens") * F.col("weight"))).alias("slope")).collect()
+        for r in pieces:
+            s, at = r["source"], rate[r["source"]]
+            short = quota[s] - r["given"]
+            if r["slope"] and short > 1e-9 * quota[s]:
+                rate[s] = at + short / r["slope"]
+            else:
+                done[s] = (quota[s], rate.pop(s))
+    return done | {s: (quota[s], r) for s, r in rate.items()}
+
+
 def _places(ranked: DataFrame, left: dict[str, float]) -> dict[str, tuple[float, int | None, int, int]]:
     """For each source the last (rank, doc_id, tokens) taken, and how many rows equal in these: ranked documents are taken until the tokens come nearest to what is left.
 
-    Each round adds up the tokens of BINS bins per source (few numbers, whatever the size of the source) and goes on
-    inside the bin that crosses the quota.  When that bin holds no more than LAST documents they are ranked one by one.
+    Each round adds up the tokens of BINS bins per source and goes on inside the bin that crosses the quota; the sums stay
+    on the cluster, and one row per source comes back.  When that bin holds no more than LAST documents they are ranked one by one.
     """
+    from pyspark.sql import Window
+
     spark, out = ranked.sparkSession, {}
     open_ = {s: (0.0, 1.0, 0.0) for s, need in left.items() if need > 0}  # source -> bin's low, high, tokens before it
     for _ in range(6):
         if not open_:
             break
-        ranges = spark.createDataFrame([(s, lo, hi) for s, (lo, hi, _) in open_.items()], "source string, lo double, hi double")
+        ranges = spark.createDataFrame([(s, lo, hi, left[s] - seen) for s, (lo, hi, seen) in open_.items()], "source string, lo double, hi double, need double")
         inside = ranked.join(F.broadcast(ranges), "source").where((F.col("rank") >= F.col("lo")) & (F.col("rank") <= F.col("hi")))
         bins = (
             inside.withColumn("bin", F.least(F.floor((F.col("rank") - F.col("lo")) / (F.col("hi") - F.col("lo")) * BINS), F.lit(BINS - 1)))
-            .groupBy("source", "bin").agg(F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("n"), F.min("rank").alias("first"), F.max("rank").alias("last")).orderBy("source", "bin").collect()
+            .groupBy("source", "need", "bin").agg(F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("n"), F.min("rank").alias("first"), F.max("rank").alias("last"))
         )
+        # at most BINS rows a source
+        running = bins.withColumn("before", F.sum("t").over(Window.partitionBy("source").orderBy("bin")) - F.col("t"))
+        crossing = F.min(F.when(F.col("before") + F.col("t") >= F.col("need"), F.struct("bin", "n", "first", "last", "before"))).alias("c")
+        found = running.groupBy("source").agg(crossing, F.max("last").alias("top")).collect()
         close: dict[str, tuple[float, float, float]] = {}
-        for s in list(open_):
-            seen = open_[s][2]
-            mine = [b for b in bins if b["source"] == s]
-            crossing = None
-            for b in mine:
-                if seen + b["t"] >= left[s]:
-                    crossing = b
-                    break
-                seen += b["t"]
-            if crossing is None:  # all of them are needed
-                if mine:
-                    out[s] = (mine[-1]["last"], 2**63 - 1, 2**63 - 1, 0)
-                del open_[s]
-            elif crossing["n"] <= LAST or crossing["first"] == crossing["last"]:
-                close[s] = (crossing["first"], crossing["last"], seen)
-                del open_[s]
+        seen_now = {s: open_.pop(s)[2] for s in list(open_)}
+        for r in found:
+            s, c = r["source"], r["c"]
+            if c is None:  # all of them are needed
+                out[s] = (r["top"], 2**63 - 1, 2**63 - 1, 0)
+            elif c["n"] <= LAST or c["first"] == c["last"]:
+                close[s] = (c["first"], c["last"], seen_now[s] + c["before"])
             else:
-                open_[s] = (crossing["first"], crossing["last"], seen)
+                open_[s] = (c["first"], c["last"], seen_now[s] + c["before"])
         if close:
             out |= _in_bin(ranked, left, close)
     for s, (_, high, _) in open_.items():  # not reached: six rounds tell 2**72 ranks apart

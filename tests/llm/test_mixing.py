@@ -88,3 +88,32 @@ def test_nulls_ties_and_empty_tables(spark):
     assert X.mix(docs.limit(0), targets).count() == 0 and X.mix(docs, targets.limit(0)).count() == 0
     assert X.mix(docs, spark.createDataFrame([("a", None, None)], TARGETS)).count() == 0
     assert X.shares(X.mix(docs.limit(0), targets), targets).first()["tokens"] == 0
+
+
+def test_a_weighted_quota_is_met_while_repeats_are_left(spark):
+    docs = spark.createDataFrame([(n, "a", "word " * 20) for n in range(10)], "doc_id long, source string, text string")
+    each = X.token_counts(docs.limit(1)).first()["tokens"]
+    targets = spark.createDataFrame([("a", 1.0, 2)], TARGETS)
+    weights = spark.createDataFrame([(0, 100.0), (1, 3.0), (2, None), (3, 1.0)], "doc_id long, weight double")
+    for copies in (1, 5, 11, 15, 19, 20):
+        rows = X.mix(docs, targets, total=float(copies * each), weights=weights).collect()
+        assert sum(r["copies"] for r in rows) == copies and max(r["copies"] for r in rows) <= 2
+    heavy = {r["doc_id"]: r["copies"] for r in X.mix(docs, targets, total=15.0 * each, weights=weights).collect()}
+    assert heavy[0] == heavy[1] == 2
+    zero = spark.createDataFrame([(n, 0.0 if n < 4 else -1.0 if n == 4 else float("nan") if n == 5 else 1.0) for n in range(10)], "doc_id long, weight double")
+    rows = X.mix(docs, targets, total=15.0 * each, weights=zero).collect()
+    assert {r["doc_id"]: r["copies"] for r in rows} == {n: 2 for n in (6, 7, 8, 9)}
+
+
+def test_weighted_sources_meet_their_shares(spark):
+    docs = corpus(spark, {"a": 500, "b": 120})
+    weights = docs.selectExpr("doc_id", "CASE WHEN doc_id % 10 = 0 THEN 50.0 WHEN doc_id % 3 = 0 THEN 0.01 ELSE doc_id % 7 + 0.5 END AS weight")
+    targets = spark.createDataFrame([("a", 0.6, 2), ("b", 0.4, 3)], TARGETS)
+    whole = X.token_counts(docs).agg({"tokens": "sum"}).first()[0]
+    picked = X.mix(docs, targets, total=float(whole), weights=weights)
+    got = {r["source"]: r for r in X.shares(picked, targets).collect()}
+    biggest = 100
+    assert abs(got["a"]["tokens"] - 0.6 * whole) <= biggest
+    sized_b = X.token_counts(docs.where("source = 'b'")).agg({"tokens": "sum"}).first()[0]
+    assert abs(got["b"]["tokens"] - min(0.4 * whole, 3 * sized_b)) <= biggest
+    assert all(r["copies"] <= (2 if r["source"] == "a" else 3) for r in picked.collect())
