@@ -11,6 +11,8 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator, Mapping
+from functools import cached_property, lru_cache
+from itertools import islice
 
 import pyarrow as pa
 import regex
@@ -60,47 +62,72 @@ MOST_AGAIN = 0.6  # of the n-grams of a text that stand in it before; one that s
 LEAST_REPEATED = 20  # words of a text that is no prose for its repeats; a few repeated words may be dialogue
 
 
-def _top_ngram(ws: list[str]) -> float:
-    """Share of the word characters that the dominant n-gram of 2 to 4 words covers, the greatest over n."""
-    total, best = sum(map(len, ws)), 0.0
-    if not total:
-        return 0.0
-    for n in (2, 3, 4):
-        if len(ws) < n:
-            break
-        grams = Counter(zip(*[ws[i:] for i in range(n)]))
-        times = max(grams.values())
-        if times == 1:
-            break  # nor does a longer one repeat
-        if best < 1.0:
-            gram = max((g for g, t in grams.items() if t == times), key=lambda g: sum(map(len, g)))
+class _Words:
+    """The folded words of a text, with what several rules ask of them worked out once."""
+
+    def __init__(self, ws: tuple[str, ...]):
+        self.ws, self.counts = ws, Counter(ws)
+        self.size = sum(map(len, ws))
+        self._shared: tuple[Mapping | None, float] = (None, 0.0)
+
+    def common_share(self, common: Mapping[str, frozenset[str]]) -> float:
+        """Share of the words that are common in the language in which most of them are."""
+        if self._shared[0] is not common:
+            most = max((sum([self.counts[w] for w in self.counts.keys() & held]) for held in common.values()), default=0)
+            self._shared = (common, most / len(self.ws) if self.ws else 0.0)
+        return self._shared[1]
+
+    @cached_property
+    def grams(self) -> dict[int, Counter]:
+        """Counts of the n-grams of 2 to 5 words, up to the first length of which none repeats, nor then does a longer one."""
+        out, ws = {}, self.ws
+        if len(self.counts) == len(ws):
+            return out
+        for n in (2, 3, 4, 5):
+            if len(ws) < n:
+                break
+            grams = Counter(zip(*[islice(ws, i, None) for i in range(n)]))
+            if len(grams) == len(ws) - n + 1:
+                break
+            out[n] = grams
+        return out
+
+    @cached_property
+    def top_ngram(self) -> float:
+        """Share of the word characters that the dominant n-gram of 2 to 4 words covers, the greatest over n."""
+        best, ws = 0.0, self.ws
+        for n in (2, 3, 4):
+            if n not in self.grams or best >= 1.0:
+                break
+            times = max(self.grams[n].values())
+            gram = max((g for g, t in self.grams[n].items() if t == times), key=lambda g: sum(map(len, g)))
             covered = [False] * len(ws)
             for i in range(len(ws) - n + 1):
-                if ws[i] == gram[0] and tuple(ws[i : i + n]) == gram:
+                if ws[i] == gram[0] and ws[i : i + n] == gram:
                     covered[i : i + n] = [True] * n
-            best = max(best, sum(len(w) for w, c in zip(ws, covered) if c) / total)
-    return best
+            best = max(best, sum(len(w) for w, c in zip(ws, covered) if c) / self.size)
+        return best
 
+    @cached_property
+    def repeated(self) -> float:
+        """Share of the word characters inside 5-grams that stand more than once."""
+        times = self.grams.get(5)
+        if not times:
+            return 0.0
+        covered = [False] * len(self.ws)
+        for i, g in enumerate(zip(*[islice(self.ws, i, None) for i in range(5)])):
+            if times[g] > 1:
+                covered[i : i + 5] = [True] * 5
+        return sum(len(w) for w, c in zip(self.ws, covered) if c) / self.size
 
-def _repeated_ngrams(ws: list[str], n: int = 5) -> float:
-    """Share of the word characters inside n-grams that stand more than once."""
-    total = sum(map(len, ws))
-    if len(ws) < n or not total:
-        return 0.0
-    grams = list(zip(*[ws[i:] for i in range(n)]))
-    times, covered = Counter(grams), [False] * len(ws)
-    if len(times) == len(grams):
-        return 0.0
-    for i, g in enumerate(grams):
-        if times[g] > 1:
-            covered[i : i + n] = [True] * n
-    return sum(len(w) for w, c in zip(ws, covered) if c) / total
+    @cached_property
+    def again(self) -> float:
+        """Share of the 5-grams that repeat an earlier one."""
+        return 1 - len(self.grams[5]) / (len(self.ws) - 4) if 5 in self.grams else 0.0
 
 
-def _again(ws: list[str], n: int = 5) -> float:
-    """Share of the n-grams that repeat an earlier one."""
-    grams = list(zip(*[ws[i:] for i in range(n)]))
-    return 1 - len(set(grams)) / len(grams) if grams else 0.0
+#: A text's lines are often all one run, so its words are asked about twice in a row.
+_words_of = lru_cache(maxsize=2)(_Words)
 
 
 def _duplicates(parts: list[str]) -> float:
@@ -157,21 +184,10 @@ def _bare_cells(line: str) -> bool:
     return '"' in line or (", " not in line and len(line.split()) <= 4)
 
 
-def common_share(ws: list[str], common: Mapping[str, frozenset[str]]) -> float:
-    """Share of the words that are common in the language in which most of them are."""
-    return _common_share(Counter(ws), len(ws), common)
-
-
-def _common_share(counts: Counter, total: int, common: Mapping[str, frozenset[str]]) -> float:
-    if not total or not common:
-        return 0.0
-    return max(sum([counts[w] for w in counts.keys() & held]) for held in common.values()) / total
-
-
 def _excess(counts: Counter, total: int, common: Mapping[str, frozenset[str]]) -> bool:
     """Whether one word that is common in no language makes up too much of the text."""
     least = MOST_TOP_WORD * total
-    return any(n > least and not any(w in held for held in common.values()) for w, n in counts.items())
+    return max(counts.values()) > least and any(n > least and not any(w in held for held in common.values()) for w, n in counts.items())
 
 
 def _symbols(text: str, found: list[str]) -> int:
@@ -191,13 +207,14 @@ def _reads_as_text(text: str, common: Mapping[str, frozenset[str]]) -> bool:
     ws = _WORD.findall(text.casefold())
     if not ws:
         return False
-    counts = Counter(ws)
+    held = _words_of(tuple(ws))
+    counts = held.counts
     # a text of nearly all different words has no dominant n-gram
-    if len(ws) >= 12 and (_excess(counts, len(ws), common) or len(counts) < 0.85 * len(ws) and _top_ngram(ws) > MOST_TOP_NGRAM):
+    if len(ws) >= 12 and (_excess(counts, len(ws), common) or len(counts) < 0.85 * len(ws) and held.top_ngram > MOST_TOP_NGRAM):
         return False
     if len(_BROKEN.findall(text)) > MOST_BROKEN * len(text):
         return False
-    share = _common_share(counts, len(ws), common)
+    share = held.common_share(common)
     if share >= LEAST_COMMON and (share >= CLEARLY_COMMON or text != text.lower()):
         return True  # short common words also turn up among random letters, but there nothing is capitalised
     # a few words may do without: then they must look like a sentence
@@ -276,23 +293,27 @@ def statistics(text: str | None, common: Mapping[str, frozenset[str]]) -> tuple:
     """The values of STAT_FIELDS for one text; zeros, and a null kind, for a null or blank one."""
     if text is None or not text.strip():
         return (0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, False, None)
-    found = _WORD.findall(text)
-    ws = [w.casefold() for w in found]
+    if text.isascii():  # folding then changes no length
+        found = ws = _WORD.findall(text.lower())
+    else:
+        found = _WORD.findall(text)
+        ws = [w.casefold() for w in found]
     lines = [x.strip() for x in text.splitlines() if x.strip()]
     paragraphs = [p.strip() for p in re.split(r"\n\s*\n", text) if p.strip()]
     size = line_kinds(text, common)
     total = sum(size.values()) or 1
     share = {k: v / total for k, v in size.items()}
-    top, repeated, dup = _top_ngram(ws), _repeated_ngrams(ws), _duplicates(lines)
+    held = _words_of(tuple(ws))
+    top, repeated, dup, dup_paragraphs = held.top_ngram, held.repeated, _duplicates(lines), _duplicates(paragraphs)
     kind = max(("sentence", "list", "table", "other"), key=lambda k: (size[k], k == "sentence"))
     kind = {"sentence": "prose", "list": "list", "table": "table", "other": "junk"}[kind]
-    boilerplate = dup > BOILERPLATE_LINES or _duplicates(paragraphs) > BOILERPLATE_LINES or len(ws) >= 20 and repeated > 0.6
-    if kind == "prose" and boilerplate and len(ws) >= LEAST_REPEATED and (max(dup, _duplicates(paragraphs)) > BOILERPLATE_LINES or _again(ws) > MOST_AGAIN):
+    boilerplate = max(dup, dup_paragraphs) > BOILERPLATE_LINES or len(ws) >= LEAST_REPEATED and repeated > 0.6
+    if kind == "prose" and boilerplate and len(ws) >= LEAST_REPEATED and (max(dup, dup_paragraphs) > BOILERPLATE_LINES or held.again > MOST_AGAIN):
         kind = "junk"  # sentences, but mostly the same ones
     return (
         len(ws), sum(map(len, found)) / len(found) if found else 0.0, _symbols(text, found) / len(text),
-        sum(bool(_LINE_END.search(x)) for x in lines) / len(lines), common_share(ws, common),
-        dup, _duplicates(paragraphs), top, repeated, share["sentence"], share["list"], share["table"],
+        sum(bool(_LINE_END.search(x)) for x in lines) / len(lines), held.common_share(common),
+        dup, dup_paragraphs, top, repeated, share["sentence"], share["list"], share["table"],
         boilerplate, kind)
 
 
