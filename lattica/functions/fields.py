@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import math
+import re
 from collections.abc import Callable
 
 import pandas as pd
@@ -425,3 +426,35 @@ class NameField(TypedField):
 
     def beyond(self, greater: bool, v: Value) -> Column:
         return super().beyond(greater, self._operand(v))
+
+
+def key_of(path: str, prefix: str, t: T.DataType):
+    """The key with which ``path`` is a row's path, or None if no key gives it."""
+    if not path.startswith(prefix):
+        return None
+    text = path[len(prefix):]
+    if isinstance(t, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        bits = {T.ByteType: 7, T.ShortType: 15, T.IntegerType: 31, T.LongType: 63}[type(t)]
+        return int(text) if re.fullmatch(r"0|-?[1-9]\d{0,18}", text, re.ASCII) and -(1 << bits) <= int(text) < 1 << bits else None
+    return text if isinstance(t, T.StringType) else None
+
+
+class KeyField(NameField):
+    """The path of a typed table's row, ``<prefix><key>``; what can be said of the key alone reaches the scan as such."""
+
+    def __init__(self, column: Column, prefix: str, key: Column, t: T.DataType):
+        super().__init__(column)
+        self.prefix, self.key_column, self.key_type = prefix, key, t
+        self.by_key = isinstance(t, (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.StringType))
+
+    def equals(self, v: Value) -> Column:
+        if not self.by_key:
+            return super().equals(v)
+        k = key_of(v.v, self.prefix, self.key_type)
+        return self._never() if k is None else self.key_column == F.lit(k)
+
+    def within(self, op: str, v: Value) -> Column:
+        # only texts are in the order of their paths
+        if not isinstance(self.key_type, T.StringType) or not v.v.startswith(self.prefix):
+            return super().within(op, v)
+        return TypedField(self.key_column, "string").within(op, Value("string", v.v[len(self.prefix):]))

@@ -70,3 +70,7 @@ class Pattern:
             elif found[i] != name:
                 return None
         return out if len(found) == len(self.parts) else None
+
+    def regex(self) -> str:
+        """A regular expression for the paths that fit."""
+        return "^" + "/".join({"literal": re.escape(name), "one": "[^/]+", "rest": ".+"}[kind] for kind, name in self.parts) + "$"

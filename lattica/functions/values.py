@@ -70,6 +70,16 @@ def stamp(us: int) -> str:
     return (_EPOCH + timedelta(microseconds=us)).strftime("%Y-%m-%dT%H:%M:%S.%fZ")
 
 
+def inside(payload: dict, name: str, kind: type) -> Any:
+    """What an array or a map holds; nothing if it is absent or null."""
+    held = payload.get(name)
+    if held is None:
+        return kind()
+    if not isinstance(held, kind):
+        raise ValueFormatError(f"{name} is not {'a list' if kind is list else 'an object'}")
+    return held
+
+
 def from_json(node: Any, at: str = "$") -> Value:
     """The value of a tagged object; the error names its place in the input."""
     if not isinstance(node, dict) or len(node) != 1:
@@ -98,9 +108,9 @@ def from_json(node: Any, at: str = "$") -> Value:
             case "geopoint" if isinstance(p, dict):
                 return Value("geopoint", (float(p["latitude"]), float(p["longitude"])))
             case "array" if isinstance(p, dict):
-                return Value("array", tuple(from_json(x, f"{at}.values[{i}]") for i, x in enumerate(p.get("values") or [])))
+                return Value("array", tuple(from_json(x, f"{at}.values[{i}]") for i, x in enumerate(inside(p, "values", list))))
             case "map" if isinstance(p, dict):
-                return Value("map", {k: from_json(x, f"{at}.fields.{k}") for k, x in (p.get("fields") or {}).items()})
+                return Value("map", {k: from_json(x, f"{at}.fields.{k}") for k, x in inside(p, "fields", dict).items()})
     except ValueFormatError:
         raise
     except (ValueError, KeyError, TypeError) as e:

@@ -16,15 +16,17 @@ from lattica.plans.normalizer import check_aggregations, normalize
 _EXACT = 1e15
 
 
-def capped(source, q: Query) -> DataFrame:
-    """Matching rows, no more than an explicit limit; offset and limitToLast play no part.  The cap takes the first in order."""
+def capped(source, q: Query, ordered: bool = True) -> DataFrame:
+    """Matching rows, no more than an explicit limit; offset and limitToLast play no part.  The cap takes the first in order, or any."""
     plan = normalize(q)
     df = matching(source, plan)
+    if plan.explicit_limit is not None and not ordered:
+        return df.limit(plan.explicit_limit)
     return df if plan.explicit_limit is None else sorted_by(df, sort_columns(source, plan)).limit(plan.explicit_limit)
 
 
 def count_frame(source, q: Query, alias: str = "count") -> DataFrame:
-    return capped(source, q).agg(F.count(F.lit(1)).alias(alias))
+    return capped(source, q, ordered=False).agg(F.count(F.lit(1)).alias(alias))
 
 
 def _sums(source, a: Aggregation) -> list[tuple[str, Column]]:
@@ -51,7 +53,7 @@ def aggregate_frame(source, q: Query, aggs: tuple[Aggregation, ...]) -> DataFram
     out = []
     for n, a in enumerate(aggs):
         out += [F.count(F.lit(1)).alias(f"{n}_count")] if a.kind == "count" else [c.alias(f"{n}_{name}") for name, c in _sums(source, a)]
-    return capped(source, q).agg(*out)
+    return capped(source, q, ordered=any(a.kind != "count" for a in aggs)).agg(*out)
 
 
 def finish(aggs: tuple[Aggregation, ...], row: dict) -> dict[str, Value]:

@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lattica.operators.numbering import numbered_rows
 from lattica.operators.writes import Document
 
 
@@ -31,8 +32,17 @@ def page_difference(old: Sequence[Document], new: Sequence[Document]) -> list[Di
     return out
 
 
-def frame_difference(old: DataFrame, new: DataFrame, key: str, stamp: str) -> DataFrame:
-    """(key, type) of rows removed, added or modified (``stamp`` differs) between two tables of unique keys: one full outer join."""
-    o, n = old.select(F.col(key), F.col(stamp).alias("__old"), F.lit(True).alias("__in_old")), new.select(F.col(key), F.col(stamp).alias("__new"), F.lit(True).alias("__in_new"))
+def frame_difference(old: DataFrame, new: DataFrame, key: str, stamp: str, order: Sequence[str | Column] | None = None) -> DataFrame:
+    """(key, type) of rows removed, added or modified (``stamp`` differs) between two tables of unique keys: one full outer join.
+
+    With ``order`` also ``old_index`` and ``new_index``, the places from 0 in that order before and after, -1 for none.
+    """
+    more = [[], []]
+    if order is not None:
+        old, new = (numbered_rows(df, list(order), name)[0] for df, name in ((old, "__at_old"), (new, "__at_new")))
+        more = [["__at_old"], ["__at_new"]]
+    o = old.select(F.col(key), F.col(stamp).alias("__old"), F.lit(True).alias("__in_old"), *more[0])
+    n = new.select(F.col(key), F.col(stamp).alias("__new"), F.lit(True).alias("__in_new"), *more[1])
     kind = F.when(F.col("__in_new").isNull(), "removed").when(F.col("__in_old").isNull(), "added").when(~F.col("__old").eqNullSafe(F.col("__new")), "modified")
-    return o.join(n, key, "full_outer").select(key, kind.alias("type")).where(F.col("type").isNotNull())
+    places = [F.coalesce(f"__at_{side}", F.lit(-1)).cast("long").alias(f"{side}_index") for side in ("old", "new")] if order is not None else []
+    return o.join(n, key, "full_outer").select(key, kind.alias("type"), *places).where(F.col("type").isNotNull())

@@ -7,15 +7,20 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Keys up to which the list itself goes into the scan's filter; a longer one is a table to join with.
+IN_FILTER = 10_000
 
-def rows_for(df: DataFrame, keys: Sequence[str], column: str) -> DataFrame:
-    """One row for each key with its ``pos`` from 0: the row of ``df`` (unique by ``column``), or nulls if there is none.
 
-    The keys are the caller's own list, at most 10,000.  The table is first cut down to them by an ``IN`` filter that
-    reaches the scan, so the join that follows has no more rows than the list on either side.
+def rows_for(source, keys: Sequence[str], column: str = "document_path") -> DataFrame:
+    """One row for each key with its ``pos`` from 0: the row with it (unique by ``column``), or nulls if there is none.
+
+    source: a table, or a typed collection, whose own key column then takes the filter.  The keys are the caller's own
+    list.  Up to IN_FILTER of them the table is first cut down by an ``IN`` filter that reaches the scan, so the join that
+    follows has no more rows than the list on either side; beyond, it is an ordinary join.
     """
-    if len(keys) > 10_000:
-        raise ValueError("at most 10,000 keys; join with a table instead")
+    df = source if isinstance(source, DataFrame) else source.df
     asked = df.sparkSession.createDataFrame(list(enumerate(keys)), f"pos int, `{column}` string")
-    found = df.where(F.col(column).isin(sorted(set(keys))))
+    if len(keys) > IN_FILTER:
+        return asked.join(df, column, "left").orderBy("pos")
+    found = df.where(F.col(column).isin(sorted(set(keys)))) if isinstance(source, DataFrame) else source.rows(keys)
     return asked.join(F.broadcast(found), column, "left").orderBy("pos")

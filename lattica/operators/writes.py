@@ -293,7 +293,7 @@ def check_limits(path: str, fields: dict[str, Value], max_bytes: int = MAX_BYTES
 
 
 def apply(writes: list[Set | Update | Delete], before: Mapping[str, Document], subtree: Callable[[str], Iterable[str]], now: int,
-          authorize: Callable[[Any, Document | None, Document | None], None] | None = None) -> Outcome:
+          authorize: Callable[[Any, Document | None, Document | None], None] | None = None, max_bytes: int = MAX_BYTES, max_depth: int = MAX_DEPTH) -> Outcome:
     """The outcome of a batch over ``before`` (the documents it names and the subtrees of its cascades).
 
     Writes see those before them in the batch; all have one commit time.  A cascade removes what stood below its root
@@ -327,7 +327,7 @@ def apply(writes: list[Set | Update | Delete], before: Mapping[str, Document], s
             v = transformed(V.read_path(fields, t.field), t, now)
             fields = set_at(fields, t.field.split("."), v)
             results[t.field] = v
-        check_limits(w.path, fields)
+        check_limits(w.path, fields, max_bytes, max_depth)
         after = Document(w.path, fields, have.created if have else now, now, have.version + 1 if have else 1)
         if authorize:
             authorize(w, have, after)
@@ -359,34 +359,85 @@ def _check_precondition(w: Set | Update | Delete, have: Document | None) -> None
 def _value(node: Any, at: str) -> Value:
     if node == {"deleteField": True}:
         return DELETE
-    if isinstance(node, dict) and len(node) == 1:
-        ((tag, p),) = node.items()
-        if KINDS.get(tag) == "map" and isinstance(p, dict):
-            return Value("map", {k: _value(x, f"{at}.{k}") for k, x in (p.get("fields") or {}).items()})
-        if KINDS.get(tag) == "array" and isinstance(p, dict):
-            return Value("array", tuple(_value(x, f"{at}[{i}]") for i, x in enumerate(p.get("values") or [])))
     try:
+        if isinstance(node, dict) and len(node) == 1:
+            ((tag, p),) = node.items()
+            if KINDS.get(tag) == "map" and isinstance(p, dict):
+                return Value("map", {k: _value(x, f"{at}.{k}") for k, x in V.inside(p, "fields", dict).items()})
+            if KINDS.get(tag) == "array" and isinstance(p, dict):
+                return Value("array", tuple(_value(x, f"{at}[{i}]") for i, x in enumerate(V.inside(p, "values", list))))
         return from_json(node, at)
     except ValueFormatError as e:
         raise invalid(str(e)) from e
 
 
-def parse_write(node: dict) -> Set | Update | Delete:
-    """One of ``set``, ``update`` and ``delete`` from JSON."""
+def _part(node: dict, name: str, kind: type, at: str) -> Any:
+    """``node[name]`` if it is of a kind, None if it is absent or null."""
+    v = node.get(name)
+    if v is not None and not isinstance(v, kind):
+        raise invalid(f"{at}.{name}: not {'an object' if kind is dict else 'a list' if kind is list else 'true or false' if kind is bool else 'a string'}")
+    return v
+
+
+def _transform(node: Any, at: str) -> Transform:
+    if not isinstance(node, dict):
+        raise invalid(f"{at}: a transform is an object")
+    name, kind = _part(node, "field", str, at), _part(node, "kind", str, at)
+    if not name or kind not in TRANSFORMS:
+        raise invalid(f"{at}: a transform has a field and a kind of {', '.join(TRANSFORMS)}")
+    return Transform(name, kind, _value(node["operand"], f"{at}.operand") if "operand" in node else None)
+
+
+def parse_write(node: Any) -> Set | Update | Delete:
+    """One of ``set``, ``update`` and ``delete`` from JSON; whatever is not of the grammar is INVALID_ARGUMENT, with its place."""
     kinds = [k for k in ("set", "update", "delete") if isinstance(node, dict) and k in node]
     if len(kinds) != 1 or len(node) != 1 or not isinstance(node[kinds[0]], dict):
         raise invalid("a write is an object with exactly one of set, update and delete")
-    w = node[kinds[0]]
-    p = w.get("precondition") or {}
-    pre = Precondition(p.get("exists"), V.micros(p["updateTime"]) if p.get("updateTime") else None)
+    w, at = node[kinds[0]], f"$.{kinds[0]}"
+    path = _part(w, "path", str, at) or ""
+    p = _part(w, "precondition", dict, at) or {}
+    exists, when = _part(p, "exists", bool, f"{at}.precondition"), _part(p, "updateTime", str, f"{at}.precondition")
+    try:
+        pre = Precondition(exists, V.micros(when) if when else None)
+    except ValueFormatError as e:
+        raise invalid(f"{at}.precondition.updateTime: {e}") from e
     if kinds[0] == "delete":
-        return Delete(w.get("path", ""), bool(w.get("cascade")), pre)
-    fields = {k: _value(v, f"$.{kinds[0]}.fields.{k}") for k, v in (w.get("fields") or {}).items()}
-    transforms = tuple(Transform(t["field"], t["kind"], _value(t["operand"], f"$.transforms[{i}]") if "operand" in t else None) for i, t in enumerate(w.get("transforms") or []))
+        return Delete(path, bool(_part(w, "cascade", bool, at)), pre)
+    fields = {k: _value(v, f"{at}.fields.{k}") for k, v in (_part(w, "fields", dict, at) or {}).items()}
+    transforms = tuple(_transform(t, f"{at}.transforms[{i}]") for i, t in enumerate(_part(w, "transforms", list, at) or []))
     if kinds[0] == "update":
-        return Update(w.get("path", ""), fields, transforms, pre)
-    mask = w.get("mergeFields")
-    return Set(w.get("path", ""), fields, bool(w.get("merge")), tuple(mask) if mask is not None else None, transforms, pre)
+        return Update(path, fields, transforms, pre)
+    mask = _part(w, "mergeFields", list, at)
+    if mask is not None and not all(isinstance(m, str) and m and "" not in m.split(".") for m in mask):
+        raise invalid(f"{at}.mergeFields: a list of field paths")
+    return Set(path, fields, bool(_part(w, "merge", bool, at)), tuple(mask) if mask is not None else None, transforms, pre)
+
+
+def to_json(w: Set | Update | Delete) -> dict:
+    """The JSON form of a write, which ``parse_write`` reads back."""
+    def value(v: Value) -> dict:
+        if v.kind == "delete":
+            return {"deleteField": True}
+        if v.kind == "map":
+            return {"mapValue": {"fields": {k: value(x) for k, x in v.v.items()}}}
+        return V.to_json(v)
+
+    out: dict[str, Any] = {"path": w.path}
+    if w.precondition != Precondition():
+        p = w.precondition
+        out["precondition"] = ({"exists": p.exists} if p.exists is not None else {}) | ({"updateTime": V.stamp(p.update_time)} if p.update_time is not None else {})
+    if isinstance(w, Delete):
+        return {"delete": out | ({"cascade": True} if w.cascade else {})}
+    out["fields"] = {k: value(v) for k, v in w.fields.items()}
+    if w.transforms:
+        out["transforms"] = [{"field": t.field, "kind": t.kind} | ({"operand": value(t.operand)} if t.operand is not None else {}) for t in w.transforms]
+    if isinstance(w, Update):
+        return {"update": out}
+    if w.merge:
+        out["merge"] = True
+    if w.merge_fields is not None:
+        out["mergeFields"] = list(w.merge_fields)
+    return {"set": out}
 
 
 class Batch:
@@ -410,5 +461,3 @@ class Batch:
     def transform(self, path: str, *transforms: Transform) -> Batch:
         self.writes.append(Set(path, {}, merge=True, transforms=tuple(transforms)))
         return self
-
-

@@ -223,7 +223,7 @@ _PATHS = ["customer/7", "customer/999999999", "customer/3", "customer/1200", "cu
 
 def _multi_get(spark: SparkSession, root: str) -> DataFrame:
     """In the order asked for, with nulls for the missing; the asked paths are a handful of literals."""
-    return rows_for(typed(spark, root, "customer").df, _PATHS, "document_path").select("pos", "document_path", "c_name")
+    return rows_for(typed(spark, root, "customer"), _PATHS).select("pos", "document_path", "c_name")
 
 
 _add("multi_get", _multi_get, f"SELECT pos, p.document_path, c_name FROM (VALUES {', '.join(f'({i}, {p!r})' for i, p in enumerate(_PATHS))}) p(pos, document_path) LEFT JOIN {_SQL_TABLES['customer']} c ON c.document_path = p.document_path")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,6 +25,7 @@ class TypedCollection:
     def __init__(self, name: str, df: DataFrame, id_column: str | Column):
         self.name = name
         key = F.col(id_column) if isinstance(id_column, str) else id_column
+        self.key = (F.col(f"`{id_column}`"), df.schema[id_column].dataType) if isinstance(id_column, str) else None
         self.df = df.withColumn("document_path", F.concat(F.lit(f"{name}/"), key.cast("string")))
 
     def scan(self, collection: str) -> DataFrame:
@@ -30,7 +33,7 @@ class TypedCollection:
 
     def field(self, path: str) -> C.Field:
         if path == NAME:
-            return C.NameField(F.col("document_path"))
+            return C.NameField(F.col("document_path")) if self.key is None else C.KeyField(F.col("document_path"), f"{self.name}/", *self.key)
         t: T.DataType = self.df.schema
         column: Column | None = None
         for name in path.split("."):
@@ -48,6 +51,13 @@ class TypedCollection:
                 return C.TypedField(column.cast("double") if isinstance(t, (T.DecimalType, T.FloatType)) else column, kind)
         return C.TypedField(column, "string")
 
+    def rows(self, paths: Sequence[str]) -> DataFrame:
+        """The rows at these paths; where the key is a column, the filter is on it and reaches the scan."""
+        if self.key is None:
+            return self.df.where(F.col("document_path").isin(list(paths)))
+        found = [k for p in sorted(set(paths)) if (k := C.key_of(p, f"{self.name}/", self.key[1])) is not None]
+        return self.df.where(self.key[0].isin(found)) if found else self.df.limit(0)
+
     def project(self, df: DataFrame, select: tuple[str, ...]) -> DataFrame:
         """The path and the selected fields; a selected parent wins over its children."""
         if not select:

@@ -135,14 +135,20 @@ class Indexes:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def build(self, documents: DataFrame, index: Index) -> IndexedCollections:
+    def build(self, documents: DataFrame, index: Index, seq: int | None = None) -> IndexedCollections:
+        """Build or replace the layout; ``seq`` says how far in the feed the documents go."""
         versions = Versions(self.spark, f"{self.path}/{index.name}")
         number, _ = versions.latest()
         with versions.writing(number) as at:
             shredded(documents, index).write.parquet(at)
-            versions.publish(number, {"layout": at})
+            versions.publish(number, {"layout": at, "seq": seq})
         return self.open(index)
 
+    def at(self, index: Index, seq: int) -> IndexedCollections | None:
+        """The layout if it was built from just these documents."""
+        _, manifest = Versions(self.spark, f"{self.path}/{index.name}").latest()
+        return self.open(index) if manifest and manifest.get("seq") == seq else None
+
     def open(self, index: Index) -> IndexedCollections:
         _, manifest = Versions(self.spark, f"{self.path}/{index.name}").latest()
         if not manifest:

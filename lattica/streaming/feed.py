@@ -8,6 +8,9 @@ idempotent sink).
 from __future__ import annotations
 
 import json
+import logging
+import re
+import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -18,8 +21,10 @@ from pyspark.sql.streaming import StreamingQuery
 
 from lattica.functions.paths import Pattern
 from lattica.operators.writes import Document
-from lattica.sources.store import CHANGES, DocumentStore
+from lattica.sources.shared import Conflict, Versions
+from lattica.sources.store import CHANGES, DocumentStore, PrunedError
 
+log = logging.getLogger(__name__)
 FORMAT = "lattica_changes"
 
 
@@ -62,7 +67,10 @@ class ChangeReader(DataSourceStreamReader):
         return {"seq": latest_manifest(self.path)["seq"]}
 
     def partitions(self, start: dict, end: dict) -> list[Span]:
-        spans = [c for c in latest_manifest(self.path)["changes"] if c["to"] > start["seq"] and c["from"] <= end["seq"]]
+        m = latest_manifest(self.path)
+        if start["seq"] < m.get("first_seq", 1) - 1:
+            raise PrunedError(f"changes after {start['seq']} are no longer held; the first is {m['first_seq']}")
+        spans = [c for c in m["changes"] if c["to"] > start["seq"] and c["from"] <= end["seq"]]
         return [Span(c["path"], start["seq"], end["seq"]) for c in spans]
 
     def read(self, partition: Span) -> Iterator:
@@ -93,11 +101,34 @@ def change_stream(store: DocumentStore, start: int | str = "latest") -> DataFram
     return store.spark.readStream.format(FORMAT).option("path", store.path).option("startingSeq", str(start)).load()
 
 
-def follow(store: DocumentStore, handle: Callable[[DataFrame, DataFrame], None], checkpoint: str, start: int | str = "latest", once: bool = False, every: str = "2 seconds") -> StreamingQuery:
-    """Give each batch of changes to ``handle(changes, documents)``; a batch that fails is given again.
+#: Seconds before a batch that failed is given again: the first pause, doubled each time up to the last.
+BACKOFF = (1.0, 30.0)
+
+
+def _retry(handle: Callable[[], None], attempts: int | None, backoff: tuple[float, float], name: str) -> None:
+    """Call until it succeeds, or raise what the last of ``attempts`` raised; None: for ever."""
+    n = 0
+    while True:
+        try:
+            return handle()
+        except Exception as e:
+            n += 1
+            if attempts is not None and n >= attempts:
+                raise
+            pause = min(backoff[1], backoff[0] * 2 ** min(n - 1, 30))
+            log.warning("%s: attempt %d failed (%s), again in %.1f s", name, n, e, pause)
+            time.sleep(pause)
+
+
+def follow(store: DocumentStore, handle: Callable[[DataFrame, DataFrame], None], checkpoint: str, start: int | str = "latest", once: bool = False, every: str = "2 seconds",
+           durable: bool = True, attempts: int | None = 1, backoff: tuple[float, float] = BACKOFF) -> StreamingQuery:
+    """Give each batch of changes to ``handle(changes, documents)``.
 
     documents: the current rows of the documents the batch names and did not remove, joined once for all consumers of
     the batch.  A consumer that starts for the first time sees changes from then on.
+    A durable consumer's batch that fails is given again in place, with growing pauses, up to ``attempts`` times (None: for
+    ever); then the query ends, and starts with the same batch when it is started again.  One that is not durable has
+    its failure logged and goes on with the next batch.
     """
 
     def batch(changes: DataFrame, _: int) -> None:
@@ -105,9 +136,12 @@ def follow(store: DocumentStore, handle: Callable[[DataFrame, DataFrame], None],
         try:
             if changes.isEmpty():
                 return
-            named = changes.where(F.col("type") != "removed").select("document_path").distinct()
-            documents = store.snapshot().join(named, "document_path", "left_semi")
-            handle(changes, documents)
+            try:
+                _retry(lambda: handle(changes, store.touched(changes)), attempts if durable else 1, backoff, "consumer")
+            except Exception as e:
+                if durable:
+                    raise
+                log.warning("consumer skips a batch: %s", e)
         finally:
             changes.unpersist()
 
@@ -115,6 +149,52 @@ def follow(store: DocumentStore, handle: Callable[[DataFrame, DataFrame], None],
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
 
 
+class Cursor:
+    """A consumer's place in a store's feed, kept under its name beside the store; it never goes back."""
+
+    def __init__(self, store: DocumentStore, name: str):
+        if not re.fullmatch(r"[A-Za-z0-9_.-]+", name):
+            raise ValueError(f"no consumer name: {name!r}")
+        self.store, self.name = store, name
+        self._saves = Versions(store.spark, f"{store.path}/cursors/{name}")
+
+    def get(self) -> int | None:
+        return self._saves.latest()[1].get("seq")
+
+    def save(self, seq: int) -> int:
+        """Save a place unless a later one is saved already; returns the place that holds."""
+        while True:
+            number, held = self._saves.latest()
+            if held.get("seq") is not None and held["seq"] >= seq:
+                return held["seq"]
+            try:
+                self._saves.publish(number, {"seq": seq})
+            except Conflict:
+                continue
+            self._saves.prune()
+            return seq
+
+
+def catch_up(store: DocumentStore, name: str, handle: Callable[[DataFrame, DataFrame], None], batch: int = 100_000, attempts: int | None = None, backoff: tuple[float, float] = BACKOFF) -> int:
+    """Give a named consumer everything since its cursor, in batches of at most ``batch`` sequence numbers; returns its place.
+
+    The cursor is saved after each batch, so each batch comes at least once, over any number of processes; a batch that
+    fails is given again, with growing pauses.  A consumer that starts for the first time begins at the end of the feed.
+    """
+    cursor = Cursor(store, name)
+    m = store.state()[1]
+    at = cursor.get()
+    if at is None:
+        return cursor.save(m["seq"])
+    while at < m["seq"]:
+        upto = min(m["seq"], at + batch)
+        changes = store.changes(at, m).where(F.col("seq") <= upto)
+        _retry(lambda changes=changes: handle(changes, store.touched(changes, m)), attempts, backoff, name)
+        at = cursor.save(upto)
+        m = store.state()[1]
+    return at
+
+
 class Hook:
     """Callbacks on documents; they must bear being called twice for a change."""
 
@@ -126,7 +206,11 @@ class Hook:
 
 
 class Hooks:
-    """Hooks by path pattern, called in feed order on the driver; a batch has as many calls as it has matching changes."""
+    """Hooks by path pattern, called in feed order on the driver; a batch has as many calls as it has matching changes.
+
+    Only changes that some pattern may match reach the driver.  Hooks that need no order are better off on the
+    executors: ``follow`` with a handler that calls ``foreachPartition`` on the joined batch.
+    """
 
     def __init__(self) -> None:
         self.bound: list[tuple[Pattern, Hook]] = []
@@ -136,7 +220,8 @@ class Hooks:
         return self
 
     def __call__(self, changes: DataFrame, documents: DataFrame) -> None:
-        rows = changes.alias("c").join(documents.alias("d"), "document_path", "left").select("c.seq", "c.type", "document_path", "d.data", "d.created_at", "d.updated_at", F.col("d.version").alias("version")).orderBy("seq")
+        rows = changes.alias("c").join(documents.alias("d"), "document_path", "left").select("c.seq", "c.type", "document_path", "d.data", "d.created_at", "d.updated_at", F.col("d.version").alias("version"))
+        rows = rows.where(F.col("document_path").rlike("|".join(p.regex() for p, _ in self.bound) or "$^")).orderBy("seq")
         for r in rows.toLocalIterator():
             for pattern, hook in self.bound:
                 captures = pattern.match(r["document_path"])
