@@ -16,7 +16,7 @@ from lattica.operators.lookup import rows_for
 from lattica.plans.ast import Order, Unary
 from lattica.plans.compiler import matching, page
 from lattica.plans.parser import parse_aggregations, parse_query
-from lattica.queries.pipeline import _CURRENT
+from lattica.queries.pipeline import CURRENT
 from lattica.sources.collections import TaggedCollections, TypedCollection
 from lattica.sources.indexes import Index, Indexes
 from lattica.sources.shared import fresh
@@ -178,12 +178,12 @@ _add("select_nested", lambda spark, root: (lambda src: src.project(matching(src,
 _page("select_top", {"collection": "events", "select": ["value"], "orderBy": [{"field": "value"}], "limit": 30}, f"SELECT document_path, value FROM {E} ORDER BY value, document_path LIMIT 30", "document_path, value")
 
 # stored documents
-_ORDERS = "tenants/kestrel-works/orders"
-_C = f"WITH {_CURRENT}, docs AS (SELECT c.*, json_valid(c.data) AS ok, CASE WHEN json_valid(c.data) THEN c.data::JSON ELSE '{{}}'::JSON END AS j FROM current c WHERE document_path LIKE '{_ORDERS}/%' AND document_path NOT LIKE '{_ORDERS}/%/%')"
+ORDERS = "tenants/kestrel-works/orders"
+_C = f"WITH {CURRENT}, docs AS (SELECT c.*, json_valid(c.data) AS ok, CASE WHEN json_valid(c.data) THEN c.data::JSON ELSE '{{}}'::JSON END AS j FROM current c WHERE document_path LIKE '{ORDERS}/%' AND document_path NOT LIKE '{ORDERS}/%/%')"
 
 
 def _stored(name: str, where: dict, condition: str) -> None:
-    _add(name, lambda spark, root: matching(stored(spark, root), parse_query({"collection": _ORDERS, "where": where})).select("document_path"), f"{_C} SELECT document_path FROM docs WHERE {condition}")
+    _add(name, lambda spark, root: matching(stored(spark, root), parse_query({"collection": ORDERS, "where": where})).select("document_path"), f"{_C} SELECT document_path FROM docs WHERE {condition}")
 
 
 _stored("stored_eq_string", field("status", "eq", stringValue="paid"), "json_extract_string(j, '$.status.stringValue') = 'paid'")
@@ -194,12 +194,12 @@ _stored("stored_timestamp_range", field("placedAt", "gte", timestampValue="2025-
 _stored("stored_reference", field("buyer", "gte", referenceValue="users/m"), "json_extract_string(j, '$.buyer.referenceValue') >= 'users/m'")
 _stored("stored_not_missing", {"not": field("coupon", "ne", stringValue="x")}, "NOT (json_exists(j, '$.coupon') AND NOT json_exists(j, '$.coupon.nullValue') AND coalesce(json_extract_string(j, '$.coupon.stringValue') <> 'x', true))")
 _add("stored_array_contains", lambda spark, root: matching(stored(spark, root), parse_query({"collection": "posts", "where": field("tags", "arrayContains", stringValue="velvet")})).select("document_path"),
-     f"WITH {_CURRENT}, docs AS (SELECT document_path, CASE WHEN json_valid(data) THEN data::JSON ELSE '{{}}'::JSON END AS j FROM current WHERE document_path LIKE 'posts/%' AND document_path NOT LIKE 'posts/%/%') "
+     f"WITH {CURRENT}, docs AS (SELECT document_path, CASE WHEN json_valid(data) THEN data::JSON ELSE '{{}}'::JSON END AS j FROM current WHERE document_path LIKE 'posts/%' AND document_path NOT LIKE 'posts/%/%') "
      "SELECT document_path FROM docs WHERE list_contains(list_transform((j->'tags'->'arrayValue'->'values')::JSON[], lambda v: v->>'stringValue'), 'velvet')")
-_add("stored_projection", lambda spark, root: (lambda src: src.project(matching(src, parse_query({"collection": _ORDERS})), ("status", "delivery.address.city")).select(
+_add("stored_projection", lambda spark, root: (lambda src: src.project(matching(src, parse_query({"collection": ORDERS})), ("status", "delivery.address.city")).select(
     "document_path", src.field("status").text().alias("status"), src.field("delivery.address.city").text().alias("city"), F.length("data").alias("size").isNotNull().alias("kept")))(stored(spark, root)),
      f"{_C} SELECT document_path, json_extract_string(j, '$.status.stringValue') AS status, json_extract_string(j, '$.delivery.mapValue.fields.address.mapValue.fields.city.stringValue') AS city, true AS kept FROM docs")
-_add("stored_order_cross_type", lambda spark, root: page(stored(spark, root), parse_query({"collection": _ORDERS, "orderBy": [{"field": "total"}], "limit": 200})).select("document_path"),
+_add("stored_order_cross_type", lambda spark, root: page(stored(spark, root), parse_query({"collection": ORDERS, "orderBy": [{"field": "total"}], "limit": 200})).select("document_path"),
      f"""{_C}, keyed AS (SELECT document_path, CASE WHEN json_exists(j, '$.total.nullValue') THEN 10 WHEN json_exists(j, '$.total.booleanValue') THEN 20 WHEN json_extract_string(j, '$.total.doubleValue') = 'NaN' THEN 29
         WHEN json_exists(j, '$.total.doubleValue') OR json_exists(j, '$.total.integerValue') THEN 30 WHEN json_exists(j, '$.total.timestampValue') THEN 40 WHEN json_exists(j, '$.total.stringValue') THEN 50 ELSE 60 END AS r,
         CASE WHEN json_extract_string(j, '$.total.doubleValue') <> 'NaN' THEN (json_extract_string(j, '$.total.doubleValue'))::DOUBLE ELSE (json_extract_string(j, '$.total.integerValue'))::DOUBLE END AS n, json_extract_string(j, '$.total.stringValue') AS s FROM docs WHERE json_exists(j, '$.total'))
@@ -209,8 +209,8 @@ _add("stored_order_cross_type", lambda spark, root: page(stored(spark, root), pa
 def _mixed_types(spark: SparkSession, root: str) -> DataFrame:
     """Order over a field that is null or a string (``total`` is always a double): all nulls, and 100 rows beyond them."""
     src = stored(spark, root)
-    nulls = count_frame(src, parse_query({"collection": _ORDERS, "where": {"unary": "isNull", "field": "coupon"}}), "n").first()["n"]
-    return page(src, parse_query({"collection": _ORDERS, "orderBy": [{"field": "coupon"}], "limit": nulls + 100})).select("document_path")
+    nulls = count_frame(src, parse_query({"collection": ORDERS, "where": {"unary": "isNull", "field": "coupon"}}), "n").first()["n"]
+    return page(src, parse_query({"collection": ORDERS, "orderBy": [{"field": "coupon"}], "limit": nulls + 100})).select("document_path")
 
 
 _add("stored_order_mixed_types", _mixed_types,
@@ -234,18 +234,7 @@ _add("list_subcollections", lambda spark, root: collection_ids(table(spark, root
      "SELECT DISTINCT split_part(document_path, '/', 3) AS collection_id FROM winche_documents WHERE starts_with(document_path, 'tenants/kestrel-works/')")
 _NOW = "2025-04-01T00:00:00Z"
 _add("ttl_expired", lambda spark, root: expired(stored(spark, root).df, "sessions", "startedAt", micros(_NOW)).select("document_path"),
-     f"WITH {_CURRENT} SELECT document_path FROM current WHERE split_part(document_path, '/', -2) = 'sessions' AND json_valid(data) AND json_extract_string(data, '$.startedAt.timestampValue')::TIMESTAMP < TIMESTAMP '2025-04-01 00:00:00'")
-
-# the change feed
-_add("feed_after", lambda spark, root: table(spark, root, "winche_changes").where(F.col("seq") > 5000).select("seq", "type", "document_path", "version"), "SELECT seq, type, document_path, version FROM winche_changes WHERE seq > 5000")
-_add("feed_ends", lambda spark, root: table(spark, root, "winche_changes").agg(F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq")), "SELECT min(seq) AS first_seq, max(seq) AS last_seq FROM winche_changes")
-_add("feed_touched_documents", lambda spark, root: stored(spark, root).df.select("document_path").join(
-    table(spark, root, "winche_changes").where((F.col("seq") > 5000) & (F.col("type") != "removed")).select("document_path").distinct(), "document_path", "left_semi"),
-     "SELECT DISTINCT document_path FROM winche_documents WHERE document_path IN (SELECT document_path FROM winche_changes WHERE seq > 5000 AND type <> 'removed')")
-_add("feed_cursors", lambda spark, root: table(spark, root, "winche_feed_cursors").groupBy("consumer").agg(F.max("seq").alias("seq")), "SELECT consumer, max(seq) AS seq FROM winche_feed_cursors GROUP BY consumer")
-_add("feed_latest_version", lambda spark, root: table(spark, root, "winche_changes").groupBy("document_path").agg(F.max(F.struct("seq", "version")).alias("m")).select("document_path", F.col("m.seq").alias("seq"), F.col("m.version").alias("version")),
-     "SELECT document_path, max(seq) AS seq, max((seq, version))[2] AS version FROM winche_changes GROUP BY document_path")
-
+     f"WITH {CURRENT} SELECT document_path FROM current WHERE split_part(document_path, '/', -2) = 'sessions' AND json_valid(data) AND json_extract_string(data, '$.startedAt.timestampValue')::TIMESTAMP < TIMESTAMP '2025-04-01 00:00:00'")
 
 # differences of two results
 def _snapshot_diff(spark: SparkSession, root: str) -> DataFrame:
@@ -291,7 +280,7 @@ def _store_round_trip(spark: SparkSession, root: str) -> DataFrame:
     return store.snapshot().select("document_path", "collection_path", "data", "version")
 
 
-_add("store_load_snapshot", _store_round_trip, f"WITH {_CURRENT}, v AS (SELECT document_path, max(version) AS version FROM winche_documents GROUP BY document_path) SELECT c.document_path, regexp_replace(c.document_path, '/[^/]*$', '') AS collection_path, data, version FROM current c JOIN v USING (document_path)")
+_add("store_load_snapshot", _store_round_trip, f"WITH {CURRENT}, v AS (SELECT document_path, max(version) AS version FROM winche_documents GROUP BY document_path) SELECT c.document_path, regexp_replace(c.document_path, '/[^/]*$', '') AS collection_path, data, version FROM current c JOIN v USING (document_path)")
 
 
 def _store_feed(spark: SparkSession, root: str) -> DataFrame:
@@ -310,7 +299,7 @@ _add("stream_feed", _store_feed, "SELECT document_path, 'added' AS type, max(ver
 def _indexed(spark: SparkSession, root: str, q: dict) -> DataFrame:
     index = Index("orders", (Order("total"), Order("status")), Unary("exists", "total"))
     src = Indexes(spark, fresh(spark, "indexes")).build(stored(spark, root).df, index)
-    return matching(src, parse_query({"collection": _ORDERS, **q})).select("document_path")
+    return matching(src, parse_query({"collection": ORDERS, **q})).select("document_path")
 
 
 _add("indexed_gt_number", lambda spark, root: _indexed(spark, root, {"where": field("total", "gt", integerValue="100")}), SQL["stored_gt_number"])

@@ -99,7 +99,7 @@ for _name, _op, _value, _condition in (
 _filter("gte_null", _test("gte", {"nullValue": None}), "false")
 _filter("lt_nan", _test("lt", {"doubleValue": "NaN"}), "false")
 _filter("in", _test("in", _array({"doubleValue": 40.0}, _s("view-40"), _array(_i(3), _s("view")), {"booleanValue": False})), _present("num = 40 OR k = 6 AND s = 'view-40' OR k = 10 AND u % 5 = 3 AND t = 'view' OR k = 1 AND u % 2 <> 0"))
-_filter("not_in", _test("notIn", _array(_i(40), _b(b"b40"))), "k NOT IN (0, 2, 12) AND NOT coalesce(num = 40 OR k = 7 AND s = 'b40', false)")
+_filter("in_none", _test("notIn", _array(_i(40), _b(b"b40"))), "k NOT IN (0, 2, 12) AND NOT coalesce(num = 40 OR k = 7 AND s = 'b40', false)")
 _filter("array_contains", _test("arrayContains", {"doubleValue": 3.0}), "k = 10 AND u % 5 = 3")
 _filter("array_contains_any", _test("arrayContainsAny", _array(_i(1), _s("view"))), "k = 10 AND (u % 5 = 1 OR t = 'view')")
 _filter("array_contains_all", _test("arrayContainsAll", _array(_i(1), _s("view"))), "k = 10 AND u % 5 = 1 AND t = 'view'")

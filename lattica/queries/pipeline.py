@@ -118,13 +118,13 @@ QUERIES = {f.__name__: f for f in (
     p5_found, p5_two_runs, p5_process_new)}
 
 # arg_max skips rows whose argument is null, so the row is taken as one struct
-_CURRENT = """current AS (
+CURRENT = """current AS (
     SELECT document_path, r.data AS data, r.collection_id AS collection_id, r.created_at AS created_at, r.updated_at AS updated_at
     FROM (SELECT document_path, arg_max(struct_pack(data := data, collection_id := collection_id, created_at := created_at, updated_at := updated_at), k) AS r
         FROM (SELECT *, struct_pack(v := version, c := collection_id IS NOT NULL, u := updated_at) AS k FROM winche_documents WHERE document_path IS NOT NULL) GROUP BY document_path))"""
 
 # a node is a tagged value; ``v`` is what stands under its tag
-_NODES = _CURRENT + """,
+_NODES = CURRENT + """,
 nodes AS (
     SELECT document_path, f.key AS pointer, false AS in_array, '' AS parent_case, '' AS own_case, json_keys(f.value)[1] AS tag, f.value AS whole
     FROM (SELECT document_path, data FROM current WHERE json_valid(data)) c, json_each(c.data) f
@@ -160,11 +160,11 @@ SQL = {
         WITH RECURSIVE {_NODES} SELECT c.document_path, 0::BIGINT AS pre, count(n.document_path) AS post, count(n.document_path) AS descendants
         FROM current c LEFT JOIN nodes n ON n.document_path = c.document_path GROUP BY c.document_path""",
     "p2_items": f"""
-        WITH {_CURRENT}, i AS (SELECT document_path, v.key AS n, v.value->'mapValue'->'fields' AS f, json_exists(v.value, '$.mapValue') AS is_map FROM (SELECT * FROM current WHERE json_valid(data)) c, json_each(coalesce(json_extract(c.data, '$.items.arrayValue.values'), '[]'::JSON)) v)
+        WITH {CURRENT}, i AS (SELECT document_path, v.key AS n, v.value->'mapValue'->'fields' AS f, json_exists(v.value, '$.mapValue') AS is_map FROM (SELECT * FROM current WHERE json_valid(data)) c, json_each(coalesce(json_extract(c.data, '$.items.arrayValue.values'), '[]'::JSON)) v)
         SELECT document_path, 'items[' || n || ']' AS pointer, json_extract_string(f, '$.product.referenceValue') AS product, coalesce(json_extract_string(f, '$.qty.integerValue'), json_extract_string(f, '$.qty.doubleValue')) AS qty,
             coalesce(json_extract_string(f, '$.price.doubleValue'), json_extract_string(f, '$.price.integerValue')) AS price FROM i WHERE is_map""",
     "p2_item_options": f"""
-        WITH {_CURRENT}, i AS (SELECT document_path, 'items[' || v.key || ']' AS item, v.value->'mapValue'->'fields' AS f FROM (SELECT * FROM current WHERE json_valid(data)) c, json_each(coalesce(json_extract(c.data, '$.items.arrayValue.values'), '[]'::JSON)) v WHERE json_exists(v.value, '$.mapValue')),
+        WITH {CURRENT}, i AS (SELECT document_path, 'items[' || v.key || ']' AS item, v.value->'mapValue'->'fields' AS f FROM (SELECT * FROM current WHERE json_valid(data)) c, json_each(coalesce(json_extract(c.data, '$.items.arrayValue.values'), '[]'::JSON)) v WHERE json_exists(v.value, '$.mapValue')),
         o AS (SELECT document_path, item, f AS parent, item || '.options[' || v.key || ']' AS pointer, v.value->'mapValue'->'fields' AS g FROM i, json_each(coalesce(json_extract(i.f, '$.options.arrayValue.values'), '[]'::JSON)) v WHERE json_exists(v.value, '$.mapValue'))
         SELECT document_path, pointer, item, json_extract_string(parent, '$.product.referenceValue') AS product, json_extract_string(g, '$.name.stringValue') AS name,
             coalesce(json_extract_string(g, '$.value.stringValue'), json_extract_string(g, '$.value.integerValue'), json_extract_string(g, '$.value.doubleValue')) AS value FROM o""",

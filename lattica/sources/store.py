@@ -22,6 +22,7 @@ from lattica.functions import values as V
 from lattica.functions.paths import is_document, split_document
 from lattica.functions.values import Value
 from lattica.operators.listing import expired
+from lattica.operators.nested import parse
 from lattica.operators.numbering import numbered_rows
 from lattica.operators.writes import MAX_BYTES, MAX_DEPTH, Delete, Document, Outcome, Set, Update, WriteError, apply, check, parse_write
 from lattica.sources.collections import DOCUMENT_COLUMNS, TaggedCollections
@@ -57,7 +58,8 @@ def encode(fields: dict[str, Value]) -> str:
 
 
 def decode(data: str | None) -> dict[str, Value]:
-    return {k: V.from_json(v) for k, v in json.loads(data or "{}").items()}
+    """The fields of a stored document; null or unreadable text has none."""
+    return {k: V.from_json(v) for k, v in parse(data).items()}
 
 
 class DocumentStore:
