@@ -112,7 +112,7 @@ def nearest_enclosing(labels: Iterable[tuple[int, int]]) -> list[int]:
 
 
 def _text(payload: object) -> str | None:
-    return payload if payload is None or isinstance(payload, str) else json.dumps(payload, ensure_ascii=False, sort_keys=True)
+    return payload if payload is None or isinstance(payload, str) else json.dumps(payload, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
 
 
 #: Nodes put out at once, whatever the size of the documents.

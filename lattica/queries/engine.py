@@ -199,6 +199,11 @@ _add("stored_array_contains", lambda spark, root: matching(stored(spark, root),
 _add("stored_projection", lambda spark, root: (lambda src: src.project(matching(src, parse_query({"collection": ORDERS})), ("status", "delivery.address.city")).select(
     "document_path", src.field("status").text().alias("status"), src.field("delivery.address.city").text().alias("city"), F.length("data").alias("size").isNotNull().alias("kept")))(stored(spark, root)),
      f"{_C} SELECT document_path, json_extract_string(j, '$.status.stringValue') AS status, json_extract_string(j, '$.delivery.mapValue.fields.address.mapValue.fields.city.stringValue') AS city, true AS kept FROM docs")
+_add("stored_projection_data", lambda spark, root: (lambda src: src.project(matching(src, parse_query({"collection": ORDERS})), ("status", "delivery.address.city", "delivery.address.zip", "buyer")).select("document_path", "data"))(stored(spark, root)),
+     f"""{_C}, parts AS (SELECT document_path, (j->'status')::VARCHAR AS status, (j->'buyer')::VARCHAR AS buyer, json_exists(j, '$.delivery.mapValue') AS has_delivery, json_exists(j, '$.delivery.mapValue.fields.address.mapValue') AS has_address,
+            json_extract(j, '$.delivery.mapValue.fields.address.mapValue.fields.city')::VARCHAR AS city, json_extract(j, '$.delivery.mapValue.fields.address.mapValue.fields.zip')::VARCHAR AS zip FROM docs)
+        SELECT document_path, '{{' || concat_ws(',', '"status":' || status, '"buyer":' || buyer, CASE WHEN has_delivery THEN '"delivery":{{"mapValue":{{"fields":{{' ||
+            CASE WHEN has_address THEN '"address":{{"mapValue":{{"fields":{{' || concat_ws(',', '"city":' || city, '"zip":' || zip) || '}}}}}}' ELSE '' END || '}}}}}}' END) || '}}' AS data FROM parts""")
 _add("stored_order_cross_type", lambda spark, root: page(stored(spark, root), parse_query({"collection": ORDERS, "orderBy": [{"field": "total"}], "limit": 200})).select("document_path"),
      f"""{_C}, keyed AS (SELECT document_path, CASE WHEN json_exists(j, '$.total.nullValue') THEN 10 WHEN json_exists(j, '$.total.booleanValue') THEN 20 WHEN json_extract_string(j, '$.total.doubleValue') = 'NaN' THEN 29
         WHEN json_exists(j, '$.total.doubleValue') OR json_exists(j, '$.total.integerValue') THEN 30 WHEN json_exists(j, '$.total.timestampValue') THEN 40 WHEN json_exists(j, '$.total.stringValue') THEN 50 ELSE 60 END AS r,

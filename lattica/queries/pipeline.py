@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lattica.operators.changes import apply_changes
 from lattica.operators.merkle import process_new, unseen_changes
-from lattica.operators.nested import current_rows, element_maps, flat_rows, flat_table, node_table
+from lattica.operators.nested import contained, current_rows, element_maps, flat_rows, flat_table, is_element_map, node_table
 from lattica.operators.orphans import document_orphans, orphan_report
 from lattica.operators.skew import frequent_keys, salted_aggregate
 from lattica.sources.shared import fresh, stage
@@ -72,6 +72,16 @@ def p2_item_options(spark: SparkSession, root: str) -> DataFrame:
     return options.join(items, ["document_path", "parent_pre"]).select("document_path", "pointer", "item", "product", "name", "value")
 
 
+def p2_contained(spark: SparkSession, root: str) -> DataFrame:
+    """Every reference value with each map of an array that it stands in, however far above: two node tables, linked by interval containment."""
+    rows = current_rows(table(spark, root, "winche_documents"), "document_path", "version", "collection_id", "data")
+    nodes = stage(node_table(rows, lambda n: is_element_map(n) or n[2] == "referenceValue"), "nodes")
+    maps, references = nodes.where("kind = 'mapValue'"), nodes.where("kind = 'referenceValue'")
+    links = contained(maps, references)
+    inner = links.join(references.select("document_path", F.col("pre").alias("inner_pre"), F.col("pointer").alias("reference"), "value"), ["document_path", "inner_pre"])
+    return inner.join(maps.select("document_path", F.col("pre").alias("outer_pre"), F.col("pointer").alias("map")), ["document_path", "outer_pre"]).select("document_path", "map", "reference", "value")
+
+
 def p3_found(spark: SparkSession, root: str) -> DataFrame:
     return apply_changes(spark, table(spark, root, "winche_changes"), fresh(spark, "p3"))
 
@@ -114,7 +124,7 @@ def p5_process_new(spark: SparkSession, root: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    p1_found, p1_change_collections, p1_document_collections, p2_found, p2_nodes, p2_documents, p2_flat_rows, p2_items, p2_item_options, p3_found, p3_two_runs, p4_found, p4_report,
+    p1_found, p1_change_collections, p1_document_collections, p2_found, p2_nodes, p2_documents, p2_flat_rows, p2_items, p2_item_options, p2_contained, p3_found, p3_two_runs, p4_found, p4_report,
     p5_found, p5_two_runs, p5_process_new)}
 
 # arg_max skips rows whose argument is null, so the row is taken as one struct
@@ -179,5 +189,32 @@ SQL = {
         SELECT DISTINCT c.consumer, k.seq FROM known k, (SELECT DISTINCT consumer FROM saves) c
         WHERE k.commit_time IS NULL OR coalesce(k.commit_time > (SELECT min(s.updated_at) FROM saves s WHERE s.consumer = c.consumer AND s.seq >= k.seq), true)""",
 }
+# every node with its place (the ordinals of the fields and elements on the way to it), which sorts in pre-order
+_PLACED = CURRENT + """,
+placed AS (
+    SELECT document_path, f.key AS pointer, f.key AS name, false AS in_array, 1 AS depth, [f.id]::UBIGINT[] AS place, json_keys(f.value) AS tags, f.value AS whole, NULL::VARCHAR[] AS maps
+    FROM (SELECT document_path, data FROM current WHERE json_valid(data)) c, json_each(c.data) f
+    UNION ALL
+    SELECT n.document_path, CASE WHEN n.tags[1] = 'mapValue' THEN n.pointer || '.' || f.key ELSE n.pointer || '[' || f.key || ']' END, f.key, n.tags[1] = 'arrayValue', n.depth + 1, n.place || [f.id], json_keys(f.value), f.value,
+        CASE WHEN n.in_array AND n.tags[1] = 'mapValue' THEN list_append(coalesce(n.maps, []), n.pointer) ELSE n.maps END
+    FROM placed n, json_each(CASE WHEN n.tags[1] = 'mapValue' THEN coalesce(n.whole->'mapValue'->'fields', '{}'::JSON) WHEN n.tags[1] = 'arrayValue' THEN coalesce(n.whole->'arrayValue'->'values', '[]'::JSON) ELSE '[]'::JSON END) f),
+labelled AS (
+    SELECT document_path, pointer, name, in_array, depth, place, tags[1] AS kind, whole, maps, row_number() OVER (PARTITION BY document_path ORDER BY place) AS pre FROM placed)"""
+SQL["p2_contained"] = f"WITH RECURSIVE {_PLACED} SELECT document_path, m AS map, pointer AS reference, whole->>'referenceValue' AS value FROM labelled, unnest(maps) AS u(m) WHERE kind = 'referenceValue'"
+SQL["p2_nodes"] = f"""
+    WITH RECURSIVE {_PLACED}, sizes AS (
+        SELECT a.document_path, a.pre, count(*) AS below FROM labelled a JOIN labelled b ON a.document_path = b.document_path AND len(b.place) >= len(a.place) AND b.place[:len(a.place)] = a.place GROUP BY ALL)
+    SELECT document_path, pre, pre + below - 1 - depth AS post, depth::INT AS depth, coalesce(up.pre, 0) AS parent_pre, kind, in_array, pointer, name,
+        CASE WHEN kind IN ('mapValue', 'arrayValue') THEN NULL ELSE whole->>kind END AS value
+    FROM labelled JOIN sizes USING (document_path, pre) LEFT JOIN (SELECT document_path, place AS above, pre FROM labelled) up ON up.document_path = labelled.document_path AND up.above = labelled.place[:-2]
+    UNION ALL SELECT c.document_path, 0, count(p.document_path), 0, -1, 'document', false, '', '', NULL FROM current c LEFT JOIN placed p ON p.document_path = c.document_path GROUP BY c.document_path"""
+SQL["p2_flat_rows"] = f"""
+    WITH RECURSIVE {_PLACED}, flat AS (
+        SELECT document_path, pre, pointer, CASE WHEN kind = 'mapValue' THEN 'map' ELSE 'value' END AS kind, maps[-1] AS above FROM labelled WHERE in_array AND kind <> 'arrayValue'
+        UNION ALL SELECT document_path, 0, '', 'document', NULL FROM current),
+    held AS (SELECT document_path, coalesce(maps[-1], '') AS pointer, count(DISTINCT pointer) AS n FROM labelled WHERE NOT in_array AND kind NOT IN ('mapValue', 'arrayValue') GROUP BY ALL)
+    SELECT f.document_path, regexp_replace(f.pointer, '\\[[0-9]+\\]', '[]', 'g') AS table_name, f.kind, f.pre, CASE WHEN f.kind = 'document' THEN -1 ELSE coalesce(up.pre, 0) END AS parent_pre, f.pointer,
+        CASE WHEN f.kind = 'value' THEN 1 ELSE coalesce(n, 0) END::INT AS n_fields
+    FROM flat f LEFT JOIN flat up ON up.document_path = f.document_path AND up.pointer = f.above AND up.kind = 'map' LEFT JOIN held ON held.document_path = f.document_path AND held.pointer = f.pointer AND f.kind <> 'value'"""
 SQL["p3_two_runs"], SQL["p5_two_runs"] = SQL["p3_found"], SQL["p5_found"]
 SQL["p5_process_new"] = "SELECT DISTINCT * FROM winche_changes WHERE seq IS NOT NULL"
