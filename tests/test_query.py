@@ -2,22 +2,27 @@
 
 import itertools
 import json
+import re
 
 import pytest
-from helpers import CORPUS, NAN, ZOO, arr, d, document_row, documents, i, mp, s, source, t, zoo
+from helpers import NAN, arr, boundary_values, collection_of, d, document_row, documents, i, mp, natural, s, source, t
 
 from lattica.functions import values as V
 from lattica.functions.values import Value
 from lattica.operators.aggregates import aggregate_frame, finish
+from lattica.operators.predicates import compile_filter
 from lattica.plans.ast import And, Compare, Cursor, Not, Or, Order, ParseError, Query, QueryError, Unary, query_json
 from lattica.plans.compiler import matching, page
-from lattica.plans.normalizer import normalize
+from lattica.plans.normalizer import normalize, rewrite
 from lattica.plans.parser import parse_aggregations, parse_query
 
 
+VALUES = boundary_values()
+
+
 @pytest.fixture(scope="module")
-def animals(spark):
-    src = zoo(spark)
+def every(spark):
+    src = source(spark, collection_of(VALUES))
     src.df = src.df.cache()
     return src
 
@@ -26,53 +31,88 @@ def ids(src, f, collection="c"):
     return sorted(r[0] for r in matching(src, Query(collection, f)).select("document_id").collect())
 
 
-ALL = sorted([*ZOO, "missing"])
-
-CASES = [
-    (t("eq", i(5)), "dbl5 int5"), (t("eq", d(5)), "dbl5 int5"), (t("eq", V.NULL), "null"), (t("eq", d(NAN)), "nan"), (t("eq", s("Apple")), "strA"),
-    (t("eq", Value("timestamp", 0)), "ts"), (t("eq", Value("bytes", b"\x01\x02")), "bytes"), (t("eq", Value("reference", "users/u1")), "ref"), (t("eq", Value("geopoint", (10.0, 20.0))), "geo"),
-    (t("eq", arr(d(1), s("x"))), "arr"), (t("eq", mp(k=d(1))), "map"), (t("eq", Value("boolean", True)), "true"),
-    (t("gt", i(5)), "dbl7"), (t("gte", i(5)), "dbl5 dbl7 int5"), (t("lt", s("banana")), "strA"), (t("lte", s("banana")), "strA strB"), (t("gt", Value("boolean", False)), "true"),
-    (t("gt", d(NAN)), ""), (t("lte", d(NAN)), ""), (t("gt", V.NULL), ""), (t("gt", Value("geopoint", (10.0, 19.0))), "geo"), (t("gt", Value("geopoint", (10.0, 20.0))), ""), (t("gte", Value("geopoint", (10.0, 20.0))), "geo"),
-    (t("gt", arr(i(1))), "arr"), (t("lt", mp(k=i(2))), "map"),
-    (t("ne", i(5)), "arr bytes dbl7 false geo map ref strA strB true ts"), (t("ne", V.NULL), " ".join(sorted(set(ZOO) - {"null", "nan"}))),
-    (t("in", arr(d(5), s("banana"))), "dbl5 int5 strB"), (t("in", arr()), ""), (t("notIn", arr(i(5))), "arr bytes dbl7 false geo map ref strA strB true ts"),
-    (t("arrayContains", d(1)), "arr"), (t("arrayContainsAny", arr(s("y"), s("x"))), "arr"), (t("arrayContainsAll", arr(i(1), s("x"))), "arr"), (t("arrayContainsAll", arr(i(1), s("z"))), ""),
-    (t("startsWith", s("app")), "strA"), (t("endsWith", s("ANA")), "strB"), (t("contains", s("a")), "strA strB"), (t("regex", s("^ban.*a$")), "strB"), (t("regex", s("APPLE")), ""),
-    (Unary("isNull", "f"), "null"), (Unary("isNan", "f"), "nan"), (Unary("exists", "f"), " ".join(sorted(ZOO))),
-    (And((Or((t("eq", i(5)), t("eq", s("Apple")))), Not(t("eq", d(5))))), "strA"),
-    (t("gte", s("c/t"), "__name__"), "true ts"), (t("eq", Value("reference", "c/geo"), "__name__"), "geo"),
-]
-
-
-@pytest.mark.parametrize(("f", "expected"), CASES, ids=lambda x: None if isinstance(x, str) else type(x).__name__)
-def test_filters(animals, f, expected):
-    assert ids(animals, f) == sorted(expected.split())
-
-
-# whether not(...) selects the document in which the field is missing
-MISSING = [
-    (t("eq", i(1)), False), (t("eq", V.NULL), False), (t("eq", d(NAN)), False), (t("in", arr(i(1))), False), (t("gt", i(1)), False), (t("lt", d(NAN)), True), (t("gte", V.NULL), True),
-    (t("ne", i(1)), True), (t("ne", V.NULL), True), (t("notIn", arr(i(1))), True), (t("arrayContains", i(1)), True), (t("arrayContainsAny", arr(i(1))), True), (t("arrayContainsAll", arr(i(1))), True),
-    (t("contains", s("x")), False), (t("regex", s("x")), False), (Unary("isNull", "f"), False), (Unary("isNan", "f"), False), (Unary("exists", "f"), True),
-    (Compare("f", "eq", "other"), False), (Compare("f", "lt", "other"), False), (Compare("f", "ne", "other"), True),
-]
-
-
-@pytest.mark.parametrize(("f", "kept"), MISSING)
-def test_not_over_a_missing_field(animals, f, kept):
-    assert ("missing" in ids(animals, Not(f))) is kept
-
-
-def test_not_selects_other_types(animals):
-    assert set(ids(animals, Not(t("gt", i(5))))) == set(ZOO) - {"dbl7"}
-
-
-def test_like_patterns_are_plain_text(spark):
-    src = source(spark, {"c/a": {"f": s("100% sure")}, "c/b": {"f": s("100 sure")}, "c/q": {"f": s("it's \"_\" \\")}})
-    assert ids(src, t("contains", s("100%"))) == ["a"]
-    assert ids(src, t("contains", s("'s \"_\" \\"))) == ["q"]
-    assert ids(src, t("eq", s("x' OR '1'='1"))) == []
+def expected(op, v, x):
+    """What a test of the field's value ``x`` (None: missing) against ``v`` says: True, False or None, by the rules alone."""
+    null_or_nan = lambda y: natural(y)[0] in (10, 29)
+    if op in ("ne", "notIn"):  # null, NaN and missing fields differ from nothing
+        listed = v.v if op == "notIn" else (v,)
+        return x is not None and not null_or_nan(x) and not any(natural(x) == natural(y) for y in listed)
+    if op in ("gt", "gte", "lt", "lte") and null_or_nan(v):
+        return False
+    if x is None:
+        return None
+    a = natural(x)
+    if op == "in":
+        return any(a == natural(y) for y in v.v)
+    b = natural(v)
+    if op == "eq":
+        return a == b
+    return a[0] == b[0] and {"gt": a > b, "gte": a >= b, "lt": a < b, "lte": a <= b}[op]
+
+
+def one_of_each():
+    """A value from the middle of every type."""
+    by_rank = {}
+    for v in sorted(VALUES, key=natural):
+        by_rank.setdefault(natural(v)[0], []).append(v)
+    return [vs[len(vs) // 2] for vs in by_rank.values()]
+
+
+@pytest.mark.parametrize("v", one_of_each(), ids=lambda v: v.kind)
+def test_comparisons_by_the_rules(every, v):
+    tests = {op: (op, v) for op in ("eq", "ne", "gt", "gte", "lt", "lte")} | {op: (op, arr(v, i(1), s("Z"))) for op in ("in", "notIn")}
+    columns = [compile_filter(every, rewrite(t(op, operand))).alias(name) for name, (op, operand) in tests.items()]
+    rows = {r["document_id"]: r for r in matching(every, Query("c")).select("document_id", *columns).collect()}
+    for n, x in [*[(f"{n:03d}", x) for n, x in enumerate(VALUES)], ("bare", None)]:
+        for name, (op, operand) in tests.items():
+            assert rows[n][name] is expected(op, operand, x), (x, op, operand)
+
+
+def test_a_missing_field_under_not(every):
+    """Of the document without the field, not(...) keeps what is false there and drops what is undecided."""
+    v = i(1)
+    undecided = [t("eq", v), t("eq", V.NULL), t("eq", d(NAN)), t("in", arr(v)), *[t(op, v) for op in ("gt", "gte", "lt", "lte")], *[t(op, s("x")) for op in ("contains", "startsWith", "endsWith", "regex")],
+                 Unary("isNull", "f"), Unary("isNan", "f"), *[Compare("f", op, "g") for op in ("eq", "gt", "gte", "lt", "lte")]]
+    false = [t("ne", v), t("ne", V.NULL), t("notIn", arr(v)), t("arrayContains", v), t("arrayContainsAny", arr(v)), t("arrayContainsAll", arr(v)), *[t(op, x) for op in ("gt", "gte", "lt", "lte") for x in (V.NULL, d(NAN))],
+             Unary("exists", "f"), Compare("f", "ne", "g")]
+    columns = [compile_filter(every, Not(rewrite(f))).alias(str(n)) for n, f in enumerate(undecided + false)]
+    row = matching(every, Query("c")).where("document_id = 'bare'").select(*columns).first()
+    assert list(row) == [None] * len(undecided) + [True] * len(false)
+
+
+def test_unary_and_composite_filters(every):
+    place = {n: f"{n:03d}" for n in range(len(VALUES))}
+    of = lambda test: [place[n] for n, x in enumerate(VALUES) if test(natural(x))]
+    assert ids(every, Unary("isNull", "f")) == of(lambda k: k == (10,)) and ids(every, Unary("isNan", "f")) == of(lambda k: k == (29,))
+    assert ids(every, Unary("exists", "f")) == of(lambda k: True) and ids(every, Not(Unary("exists", "f"))) == ["bare"]
+    assert ids(every, And((Or((t("gte", i(0)), t("eq", s("a")))), Not(t("eq", d(0)))))) == of(lambda k: k[0] == 30 and k[1] > 0 or k == (50, b"a"))
+    assert ids(every, t("gte", s("c/050"), "__name__")) == [*[p for p in place.values() if p >= "050"], "bare"]
+    assert ids(every, t("eq", Value("reference", "c/007"), "__name__")) == ["007"]
+
+
+def test_array_tests_by_the_rules(every):
+    has = lambda x, w: x.kind == "array" and any(natural(y) == natural(w) for y in x.v)
+    for wanted in ((d(1.0),), (i(1), s("b")), (V.NULL, d(1.5)), ()):
+        some, whole = ids(every, t("arrayContainsAny", arr(*wanted))), ids(every, t("arrayContainsAll", arr(*wanted)))
+        assert some == [f"{n:03d}" for n, x in enumerate(VALUES) if any(has(x, w) for w in wanted)]
+        assert whole == [f"{n:03d}" for n, x in enumerate(VALUES) if x.kind == "array" and all(has(x, w) for w in wanted)]
+        if len(wanted) == 1:
+            assert ids(every, t("arrayContains", wanted[0])) == some
+
+
+def test_text_filters(spark):
+    """Texts around every sign that means something to LIKE, to regular expressions or to SQL."""
+    signs = "%_\\'\"[]^$.*+?|()"
+    texts = [f"Ab{c}Cd" for c in signs] + ["AbxCd", "abcd", "ABXCD", ""]
+    src = source(spark, {f"c/{n:02d}": {"f": s(x)} for n, x in enumerate(texts)} | {"c/n": {"f": i(5)}})
+    want = lambda test: [f"{n:02d}" for n, x in enumerate(texts) if test(x)]
+    for c in signs:
+        assert ids(src, t("contains", s(f"b{c}c"))) == want(lambda x: f"b{c}c" in x.lower())  # noqa: B023
+        assert ids(src, t("startsWith", s(f"aB{c}"))) == want(lambda x: x.lower().startswith(f"ab{c}"))  # noqa: B023
+        assert ids(src, t("endsWith", s(f"{c}CD"))) == want(lambda x: x.lower().endswith(f"{c}cd"))  # noqa: B023
+        assert ids(src, t("regex", s(re.escape(f"b{c}C")))) == want(lambda x: f"b{c}C" in x)  # noqa: B023
+    assert ids(src, t("regex", s("^A.*d$"))) == want(lambda x: x.startswith("A") and x.endswith("d"))
+    assert ids(src, t("contains", s(""))) == want(lambda x: True) and ids(src, t("eq", s("x' OR '1'='1"))) == []
 
 
 def test_field_against_field(spark):
@@ -107,16 +147,16 @@ def test_unreadable_documents_have_no_fields(spark):
     assert ids(src, Unary("exists", "f")) == ["ok"]
 
 
-def test_total_order_in_python_and_spark(spark):
-    for a, b in itertools.combinations(range(len(CORPUS)), 2):
-        x, y = CORPUS[a], CORPUS[b]
-        tie = {x.kind, y.kind} == {"double", "integer"} and x.v == y.v
-        assert V.compare(x, y) == (0 if tie else -1), (x, y)
-        assert (V.order_key(x) == V.order_key(y)) == tie and V.order_key(x) <= V.order_key(y), (x, y)
-    src = source(spark, {f"c/{n:02d}": {"f": v} for n, v in enumerate(CORPUS)})
-    got = [r["document_id"] for r in page(src, Query("c", None, (Order("f"),), limit=100)).collect()]
-    assert got == [f"{n:02d}" for n in range(len(CORPUS))]
-    down = [r["document_id"] for r in page(src, Query("c", None, (Order("f", True),), limit=100)).collect()]
+def test_total_order_in_python_and_spark(every):
+    in_order = sorted(range(len(VALUES)), key=lambda n: (natural(VALUES[n]), n))
+    for a, b in itertools.combinations(range(len(VALUES)), 2):
+        x, y = natural(VALUES[a]), natural(VALUES[b])
+        assert V.compare(VALUES[a], VALUES[b]) == (x > y) - (x < y) == -V.compare(VALUES[b], VALUES[a])
+        ka, kb = V.order_key(VALUES[a]), V.order_key(VALUES[b])
+        assert (ka > kb) - (ka < kb) == (x > y) - (x < y)
+    got = [r["document_id"] for r in page(every, Query("c", None, (Order("f"),), limit=1000)).collect()]
+    assert got == [f"{n:03d}" for n in in_order]
+    down = [r["document_id"] for r in page(every, Query("c", None, (Order("f", True),), limit=1000)).collect()]
     assert down == got[::-1]
 
 
