@@ -1,7 +1,8 @@
 """Access rules: which caller may get, list, create, update and delete what.
 
-Rules only grant.  A condition is a Python function of a ``Request``, for reads of one document and for writes; for
-queries it is a list of field tests that must follow from the query's own filter ("rules are not filters").
+Rules only grant.  A condition is an expression (see ``lattica.operators.conditions``), which is evaluated for reads of
+one document and for writes, and must follow from a query's own filter for the query to be allowed ("rules are not
+filters").  It may also be a Python function of a ``Request``; what a query must imply is then listed beside it.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from dataclasses import dataclass, field
 from lattica.functions import values as V
 from lattica.functions.paths import Pattern
 from lattica.functions.values import Value
+from lattica.operators.conditions import Condition
 from lattica.operators.writes import Document, WriteError
 from lattica.plans.ast import And, Query, Test
 
@@ -56,16 +58,20 @@ class Rule:
     operations: frozenset[str]
     condition: Callable[[Request], bool]
     needs: tuple[Need, ...] | None
+    expression: Condition | None = None
 
 
 class Rules:
     def __init__(self) -> None:
         self.rules: list[Rule] = []
 
-    def allow(self, pattern: str, operations: str | tuple[str, ...], condition: Callable[[Request], bool] = lambda r: True, needs: tuple[Need, ...] | None = None) -> Rules:
-        """Grant operations on a path.  ``needs`` (empty: none) says what a query must imply; without it no list is granted
-        by a condition that looks at documents."""
+    def allow(self, pattern: str, operations: str | tuple[str, ...], condition: Callable[[Request], bool] | Condition = lambda r: True, needs: tuple[Need, ...] | None = None) -> Rules:
+        """Grant operations on a path.  For a condition that is a function, ``needs`` (empty: none) says what a query must
+        imply; without it no list is granted by it."""
         ops = (operations,) if isinstance(operations, str) else operations
+        if isinstance(condition, Condition):
+            self.rules.append(Rule(Pattern(pattern), frozenset(o for op in ops for o in GROUPS.get(op, (op,))), condition.holds, needs, condition))
+            return self
         self.rules.append(Rule(Pattern(pattern), frozenset(o for op in ops for o in GROUPS.get(op, (op,))), condition, needs))
         return self
 
@@ -81,12 +87,16 @@ class Rules:
                     continue  # a condition over what is not there grants nothing
         raise WriteError("PERMISSION_DENIED", f"{request.operation} {request.path}")
 
-    def permit_query(self, q: Query, auth: dict) -> None:
-        """Allowed if some rule's needs follow from the query's top-level conjunction."""
+    def permit_query(self, q: Query, auth: dict, fetch: Callable[[str], dict[str, Value] | None] = lambda path: None) -> None:
+        """Allowed if some rule's condition follows from the query's top-level conjunction."""
         tests = [t for t in (q.where.items if isinstance(q.where, And) else [q.where]) if isinstance(t, Test)]
         for rule in self.rules:
             captures = rule.pattern.match(f"{q.collection}/__any__")
-            if captures is None or "list" not in rule.operations or rule.needs is None:
+            if captures is None or "list" not in rule.operations:
+                continue
+            if rule.expression is not None and rule.expression.proven(tests, Request("list", q.collection, auth, captures, 0, fetch=fetch)):
+                return
+            if rule.needs is None:
                 continue
             try:
                 if all(any(implies(t, n, n.value(auth, captures)) for t in tests) for n in rule.needs):
