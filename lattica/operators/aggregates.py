@@ -12,8 +12,9 @@ from lattica.plans.ast import Aggregation, Query
 from lattica.plans.compiler import matching, sort_columns, sorted_by
 from lattica.plans.normalizer import check_aggregations, normalize
 
-#: Doubles up to this size whose decimal text has at most 15 places after the point are added as decimals.
-_EXACT = 1e15
+#: Doubles up to this size whose decimal text has at most 15 places after the point are added as decimals, and those up to
+#: the other with at most two places as whole hundredths.
+_EXACT, _HUNDREDTHS = 1e15, 1e13
 
 
 def capped(source, q: Query, ordered: bool = True) -> DataFrame:
@@ -30,15 +31,22 @@ def count_frame(source, q: Query, alias: str = "count") -> DataFrame:
 
 
 def _sums(source, a: Aggregation) -> list[tuple[str, Column]]:
-    """Columns from which a sum or an average is put together: integers, doubles as decimals, other doubles, NaN and infinities."""
+    """Columns from which a sum or an average is put together: integers, doubles as hundredths or as decimals, other doubles, NaN and infinities.
+
+    Both decimal forms are exact: a double equal to its hundredths over 100 has no shorter decimal text, and they have no
+    more than 15 digits.  Most stored amounts are of that form, which is found and added without making any text.
+    """
     f = source.field(a.field)
     i, d, special = f.integer(), f.double(), f.special()
-    as_decimal = d.cast("string").try_cast("decimal(38,15)")
-    fits = F.coalesce((F.abs(d) < _EXACT) & (as_decimal.cast("double") == d), F.lit(False))
+    hundredths = F.rint(d * 100)
+    whole = F.coalesce((F.abs(d) < _HUNDREDTHS) & (hundredths / 100 == d), F.lit(False))
+    as_decimal = F.when(~whole, d).cast("string").try_cast("decimal(38,15)")
+    fits = whole | F.coalesce((F.abs(d) < _EXACT) & (as_decimal.cast("double") == d), F.lit(False))
     return [
         ("ints", F.sum(i.cast("decimal(20,0)"))),
-        ("exact", F.try_sum(F.when(fits, as_decimal))),
-        ("n_exact", F.count(F.when(fits, 1))),
+        ("hundredths", F.sum(F.when(whole, hundredths.cast("long").cast("decimal(18,0)")))),
+        ("exact", F.try_sum(F.when(fits & ~whole, as_decimal))),
+        ("n_exact", F.count(F.when(fits & ~whole, 1))),
         ("rest", F.sum(F.when(special.isNull() & ~fits, d))),
         ("special", F.sum(special)),
         ("plain", F.sum(F.when(special.isNull(), d))),
@@ -70,7 +78,7 @@ def finish(aggs: tuple[Aggregation, ...], row: dict) -> dict[str, Value]:
         elif get("n_exact") and get("exact") is None:  # beyond 38 digits
             total = float(ints) + (get("plain") or 0.0)
         else:
-            total = Decimal(ints) + (get("exact") or Decimal(0))
+            total = Decimal(ints) + (get("exact") or Decimal(0)) + (get("hundredths") or Decimal(0)) / 100
             total = total if get("rest") is None else float(total) + get("rest")
         many = get("n_ints") + get("n_doubles")
         if a.kind == "sum":
@@ -90,7 +98,8 @@ def typed_frame(source, q: Query, aggs: tuple[Aggregation, ...]) -> DataFrame:
         if a.kind == "count":
             cols.append(c("count").alias(a.alias))
             continue
-        exact = F.coalesce(c("ints").cast("decimal(38,15)"), F.lit(0)) + F.coalesce(c("exact"), F.lit(0))
+        hundredths = (F.coalesce(c("hundredths"), F.lit(Decimal(0))) * F.lit(Decimal("0.01"))).cast("decimal(38,15)")
+        exact = F.coalesce(c("ints").cast("decimal(38,15)"), F.lit(0)) + hundredths + F.coalesce(c("exact"), F.lit(0))
         total = F.coalesce(c("special"), F.when((c("n_exact") > 0) & c("exact").isNull(), F.coalesce(c("ints").cast("double"), F.lit(0.0)) + c("plain")), exact.cast("double") + F.coalesce(c("rest"), F.lit(0.0)))
         many = c("n_ints") + c("n_doubles")
         cols.append(total.alias(a.alias) if a.kind == "sum" else F.when(many > 0, total / many).alias(a.alias))

@@ -9,6 +9,7 @@ is found by one pass over the labels in pre-order with a stack, never by compari
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable, Iterable, Iterator
 from itertools import islice
 
@@ -42,16 +43,61 @@ def current_rows(documents: DataFrame, *columns: str) -> DataFrame:
     )
 
 
-def parse(text: str | None) -> dict:
-    """The field map of a stored document; null, cut-off or otherwise unreadable text has no fields.
+_TOKEN = re.compile(r'[ \t\n\r]*(?:([\[\]{},:])|("(?:[^"\\\x00-\x1f]|\\.)*"|-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?|true|false|null))')
+
+
+def _parse_deep(text: str) -> object:
+    """JSON nested beyond the reader's own limit, by a stack; ValueError for what is no JSON."""
+    root: list = []
+    stack: list = [root]
+    names: list = [None]
+    at, expect = 0, "value"  # or "name", "first name", "first value", "colon", "after"
+    end = len(text.rstrip(" \t\n\r"))
+    while at < end:
+        m = _TOKEN.match(text, at)
+        if not m or expect == "end":
+            raise ValueError(f"no JSON at {at}")
+        at, mark, plain = m.end(), m[1], m[2]
+        here = stack[-1]
+        if expect in ("name", "first name") and plain and plain[0] == '"':
+            names[-1], expect = json.loads(plain), "colon"
+        elif expect == "colon" and mark == ":":
+            expect = "value"
+        elif expect in ("value", "first value") and (plain or mark in ("[", "{")):
+            value = json.loads(plain) if plain else [] if mark == "[" else {}
+            if type(here) is list:
+                here.append(value)
+            else:
+                here[names[-1]] = value
+            if plain:
+                expect = "after" if len(stack) > 1 else "end"
+            else:
+                stack.append(value)
+                names.append(None)
+                expect = "first value" if mark == "[" else "first name"
+        elif expect == "after" and mark == ",":
+            expect = "value" if type(here) is list else "name"
+        elif (expect in ("after", "first value") and mark == "]" and type(here) is list) or (expect in ("after", "first name") and mark == "}" and type(here) is dict):
+            stack.pop()
+            names.pop()
+            expect = "after" if len(stack) > 1 else "end"
+        else:
+            raise ValueError(f"no JSON at {at}")
+    if expect != "end":
+        raise ValueError("cut off")
+    return root[0]
 
-    Nesting beyond the JSON reader's own limit (thousands of levels; stored documents allow 20) counts as unreadable.
-    """
+
+def parse(text: str | None) -> dict:
+    """The field map of a stored document, nested however deep; null, cut-off or otherwise unreadable text has no fields."""
     if text is None:
         return {}
     try:
-        found = json.loads(text)
-    except (ValueError, RecursionError):
+        try:
+            found = json.loads(text)
+        except RecursionError:
+            found = _parse_deep(text)
+    except ValueError:
         return {}
     return found if isinstance(found, dict) else {}
 

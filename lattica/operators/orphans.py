@@ -18,6 +18,8 @@ from lattica.operators.nested import current_rows, parse, walk
 from lattica.operators.skew import skew_join
 from lattica.sources.shared import stage
 
+#: Null masks that may occur: all those of six key columns.
+MASKS = 64
 RULES = ("simple", "partial", "full", "exact")
 
 
@@ -34,14 +36,16 @@ def orphans(references: DataFrame, targets: DataFrame, on: Sequence[tuple[str, s
 
     Repeated references come out as often as they stand.  Without references the result is empty; without targets all
     references that need one are orphans.  Each mask that occurs costs an
-    anti-join; there are at most 2 to the power of the key columns.
+    anti-join; more than MASKS of them are refused.
     """
     if match not in RULES:
         raise ValueError(f"match must be one of {RULES}")
-    if not 1 <= len(on) <= 6:
-        raise ValueError("one to six key columns")
-    # which masks there are: at most 2 to the power of the key columns rows reach the driver
-    masks = references.select(*[F.col(a).isNull().alias(f"n{i}") for i, (a, _) in enumerate(on)]).distinct().collect()
+    if not on:
+        raise ValueError("at least one key column")
+    # which masks there are; each is an anti-join, so a table with more than MASKS of them is refused
+    masks = references.select(*[F.col(a).isNull().alias(f"n{i}") for i, (a, _) in enumerate(on)]).distinct().limit(MASKS + 1).collect()
+    if len(masks) > MASKS:
+        raise ValueError(f"more than {MASKS} null masks")
     parts = []
     for mask in sorted(tuple(m) for m in masks):
         of_mask = references

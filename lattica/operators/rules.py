@@ -7,9 +7,13 @@ filters").  It may also be a Python function of a ``Request``; what a query must
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from lattica.functions import values as V
 from lattica.functions.paths import Pattern
 from lattica.functions.values import Value
@@ -133,3 +137,27 @@ def resource(d: Document | None) -> dict[str, Value] | None:
         return None
     collection, _, doc = d.path.rpartition("/")
     return {**d.fields, "id": V.string(doc), "path": V.string(d.path), "collection": V.string(collection), "createdAt": Value("timestamp", d.created), "updatedAt": Value("timestamp", d.updated), "version": V.integer(d.version)}
+
+
+def permitted(documents: DataFrame, rules: Rules, operation: str, auth: dict) -> DataFrame:
+    """(document_path) of the stored documents on which a caller may carry out ``get`` or ``delete``, decided on the cluster.
+
+    Each document is looked at by itself, so conditions that read other documents hold for none.  Unreadable documents have
+    no fields; rows with a null path are left out.
+    """
+    from lattica.operators.nested import parse
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for path, data, created, updated, version in zip(*[b.column(k).to_pylist() for k in range(5)]):
+                fields = {k: V.from_json(v) for k, v in parse(data).items()}
+                try:
+                    rules.permit(Request(operation, path, auth, {}, 0, resource(Document(path, fields, created or 0, updated or 0, version or 0))))
+                    out.append(path)
+                except WriteError:
+                    continue
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["document_path"])
+
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp_ntz").cast("timestamp")).alias(c)
+    return documents.where(F.col("document_path").isNotNull()).select("document_path", "data", micros("created_at"), micros("updated_at"), "version").mapInArrow(decide, "document_path string")

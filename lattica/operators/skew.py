@@ -1,9 +1,11 @@
 """Aggregation and joins that stay balanced when a few keys hold most rows (problem 1).
 
 ``salted_aggregate`` works in two stages: rows of heavy keys get a salt, partial results are made per (key, salt),
-and the partials are merged per key.  The salt is a hash of the row rather than ``rand()``: a task that runs again
-after an executor is lost then gives every row the same salt, and because the salt depends on the first counted
-column alone, distinct counts of the salts can be added.
+and the partials are merged per key.  The salt is a hash of the row's place or of a counted column rather than
+``rand()``: a task that runs again after an executor is lost then gives every row the same salt, and because with distinct
+counts the salt depends on the first counted column alone, those of the salts can be added.  The rows of one value of
+that column share a salt, but not a task: the first grouping spreads them by the other counted columns, and after it
+each task holds one row of it.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ SHARE = 1 / 256
 #: Salts for a key that held all rows; a heavy key gets its share of them.
 SALTS = 512
 
-_KEY, _SALT, _N = "__key{}", "__salt", "__n"
+_KEY, _SALT, _N, _PLACE = "__key{}", "__salt", "__n", "__place"
 
 
 def heavy_keys(df: DataFrame, keys: Sequence[Column], share: float = SHARE) -> list[tuple]:
@@ -38,6 +40,17 @@ def heavy_keys(df: DataFrame, keys: Sequence[Column], share: float = SHARE) -> l
     return [(*row, total) for row in counted.where(F.col(_N) >= F.lit(share * total)).collect()]
 
 
+def with_place(df: DataFrame, name: str = _PLACE) -> DataFrame:
+    """A number of its own for each row, equal rows included, that stays when a task is run again.
+
+    Rows that come straight from files have their places there; what has been shuffled is written first, as a task that
+    is run again may meet shuffled rows in another order.
+    """
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        df = stage(df, "placed")
+    return df.withColumn(name, F.monotonically_increasing_id())
+
+
 def with_salt(df: DataFrame, keys: Sequence[str], heavy: list[tuple], by: Sequence[str], salts: int = SALTS) -> DataFrame:
     """Add the column ``__salt``: below the key's number of salts for heavy keys, 0 for all others."""
     if not heavy:
@@ -88,7 +101,7 @@ def salted_aggregate(
     spread_by = ["__d0"] if finest else [c for c in flat.columns if c != "__k"]
     # without distinct counts any spread will do: the row's place decides, not its contents, which may all be equal
     if heavy and not finest:
-        flat, spread_by = flat.withColumn("__place", F.monotonically_increasing_id()), ["__place"]
+        flat, spread_by = with_place(flat), [_PLACE]
     salted = with_salt(flat, ["__k"], heavy, spread_by, salts)
 
     first = {"count": F.count, "sum": F.sum, "min": F.min, "max": F.max}
@@ -131,8 +144,8 @@ def skew_join(left: DataFrame, right: DataFrame, on: Sequence[tuple[str, str]],
               by: Sequence[str] = (), share: float = SHARE, salts: int = SALTS) -> DataFrame:
     """``left_anti``, ``left_semi``, ``left`` or ``inner`` join in which a heavy key of ``left`` is spread over salts.
 
-    Each left row has one salt and the right rows of a heavy key are repeated for each of its salts, so every pair
-    still meets exactly once.  Keys compare as in SQL: a null matches nothing.  ``extra`` may refer to ``l.`` and ``r.``.
+    Each left row has one salt, by its place unless ``by`` names columns, so equal rows are spread as well; the right rows of
+    a heavy key are repeated for each of its salts, so every pair still meets exactly once.  Keys compare as in SQL: a null matches nothing.  ``extra`` may refer to ``l.`` and ``r.``.
     """
     lk, rk = [a for a, _ in on], [b for _, b in on]
     cond = extra if extra is not None else F.lit(True)
@@ -144,10 +157,10 @@ def skew_join(left: DataFrame, right: DataFrame, on: Sequence[tuple[str, str]],
     heavy = heavy_keys(known, [hashed], share)
     if not heavy:
         return left.alias("l").join(right.alias("r"), cond, how)
-    spread = with_salt(left.withColumn("__h", hashed), ["__h"], heavy, by or left.columns, salts)
+    spread = with_salt((left if by else with_place(left)).withColumn("__h", hashed), ["__h"], heavy, by or [_PLACE], salts)
     factors = salt_factors(spread, ["__h"], heavy, salts)
     there = F.xxhash64(*[F.col(f"x.{b}").cast(left.schema[a].dataType) for a, b in on])
     copies = right.alias("x").join(F.broadcast(factors.alias("f")), F.col(f"f.{_KEY.format(0)}") == there, "left").select(
         "x.*", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("f.__salts"), F.lit(1)) - 1)).alias(_SALT))
-    joined = spread.drop("__h").alias("l").join(copies.alias("r"), cond & (F.col(f"l.{_SALT}") == F.col(f"r.{_SALT}")), how)
+    joined = spread.drop("__h", *([] if by else [_PLACE])).alias("l").join(copies.alias("r"), cond & (F.col(f"l.{_SALT}") == F.col(f"r.{_SALT}")), how)
     return joined.drop(_SALT)

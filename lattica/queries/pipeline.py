@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lattica.operators.changes import apply_changes
 from lattica.operators.merkle import process_new, unseen_changes
 from lattica.operators.nested import contained, current_rows, element_maps, flat_rows, flat_table, is_element_map, node_table
-from lattica.operators.orphans import document_orphans, orphan_report
+from lattica.operators.orphans import document_orphans, orphan_report, orphans
 from lattica.operators.skew import frequent_keys, salted_aggregate
 from lattica.sources.shared import fresh, stage
 from lattica.sources.tables import table
@@ -103,6 +103,21 @@ def p4_report(spark: SparkSession, root: str) -> DataFrame:
     return orphan_report(document_orphans(table(spark, root, "winche_documents")))
 
 
+def _by_mask(match: str):
+    """Changes whose collection and document id (either may be null) name no stored document, under a match rule."""
+    def run(spark: SparkSession, root: str) -> DataFrame:
+        named = F.when(F.col("document_path").isNotNull(), F.substring_index("document_path", "/", -1))
+        references = table(spark, root, "winche_changes").select("seq", "type", "collection_path", named.alias("id"))
+        targets = table(spark, root, "winche_documents").select(F.col("collection_path").alias("stored_collection"), "document_id").distinct()
+        return orphans(references, targets, [("collection_path", "stored_collection"), ("id", "document_id")], match)
+
+    run.__name__ = f"p4_{match}"
+    return run
+
+
+p4_simple, p4_partial, p4_full, p4_exact = map(_by_mask, ("simple", "partial", "full", "exact"))
+
+
 def p5_found(spark: SparkSession, root: str) -> DataFrame:
     return unseen_changes(table(spark, root, "winche_changes"), table(spark, root, "winche_feed_cursors"), fresh(spark, "p5"))
 
@@ -124,7 +139,7 @@ def p5_process_new(spark: SparkSession, root: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    p1_found, p1_change_collections, p1_document_collections, p2_found, p2_nodes, p2_documents, p2_flat_rows, p2_items, p2_item_options, p2_contained, p3_found, p3_two_runs, p4_found, p4_report,
+    p1_found, p1_change_collections, p1_document_collections, p2_found, p2_nodes, p2_documents, p2_flat_rows, p2_items, p2_item_options, p2_contained, p3_found, p3_two_runs, p4_found, p4_report, p4_simple, p4_partial, p4_full, p4_exact,
     p5_found, p5_two_runs, p5_process_new)}
 
 # arg_max skips rows whose argument is null, so the row is taken as one struct
@@ -189,6 +204,20 @@ SQL = {
         SELECT DISTINCT c.consumer, k.seq FROM known k, (SELECT DISTINCT consumer FROM saves) c
         WHERE k.commit_time IS NULL OR coalesce(k.commit_time > (SELECT min(s.updated_at) FROM saves s WHERE s.consumer = c.consumer AND s.seq >= k.seq), true)""",
 }
+_MASKED = """
+    WITH refs AS (SELECT seq, type, collection_path, regexp_extract(document_path, '[^/]*$') AS id FROM winche_changes), pairs AS (SELECT DISTINCT collection_path AS c, document_id AS d FROM winche_documents),
+    both_held AS (SELECT r.* FROM refs r WHERE collection_path IS NOT NULL AND id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM pairs WHERE c = collection_path AND d = id)),
+    one_held AS (SELECT r.* FROM refs r WHERE collection_path IS NULL AND id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM pairs WHERE d = id)
+        UNION ALL SELECT r.* FROM refs r WHERE collection_path IS NOT NULL AND id IS NULL AND NOT EXISTS (SELECT 1 FROM pairs WHERE c = collection_path)),
+    null_held AS (SELECT r.* FROM refs r WHERE collection_path IS NULL AND id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM pairs WHERE c IS NULL AND d = id)
+        UNION ALL SELECT r.* FROM refs r WHERE collection_path IS NOT NULL AND id IS NULL AND NOT EXISTS (SELECT 1 FROM pairs WHERE c = collection_path AND d IS NULL)
+        UNION ALL SELECT r.* FROM refs r WHERE collection_path IS NULL AND id IS NULL AND NOT EXISTS (SELECT 1 FROM pairs WHERE c IS NULL AND d IS NULL))
+    SELECT * FROM both_held"""
+SQL["p4_simple"] = _MASKED
+SQL["p4_partial"] = f"{_MASKED} UNION ALL SELECT * FROM one_held"
+SQL["p4_full"] = f"{_MASKED} UNION ALL SELECT * FROM refs WHERE (collection_path IS NULL) <> (id IS NULL)"
+SQL["p4_exact"] = f"{_MASKED} UNION ALL SELECT * FROM null_held"
+
 # every node with its place (the ordinals of the fields and elements on the way to it), which sorts in pre-order
 _PLACED = CURRENT + """,
 placed AS (

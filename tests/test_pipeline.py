@@ -71,6 +71,16 @@ def test_skew_join_equals_plain(spark, how):
     assert rows(got) == rows(want)
 
 
+def test_equal_rows_of_a_heavy_key_are_spread(spark):
+    left = spark.range(4000).select(F.lit("hot").alias("k"), F.lit(1).alias("x")).repartition(3)
+    right = spark.createDataFrame([("hot", 5), ("cold", 6)], "r string, y int")
+    spread = S.with_salt(S.with_place(left), ["k"], S.heavy_keys(left, [F.col("k")]), ["__place"])
+    counts = [r["count"] for r in spread.groupBy("__salt").count().collect()]
+    assert len(counts) > 400 and max(counts) < 40
+    assert S.skew_join(left, right, [("k", "r")], "inner").count() == 4000 and S.skew_join(left, right, [("k", "r")], "left_anti").count() == 0
+    assert S.skew_join(left, right.where("y = 6"), [("k", "r")], "left_anti").columns == ["k", "x"]
+
+
 # ---- 2
 
 
@@ -163,6 +173,28 @@ def test_very_deep_documents(spark):
     assert N.element_maps(df).count() == 300
 
 
+def test_deep_json_is_read_as_json_is():
+    rng = random.Random(2)
+
+    def value(depth):
+        if depth and rng.random() < 0.5:
+            return [value(depth - 1) for _ in range(rng.randrange(3))]
+        if depth and rng.random() < 0.5:
+            return {f"k{k}": value(depth - 1) for k in range(rng.randrange(3))}
+        return rng.choice([None, True, -1.5e-3, 10**20, 'q"\\\u00e9\n', "", 0])
+
+    for _ in range(300):
+        v = value(4)
+        for text in (json.dumps(v), json.dumps(v, indent=1), json.dumps(v, ensure_ascii=False, separators=(",", ":"))):
+            assert N._parse_deep(text) == v
+    for bad in ("", "[", "[1", "[1,]", "{,}", '{"a"}', '{"a":}', '{"a":1,}', "[1 2]", "1 2", "]", '{"a":1]', "nul", '"a', "[}", "{1:2}", '{"a":1 "b":2}', "01", "[1]]"):
+        with pytest.raises(ValueError):
+            N._parse_deep(bad)
+    deep = '{"f":' + '{"arrayValue":{"values":[' * 30_000 + '{"mapValue":{}}' + "]}}" * 30_000 + "}"
+    nodes, _ = N.walk(N.parse(deep))
+    assert len(nodes) == 30_002 and nodes[-1][1] == 30_001
+
+
 # ---- 3
 
 
