@@ -234,7 +234,7 @@ SQL["p2_nodes"] = f"""
     WITH RECURSIVE {_PLACED}, sizes AS (
         SELECT a.document_path, a.pre, count(*) AS below FROM labelled a JOIN labelled b ON a.document_path = b.document_path AND len(b.place) >= len(a.place) AND b.place[:len(a.place)] = a.place GROUP BY ALL)
     SELECT document_path, pre, pre + below - 1 - depth AS post, depth::INT AS depth, coalesce(up.pre, 0) AS parent_pre, kind, in_array, pointer, name,
-        CASE WHEN kind IN ('mapValue', 'arrayValue') THEN NULL ELSE whole->>kind END AS value
+        CASE WHEN kind IN ('mapValue', 'arrayValue') THEN NULL WHEN kind = 'geoPointValue' THEN replace(replace(whole->>kind, '":', '": '), ',"', ', "') ELSE whole->>kind END AS value
     FROM labelled JOIN sizes USING (document_path, pre) LEFT JOIN (SELECT document_path, place AS above, pre FROM labelled) up ON up.document_path = labelled.document_path AND up.above = labelled.place[:-2]
     UNION ALL SELECT c.document_path, 0, count(p.document_path), 0, -1, 'document', false, '', '', NULL FROM current c LEFT JOIN placed p ON p.document_path = c.document_path GROUP BY c.document_path"""
 SQL["p2_flat_rows"] = f"""

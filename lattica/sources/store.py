@@ -299,7 +299,7 @@ class DocumentStore:
         if cascade:
             names = F.split("document_path", "/")
             above = F.transform(F.sequence(F.lit(2), F.size(names) - 2, F.lit(2)), lambda k: F.array_join(F.slice(names, 1, k), "/"))
-            deep = self.snapshot(m, data=False).where(F.size(names) > 2).select("document_path", "created_at", "version", F.explode(above).alias("above"))
+            deep = self.snapshot(m, data=False).where((F.size(names) > 2) & (F.size(names) % 2 == 0)).select("document_path", "created_at", "version", F.explode(above).alias("above"))
             below = deep.join(old.select(F.col("document_path").alias("above")), "above", "left_semi").select("document_path", "created_at", "version")
             doomed = old.unionByName(below).dropDuplicates(["document_path"])
         self._remove(number, m, doomed, now)
