@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lattica.operators.nested import current_rows, parse, walk
+from lattica.operators.nested import parse, walk
 from lattica.operators.skew import skew_join
 from lattica.sources.shared import stage
 
@@ -102,14 +102,19 @@ def document_references(rows: DataFrame) -> DataFrame:
 def document_orphans(documents: DataFrame) -> DataFrame:
     """References of current rows to documents that are absent or were created after the referring row was written.
 
-    documents: the stored rows, repeats and earlier versions included; the current ones are found once, and stand both for
-    the references and for their targets.  A null ``created_at`` or ``updated_at`` leaves the order in time unproven, and
-    the reference is an orphan.  Strings compare as they are; the composite key is (collection path, document id) under
-    the ``exact`` rule, so a target without a slash meets only such a path.
+    documents: the stored rows, repeats and earlier versions included.  References are taken out of every stored row where
+    it lies, so only they are shuffled to find the current rows, not the documents; these stand both for the references and
+    for their targets.  Current is the highest version; of rows equal in it one with a ``collection_id`` counts, then the
+    later ``updated_at``, then the greater list of references, then the later ``created_at``.  A null ``created_at`` or
+    ``updated_at`` leaves the order in time unproven, and the reference is an orphan.  Strings compare as they are; the
+    composite key is (collection path, document id) under the ``exact`` rule, so a target without a slash meets only such a
+    path.
     """
     ntz = lambda c: F.col(c).cast("timestamp_ntz").alias(c)
-    rows = current_rows(documents, "document_path", "version", "collection_id", "created_at", "updated_at", "data")
-    held = stage(document_references(rows.select("document_path", "collection_id", ntz("created_at"), ntz("updated_at"), "data")), "references")
+    stored = documents.where(F.col("document_path").isNotNull()).select("document_path", "version", "collection_id", ntz("created_at"), ntz("updated_at"), "data")
+    top = F.max(F.struct("version", F.col("collection_id").isNotNull(), "updated_at", "targets", "created_at", "collection_id")).alias("r")
+    current = document_references(stored).groupBy("document_path").agg(top)
+    held = stage(current.select("document_path", "r.collection_id", "r.created_at", "r.updated_at", "r.targets"), "references")
     last = lambda c: F.substring_index(c, "/", -1)
     owner = lambda c: F.when(F.length(c) > F.length(last(c)), F.substring(F.col(c), F.lit(1), F.length(c) - F.length(last(c)) - 1))
     refs = held.select("document_path", "collection_id", "updated_at", F.explode("targets").alias("target_path"))
