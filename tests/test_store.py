@@ -299,6 +299,18 @@ def test_indexes_are_chosen_and_go_stale(spark):
     assert isinstance(db.source(q), IndexedCollections) and db.count(q) == 6
 
 
+def test_filtered_indexes_are_chosen_where_the_query_implies_their_filter(spark):
+    from lattica.plans.ast import And, Test
+
+    large = And((Test("n", "gte", i(10)), Unary("exists", "n")))
+    db = open_database(spark, fresh(spark, "db"), options=Options(indexes=(Index("c", (Order("n"),), large),)))
+    db.store.load(documents(spark, {f"c/{n}": {"n": i(n), "m": i(n % 3)} for n in range(20)}))
+    db.build_indexes()
+    where = lambda *tests: parse_query({"collection": "c", "where": {"and": [{"field": f, "op": op, "value": {"integerValue": str(v)}} for f, op, v in tests]}})
+    for q, chosen, many in ((where(("n", "gt", 10)), True, 9), (where(("n", "gte", 10), ("m", "eq", 0)), True, 3), (where(("n", "eq", 12)), True, 1), (where(("n", "gt", 8)), False, 11), (where(("m", "eq", 0)), False, 7), (where(("n", "lt", 12)), False, 12)):
+        assert isinstance(db.source(q), IndexedCollections) is chosen and db.count(q) == many, q
+
+
 def test_expiry_retention_and_limits(spark):
     db = open_database(spark, fresh(spark, "db"), options=Options(ttl=(("s", "e"),), retention=timedelta(0), max_bytes=200, max_depth=2))
     db.write([Set("s/old", {"e": Value("timestamp", 1_000_000)}), Set("s/old/k/1", {}), Set("s/new", {"e": Value("timestamp", 9_000_000)})])
