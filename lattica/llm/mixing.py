@@ -133,7 +133,8 @@ def mix(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER, to
     cut_df = spark.createDataFrame([(s, *c) for s, c in cuts.items()], "source string, cut_rank double, cut_doc long, cut_tokens long, cut_rows long")
     chosen = ranked.join(F.broadcast(cut_df), "source", "left")
     # structs compare with nulls first, as the running sum sorts them
-    place, end = (F.struct(F.col(r).alias("rank"), F.col(d).alias("doc_id"), F.col(t).alias("tokens")) for r, d, t in (("rank", "doc_id", "tokens"), ("cut_rank", "cut_doc", "cut_tokens")))
+    place, end = (F.struct(F.col(r).alias("rank"), F.col(d).alias("doc_id"), F.col(t).alias("tokens")) for r, d,
+        t in (("rank", "doc_id", "tokens"), ("cut_rank", "cut_doc", "cut_tokens")))
     cuttable = F.col("rank").isNotNull() & F.col("cut_rank").isNotNull()
     chosen = chosen.withColumn("place", F.when(cuttable & (place < end), "before").when(cuttable & ~(place > end), "at").otherwise("after"))
     apart = chosen.where(F.col("place") != "at").select("doc_id", "source", "tokens", (F.col("whole") + (F.col("place") == "before").cast("long")).alias("copies"))

@@ -40,7 +40,8 @@ def p8_statistics(spark: SparkSession, root: str) -> DataFrame:
 
 def p8_plain_statistics(spark: SparkSession, root: str) -> DataFrame:
     """The statistics that SQL can tell, too."""
-    return p8_statistics(spark, root).select("doc_id", "n_words", "mean_word_length", "symbol_ratio", "punct_line_share", "common_word_share", "duplicate_line_share", "duplicate_paragraph_share")
+    return p8_statistics(spark, root).select("doc_id", "n_words", "mean_word_length", "symbol_ratio", "punct_line_share", "common_word_share",
+        "duplicate_line_share", "duplicate_paragraph_share")
 
 
 def p8_found(spark: SparkSession, root: str) -> DataFrame:

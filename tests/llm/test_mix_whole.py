@@ -20,7 +20,8 @@ def test_available_size():
 def test_registered_mix_is_not_sized_by_a_tiny_source(spark, tmp_path):
     rows = [(n, "big", "word " * (5 + n % 20)) for n in range(400)] + [(1000 + n, "mid", "word " * (5 + n % 20)) for n in range(300)] + [(2000, "tiny", "word")]
     spark.createDataFrame(rows, "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    spark.createDataFrame([("big", 0.5, 1), ("mid", 0.4, 2), ("tiny", 0.1, 3)], "source string, target_share double, max_repeats long").write.parquet(f"{tmp_path}/mix_targets.parquet")
+    spark.createDataFrame([("big", 0.5, 1), ("mid", 0.4, 2), ("tiny", 0.1, 3)],
+        "source string, target_share double, max_repeats long").write.parquet(f"{tmp_path}/mix_targets.parquet")
     have = {r["source"]: r["t"] for r in X.token_counts(spark.read.parquet(f"{tmp_path}/documents.parquet")).groupBy("source").agg({"tokens": "sum"}).withColumnRenamed("sum(tokens)", "t").collect()}
     whole = sum(have.values())
     got = {r["source"]: r for r in Q.p7_shares(spark, str(tmp_path)).collect()}

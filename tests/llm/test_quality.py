@@ -13,14 +13,21 @@ def stats(text):
 
 
 KINDS = [
-    ("The mill sold the boat. It was late in the year.", "prose"), ("Lornok found the market", "prose"), ("He left.", "prose"), ('"The boat is in the harbour."\n"It was."', "prose"), ("— The roof is old.\n— It was painted over", "prose"),
-    ("The harbour forgot the team at the edge of the town, and\nthe rain had stopped. It was in the plan that the mill\nmoved to the village over", "prose"), ("A heading\nThe boat was sold to the village. It is old.", "prose"),
-    ("The mill sold the boat. It was late in the year and the rain had stopped.\n- bridge\n- mill road", "prose"), ("It was the best  of  times, and\nit was the worst of times.", "prose"),
-    ("- lamp\n- road mill\n- bridge", "list"), ("1. lamp\n2. road\n3. bridge sky", "list"), ("[x] Lamp\n[ ] Road Mill", "list"), ("lamp road\nmill\nbridge sky\nboat", "list"), ("Things:\na) lamp;\nb) road\nc) mill", "list"),
+    ("The mill sold the boat. It was late in the year.", "prose"), ("Lornok found the market", "prose"), ("He left.", "prose"),
+    ('"The boat is in the harbour."\n"It was."', "prose"), ("— The roof is old.\n— It was painted over", "prose"),
+    ("The harbour forgot the team at the edge of the town, and\nthe rain had stopped. It was in the plan that the mill\nmoved to the village over",
+    "prose"), ("A heading\nThe boat was sold to the village. It is old.", "prose"),
+    ("The mill sold the boat. It was late in the year and the rain had stopped.\n- bridge\n- mill road", "prose"),
+    ("It was the best  of  times, and\nit was the worst of times.", "prose"),
+    ("- lamp\n- road mill\n- bridge", "list"), ("1. lamp\n2. road\n3. bridge sky", "list"), ("[x] Lamp\n[ ] Road Mill", "list"),
+    ("lamp road\nmill\nbridge sky\nboat", "list"), ("Things:\na) lamp;\nb) road\nc) mill", "list"),
     ("Mill behind the church\nRoad in a small room\nBoat under the trees\nLamp over the water", "list"), (" * Kitchen, 48\n * Boat station, 47\n * Song, 33", "list"),
-    ("a\tb\nc\td", "table"), ("| a | 1 |\n|---|---|\n| b | 2 |", "table"), ('"a","1.5","x"\n"b","","y"', "table"), ("a;1;x\nb;2;\nc;;z", "table"), ("mill              12.5            boat\nroof                              lamp\nmap               3               door", "table"),
-    ("2655              814.43\n2461\n1233\n1273              553.29\n3551              348.43", "table"), ("rskdt it qwpt aflpp elyup ord foitd lposa ooeae jokae oykh ewpyf lsega", "junk"),
-    ("xqzv wrtk plmn bvcx zzkq trwq mmnb qqwe", "junk"), ("station " * 60, "junk"), ("0x1F2A deadbeef 0x33 8f3b2c1d a9b8c7d6", "junk"), ("aGVsbG8gd29ybGQgdGhpcyBpcyBiYXNlNjQ5MDg\nQ9xkLmN0aGVzZSBhcmUgbm90IHdvcmRz8812ab==", "junk"),
+    ("a\tb\nc\td", "table"), ("| a | 1 |\n|---|---|\n| b | 2 |", "table"), ('"a","1.5","x"\n"b","","y"', "table"), ("a;1;x\nb;2;\nc;;z", "table"),
+    ("mill              12.5            boat\nroof                              lamp\nmap               3               door", "table"),
+    ("2655              814.43\n2461\n1233\n1273              553.29\n3551              348.43", "table"),
+    ("rskdt it qwpt aflpp elyup ord foitd lposa ooeae jokae oykh ewpyf lsega", "junk"),
+    ("xqzv wrtk plmn bvcx zzkq trwq mmnb qqwe", "junk"), ("station " * 60, "junk"), ("0x1F2A deadbeef 0x33 8f3b2c1d a9b8c7d6", "junk"),
+    ("aGVsbG8gd29ybGQgdGhpcyBpcyBiYXNlNjQ5MDg\nQ9xkLmN0aGVzZSBhcmUgbm90IHdvcmRz8812ab==", "junk"),
     ('<div class="a"></div><li class="b">{x:1}<td class="c"></td>', "junk"), ("#$%^ &*( )_+ {}[] |||", "junk"), ("S�n emb�rgo �� the l��via a�� ��o.", "junk"),
 ]
 
@@ -43,7 +50,8 @@ def test_statistics():
 
 def test_null_blank_and_long_texts(spark):
     long_text = "The boat was sold to the village. " * 40_000
-    docs = spark.createDataFrame([(1, None), (2, ""), (3, " \n\t"), (4, long_text), (None, "- a\n- b"), (5, "!"), (5, "!"), (6, "7")], "doc_id long, text string").selectExpr("*", "'z' AS kind", "1 AS n_words")
+    docs = spark.createDataFrame([(1, None), (2, ""), (3, " \n\t"), (4, long_text), (None, "- a\n- b"), (5, "!"), (5, "!"), (6, "7")],
+        "doc_id long, text string").selectExpr("*", "'z' AS kind", "1 AS n_words")
     common = spark.createDataFrame([("en", w) for w in COMMON["en"]] + [(None, "x"), ("de", None), ("en", "the")], "lang string, word string")
     got = {r["doc_id"]: r for r in Q.text_statistics(docs, common).collect()}
     assert [got[n]["kind"] for n in (1, 2, 3)] == [None] * 3 and got[1]["mean_word_length"] == 0.0
