@@ -238,7 +238,8 @@ def tagged_expression(c: Column, t: T.DataType) -> Column:
             fields = [F.when(c[f.name].isNotNull(), F.concat(F.lit(json.dumps(f.name) + ":"), tagged_expression(c[f.name], f.dataType))) for f in t.fields]
             return F.when(c.isNotNull(), wrap("mapValue", F.concat(F.lit('{"fields":{'), F.concat_ws(",", *fields), F.lit("}}"))))
         case T.MapType():
-            entry = F.transform(F.map_entries(c), lambda e: F.concat(quoted(e["key"].cast("string")), F.lit(":"), F.coalesce(tagged_expression(e["value"], t.valueType), F.lit('{"nullValue":null}'))))
+            entry = F.transform(F.map_entries(c), lambda e: F.concat(quoted(e["key"].cast("string")), F.lit(":"),
+                F.coalesce(tagged_expression(e["value"], t.valueType), F.lit('{"nullValue":null}'))))
             return wrap("mapValue", F.concat(F.lit('{"fields":{'), F.array_join(entry, ","), F.lit("}}")))
     return wrap("stringValue", quoted(c.cast("string")))
 
@@ -333,7 +334,8 @@ class TypedField(Field):
 
     @property
     def tagged(self) -> Column:
-        spark_type = {"boolean": T.BooleanType(), "integer": T.LongType(), "double": T.DoubleType(), "timestamp": T.TimestampNTZType(), "string": T.StringType(), "bytes": T.BinaryType()}[self.kind]
+        spark_type = {"boolean": T.BooleanType(), "integer": T.LongType(), "double": T.DoubleType(), "timestamp": T.TimestampNTZType(),
+            "string": T.StringType(), "bytes": T.BinaryType()}[self.kind]
         return tagged_expression(self.column, spark_type)
 
     def elements(self) -> Column:

@@ -100,7 +100,8 @@ def typed_frame(source, q: Query, aggs: tuple[Aggregation, ...]) -> DataFrame:
             continue
         hundredths = (F.coalesce(c("hundredths"), F.lit(Decimal(0))) * F.lit(Decimal("0.01"))).cast("decimal(38,15)")
         exact = F.coalesce(c("ints").cast("decimal(38,15)"), F.lit(0)) + hundredths + F.coalesce(c("exact"), F.lit(0))
-        total = F.coalesce(c("special"), F.when((c("n_exact") > 0) & c("exact").isNull(), F.coalesce(c("ints").cast("double"), F.lit(0.0)) + c("plain")), exact.cast("double") + F.coalesce(c("rest"), F.lit(0.0)))
+        total = F.coalesce(c("special"), F.when((c("n_exact") > 0) & c("exact").isNull(),
+            F.coalesce(c("ints").cast("double"), F.lit(0.0)) + c("plain")), exact.cast("double") + F.coalesce(c("rest"), F.lit(0.0)))
         many = c("n_ints") + c("n_doubles")
         cols.append(total.alias(a.alias) if a.kind == "sum" else F.when(many > 0, total / many).alias(a.alias))
     return raw.select(*cols)

@@ -124,7 +124,8 @@ def process_new(spark: SparkSession, rows: DataFrame, key: str, path: str, proce
     n = before.get("parts") or int(spark.conf.get("spark.sql.shuffle.partitions"))
     part = F.pmod(F.hash(F.shiftright("leaf", 6)), F.lit(n)).alias("part")
     # the row stays in one struct, so its columns may have any names
-    keyed = rows.where(F.col(f"`{key}`").isNotNull()).select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row"), leaf_of(F.col(f"`{key}`").cast("long"), width).alias("leaf"), row_digest(*rows.columns).alias("digest"))
+    keyed = rows.where(F.col(f"`{key}`").isNotNull()).select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row"),
+        leaf_of(F.col(f"`{key}`").cast("long"), width).alias("leaf"), row_digest(*rows.columns).alias("digest"))
     marks = Parts(spark, MARKS, before.get("marks"))
     with versions.writing(number) as at:
         levels, depth = written_tree(leaves(keyed.select("leaf", "digest").distinct()), f"{at}/tree", fanout)
@@ -153,7 +154,8 @@ def cursor_steps(cursors: DataFrame) -> DataFrame:
     last range with a null ``hi`` that nobody has seen.  The greatest earlier save is found in two steps, over sorted
     partitions and inside each, so a consumer with very many saves is spread over tasks.
     """
-    saves = cursors.where(F.col("consumer").isNotNull() & F.col("seq").isNotNull()).groupBy("consumer", F.coalesce(F.unix_micros(F.col("updated_at").cast("timestamp_ntz").cast("timestamp")), F.lit(_NEVER)).alias("until")).agg(F.max("seq").cast("long").alias("hi"))
+    saves = cursors.where(F.col("consumer").isNotNull() & F.col("seq").isNotNull()).groupBy("consumer",
+        F.coalesce(F.unix_micros(F.col("updated_at").cast("timestamp_ntz").cast("timestamp")), F.lit(_NEVER)).alias("until")).agg(F.max("seq").cast("long").alias("hi"))
     placed = stage(saves.repartitionByRange("consumer", "until").sortWithinPartitions("consumer", "until").withColumn("p", F.spark_partition_id()), "saves")
     earlier = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
     carried = placed.groupBy("consumer", "p").agg(F.max("hi").alias("top")).withColumn("before", F.max("top").over(earlier("consumer").orderBy("p")))
@@ -173,8 +175,10 @@ def _covered(steps: DataFrame, low: int, high: int, depth: int, width: int, fano
     span = lambda a, b: F.when(a <= b, F.sequence(a, b)).otherwise(F.array().cast("array<long>"))
     first = F.greatest(F.coalesce(F.col("lo") + 1, F.lit(low * width)), F.lit(low * width))
     last = F.least(F.coalesce(F.col("hi"), F.lit(high * width + width - 1)), F.lit(high * width + width - 1))
-    cut = steps.withColumns({"first": first, "last": last}).where("first <= last").withColumn("a", leaf_of(F.col("first") + (width - 1), width)).withColumn("b", leaf_of(F.col("last") + 1, width) - 1)
-    ends = F.array_compact(F.array(F.when(F.pmod("first", F.lit(width)) != 0, leaf_of(F.col("first"), width)), F.when(F.pmod(F.col("last") + 1, F.lit(width)) != 0, leaf_of(F.col("last"), width))))
+    cut = steps.withColumns({"first": first, "last": last}).where("first <= last").withColumn("a",
+        leaf_of(F.col("first") + (width - 1), width)).withColumn("b", leaf_of(F.col("last") + 1, width) - 1)
+    ends = F.array_compact(F.array(F.when(F.pmod("first", F.lit(width)) != 0, leaf_of(F.col("first"), width)),
+        F.when(F.pmod(F.col("last") + 1, F.lit(width)) != 0, leaf_of(F.col("last"), width))))
     partial = cut.select("consumer", "until", "lo", "hi", F.explode(F.array_distinct(ends)).alias("leaf"))
     out = []
     for level in range(depth + 1):

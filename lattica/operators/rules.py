@@ -69,7 +69,8 @@ class Rules:
     def __init__(self) -> None:
         self.rules: list[Rule] = []
 
-    def allow(self, pattern: str, operations: str | tuple[str, ...], condition: Callable[[Request], bool] | Condition = lambda r: True, needs: tuple[Need, ...] | None = None) -> Rules:
+    def allow(self, pattern: str, operations: str | tuple[str, ...], condition: Callable[[Request], bool] | Condition = lambda r: True,
+        needs: tuple[Need, ...] | None = None) -> Rules:
         """Grant operations on a path.  For a condition that is a function, ``needs`` (empty: none) says what a query must
         imply; without it no list is granted by it."""
         ops = (operations,) if isinstance(operations, str) else operations
@@ -136,7 +137,8 @@ def resource(d: Document | None) -> dict[str, Value] | None:
     if d is None:
         return None
     collection, _, doc = d.path.rpartition("/")
-    return {**d.fields, "id": V.string(doc), "path": V.string(d.path), "collection": V.string(collection), "createdAt": Value("timestamp", d.created), "updatedAt": Value("timestamp", d.updated), "version": V.integer(d.version)}
+    return {**d.fields, "id": V.string(doc), "path": V.string(d.path), "collection": V.string(collection), "createdAt": Value("timestamp", d.created),
+        "updatedAt": Value("timestamp", d.updated), "version": V.integer(d.version)}
 
 
 def permitted(documents: DataFrame, rules: Rules, operation: str, auth: dict) -> DataFrame:
@@ -160,4 +162,5 @@ def permitted(documents: DataFrame, rules: Rules, operation: str, auth: dict) ->
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["document_path"])
 
     micros = lambda c: F.unix_micros(F.col(c).cast("timestamp_ntz").cast("timestamp")).alias(c)
-    return documents.where(F.col("document_path").isNotNull()).select("document_path", "data", micros("created_at"), micros("updated_at"), "version").mapInArrow(decide, "document_path string")
+    return documents.where(F.col("document_path").isNotNull()).select("document_path", "data", micros("created_at"), micros("updated_at"),
+        "version").mapInArrow(decide, "document_path string")

@@ -29,30 +29,43 @@ _by_f = [{"field": "f"}]
 
 #: Queries that have no meaning, and the codes that say why.
 _CODES = [
-    ({"collection": "c/d"}, "BAD_COLLECTION_PATH"), ({"collection": "c", "limit": 0}, "BAD_LIMIT"), ({"collection": "c", "offset": -1}, "BAD_OFFSET"), ({"collection": "c", "orderBy": _by_f, "limitToLast": 0}, "BAD_LIMIT_TO_LAST"),
-    ({"collection": "c", "orderBy": _by_f, "limit": 1, "limitToLast": 1}, "LIMIT_CONFLICT"), ({"collection": "c", "orderBy": _by_f, "offset": 1, "limitToLast": 1}, "OFFSET_LIMIT_TO_LAST"),
+    ({"collection": "c/d"}, "BAD_COLLECTION_PATH"), ({"collection": "c", "limit": 0}, "BAD_LIMIT"), ({"collection": "c", "offset": -1}, "BAD_OFFSET"),
+    ({"collection": "c", "orderBy": _by_f, "limitToLast": 0}, "BAD_LIMIT_TO_LAST"),
+    ({"collection": "c", "orderBy": _by_f, "limit": 1, "limitToLast": 1}, "LIMIT_CONFLICT"),
+    ({"collection": "c", "orderBy": _by_f, "offset": 1, "limitToLast": 1}, "OFFSET_LIMIT_TO_LAST"),
     ({"collection": "c", "limitToLast": 1}, "LIMIT_TO_LAST_NO_ORDER"), ({"collection": "c", "orderBy": _by_f, "start": {"values": [], "before": True}}, "CURSOR_ARITY"),
-    ({"collection": "c", "start": {"values": [_i(1)], "before": True}}, "CURSOR_TYPE"), (_where({"and": []}), "EMPTY_COMPOSITE"), (_where({"field": "f", "op": "in", "value": _i(1)}), "OPERAND_TYPE"),
-    (_where({"field": "f", "op": "regex", "value": _i(1)}), "OPERAND_TYPE"), (_where({"field": "__name__", "op": "contains", "value": _s("x")}), "NAME_OPERATOR"), (_where({"unary": "exists", "field": "__name__"}), "NAME_OPERATOR"),
+    ({"collection": "c", "start": {"values": [_i(1)], "before": True}}, "CURSOR_TYPE"), (_where({"and": []}), "EMPTY_COMPOSITE"),
+    (_where({"field": "f", "op": "in", "value": _i(1)}), "OPERAND_TYPE"),
+    (_where({"field": "f", "op": "regex", "value": _i(1)}), "OPERAND_TYPE"),
+    (_where({"field": "__name__", "op": "contains", "value": _s("x")}), "NAME_OPERATOR"), (_where({"unary": "exists", "field": "__name__"}), "NAME_OPERATOR"),
     (_where({"compare": {"left": "a", "op": "in", "right": "b"}}), "COMPARE_OP"), (_where({"compare": {"left": "__name__", "op": "eq", "right": "b"}}), "COMPARE_OP"),
     ({"collection": "c", "orderBy": _by_f, "limit": 3, "start": {"values": [_i(1), _s("c/a")], "before": False}}, "none"),
 ]
 #: Inputs that are no query, and the place of the offending part.
 _PLACES = [
-    ({"collection": "c", "nope": 1}, "$.nope"), ({"collection": "c", "limit": "5"}, "$.limit"), (_where({"field": "f", "op": "like", "value": _i(1)}), "$.where.op"), (_where({"field": "f", "op": "eq"}), "$.where.value"),
-    (_where({"and": [{"unary": "x", "field": "f"}]}), "$.where.and[0].unary"), ({"collection": "c", "orderBy": [{"field": "a..b"}]}, "$.orderBy[0].field"), ({"collection": "c", "start": {"values": []}}, "$.start.before"),
+    ({"collection": "c", "nope": 1}, "$.nope"), ({"collection": "c", "limit": "5"}, "$.limit"),
+    (_where({"field": "f", "op": "like", "value": _i(1)}), "$.where.op"), (_where({"field": "f", "op": "eq"}), "$.where.value"),
+    (_where({"and": [{"unary": "x", "field": "f"}]}), "$.where.and[0].unary"),
+    ({"collection": "c", "orderBy": [{"field": "a..b"}]}, "$.orderBy[0].field"), ({"collection": "c", "start": {"values": []}}, "$.start.before"),
     (_where({"field": "f", "op": "eq", "value": {"integerValue": "1"}}), "none"),
 ]
 _AGGREGATIONS = [
-    ([], "AGGREGATION_COUNT"), ([{"kind": "count", "alias": str(n)} for n in range(6)], "AGGREGATION_COUNT"), ([{"kind": "count", "alias": "a"}, {"kind": "sum", "alias": "a", "field": "f"}], "AGGREGATION_ALIAS"),
+    ([], "AGGREGATION_COUNT"), ([{"kind": "count", "alias": str(n)} for n in range(6)], "AGGREGATION_COUNT"),
+    ([{"kind": "count", "alias": "a"}, {"kind": "sum", "alias": "a", "field": "f"}], "AGGREGATION_ALIAS"),
     ([{"kind": "sum", "alias": "a", "field": "__name__"}], "AGGREGATION_FIELD"), ([{"kind": "average", "alias": "a", "field": "f"}], "none"),
 ]
 #: Writes to a store that holds ``c/here`` only, and the status they end with.
 _WRITES = [
-    ([{"update": {"path": "c/none", "fields": {}}}], "NOT_FOUND"), ([{"set": {"path": "c/here", "fields": {}, "precondition": {"exists": False}}}], "ALREADY_EXISTS"), ([{"delete": {"path": "c/none", "precondition": {"exists": True}}}], "NOT_FOUND"),
-    ([{"set": {"path": "c/here", "fields": {}, "precondition": {"updateTime": "2001-01-01T00:00:00Z"}}}], "FAILED_PRECONDITION"), ([], "INVALID_ARGUMENT"), ([{"set": {"path": "c", "fields": {}}}], "INVALID_ARGUMENT"),
-    ([{"set": {"path": "c/x", "fields": {"a": {"deleteField": True}}}}], "INVALID_ARGUMENT"), ([{"set": {"path": "c/x", "fields": {"__a__": _i(1)}}}], "INVALID_ARGUMENT"), ([{"set": {"path": "c/x", "merge": True, "mergeFields": ["a"], "fields": {}}}], "INVALID_ARGUMENT"),
-    ([{"update": {"path": "c/here", "fields": {}, "transforms": [{"field": "a", "kind": "increment", "operand": _s("x")}]}}], "INVALID_ARGUMENT"), ([{"set": {"path": "c/x", "fields": {}}}, {"update": {"path": "c/none", "fields": {}}}], "NOT_FOUND"),
+    ([{"update": {"path": "c/none", "fields": {}}}], "NOT_FOUND"),
+    ([{"set": {"path": "c/here", "fields": {}, "precondition": {"exists": False}}}], "ALREADY_EXISTS"),
+    ([{"delete": {"path": "c/none", "precondition": {"exists": True}}}], "NOT_FOUND"),
+    ([{"set": {"path": "c/here", "fields": {}, "precondition": {"updateTime": "2001-01-01T00:00:00Z"}}}], "FAILED_PRECONDITION"),
+    ([], "INVALID_ARGUMENT"), ([{"set": {"path": "c", "fields": {}}}], "INVALID_ARGUMENT"),
+    ([{"set": {"path": "c/x", "fields": {"a": {"deleteField": True}}}}], "INVALID_ARGUMENT"),
+    ([{"set": {"path": "c/x", "fields": {"__a__": _i(1)}}}], "INVALID_ARGUMENT"),
+    ([{"set": {"path": "c/x", "merge": True, "mergeFields": ["a"], "fields": {}}}], "INVALID_ARGUMENT"),
+    ([{"update": {"path": "c/here", "fields": {}, "transforms": [{"field": "a", "kind": "increment", "operand": _s("x")}]}}], "INVALID_ARGUMENT"),
+    ([{"set": {"path": "c/x", "fields": {}}}, {"update": {"path": "c/none", "fields": {}}}], "NOT_FOUND"),
     ([{"set": {"path": f"c/{n}", "fields": {}}} for n in range(501)], "INVALID_ARGUMENT"), ([{"delete": {"path": "c/none"}}], "none"),
 ]
 

@@ -26,7 +26,8 @@ from lattica.streaming.feed import change_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
-_KEYS = {"orders": "o_orderkey", "customer": "c_custkey", "events": "event_id", "part": "p_partkey", "nation": "n_nationkey", "supplier": "s_suppkey", "documents": "doc_id", "embeddings": "vec_id"}
+_KEYS = {"orders": "o_orderkey", "customer": "c_custkey", "events": "event_id", "part": "p_partkey", "nation": "n_nationkey", "supplier": "s_suppkey",
+    "documents": "doc_id", "embeddings": "vec_id"}
 
 
 def typed(spark: SparkSession, root: str, name: str) -> TypedCollection:
@@ -87,7 +88,8 @@ _SQL_TABLES = {
 O, E, D = _SQL_TABLES["orders"], _SQL_TABLES["events"], _SQL_TABLES["documents"]
 
 # scans and point reads
-_page("scan_collection", {"collection": "nation", "limit": 100}, f"SELECT document_path, n_name FROM {_SQL_TABLES['nation']} ORDER BY document_path LIMIT 100", "document_path, n_name")
+_page("scan_collection", {"collection": "nation", "limit": 100},
+    f"SELECT document_path, n_name FROM {_SQL_TABLES['nation']} ORDER BY document_path LIMIT 100", "document_path, n_name")
 _match("point_get", "customer", field("__name__", "eq", stringValue="customer/42"), "c_custkey = 42", "c_custkey, c_name, c_acctbal")
 
 # leaf filters, each over the whole table
@@ -97,13 +99,15 @@ for _op, _sign in (("gt", ">"), ("gte", ">="), ("lt", "<"), ("lte", "<=")):
     _match(f"filter_{_op}", "lineitem", field("l_quantity", _op, integerValue="25"), f"l_quantity {_sign} 25", "l_orderkey, l_linenumber, l_quantity, l_extendedprice")
 _match("filter_range_timestamp", "events", {"and": [field("ts", "gte", timestampValue="2024-01-05T00:00:00Z"), field("ts", "lt", timestampValue="2024-01-20T12:30:00.5Z")]},
        "ts >= TIMESTAMP '2024-01-05 00:00:00' AND ts < TIMESTAMP '2024-01-20 12:30:00.5'", "event_id, ts")
-_match("filter_in", "part", field("p_brand", "in", arrayValue={"values": [{"stringValue": f"Brand#{n}"} for n in (11, 12, 23, 34)]}), "p_brand IN ('Brand#11', 'Brand#12', 'Brand#23', 'Brand#34')", "p_partkey, p_brand")
+_match("filter_in", "part", field("p_brand", "in", arrayValue={"values": [{"stringValue": f"Brand#{n}"} for n in (11, 12, 23, 34)]}),
+    "p_brand IN ('Brand#11', 'Brand#12', 'Brand#23', 'Brand#34')", "p_partkey, p_brand")
 _match("filter_not_in", "orders", field("status", "notIn", arrayValue={"values": [{"stringValue": "O"}]}), "status IS NOT NULL AND status NOT IN ('O')", "o_orderkey, status")
 _match("filter_contains", "part", field("p_name", "contains", stringValue="RED"), "p_name ILIKE '%red%'", "p_partkey, p_name")
 _match("filter_starts_with", "customer", field("c_name", "startsWith", stringValue="customer#00000"), "c_name ILIKE 'customer#00000%'", "c_custkey, c_name")
 _match("filter_ends_with", "part", field("p_type", "endsWith", stringValue="ard"), "p_type ILIKE '%ard'", "p_partkey, p_type")
 _match("filter_regex", "part", field("p_name", "regex", stringValue="^(small|red) "), "regexp_matches(p_name, '^(small|red) ')", "p_partkey, p_name")
-_match("filter_and_or_not", "orders", {"and": [{"or": [field("o_orderpriority", "eq", stringValue="1-URGENT"), field("o_totalprice", "gt", doubleValue=300000)]}, {"not": field("status", "eq", stringValue="O")}]},
+_match("filter_and_or_not", "orders", {"and": [{"or": [field("o_orderpriority", "eq", stringValue="1-URGENT"),
+    field("o_totalprice", "gt", doubleValue=300000)]}, {"not": field("status", "eq", stringValue="O")}]},
        "(o_orderpriority = '1-URGENT' OR o_totalprice > 300000) AND NOT (status = 'O')", "o_orderkey, o_totalprice")
 _match("filter_exists", "orders", {"unary": "exists", "field": "status"}, "status IS NOT NULL", "o_orderkey, status")
 _match("filter_not_exists", "orders", {"not": {"unary": "exists", "field": "status"}}, "status IS NULL", "o_orderkey, o_orderstatus")
@@ -117,18 +121,27 @@ _match("filter_compare_mixed", "events", {"compare": {"left": "event_id", "op":
 _match("filter_name_range", "events", field("__name__", "gte", stringValue="events/5"), "document_path >= 'events/5'", "event_id")
 _match("filter_nested_field", "events", field("nested.k", "gte", integerValue="50"), "k >= 50", "event_id, props")
 _match("array_contains", "documents", field("tags", "arrayContains", stringValue="the"), "list_contains(tags, 'the')", "doc_id, source")
-_match("array_contains_any", "documents", field("tags", "arrayContainsAny", arrayValue={"values": [{"stringValue": w} for w in ("mill", "boat", "casa")]}), "list_has_any(tags, ['mill', 'boat', 'casa'])", "doc_id, source")
-_match("array_contains_all", "documents", field("tags", "arrayContainsAll", arrayValue={"values": [{"stringValue": w} for w in ("the", "The")]}), "list_has_all(tags, ['the', 'The'])", "doc_id, source")
+_match("array_contains_any", "documents", field("tags", "arrayContainsAny",
+    arrayValue={"values": [{"stringValue": w} for w in ("mill", "boat", "casa")]}), "list_has_any(tags, ['mill', 'boat', 'casa'])", "doc_id, source")
+_match("array_contains_all", "documents", field("tags", "arrayContainsAll", arrayValue={"values": [{"stringValue": w} for w in ("the", "The")]}),
+    "list_has_all(tags, ['the', 'The'])", "doc_id, source")
 
 # order, page, cursors
 _by_total = [{"field": "o_orderpriority"}, {"field": "o_totalprice", "direction": "desc"}]
-_page("order_multi", {"collection": "orders", "orderBy": _by_total, "limit": 50}, f"SELECT document_path, o_totalprice FROM {O} ORDER BY o_orderpriority, o_totalprice DESC, document_path DESC LIMIT 50", "document_path, o_totalprice")
-_page("order_tiebreak_desc", {"collection": "orders", "orderBy": [{"field": "o_orderpriority", "direction": "desc"}], "limit": 40}, f"SELECT document_path, o_orderpriority FROM {O} ORDER BY o_orderpriority DESC, document_path DESC LIMIT 40", "document_path, o_orderpriority")
-_page("order_drops_missing", {"collection": "orders", "orderBy": [{"field": "status"}], "limit": 60}, f"SELECT document_path, status FROM {O} WHERE status IS NOT NULL ORDER BY status, document_path LIMIT 60", "document_path, status")
-_page("order_nan_first", {"collection": "events", "orderBy": [{"field": "reading"}], "limit": 2000}, f"SELECT document_path, event_id FROM {E} ORDER BY isnan(reading) DESC, reading, document_path LIMIT 2000", "document_path, event_id")
-_page("limit_offset", {"collection": "orders", "orderBy": [{"field": "o_totalprice"}], "limit": 20, "offset": 40}, f"SELECT document_path, o_totalprice FROM {O} ORDER BY o_totalprice, document_path LIMIT 20 OFFSET 40", "document_path, o_totalprice")
-_page("limit_to_last", {"collection": "orders", "orderBy": [{"field": "o_totalprice"}], "limitToLast": 10}, f"SELECT document_path, o_totalprice FROM {O} ORDER BY o_totalprice DESC, document_path DESC LIMIT 10", "document_path, o_totalprice")
-_page("top_k_filtered", {"collection": "events", "where": {"and": [field("event_type", "ne", stringValue="click"), field("value", "gte", doubleValue=10)]}, "orderBy": [{"field": "value", "direction": "desc"}], "limit": 25},
+_page("order_multi", {"collection": "orders", "orderBy": _by_total, "limit": 50},
+    f"SELECT document_path, o_totalprice FROM {O} ORDER BY o_orderpriority, o_totalprice DESC, document_path DESC LIMIT 50", "document_path, o_totalprice")
+_page("order_tiebreak_desc", {"collection": "orders", "orderBy": [{"field": "o_orderpriority", "direction": "desc"}], "limit": 40},
+    f"SELECT document_path, o_orderpriority FROM {O} ORDER BY o_orderpriority DESC, document_path DESC LIMIT 40", "document_path, o_orderpriority")
+_page("order_drops_missing", {"collection": "orders", "orderBy": [{"field": "status"}], "limit": 60},
+    f"SELECT document_path, status FROM {O} WHERE status IS NOT NULL ORDER BY status, document_path LIMIT 60", "document_path, status")
+_page("order_nan_first", {"collection": "events", "orderBy": [{"field": "reading"}], "limit": 2000},
+    f"SELECT document_path, event_id FROM {E} ORDER BY isnan(reading) DESC, reading, document_path LIMIT 2000", "document_path, event_id")
+_page("limit_offset", {"collection": "orders", "orderBy": [{"field": "o_totalprice"}], "limit": 20, "offset": 40},
+    f"SELECT document_path, o_totalprice FROM {O} ORDER BY o_totalprice, document_path LIMIT 20 OFFSET 40", "document_path, o_totalprice")
+_page("limit_to_last", {"collection": "orders", "orderBy": [{"field": "o_totalprice"}], "limitToLast": 10},
+    f"SELECT document_path, o_totalprice FROM {O} ORDER BY o_totalprice DESC, document_path DESC LIMIT 10", "document_path, o_totalprice")
+_page("top_k_filtered", {"collection": "events", "where": {"and": [field("event_type", "ne", stringValue="click"),
+    field("value", "gte", doubleValue=10)]}, "orderBy": [{"field": "value", "direction": "desc"}], "limit": 25},
       f"SELECT document_path, event_type, value FROM {E} WHERE event_type <> 'click' AND value >= 10 ORDER BY value DESC, document_path DESC LIMIT 25", "document_path, event_type, value")
 
 
@@ -149,8 +162,10 @@ _cursor("cursor_other_type", "true", start=_at(True, {"booleanValue": True}), en
 
 # counts and aggregates
 _add("count_all", lambda spark, root: count_frame(typed(spark, root, "orders"), parse_query({"collection": "orders"}), "n"), "SELECT count(*) AS n FROM orders")
-_add("count_filtered", lambda spark, root: count_frame(typed(spark, root, "lineitem"), parse_query({"collection": "lineitem", "where": field("l_quantity", "gt", integerValue="40")}), "n"), "SELECT count(*) AS n FROM lineitem WHERE l_quantity > 40")
-_add("count_capped", lambda spark, root: count_frame(typed(spark, root, "orders"), parse_query({"collection": "orders", "limit": 1000}), "n"), "SELECT least(count(*), 1000) AS n FROM orders")
+_add("count_filtered", lambda spark, root: count_frame(typed(spark, root, "lineitem"),
+    parse_query({"collection": "lineitem", "where": field("l_quantity", "gt", integerValue="40")}), "n"), "SELECT count(*) AS n FROM lineitem WHERE l_quantity > 40")
+_add("count_capped", lambda spark, root: count_frame(typed(spark, root, "orders"), parse_query({"collection": "orders", "limit": 1000}), "n"),
+    "SELECT least(count(*), 1000) AS n FROM orders")
 
 
 def _aggregate(name: str, q: dict, aggs: list[dict], sql: str, kinds: dict[str, str] | None = None) -> None:
@@ -167,15 +182,20 @@ _n = {"kind": "count", "alias": "n"}
 _aggregate("agg_count_sum_avg", {"collection": "lineitem", "where": field("l_returnflag", "eq", stringValue="R")}, [_n, _sum("l_extendedprice"), _avg("l_discount")],
            "SELECT count(*) AS n, sum(l_extendedprice::DECIMAL(38, 10))::DOUBLE AS s, sum(l_discount::DECIMAL(38, 10))::DOUBLE / count(*) AS a FROM lineitem WHERE l_returnflag = 'R'")
 _aggregate("agg_sum_integer", {"collection": "lineitem"}, [_sum("l_orderkey")], "SELECT sum(l_orderkey)::BIGINT AS s FROM lineitem", {"s": "bigint"})
-_aggregate("agg_exact_double", {"collection": "events"}, [_n, _sum("value"), _avg("value")], "SELECT count(*) AS n, sum(value::DECIMAL(38, 10))::DOUBLE AS s, sum(value::DECIMAL(38, 10))::DOUBLE / count(*) AS a FROM events")
+_aggregate("agg_exact_double", {"collection": "events"}, [_n, _sum("value"), _avg("value")],
+    "SELECT count(*) AS n, sum(value::DECIMAL(38, 10))::DOUBLE AS s, sum(value::DECIMAL(38, 10))::DOUBLE / count(*) AS a FROM events")
 _aggregate("agg_nan", {"collection": "events"}, [_n, _sum("reading")], "SELECT count(*) AS n, 'NaN'::DOUBLE AS s FROM events")
-_aggregate("agg_empty", {"collection": "events", "where": field("value", "lt", integerValue="0")}, [_n, _sum("value"), _avg("value")], "SELECT 0::BIGINT AS n, 0::DOUBLE AS s, NULL::DOUBLE AS a")
-_aggregate("agg_capped", {"collection": "orders", "orderBy": [{"field": "o_totalprice"}], "limit": 500}, [_n, _sum("o_totalprice")], f"SELECT count(*) AS n, sum(o_totalprice::DECIMAL(38, 10))::DOUBLE AS s FROM (SELECT * FROM {O} ORDER BY o_totalprice, document_path LIMIT 500)")
+_aggregate("agg_empty", {"collection": "events", "where": field("value", "lt", integerValue="0")}, [_n, _sum("value"), _avg("value")],
+    "SELECT 0::BIGINT AS n, 0::DOUBLE AS s, NULL::DOUBLE AS a")
+_aggregate("agg_capped", {"collection": "orders", "orderBy": [{"field": "o_totalprice"}], "limit": 500}, [_n, _sum("o_totalprice")],
+    f"SELECT count(*) AS n, sum(o_totalprice::DECIMAL(38, 10))::DOUBLE AS s FROM (SELECT * FROM {O} ORDER BY o_totalprice, document_path LIMIT 500)")
 
 # projection
-_add("select_nested", lambda spark, root: (lambda src: src.project(matching(src, parse_query({"collection": "events"})), ("event_type", "nested.k")).select("document_path", "event_type", F.col("nested.k").alias("k")))(typed(spark, root, "events")),
+_add("select_nested", lambda spark, root: (lambda src: src.project(matching(src, parse_query({"collection": "events"})),
+    ("event_type", "nested.k")).select("document_path", "event_type", F.col("nested.k").alias("k")))(typed(spark, root, "events")),
      f"SELECT document_path, event_type, k FROM {E}")
-_page("select_top", {"collection": "events", "select": ["value"], "orderBy": [{"field": "value"}], "limit": 30}, f"SELECT document_path, value FROM {E} ORDER BY value, document_path LIMIT 30", "document_path, value")
+_page("select_top", {"collection": "events", "select": ["value"], "orderBy": [{"field": "value"}], "limit": 30},
+    f"SELECT document_path, value FROM {E} ORDER BY value, document_path LIMIT 30", "document_path, value")
 
 # stored documents
 ORDERS = "tenants/kestrel-works/orders"
@@ -183,28 +203,36 @@ _C = f"WITH {CURRENT}, docs AS (SELECT c.*, json_valid(c.data) AS ok, CASE WHEN
 
 
 def _stored(name: str, where: dict, condition: str) -> None:
-    _add(name, lambda spark, root: matching(stored(spark, root), parse_query({"collection": ORDERS, "where": where})).select("document_path"), f"{_C} SELECT document_path FROM docs WHERE {condition}")
+    _add(name, lambda spark, root: matching(stored(spark, root), parse_query({"collection": ORDERS, "where": where})).select("document_path"),
+        f"{_C} SELECT document_path FROM docs WHERE {condition}")
 
 
 _stored("stored_eq_string", field("status", "eq", stringValue="paid"), "json_extract_string(j, '$.status.stringValue') = 'paid'")
 _stored("stored_is_null", {"unary": "isNull", "field": "coupon"}, "json_exists(j, '$.coupon.nullValue')")
 _stored("stored_exists_nested", {"unary": "exists", "field": "delivery.address.city"}, "json_exists(j, '$.delivery.mapValue.fields.address.mapValue.fields.city')")
-_stored("stored_gt_number", field("total", "gt", integerValue="100"), "(json_extract_string(j, '$.total.doubleValue') NOT IN ('NaN') AND (json_extract_string(j, '$.total.doubleValue'))::DOUBLE > 100) OR (json_extract_string(j, '$.total.integerValue'))::BIGINT > 100")
-_stored("stored_timestamp_range", field("placedAt", "gte", timestampValue="2025-04-01T00:00:00Z"), "(json_extract_string(j, '$.placedAt.timestampValue'))::TIMESTAMP >= TIMESTAMP '2025-04-01 00:00:00'")
+_stored("stored_gt_number", field("total", "gt", integerValue="100"),
+    "(json_extract_string(j, '$.total.doubleValue') NOT IN ('NaN') AND (json_extract_string(j, '$.total.doubleValue'))::DOUBLE > 100) OR (json_extract_string(j, '$.total.integerValue'))::BIGINT > 100")
+_stored("stored_timestamp_range", field("placedAt", "gte", timestampValue="2025-04-01T00:00:00Z"),
+    "(json_extract_string(j, '$.placedAt.timestampValue'))::TIMESTAMP >= TIMESTAMP '2025-04-01 00:00:00'")
 _stored("stored_reference", field("buyer", "gte", referenceValue="users/m"), "json_extract_string(j, '$.buyer.referenceValue') >= 'users/m'")
-_stored("stored_not_missing", {"not": field("coupon", "ne", stringValue="x")}, "NOT (json_exists(j, '$.coupon') AND NOT json_exists(j, '$.coupon.nullValue') AND coalesce(json_extract_string(j, '$.coupon.stringValue') <> 'x', true))")
-_add("stored_array_contains", lambda spark, root: matching(stored(spark, root), parse_query({"collection": "posts", "where": field("tags", "arrayContains", stringValue="velvet")})).select("document_path"),
+_stored("stored_not_missing", {"not": field("coupon", "ne", stringValue="x")},
+    "NOT (json_exists(j, '$.coupon') AND NOT json_exists(j, '$.coupon.nullValue') AND coalesce(json_extract_string(j, '$.coupon.stringValue') <> 'x', true))")
+_add("stored_array_contains", lambda spark, root: matching(stored(spark, root),
+    parse_query({"collection": "posts", "where": field("tags", "arrayContains", stringValue="velvet")})).select("document_path"),
      f"WITH {CURRENT}, docs AS (SELECT document_path, CASE WHEN json_valid(data) THEN data::JSON ELSE '{{}}'::JSON END AS j FROM current WHERE document_path LIKE 'posts/%' AND document_path NOT LIKE 'posts/%/%') "
      "SELECT document_path FROM docs WHERE list_contains(list_transform((j->'tags'->'arrayValue'->'values')::JSON[], lambda v: v->>'stringValue'), 'velvet')")
 _add("stored_projection", lambda spark, root: (lambda src: src.project(matching(src, parse_query({"collection": ORDERS})), ("status", "delivery.address.city")).select(
-    "document_path", src.field("status").text().alias("status"), src.field("delivery.address.city").text().alias("city"), F.length("data").alias("size").isNotNull().alias("kept")))(stored(spark, root)),
+    "document_path", src.field("status").text().alias("status"), src.field("delivery.address.city").text().alias("city"),
+    F.length("data").alias("size").isNotNull().alias("kept")))(stored(spark, root)),
      f"{_C} SELECT document_path, json_extract_string(j, '$.status.stringValue') AS status, json_extract_string(j, '$.delivery.mapValue.fields.address.mapValue.fields.city.stringValue') AS city, true AS kept FROM docs")
-_add("stored_projection_data", lambda spark, root: (lambda src: src.project(matching(src, parse_query({"collection": ORDERS})), ("status", "delivery.address.city", "delivery.address.zip", "buyer")).select("document_path", "data"))(stored(spark, root)),
+_add("stored_projection_data", lambda spark, root: (lambda src: src.project(matching(src, parse_query({"collection": ORDERS})),
+    ("status", "delivery.address.city", "delivery.address.zip", "buyer")).select("document_path", "data"))(stored(spark, root)),
      f"""{_C}, parts AS (SELECT document_path, (j->'status')::VARCHAR AS status, (j->'buyer')::VARCHAR AS buyer, json_exists(j, '$.delivery.mapValue') AS has_delivery, json_exists(j, '$.delivery.mapValue.fields.address.mapValue') AS has_address,
             json_extract(j, '$.delivery.mapValue.fields.address.mapValue.fields.city')::VARCHAR AS city, json_extract(j, '$.delivery.mapValue.fields.address.mapValue.fields.zip')::VARCHAR AS zip FROM docs)
         SELECT document_path, '{{' || concat_ws(',', '"status":' || status, '"buyer":' || buyer, CASE WHEN has_delivery THEN '"delivery":{{"mapValue":{{"fields":{{' ||
             CASE WHEN has_address THEN '"address":{{"mapValue":{{"fields":{{' || concat_ws(',', '"city":' || city, '"zip":' || zip) || '}}}}}}' ELSE '' END || '}}}}}}' END) || '}}' AS data FROM parts""")
-_add("stored_order_cross_type", lambda spark, root: page(stored(spark, root), parse_query({"collection": ORDERS, "orderBy": [{"field": "total"}], "limit": 200})).select("document_path"),
+_add("stored_order_cross_type", lambda spark, root: page(stored(spark, root),
+    parse_query({"collection": ORDERS, "orderBy": [{"field": "total"}], "limit": 200})).select("document_path"),
      f"""{_C}, keyed AS (SELECT document_path, CASE WHEN json_exists(j, '$.total.nullValue') THEN 10 WHEN json_exists(j, '$.total.booleanValue') THEN 20 WHEN json_extract_string(j, '$.total.doubleValue') = 'NaN' THEN 29
         WHEN json_exists(j, '$.total.doubleValue') OR json_exists(j, '$.total.integerValue') THEN 30 WHEN json_exists(j, '$.total.timestampValue') THEN 40 WHEN json_exists(j, '$.total.stringValue') THEN 50 ELSE 60 END AS r,
         CASE WHEN json_extract_string(j, '$.total.doubleValue') <> 'NaN' THEN (json_extract_string(j, '$.total.doubleValue'))::DOUBLE ELSE (json_extract_string(j, '$.total.integerValue'))::DOUBLE END AS n, json_extract_string(j, '$.total.stringValue') AS s FROM docs WHERE json_exists(j, '$.total'))
@@ -234,7 +262,8 @@ def _multi_get(spark: SparkSession, root: str) -> DataFrame:
 _add("multi_get", _multi_get, f"SELECT pos, p.document_path, c_name FROM (VALUES {', '.join(f'({i}, {p!r})' for i, p in enumerate(_PATHS))}) p(pos, document_path) LEFT JOIN {_SQL_TABLES['customer']} c ON c.document_path = p.document_path")
 _add("subtree_scan", lambda spark, root: descendants(stored(spark, root).df, "tenants/kestrel-works").select("document_path", "version"),
      "SELECT document_path, max(version) AS version FROM winche_documents WHERE document_path = 'tenants/kestrel-works' OR starts_with(document_path, 'tenants/kestrel-works/') GROUP BY document_path")
-_add("list_collections", lambda spark, root: collection_ids(table(spark, root, "winche_documents")), "SELECT DISTINCT split_part(document_path, '/', 1) AS collection_id FROM winche_documents")
+_add("list_collections", lambda spark, root: collection_ids(table(spark, root, "winche_documents")),
+    "SELECT DISTINCT split_part(document_path, '/', 1) AS collection_id FROM winche_documents")
 _add("list_subcollections", lambda spark, root: collection_ids(table(spark, root, "winche_documents"), "tenants/kestrel-works"),
      "SELECT DISTINCT split_part(document_path, '/', 3) AS collection_id FROM winche_documents WHERE starts_with(document_path, 'tenants/kestrel-works/')")
 _NOW = "2025-04-01T00:00:00Z"
@@ -262,7 +291,8 @@ def _merge_apply(spark: SparkSession, root: str) -> DataFrame:
 
 
 _add("merge_apply", _merge_apply, """SELECT coalesce(p.id, c_custkey) AS id, c_name, coalesce(p.total, c_acctbal) AS c_acctbal FROM customer FULL JOIN (SELECT o_custkey AS id, max(o_totalprice) AS total FROM orders GROUP BY 1) p ON p.id = c_custkey""")
-_add("transform_increment", lambda spark, root: table(spark, root, "orders").select("o_orderkey", increment(F.expr("CASE WHEN o_orderstatus = 'F' THEN NULL WHEN o_orderstatus = 'P' THEN 9223372036854775807L ELSE o_custkey END"), F.col("o_orderkey")).alias("n")),
+_add("transform_increment", lambda spark, root: table(spark, root, "orders").select("o_orderkey",
+    increment(F.expr("CASE WHEN o_orderstatus = 'F' THEN NULL WHEN o_orderstatus = 'P' THEN 9223372036854775807L ELSE o_custkey END"), F.col("o_orderkey")).alias("n")),
      "SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN o_orderkey WHEN o_orderstatus = 'P' THEN least(9223372036854775807::HUGEINT + o_orderkey, 9223372036854775807)::BIGINT ELSE o_custkey + o_orderkey END AS n FROM orders")
 def _tags(name: str, change: Callable, sql: str) -> None:
     """A transform of the words of all texts: their number, and the words themselves."""
@@ -308,6 +338,7 @@ def _indexed(spark: SparkSession, root: str, q: dict) -> DataFrame:
 
 
 _add("indexed_gt_number", lambda spark, root: _indexed(spark, root, {"where": field("total", "gt", integerValue="100")}), SQL["stored_gt_number"])
-_add("indexed_cursor", lambda spark, root: _indexed(spark, root, {"where": field("status", "eq", stringValue="paid"), "orderBy": [{"field": "total", "direction": "desc"}], "end": _at(True, {"integerValue": "50"})}),
+_add("indexed_cursor", lambda spark, root: _indexed(spark, root,
+    {"where": field("status", "eq", stringValue="paid"), "orderBy": [{"field": "total", "direction": "desc"}], "end": _at(True, {"integerValue": "50"})}),
      f"{_C} SELECT document_path FROM docs WHERE json_extract_string(j, '$.status.stringValue') = 'paid' AND (NOT json_exists(j, '$.total.nullValue') AND NOT json_exists(j, '$.total.booleanValue') AND json_exists(j, '$.total') "
      "AND (json_extract_string(j, '$.total.doubleValue') IS NULL OR json_extract_string(j, '$.total.doubleValue') <> 'NaN')) AND coalesce(coalesce(json_extract_string(j, '$.total.doubleValue'), json_extract_string(j, '$.total.integerValue'))::DOUBLE > 50, true)")

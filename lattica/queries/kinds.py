@@ -43,13 +43,15 @@ _KINDS = """kinds AS (
         CASE event_id % 13 WHEN 3 THEN user_id::DOUBLE WHEN 4 THEN user_id / 2.0 END AS num,
         CASE event_id % 13 WHEN 6 THEN event_type || '-' || user_id WHEN 7 THEN 'b' || user_id WHEN 8 THEN 'users/u' || user_id END AS s,
         CASE WHEN event_id % 3 <> 0 THEN user_id % 100 END AS g FROM events)"""
-_ORDER = ["r", "num", "(k = 1 AND u % 2 = 0)", "CASE WHEN k = 5 THEN ts END", "s", "CASE WHEN k = 9 THEN u % 90 END", "CASE WHEN k = 9 THEN u END", "CASE WHEN k IN (10, 11) THEN u % 5 END", "CASE WHEN k = 10 THEN t END"]
+_ORDER = ["r", "num", "(k = 1 AND u % 2 = 0)", "CASE WHEN k = 5 THEN ts END", "s", "CASE WHEN k = 9 THEN u % 90 END", "CASE WHEN k = 9 THEN u END",
+    "CASE WHEN k IN (10, 11) THEN u % 5 END", "CASE WHEN k = 10 THEN t END"]
 
 
 def kinds(spark: SparkSession, root: str) -> TaggedCollections:
     e = table(spark, root, "events")
     return TaggedCollections(e.select(
-        F.concat(F.lit("kinds/"), F.col("event_id").cast("string")).alias("document_path"), F.lit("kinds").alias("collection_id"), F.expr(_DATA).alias("data"), F.lit(1).cast("long").alias("version")))
+        F.concat(F.lit("kinds/"), F.col("event_id").cast("string")).alias("document_path"), F.lit("kinds").alias("collection_id"),
+        F.expr(_DATA).alias("data"), F.lit(1).cast("long").alias("version")))
 
 
 def _add(name: str, build: Callable, sql: str) -> None:
@@ -80,8 +82,10 @@ _geo = lambda lat, lng: {"geoPointValue": {"latitude": lat, "longitude": lng}}
 _FORTY = "num = 40"
 
 for _name, _value, _condition in (
-    ("null", {"nullValue": None}, "k = 0"), ("bool", {"booleanValue": True}, "k = 1 AND u % 2 = 0"), ("nan", {"doubleValue": "NaN"}, "k = 2"), ("number", {"doubleValue": 40.0}, _FORTY),
-    ("string", _s("view-40"), "k = 6 AND s = 'view-40'"), ("bytes", _b(b"b40"), "k = 7 AND s = 'b40'"), ("reference", {"referenceValue": "users/u40"}, "k = 8 AND s = 'users/u40'"), ("geopoint", _geo(40, -35.0), "k = 9 AND u = 40"),
+    ("null", {"nullValue": None}, "k = 0"), ("bool", {"booleanValue": True}, "k = 1 AND u % 2 = 0"), ("nan", {"doubleValue": "NaN"}, "k = 2"),
+    ("number", {"doubleValue": 40.0}, _FORTY),
+    ("string", _s("view-40"), "k = 6 AND s = 'view-40'"), ("bytes", _b(b"b40"), "k = 7 AND s = 'b40'"),
+    ("reference", {"referenceValue": "users/u40"}, "k = 8 AND s = 'users/u40'"), ("geopoint", _geo(40, -35.0), "k = 9 AND u = 40"),
     ("array", _array({"doubleValue": 3.0}, _s("view")), "k = 10 AND u % 5 = 3 AND t = 'view'"), ("map", _map(k={"doubleValue": 2.0}), "k = 11 AND u % 5 = 2"),
 ):
     _filter(f"eq_{_name}", _test("eq", _value), _present(_condition))
@@ -90,15 +94,19 @@ for _name, _value, _condition in (
         _filter(f"ne_{_name}", _test("ne", _value), f"k NOT IN (0, 2, 12) AND NOT coalesce({_condition}, false)")
 for _name, _op, _value, _condition in (
     ("gt_bool", "gt", {"booleanValue": False}, "k = 1 AND u % 2 = 0"), ("gte_number", "gte", _i(50), "num >= 50"), ("lt_number", "lt", {"doubleValue": 12.5}, "num < 12.5"),
-    ("lt_timestamp", "lt", {"timestampValue": "2024-01-10T00:00:00Z"}, "k = 5 AND ts < TIMESTAMP '2024-01-10 00:00:00'"), ("lte_string", "lte", _s("error-9"), "k = 6 AND s <= 'error-9'"),
-    ("gte_bytes", "gte", _b(b"b5"), "k = 7 AND s >= 'b5'"), ("lt_reference", "lt", {"referenceValue": "users/u3"}, "k = 8 AND s < 'users/u3'"), ("gt_geopoint", "gt", _geo(40, -35), "k = 9 AND (u % 90 > 40 OR u % 90 = 40 AND u > 40)"),
-    ("gt_array", "gt", _array(_i(2), _s("error")), "k = 10 AND (u % 5 > 2 OR u % 5 = 2 AND t > 'error')"), ("gte_array_prefix", "gte", _array(_i(2)), "k = 10 AND u % 5 >= 2"), ("lte_map", "lte", _map(k=_i(2)), "k = 11 AND u % 5 <= 2"),
+    ("lt_timestamp", "lt", {"timestampValue": "2024-01-10T00:00:00Z"}, "k = 5 AND ts < TIMESTAMP '2024-01-10 00:00:00'"),
+    ("lte_string", "lte", _s("error-9"), "k = 6 AND s <= 'error-9'"),
+    ("gte_bytes", "gte", _b(b"b5"), "k = 7 AND s >= 'b5'"), ("lt_reference", "lt", {"referenceValue": "users/u3"}, "k = 8 AND s < 'users/u3'"),
+    ("gt_geopoint", "gt", _geo(40, -35), "k = 9 AND (u % 90 > 40 OR u % 90 = 40 AND u > 40)"),
+    ("gt_array", "gt", _array(_i(2), _s("error")), "k = 10 AND (u % 5 > 2 OR u % 5 = 2 AND t > 'error')"),
+    ("gte_array_prefix", "gte", _array(_i(2)), "k = 10 AND u % 5 >= 2"), ("lte_map", "lte", _map(k=_i(2)), "k = 11 AND u % 5 <= 2"),
 ):
     _filter(_name, _test(_op, _value), _present(_condition))
 # a range against null or NaN holds for nothing, missing fields included, so its negation keeps all
 _filter("gte_null", _test("gte", {"nullValue": None}), "false")
 _filter("lt_nan", _test("lt", {"doubleValue": "NaN"}), "false")
-_filter("in", _test("in", _array({"doubleValue": 40.0}, _s("view-40"), _array(_i(3), _s("view")), {"booleanValue": False})), _present("num = 40 OR k = 6 AND s = 'view-40' OR k = 10 AND u % 5 = 3 AND t = 'view' OR k = 1 AND u % 2 <> 0"))
+_filter("in", _test("in", _array({"doubleValue": 40.0}, _s("view-40"), _array(_i(3), _s("view")), {"booleanValue": False})),
+    _present("num = 40 OR k = 6 AND s = 'view-40' OR k = 10 AND u % 5 = 3 AND t = 'view' OR k = 1 AND u % 2 <> 0"))
 _filter("in_none", _test("notIn", _array(_i(40), _b(b"b40"))), "k NOT IN (0, 2, 12) AND NOT coalesce(num = 40 OR k = 7 AND s = 'b40', false)")
 _filter("array_contains", _test("arrayContains", {"doubleValue": 3.0}), "k = 10 AND u % 5 = 3")
 _filter("array_contains_any", _test("arrayContainsAny", _array(_i(1), _s("view"))), "k = 10 AND (u % 5 = 1 OR t = 'view')")
@@ -116,7 +124,8 @@ _filter("compare_lt", {"compare": {"left": "f", "op": "lt", "right": "g"}}, f"CA
 _filter("compare_gte", {"compare": {"left": "f", "op": "gte", "right": "g"}}, f"CASE WHEN k < 12 AND g IS NOT NULL THEN NOT coalesce({_BELOW}, false) END")
 _filter("compare_eq", {"compare": {"left": "f", "op": "eq", "right": "g"}}, "CASE WHEN k < 12 AND g IS NOT NULL THEN coalesce(num = g, false) END")
 _filter("compare_ne", {"compare": {"left": "f", "op": "ne", "right": "g"}}, "k < 12 AND g IS NOT NULL AND NOT coalesce(num = g, false)")
-_filter("or_and", {"or": [{"and": [_test("gt", _i(20)), _test("lt", _i(60), "g")]}, _test("eq", {"nullValue": None})]}, f"({_present('num > 20')} AND g < 60) OR {_present('k = 0')}")
+_filter("or_and", {"or": [{"and": [_test("gt", _i(20)), _test("lt", _i(60), "g")]}, _test("eq", {"nullValue": None})]},
+    f"({_present('num > 20')} AND g < 60) OR {_present('k = 0')}")
 
 
 # order over all types
@@ -175,7 +184,8 @@ def _aggregate(name: str, where: dict | None, aggs: list[dict], casts: dict[str,
     _add(name, run, sql)
 
 
-_aggregate("kind_sum_numbers", _test("gte", _i(0)), [{"kind": "count", "alias": "n"}, {"kind": "sum", "alias": "s", "field": "f"}, {"kind": "average", "alias": "a", "field": "f"}, {"kind": "sum", "alias": "sg", "field": "g"}],
+_aggregate("kind_sum_numbers", _test("gte", _i(0)), [{"kind": "count", "alias": "n"}, {"kind": "sum", "alias": "s", "field": "f"},
+    {"kind": "average", "alias": "a", "field": "f"}, {"kind": "sum", "alias": "sg", "field": "g"}],
            {"n": "bigint"}, "SELECT count(*) AS n, sum(num) AS s, sum(num) / count(num) AS a, sum(g)::DOUBLE AS sg FROM kinds WHERE num >= 0")
 _aggregate("kind_sum_with_nan", None, [{"kind": "count", "alias": "n"}, {"kind": "sum", "alias": "s", "field": "f"}], {"n": "bigint"},
            "SELECT count(*) AS n, sum(CASE WHEN k = 2 THEN 'NaN'::DOUBLE ELSE num END) AS s FROM kinds")

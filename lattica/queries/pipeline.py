@@ -79,7 +79,8 @@ def p2_contained(spark: SparkSession, root: str) -> DataFrame:
     maps, references = nodes.where("kind = 'mapValue'"), nodes.where("kind = 'referenceValue'")
     links = contained(maps, references)
     inner = links.join(references.select("document_path", F.col("pre").alias("inner_pre"), F.col("pointer").alias("reference"), "value"), ["document_path", "inner_pre"])
-    return inner.join(maps.select("document_path", F.col("pre").alias("outer_pre"), F.col("pointer").alias("map")), ["document_path", "outer_pre"]).select("document_path", "map", "reference", "value")
+    return inner.join(maps.select("document_path", F.col("pre").alias("outer_pre"), F.col("pointer").alias("map")),
+        ["document_path", "outer_pre"]).select("document_path", "map", "reference", "value")
 
 
 def p3_found(spark: SparkSession, root: str) -> DataFrame:
@@ -139,7 +140,8 @@ def p5_process_new(spark: SparkSession, root: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    p1_found, p1_change_collections, p1_document_collections, p2_found, p2_nodes, p2_documents, p2_flat_rows, p2_items, p2_item_options, p2_contained, p3_found, p3_two_runs, p4_found, p4_report, p4_simple, p4_partial, p4_full, p4_exact,
+    p1_found, p1_change_collections, p1_document_collections, p2_found, p2_nodes, p2_documents, p2_flat_rows, p2_items, p2_item_options, p2_contained,
+    p3_found, p3_two_runs, p4_found, p4_report, p4_simple, p4_partial, p4_full, p4_exact,
     p5_found, p5_two_runs, p5_process_new)}
 
 # arg_max skips rows whose argument is null, so the row is taken as one struct

@@ -95,14 +95,18 @@ _after_writes("write_update", "orders", lambda: {
     "touched": _field("touched").integer(), "low": _field("low").integer(), "total": _field("total").double(), "buyer": _field("buyer").parts(70)[0]},
     """'done' AS status, 'Kelpford' AS city, json_extract_string(j, '$.delivery.mapValue.fields.address.mapValue.fields.zip.stringValue') AS zip, false AS coupon, 2::BIGINT AS touched, 7::BIGINT AS low,
     greatest(coalesce(json_extract_string(j, '$.total.doubleValue')::DOUBLE, 100.0), 100.0) AS total, json_extract_string(j, '$.buyer.referenceValue') AS buyer""")
-_after_writes("write_merge", "users", lambda: {"level": _field("profile.level").integer(), "builtin": _field("builtin").exists, "fields": F.size(F.map_keys(F.from_json("data", "map<string,string>")))},
+_after_writes("write_merge", "users", lambda: {"level": _field("profile.level").integer(), "builtin": _field("builtin").exists,
+    "fields": F.size(F.map_keys(F.from_json("data", "map<string,string>")))},
               """3::BIGINT AS level, false AS builtin, len(list_filter(json_keys(j), lambda k: k NOT IN ('builtin', 'profile')))::INT + 1 AS fields""")
-_after_writes("write_mask", "products", lambda: {"price": _field("price").double(), "stock": _field("stock").exists, "other": _field("other").exists, "fields": F.size(F.map_keys(F.from_json("data", "map<string,string>")))},
+_after_writes("write_mask", "products", lambda: {"price": _field("price").double(), "stock": _field("stock").exists, "other": _field("other").exists,
+    "fields": F.size(F.map_keys(F.from_json("data", "map<string,string>")))},
               """5.0::DOUBLE AS price, false AS stock, json_exists(j, '$.other') AS other, len(list_filter(json_keys(j), lambda k: k NOT IN ('price', 'stock')))::INT + 1 AS fields""")
 _STRINGS = "coalesce(list_transform((j->'tags'->'arrayValue'->'values')::JSON[], lambda v: v->>'stringValue'), [])"
-_after_writes("write_array_union", "posts", lambda: {"tags": F.to_json(F.transform(F.from_json(F.from_json(F.from_json(tagged_at(F.col("data"), "tags"), "map<string,string>")["arrayValue"], "map<string,string>")["values"], "array<map<string,string>>"), lambda m: m["stringValue"]))},
+_after_writes("write_array_union", "posts", lambda: {"tags": F.to_json(F.transform(F.from_json(F.from_json(F.from_json(tagged_at(F.col("data"),
+    "tags"), "map<string,string>")["arrayValue"], "map<string,string>")["values"], "array<map<string,string>>"), lambda m: m["stringValue"]))},
               f"""to_json({_STRINGS} || CASE WHEN list_contains({_STRINGS}, 'velvet') THEN [] ELSE ['velvet'] END || CASE WHEN list_contains({_STRINGS}, 'new') THEN [] ELSE ['new'] END)::VARCHAR AS tags""")
-_after_writes("write_array_remove", "comments", lambda: {"likes": _field("likes").rank, "now": _field("seen").parts(40)[0] == F.unix_micros(F.col("updated_at").cast("timestamp")), "body": _field("body").text()},
+_after_writes("write_array_remove", "comments", lambda: {"likes": _field("likes").rank,
+    "now": _field("seen").parts(40)[0] == F.unix_micros(F.col("updated_at").cast("timestamp")), "body": _field("body").text()},
               """90 AS likes, true AS now, json_extract_string(j, '$.body.stringValue') AS body""")
 _NAMED = ", ".join(f"'{n}'" for n in _WRITES)
 
@@ -113,7 +117,8 @@ def _replaced(spark: SparkSession, root: str) -> DataFrame:
 
 
 _add("write_replace", _replaced, f"""{_J} SELECT document_path, version + 1 AS version, '{{"only":{{"booleanValue":true}}}}' AS data FROM docs WHERE cid NOT IN ({_NAMED})""")
-_add("write_delete", lambda spark, root: _written(spark, root)[0].store.snapshot(data=False).select("document_path"), f"{_J} SELECT document_path FROM docs WHERE cid <> 'presence'")
+_add("write_delete", lambda spark, root: _written(spark, root)[0].store.snapshot(data=False).select("document_path"),
+    f"{_J} SELECT document_path FROM docs WHERE cid <> 'presence'")
 
 
 def _new(spark: SparkSession, root: str) -> DataFrame:
@@ -121,10 +126,13 @@ def _new(spark: SparkSession, root: str) -> DataFrame:
     db = open_database(spark, fresh(spark, "store"))
     c = table(spark, root, "customer")
     value = lambda tag, x: F.struct(x.alias(tag))
-    fields = F.struct(value("stringValue", F.col("c_name")).alias("name"), value("doubleValue", F.col("c_acctbal")).alias("balance"), value("integerValue", F.col("c_nationkey").cast("string")).alias("nation"))
-    write = F.struct(F.concat(F.lit("customers/"), F.col("c_custkey").cast("string")).alias("path"), fields.alias("fields"), F.struct(F.lit(False).alias("exists")).alias("precondition"))
+    fields = F.struct(value("stringValue", F.col("c_name")).alias("name"), value("doubleValue", F.col("c_acctbal")).alias("balance"),
+        value("integerValue", F.col("c_nationkey").cast("string")).alias("nation"))
+    write = F.struct(F.concat(F.lit("customers/"), F.col("c_custkey").cast("string")).alias("path"), fields.alias("fields"),
+        F.struct(F.lit(False).alias("exists")).alias("precondition"))
     db.store.write_all(c.select(F.to_json(F.struct(write.alias("set"))).alias("write")))
-    return db.store.snapshot().select("document_path", "version", _field("name").text().alias("name"), _field("balance").double().alias("balance"), _field("nation").integer().alias("nation"))
+    return db.store.snapshot().select("document_path", "version", _field("name").text().alias("name"), _field("balance").double().alias("balance"),
+        _field("nation").integer().alias("nation"))
 
 
 _add("write_set", _new, "SELECT 'customers/' || c_custkey AS document_path, 1::BIGINT AS version, c_name AS name, c_acctbal AS balance, c_nationkey::BIGINT AS nation FROM customer")
@@ -210,7 +218,8 @@ def _swept(spark: SparkSession, root: str) -> DataFrame:
     return db.store.changes().where("type = 'removed'").select("document_path", "version")
 
 
-_EXPIRED = " OR ".join(f"(cid = '{c}' AND json_extract_string(j, '$.{f}.timestampValue')::TIMESTAMP < TIMESTAMP '2025-04-01 00:00:00')" for c, f in (("sessions", "startedAt"), ("presence", "lastSeen")))
+_EXPIRED = " OR ".join(f"(cid = '{c}' AND json_extract_string(j, '$.{f}.timestampValue')::TIMESTAMP < TIMESTAMP '2025-04-01 00:00:00')" for c,
+    f in (("sessions", "startedAt"), ("presence", "lastSeen")))
 _add("store_sweep", _swept, f"""{_J}, old AS (SELECT document_path FROM docs WHERE {_EXPIRED})
     SELECT document_path, version FROM docs d WHERE EXISTS (SELECT 1 FROM old o WHERE o.document_path = d.document_path OR starts_with(d.document_path, o.document_path || '/'))""")
 
@@ -218,7 +227,8 @@ _add("store_sweep", _swept, f"""{_J}, old AS (SELECT document_path FROM docs WHE
 # reads through the facade
 _add("store_collection", lambda spark, root: _loaded(spark, root).matching({"collection": "users"}).select("document_path", "version"),
      f"{_J} SELECT document_path, version FROM docs WHERE regexp_matches(document_path, '^users/[^/]*$')")
-_add("store_chosen_index", lambda spark, root: (lambda db: (db.build_indexes(), db.matching({"collection": ORDERS, "where": {"field": "total", "op": "gt", "value": {"integerValue": "100"}}}))[1].select("document_path"))(
+_add("store_chosen_index", lambda spark, root: (lambda db: (db.build_indexes(),
+    db.matching({"collection": ORDERS, "where": {"field": "total", "op": "gt", "value": {"integerValue": "100"}}}))[1].select("document_path"))(
     _loaded(spark, root, options=Options(indexes=(Index("orders", (Order("total"),), Unary("exists", "total")),)))), ENGINE_SQL["stored_gt_number"])
 
 
@@ -309,5 +319,6 @@ def _by_path(spark: SparkSession, root: str) -> DataFrame:
 
 _add("store_get_all", _by_path, f"""{_J}, p AS (SELECT document_path, version FROM docs WHERE regexp_matches(document_path, '^products/[^/]*$'))
     SELECT 0::INT AS pos, 'users/none' AS document_path, NULL::BIGINT AS version UNION ALL SELECT row_number() OVER (ORDER BY document_path)::INT, document_path, version FROM p UNION ALL SELECT count(*)::INT + 1, 'users/none', NULL FROM p""")
-_add("filter_reference_to_path", lambda spark, root: matching(_loaded(spark, root).source(), parse_query({"collection": "users", "where": {"field": "__name__", "op": "lt", "value": {"referenceValue": "users/M"}}})).select("document_path"),
+_add("filter_reference_to_path", lambda spark, root: matching(_loaded(spark, root).source(),
+    parse_query({"collection": "users", "where": {"field": "__name__", "op": "lt", "value": {"referenceValue": "users/M"}}})).select("document_path"),
      f"{_J} SELECT document_path FROM docs WHERE regexp_matches(document_path, '^users/[^/]*$') AND document_path < 'users/M'")

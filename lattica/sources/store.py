@@ -157,7 +157,8 @@ class DocumentStore:
 
     # ---- writing
 
-    def commit(self, writes: list[Set | Update | Delete], read_set: dict[str, int | None] | None = None, authorize: Callable | None = None, attempts: int = 5) -> tuple[Outcome, int]:
+    def commit(self, writes: list[Set | Update | Delete], read_set: dict[str, int | None] | None = None, authorize: Callable | None = None,
+        attempts: int = 5) -> tuple[Outcome, int]:
         """Apply a batch atomically; returns its outcome and commit time.
 
         read_set: documents read before (path -> time of last write, None for missing); if one has changed since, the batch
@@ -227,13 +228,16 @@ class DocumentStore:
         files; sequence numbers follow that order.  ``bulk``: none of the paths is in the store.
         """
         path = F.col("document_path")
-        placed_in = {"document_id": F.substring_index(path, "/", -1), "collection_path": F.expr("left(document_path, length(document_path) - length(substring_index(document_path, '/', -1)) - 1)"), "collection_id": F.split_part(path, F.lit("/"), F.lit(-2))}
+        placed_in = {"document_id": F.substring_index(path, "/", -1),
+            "collection_path": F.expr("left(document_path, length(document_path) - length(substring_index(document_path, '/', -1)) - 1)"),
+            "collection_id": F.split_part(path, F.lit("/"), F.lit(-2))}
         numbered, many = numbered_rows(documents.withColumns(placed_in), ["collection_id", "document_path"], "commit_seq", m["seq"] + 1)
         if not many:
             return m["seq"]
         at, stamp = f"{number + 1:020d}-{now}", F.lit(when(now)).cast("timestamp_ntz")
         rows_at, changes_at, removed = f"{self.path}/rows/{at}", f"{self.path}/changes/{at}", F.col("type") == "removed"
-        full = numbered.withColumns({"deleted": removed, "data": F.when(~removed, F.col("data")), "updated_at": F.coalesce("updated_at", stamp), "created_at": F.coalesce("created_at", stamp)})
+        full = numbered.withColumns({"deleted": removed, "data": F.when(~removed, F.col("data")), "updated_at": F.coalesce("updated_at", stamp),
+            "created_at": F.coalesce("created_at", stamp)})
         full.select(*[c.split()[0] for c in ROWS.split(", ")]).write.partitionBy("collection_id").parquet(rows_at)
         numbered.select(F.col("commit_seq").alias("seq"), "type", "document_path", "collection_path", "version", stamp.alias("commit_time")).write.parquet(changes_at)
         self._write(number, m, rows_at, {"path": changes_at, "from": m["seq"] + 1, "to": m["seq"] + many}, m["seq"] + many, now, bulk)
@@ -267,7 +271,8 @@ class DocumentStore:
         schema = "document_path string, type string, data string, created_at timestamp_ntz, updated_at timestamp_ntz, version long, error string"
         done = asked.join(beside, "document_path", "left").mapInArrow(lambda batches, limits=self.limits: _applied(batches, now, limits), schema)
         done = stage(done, "written")
-        once = done.groupBy("document_path").count().where("count > 1").select("document_path", F.lit("INVALID_ARGUMENT: a table of writes names each document once").alias("error"))
+        once = done.groupBy("document_path").count().where("count > 1").select("document_path",
+            F.lit("INVALID_ARGUMENT: a table of writes names each document once").alias("error"))
         wrong = done.where(F.col("error").isNotNull()).select("document_path", "error").unionByName(once).agg(F.min(F.struct("document_path", "error")).alias("e")).first()["e"]
         if wrong:
             status, _, message = wrong["error"].partition(": ")
@@ -299,14 +304,16 @@ class DocumentStore:
         if cascade:
             names = F.split("document_path", "/")
             above = F.transform(F.sequence(F.lit(2), F.size(names) - 2, F.lit(2)), lambda k: F.array_join(F.slice(names, 1, k), "/"))
-            deep = self.snapshot(m, data=False).where((F.size(names) > 2) & (F.size(names) % 2 == 0)).select("document_path", "created_at", "version", F.explode(above).alias("above"))
+            deep = self.snapshot(m, data=False).where((F.size(names) > 2) & (F.size(names) % 2 == 0)).select("document_path", "created_at", "version",
+                F.explode(above).alias("above"))
             below = deep.join(old.select(F.col("document_path").alias("above")), "above", "left_semi").select("document_path", "created_at", "version")
             doomed = old.unionByName(below).dropDuplicates(["document_path"])
         self._remove(number, m, doomed, now)
         return many
 
     def _remove(self, number: int, m: dict, doomed: DataFrame, now: int) -> int:
-        rows = doomed.select("document_path", F.lit("removed").alias("type"), F.lit(None).cast("string").alias("data"), "created_at", F.lit(None).cast("timestamp_ntz").alias("updated_at"), "version")
+        rows = doomed.select("document_path", F.lit("removed").alias("type"), F.lit(None).cast("string").alias("data"), "created_at",
+            F.lit(None).cast("timestamp_ntz").alias("updated_at"), "version")
         return self._append(number, m, rows, now, False)
 
     def compact(self) -> None:

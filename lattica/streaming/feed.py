@@ -175,7 +175,8 @@ class Cursor:
             return seq
 
 
-def catch_up(store: DocumentStore, name: str, handle: Callable[[DataFrame, DataFrame], None], batch: int = 100_000, attempts: int | None = None, backoff: tuple[float, float] = BACKOFF) -> int:
+def catch_up(store: DocumentStore, name: str, handle: Callable[[DataFrame, DataFrame], None], batch: int = 100_000, attempts: int | None = None,
+    backoff: tuple[float, float] = BACKOFF) -> int:
     """Give a named consumer everything since its cursor, in batches of at most ``batch`` sequence numbers; returns its place.
 
     The cursor is saved after each batch, so each batch comes at least once, over any number of processes; a batch that
@@ -220,7 +221,8 @@ class Hooks:
         return self
 
     def __call__(self, changes: DataFrame, documents: DataFrame) -> None:
-        rows = changes.alias("c").join(documents.alias("d"), "document_path", "left").select("c.seq", "c.type", "document_path", "d.data", "d.created_at", "d.updated_at", F.col("d.version").alias("version"))
+        rows = changes.alias("c").join(documents.alias("d"), "document_path", "left").select("c.seq", "c.type", "document_path", "d.data",
+            "d.created_at", "d.updated_at", F.col("d.version").alias("version"))
         rows = rows.where(F.col("document_path").rlike("|".join(p.regex() for p, _ in self.bound) or "$^")).orderBy("seq")
         for r in rows.toLocalIterator():
             for pattern, hook in self.bound:

@@ -44,12 +44,14 @@ def test_a_proof_holds_for_every_document():
 
 
 def test_operands():
-    r = request(auth={"uid": "ann", "token": {"roles": ["x"], "level": 3, "ok": True, "n": None}}, captures={"id": "a"}, resource={"m": mp(x=i(1))}, after={"m": mp(x=i(2))}, fetch=lambda p: {"v": s(p)} if p == "users/ann" else None)
+    r = request(auth={"uid": "ann", "token": {"roles": ["x"], "level": 3, "ok": True, "n": None}}, captures={"id": "a"}, resource={"m": mp(x=i(1))},
+        after={"m": mp(x=i(2))}, fetch=lambda p: {"v": s(p)} if p == "users/ann" else None)
     value = lambda operand: operand.of(r)
     assert value(Auth("uid")) == s("ann") and value(Auth("token", "level")) == i(3) and value(Auth("token", "roles")) == Value("array", (s("x"),))
     assert value(Auth("token", "n")) is None and value(Auth("none", "x")) is None and value(Param("id")) == s("a") and value(Param("other")) is None
     assert (value(Field("m.x")), value(After("m.x")), value(Field("m.y")), value(Now())) == (i(1), i(2), None, Value("timestamp", 5))
-    assert value(Other("users", Auth("uid"), field="v")) == s("users/ann") and value(Other("users", Param("id"), field="v")) is None and value(Other("users", Auth("none"), field="v")) is None
+    assert value(Other("users", Auth("uid"), field="v")) == s("users/ann") and value(Other("users", Param("id"),
+        field="v")) is None and value(Other("users", Auth("none"), field="v")) is None
     assert Exists("users", Auth("uid")).holds(r) and not Exists("users", Param("id")).holds(r) and not Exists("users", Auth("none")).holds(r)
     assert not (Field("none") == 1).holds(r) and not (Field("none") != 1).holds(r) and Always().holds(r)
     assert plain_value({"a": [1, 2.5, None]}) == mp(a=Value("array", (i(1), d(2.5), V.NULL)))
@@ -71,7 +73,8 @@ def test_proofs_of_composed_conditions():
 def test_rules_with_expressions(spark):
     mine = Field("owner") == Auth("uid")
     rules = Rules().allow("notes/{id}", "read", mine | (Field("public") == True)).allow("notes/{id}", "create", After("owner") == Auth("uid")).allow(  # noqa: E712
-        "notes/{id}", "update", mine & (After("owner") == Field("owner")) & (After("version") > Field("version"))).allow("teams/{team}/{rest=**}", "all", Exists("teams", Param("team"), "members", Auth("uid")))
+        "notes/{id}", "update", mine & (After("owner") == Field("owner")) & (After("version") > Field("version"))).allow("teams/{team}/{rest=**}",
+        "all", Exists("teams", Param("team"), "members", Auth("uid")))
     path = fresh(spark, "db")
     open_database(spark, path).write([Set("teams/t", {}), Set("teams/t/members/bob", {})])
     ann, bob = (open_database(spark, path, rules=rules, auth={"uid": u}) for u in ("ann", "bob"))
@@ -81,8 +84,10 @@ def test_rules_with_expressions(spark):
     assert bob.get("notes/2") is not None and len(bob.query(Query("teams/t/docs")).documents) == 1
     by_owner = lambda who: t("eq", s(who), "owner")
     assert len(ann.query(Query("notes", by_owner("ann"))).documents) == 2 and len(bob.query(Query("notes", t("eq", Value("boolean", True), "public"))).documents) == 1
-    for call in (lambda: bob.get("notes/1"), lambda: bob.write([Update("notes/1", {"x": i(1)})]), lambda: ann.write([Update("notes/1", {"owner": s("bob")})]), lambda: ann.write([Delete("notes/1")]), lambda: ann.query(Query("teams/t/docs")),
-                 lambda: bob.query(Query("notes", by_owner("ann"))), lambda: ann.query(Query("notes", Or((by_owner("ann"), by_owner("bob"))))), lambda: ann.query(Query("notes", And((Not(by_owner("bob")),)))), lambda: ann.query(Query("notes"))):
+    for call in (lambda: bob.get("notes/1"), lambda: bob.write([Update("notes/1", {"x": i(1)})]),
+        lambda: ann.write([Update("notes/1", {"owner": s("bob")})]), lambda: ann.write([Delete("notes/1")]), lambda: ann.query(Query("teams/t/docs")),
+                 lambda: bob.query(Query("notes", by_owner("ann"))), lambda: ann.query(Query("notes", Or((by_owner("ann"), by_owner("bob"))))),
+                 lambda: ann.query(Query("notes", And((Not(by_owner("bob")),)))), lambda: ann.query(Query("notes"))):
         with pytest.raises(WriteError) as e:
             call()
         assert e.value.status == "PERMISSION_DENIED"

@@ -44,7 +44,8 @@ def test_masks_and_updates():
     assert after(Set("c/a", {"a": i(10)}, merge_fields=("a", "c")), a=i(1), b=i(2), c=i(3)) == {"a": i(10), "b": i(2)}
     assert after(Set("c/a", {"m": mp(x=i(9))}, merge_fields=("m.x",)), m=mp(x=i(1), y=i(2))) == {"m": mp(x=i(9), y=i(2))}
     assert after(Set("c/a", {"m": mp(z=i(9))}, merge_fields=("m",)), m=mp(x=i(1))) == {"m": mp(z=i(9))}
-    assert after(Update("c/a", {"addr.city": s("B"), "gone": DELETE, "new.deep": i(1)}), addr=mp(city=s("A"), zip=s("1")), gone=i(1)) == {"addr": mp(city=s("B"), zip=s("1")), "new": mp(deep=i(1))}
+    assert after(Update("c/a", {"addr.city": s("B"), "gone": DELETE, "new.deep": i(1)}), addr=mp(city=s("A"), zip=s("1")),
+        gone=i(1)) == {"addr": mp(city=s("B"), zip=s("1")), "new": mp(deep=i(1))}
     assert after(Update("c/a", {"x.y": DELETE}), x=i(1)) == {"x": i(1)}
 
 
@@ -58,8 +59,10 @@ def test_batches():
 
 
 @pytest.mark.parametrize(("write", "have", "status"), [
-    (Update("c/a", {}), False, "NOT_FOUND"), (Set("c/a", {}, precondition=Precondition(exists=True)), False, "NOT_FOUND"), (Set("c/a", {}, precondition=Precondition(exists=False)), True, "ALREADY_EXISTS"),
-    (Set("c/a", {}, precondition=Precondition(update_time=5)), True, "FAILED_PRECONDITION"), (Set("c/a", {}, precondition=Precondition(update_time=5)), False, "FAILED_PRECONDITION"),
+    (Update("c/a", {}), False, "NOT_FOUND"), (Set("c/a", {}, precondition=Precondition(exists=True)), False, "NOT_FOUND"),
+    (Set("c/a", {}, precondition=Precondition(exists=False)), True, "ALREADY_EXISTS"),
+    (Set("c/a", {}, precondition=Precondition(update_time=5)), True, "FAILED_PRECONDITION"),
+    (Set("c/a", {}, precondition=Precondition(update_time=5)), False, "FAILED_PRECONDITION"),
     (Set("c/a", {"__x__": i(1)}), False, "INVALID_ARGUMENT"), (Set("c/a", {"x": s("y" * 1_048_576)}), False, "INVALID_ARGUMENT"),
 ])
 def test_refusals(write, have, status):
@@ -78,9 +81,11 @@ def test_depth_limit():
 
 
 @pytest.mark.parametrize(("existing", "kind", "operand", "result"), [
-    (i(1), "increment", i(2), i(3)), (i(V.INT_MAX), "increment", i(1), i(V.INT_MAX)), (i(V.INT_MIN), "increment", i(-1), i(V.INT_MIN)), (i(1), "increment", d(0.5), d(1.5)), (None, "increment", i(2), i(2)), (s("x"), "increment", i(2), i(2)),
+    (i(1), "increment", i(2), i(3)), (i(V.INT_MAX), "increment", i(1), i(V.INT_MAX)), (i(V.INT_MIN), "increment", i(-1), i(V.INT_MIN)),
+    (i(1), "increment", d(0.5), d(1.5)), (None, "increment", i(2), i(2)), (s("x"), "increment", i(2), i(2)),
     (i(3), "maximum", d(3.0), i(3)), (i(3), "maximum", i(4), i(4)), (i(3), "minimum", d(2.5), d(2.5)), (d(NAN), "maximum", i(-5), i(-5)), (None, "minimum", i(1), i(1)),
-    (arr(i(1), i(1)), "arrayUnion", arr(d(1.0), i(2), i(2)), arr(i(1), i(1), i(2))), (s("x"), "arrayUnion", arr(i(1)), arr(i(1))), (arr(i(1), d(1.0), i(2)), "arrayRemove", arr(i(1)), arr(i(2))), (None, "arrayRemove", arr(i(1)), arr()),
+    (arr(i(1), i(1)), "arrayUnion", arr(d(1.0), i(2), i(2)), arr(i(1), i(1), i(2))), (s("x"), "arrayUnion", arr(i(1)), arr(i(1))),
+    (arr(i(1), d(1.0), i(2)), "arrayRemove", arr(i(1)), arr(i(2))), (None, "arrayRemove", arr(i(1)), arr()),
     (None, "serverTimestamp", None, Value("timestamp", 77)),
 ])
 def test_transforms(existing, kind, operand, result):
@@ -88,7 +93,8 @@ def test_transforms(existing, kind, operand, result):
 
 
 def test_write_json():
-    w = parse_write({"set": {"path": "c/a", "fields": {"x": {"integerValue": "1"}, "y": {"deleteField": True}}, "merge": True, "transforms": [{"field": "n", "kind": "increment", "operand": {"integerValue": "2"}}], "precondition": {"exists": True}}})
+    w = parse_write({"set": {"path": "c/a", "fields": {"x": {"integerValue": "1"}, "y": {"deleteField": True}}, "merge": True,
+        "transforms": [{"field": "n", "kind": "increment", "operand": {"integerValue": "2"}}], "precondition": {"exists": True}}})
     assert w == Set("c/a", {"x": i(1), "y": DELETE}, True, None, (Transform("n", "increment", i(2)),), Precondition(exists=True))
     assert parse_write({"delete": {"path": "c/a", "cascade": True}}) == Delete("c/a", True)
     with pytest.raises(WriteError):
@@ -107,7 +113,8 @@ def test_store_reads_its_writes_and_feeds(db):
     again = db.get("c/a")
     assert (again.fields, again.version, again.created, db.get("c/b")) == ({"n": i(5)}, 2, first.created, None)
     assert [x and x.path for x in db.get_all(["c/b", "c/a"])] == [None, "c/a"]
-    assert [(r["seq"], r["type"], r["document_path"], r["version"]) for r in db.store.changes().orderBy("seq").collect()] == [(1, "added", "c/a", 1), (2, "added", "c/a/sub/x", 1), (3, "added", "c/b", 1), (4, "modified", "c/a", 2), (5, "removed", "c/b", 1)]
+    assert [(r["seq"], r["type"], r["document_path"], r["version"]) for r in db.store.changes().orderBy("seq").collect()] == [(1, "added", "c/a", 1),
+        (2, "added", "c/a/sub/x", 1), (3, "added", "c/b", 1), (4, "modified", "c/a", 2), (5, "removed", "c/b", 1)]
     assert db.query({"collection": "c"}).documents == [again]
     assert db.count({"collection": "c"}) == 1
     assert db.aggregate({"collection": "c"}, [{"kind": "sum", "alias": "s", "field": "n"}]) == {"s": i(5)}
@@ -212,7 +219,8 @@ def test_stream_hooks_resume(spark, db):
 
 def test_expiry(db):
     at = Value("timestamp", 1_000_000)
-    db.write([Set("s/old", {"e": at}), Set("s/old/k/child", {}), Set("s/new", {"e": Value("timestamp", 9_000_000)}), Set("s/none", {}), Set("s/text", {"e": s("x")}), Set("u/1/s/deep", {"e": at})])
+    db.write([Set("s/old", {"e": at}), Set("s/old/k/child", {}), Set("s/new", {"e": Value("timestamp", 9_000_000)}), Set("s/none", {}),
+        Set("s/text", {"e": s("x")}), Set("u/1/s/deep", {"e": at})])
     assert db.sweep("s", "e", now_us=5_000_000) == 2
     assert [db.get(p) is None for p in ("s/old", "s/old/k/child", "u/1/s/deep", "s/new", "s/none", "s/text")] == [True, True, True, False, False, False]
 
@@ -248,7 +256,8 @@ def test_rules(spark):
     ann, bob = (open_database(spark, path, rules=mine, auth={"uid": u}) for u in ("ann", "bob"))
     ann.write([Set("notes/1", {"owner": s("ann")})])
     assert ann.get("notes/1") is not None
-    for call in (lambda: bob.get("notes/1"), lambda: bob.write([Set("notes/2", {"owner": s("ann")})]), lambda: ann.write([Delete("notes/1")]), lambda: ann.query({"collection": "notes"}),
+    for call in (lambda: bob.get("notes/1"), lambda: bob.write([Set("notes/2", {"owner": s("ann")})]), lambda: ann.write([Delete("notes/1")]),
+        lambda: ann.query({"collection": "notes"}),
                  lambda: bob.query({"collection": "notes", "where": {"field": "owner", "op": "eq", "value": {"stringValue": "ann"}}})):
         with pytest.raises(WriteError) as e:
             call()

@@ -54,7 +54,8 @@ def test_a_second_process_goes_on(tmp_path):
     script.write_text(SCRIPT.format(root=root))
     out = []
     for run in (1, 2):
-        done = subprocess.run([sys.executable, str(script), str(run), str(tmp_path)], capture_output=True, text=True, timeout=300, env={**os.environ, "PYSPARK_PYTHON": sys.executable})
+        done = subprocess.run([sys.executable, str(script), str(run), str(tmp_path)], capture_output=True, text=True, timeout=300,
+            env={**os.environ, "PYSPARK_PYTHON": sys.executable})
         assert done.returncode == 0, done.stderr[-3000:]
         out.append(json.loads(done.stdout.strip().splitlines()[-1]))
     last = {f"d/{n % 6}": n for n in range(1, 41)}
@@ -66,7 +67,9 @@ def test_a_second_process_goes_on(tmp_path):
 
 def test_only_touched_buckets_are_written(spark):
     at = fresh(spark, "t")
-    feed = spark.range(1, 2001).select(F.col("id").alias("seq"), F.lit("added").alias("type"), F.concat(F.lit("d/"), F.col("id").cast("string")).alias("document_path"), F.lit("d").alias("collection_path"), F.lit(1).cast("long").alias("version"), F.lit(T0).alias("commit_time"))
+    feed = spark.range(1, 2001).select(F.col("id").alias("seq"), F.lit("added").alias("type"),
+        F.concat(F.lit("d/"), F.col("id").cast("string")).alias("document_path"), F.lit("d").alias("collection_path"),
+        F.lit(1).cast("long").alias("version"), F.lit(T0).alias("commit_time"))
     C.apply_changes(spark, feed, at, 16)
     _, before = Versions(spark, at).latest()
     few = [(3000 + n, "modified", f"d/{n}", "d", 2, T0) for n in (7, 8)]
@@ -104,7 +107,8 @@ def test_ledger_and_marks_are_written_as_one_again(spark, monkeypatch):
 
 def test_an_unchanged_feed_opens_no_leaf(spark, monkeypatch):
     at = fresh(spark, "t")
-    feed = spark.range(0, 100_000).select(F.col("id").alias("seq"), F.lit("added").alias("type"), F.lit("d/a").alias("document_path"), F.lit("d").alias("collection_path"), F.col("id").alias("version"), F.lit(T0).alias("commit_time"))
+    feed = spark.range(0, 100_000).select(F.col("id").alias("seq"), F.lit("added").alias("type"), F.lit("d/a").alias("document_path"),
+        F.lit("d").alias("collection_path"), F.col("id").alias("version"), F.lit(T0).alias("commit_time"))
     cursors = spark.createDataFrame([("one", 70_000, T0 + timedelta(days=1))], "consumer string, seq long, updated_at timestamp_ntz")
     assert M.unseen_changes(feed, cursors, at).count() == 29_999
     looked = []

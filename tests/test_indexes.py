@@ -25,7 +25,8 @@ def both(spark):
 
 def test_all_comparisons(both):
     plain, indexed = both
-    values = [Value("boolean", True), i(1), d(1.5), s("a"), Value("timestamp", 1), Value("bytes", b"\x7f\x00"), Value("reference", "a/x"), Value("geopoint", (0.25, 0.0)), arr(i(1), s("b"))]
+    values = [Value("boolean", True), i(1), d(1.5), s("a"), Value("timestamp", 1), Value("bytes", b"\x7f\x00"), Value("reference", "a/x"),
+        Value("geopoint", (0.25, 0.0)), arr(i(1), s("b"))]
     for v in values:
         conditions = {op: f for op in ("eq", "ne", "gt", "lte") for f in (t(op, v),)} | {f"not {op}": Not(t(op, v)) for op in ("eq", "gt", "ne")}
         cols = lambda src: matching(src, Query("c")).select("document_path", *[_column(src, f).alias(n) for n, f in conditions.items()])  # noqa: E731, B023
@@ -40,7 +41,8 @@ def _column(src, f):
 
 def test_order_and_cursor(both):
     plain, indexed = both
-    for q in (Query("c", None, (Order("f"),)), Query("c", None, (Order("f", True), Order("g")), limit=20), Query("c", None, (Order("f"),), start=Cursor((i(5),), False), end=Cursor((s("b"),), True)), Query("a/b/c")):
+    for q in (Query("c", None, (Order("f"),)), Query("c", None, (Order("f", True), Order("g")), limit=20),
+        Query("c", None, (Order("f"),), start=Cursor((i(5),), False), end=Cursor((s("b"),), True)), Query("a/b/c")):
         names = [[r["document_id"] for r in page(src, q).collect()] for src in (plain, indexed)]
         assert names[0] == names[1] and names[0]
 
@@ -60,6 +62,7 @@ def test_filtered_indexes_names_and_drop(spark):
     store.drop(index)
     with pytest.raises(QueryError):
         store.open(index)
-    for bad in (lambda: Index("a/b", (Order("f"),)), lambda: Index("c", ()), lambda: Index("c", (Order("f"),), Or((t("eq", i(1)),))), lambda: Index("c", (Order("f"),), t("ne", i(1)))):
+    for bad in (lambda: Index("a/b", (Order("f"),)), lambda: Index("c", ()), lambda: Index("c", (Order("f"),), Or((t("eq", i(1)),))),
+        lambda: Index("c", (Order("f"),), t("ne", i(1)))):
         with pytest.raises(QueryError):
             bad()

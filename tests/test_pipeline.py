@@ -37,7 +37,8 @@ def doc(path, fields=None, version=1, created=0, updated=None, cid="x", data=...
 
 def test_salted_aggregate_equals_plain(spark):
     rng = random.Random(1)
-    data = [("hot" if rng.random() < 0.5 else None if rng.random() < 0.1 else f"k{rng.randrange(30)}", rng.choice(["a", "b", None, f"p{rng.randrange(200)}"]), rng.choice([1, 2, None])) for _ in range(3000)]
+    data = [("hot" if rng.random() < 0.5 else None if rng.random() < 0.1 else f"k{rng.randrange(30)}",
+        rng.choice(["a", "b", None, f"p{rng.randrange(200)}"]), rng.choice([1, 2, None])) for _ in range(3000)]
     df = spark.createDataFrame(data, "key string, path string, version int").withColumn("__salt", F.lit(1)).withColumn("rows", F.lit("x")).withColumn("__k", F.lit(2))
     measures = {"rows": ("count", None), "low": ("min", "version"), "high": ("max", "version"), "total": ("sum", "version")}
     got = S.salted_aggregate(df, "key", measures, {"paths": ["path"], "versions": ["path", "version"]}, share=0.1, salts=16)
@@ -105,7 +106,8 @@ def plain_cases(x, at="", parent="", element=False):
             yield from plain_cases(v, f"{at}[{n}]", parent, True)
 
 
-JSONS = st.recursive(st.none() | st.text(max_size=3), lambda c: st.lists(c, max_size=4) | st.dictionaries(st.sampled_from(["a", "b c", "mapValue", "ü"]), c, max_size=3), max_leaves=25)
+JSONS = st.recursive(st.none() | st.text(max_size=3), lambda c: st.lists(c,
+    max_size=4) | st.dictionaries(st.sampled_from(["a", "b c", "mapValue", "ü"]), c, max_size=3), max_leaves=25)
 
 
 @settings(max_examples=200, deadline=None)
@@ -129,7 +131,8 @@ def test_labels_and_links(doc_):
 def test_current_rows_and_element_maps(spark):
     data = [
         doc("a/1", {"items": tagged([{}, {"x": "y"}])}, 2), doc("a/1", {"items": tagged([{}])}, 1), doc("a/1", {"items": tagged([{}, {"x": "y"}])}, 2, cid=None),
-        doc("a/2", data=None), doc("a/3", data='{"items":{"arrayValue":{"values":[{"mapValue"'), doc("a/4", {"items": {"arrayValue": {}}, "m": tagged({"k": "v"}), "n": {"arrayValue": {"values": [{"mapValue": {}}]}}}),
+        doc("a/2", data=None), doc("a/3", data='{"items":{"arrayValue":{"values":[{"mapValue"'),
+        doc("a/4", {"items": {"arrayValue": {}}, "m": tagged({"k": "v"}), "n": {"arrayValue": {"values": [{"mapValue": {}}]}}}),
         doc("a/5", data="[1]"), doc("a/6", data=""), doc(None, {"items": tagged([{}])}), doc("a/7", {"x": tagged("y" * 200_000)}), doc("a/8", {"i": tagged([{}])}, None),
     ]
     df = spark.createDataFrame(data, DOCS).withColumn("pre", F.lit(1)).withColumn("__top", F.lit(1))
@@ -145,11 +148,15 @@ def test_current_rows_and_element_maps(spark):
 
 
 def test_flat_tables(spark):
-    fields = {"n": tagged("x"), "address": tagged({"city": "y", "geo": {"deep": "z"}}), "items": tagged([{"a": "1", "opts": [{"b": "2"}, "plain", [{"b": "3"}]]}, {}]), "gone": {"nullValue": None}, "point": {"geoPointValue": {"latitude": 1, "longitude": 2}}, "i": {"integerValue": 5}}
+    fields = {"n": tagged("x"), "address": tagged({"city": "y", "geo": {"deep": "z"}}),
+        "items": tagged([{"a": "1", "opts": [{"b": "2"}, "plain", [{"b": "3"}]]}, {}]), "gone": {"nullValue": None},
+        "point": {"geoPointValue": {"latitude": 1, "longitude": 2}}, "i": {"integerValue": 5}}
     got = {r[5]: (r[0], r[2], r[3], r[4], r[5], *r[6:]) for r in N.flatten(json.dumps(fields))}
-    assert got[""][5] == {"n": "x", "address.city": "y", "address.geo.deep": "z", "gone": None, "point": '{"latitude": 1, "longitude": 2}', "i": "5"} and got[""][6]["i"] == "integerValue"
+    assert got[""][5] == {"n": "x", "address.city": "y", "address.geo.deep": "z", "gone": None, "point": '{"latitude": 1, "longitude": 2}',
+        "i": "5"} and got[""][6]["i"] == "integerValue"
     assert [(p, r[0], r[5]) for p, r in got.items() if p] == [
-        ("items[0]", "items[]", {"a": "1"}), ("items[0].opts[0]", "items[].opts[]", {"b": "2"}), ("items[0].opts[1]", "items[].opts[]", {"value": "plain"}), ("items[0].opts[2][0]", "items[].opts[][]", {"b": "3"}), ("items[1]", "items[]", {})]
+        ("items[0]", "items[]", {"a": "1"}), ("items[0].opts[0]", "items[].opts[]", {"b": "2"}),
+        ("items[0].opts[1]", "items[].opts[]", {"value": "plain"}), ("items[0].opts[2][0]", "items[].opts[][]", {"b": "3"}), ("items[1]", "items[]", {})]
     assert got["items[0].opts[2][0]"][3] == got["items[0]"][1] and got["items[1]"][3] == got[""][1] == 0 and got[""][3] == -1
     df = spark.createDataFrame([doc("a/1", fields), doc("a/2", data=None), doc("a/3", data="{")], DOCS).withColumn("fields", F.lit(1))
     rows_ = N.flat_rows(df)
@@ -212,7 +219,8 @@ def plain_live(feed):
 def random_feed(rng, n, docs=12):
     out = []
     for _ in range(n):
-        row = (rng.randrange(1, 500), rng.choice(["added", "modified", "modified", "removed"]), "hot" if rng.random() < 0.3 else f"d{rng.randrange(docs)}", rng.choice(["c", None]), rng.randrange(1, 5), T0 + timedelta(seconds=rng.randrange(50)))
+        row = (rng.randrange(1, 500), rng.choice(["added", "modified", "modified", "removed"]),
+            "hot" if rng.random() < 0.3 else f"d{rng.randrange(docs)}", rng.choice(["c", None]), rng.randrange(1, 5), T0 + timedelta(seconds=rng.randrange(50)))
         out.append(row)
         if rng.random() < 0.3:
             out.append((row[0] + rng.randrange(0, 300), *row[1:3], None, *row[4:]))
@@ -258,7 +266,8 @@ def test_local_tables_are_put_out_when_full(monkeypatch):
 
 
 def test_changes_with_nulls_and_tombstones(spark):
-    feed = [(1, "added", "a", None, 1, T0), (2, "removed", "a", None, 1, T0), (3, None, "b", None, None, None), (4, None, "b", None, None, None), (None, "added", "c", None, 1, T0), (5, "added", None, None, 1, T0)]
+    feed = [(1, "added", "a", None, 1, T0), (2, "removed", "a", None, 1, T0), (3, None, "b", None, None, None), (4, None, "b", None, None, None),
+        (None, "added", "c", None, 1, T0), (5, "added", None, None, 1, T0)]
     at = fresh(spark, "t3")
     got = C.apply_changes(spark, spark.createDataFrame(feed, FEED), at)
     assert {tuple(r) for r in got.collect()} == {("b", None, 3)}
@@ -303,12 +312,15 @@ def test_document_orphans(spark):
     ref = lambda t: {"referenceValue": t}
     data = [
         doc("u/1", {"x": ref("u/2")}, created=10), doc("u/2", {}, created=20), doc("u/2", {"old": ref("u/none")}, 0),
-        doc("u/3", {"x": ref("u/1"), "deep": {"arrayValue": {"values": [{"mapValue": {"fields": {"r": ref("U/1")}}}, ref("noslash"), ref("")]}}, "s": {"stringValue": "u/none"}, "referenceValue": {"stringValue": "u/no"}}, created=30, cid=None),
-        doc("u/1/sub/a", {}, created=5), doc("u/9/sub/b", {}, created=50), doc("u/4", {"x": ref("u/5")}, created=1, updated=99), doc("u/5", {}, created=99), doc("u/6", {"x": ref("u/5")}, created=None), doc("noslash/x/y", {}),
+        doc("u/3", {"x": ref("u/1"), "deep": {"arrayValue": {"values": [{"mapValue": {"fields": {"r": ref("U/1")}}}, ref("noslash"), ref("")]}},
+        "s": {"stringValue": "u/none"}, "referenceValue": {"stringValue": "u/no"}}, created=30, cid=None),
+        doc("u/1/sub/a", {}, created=5), doc("u/9/sub/b", {}, created=50), doc("u/4", {"x": ref("u/5")}, created=1, updated=99),
+        doc("u/5", {}, created=99), doc("u/6", {"x": ref("u/5")}, created=None), doc("noslash/x/y", {}),
     ]
     df = spark.createDataFrame(data + data[:1], DOCS).withColumn("target_path", F.lit("u/1"))
     found = O.document_orphans(df)
-    assert rows(found.select("document_path", "target_path")) == {k: 1 for k in [("u/1", "u/2"), ("u/3", "U/1"), ("u/3", "noslash"), ("u/3", ""), ("u/1/sub/a", "u/1"), ("u/9/sub/b", "u/9"), ("u/6", "u/5"), ("noslash/x/y", "noslash")]}
+    assert rows(found.select("document_path", "target_path")) == {k: 1 for k in [("u/1", "u/2"), ("u/3", "U/1"), ("u/3", "noslash"), ("u/3", ""),
+        ("u/1/sub/a", "u/1"), ("u/9/sub/b", "u/9"), ("u/6", "u/5"), ("noslash/x/y", "noslash")]}
     report = {(r[0], r[1]): r[2] for r in O.orphan_report(found).collect()}
     assert report[(None, "2025-03")] == 3 and sum(report.values()) == 8
     assert O.document_orphans(df.limit(0)).count() == 0
@@ -343,9 +355,12 @@ def plain_unseen(feed, cursors):
 @pytest.mark.parametrize(("seed", "width", "fanout"), [(1, 4, 2), (2, 8, 4), (3, 128, 64), (4, 5, 4)])
 def test_unseen_changes(spark, seed, width, fanout):
     rng = random.Random(seed)
-    feed = tidy([(n, "modified", f"d{n % 7}", None, n, None if rng.random() < 0.01 else T0 + timedelta(seconds=n + (rng.randrange(-200, 200) if rng.random() < 0.1 else 0))) for n in range(1, 600) if rng.random() < 0.9])
+    feed = tidy([(n, "modified", f"d{n % 7}", None, n, None if rng.random() < 0.01 else T0 + timedelta(seconds=n + (rng.randrange(-200,
+        200) if rng.random() < 0.1 else 0))) for n in range(1, 600) if rng.random() < 0.9])
     feed += [(r[0] + 3, *r[1:]) for r in feed if rng.random() < 0.1]
-    cursors = [(f"c{rng.randrange(4)}", None if rng.random() < 0.1 else max(1, k * 12 - rng.randrange(60)), T0 + timedelta(seconds=k * 12)) for k in range(1, 45)] + [("null-only", None, T0), (None, 5, T0), ("ahead", 9999, T0 + timedelta(days=1)), ("first", 1, T0 - timedelta(days=1))]
+    cursors = [(f"c{rng.randrange(4)}", None if rng.random() < 0.1 else max(1, k * 12 - rng.randrange(60)),
+        T0 + timedelta(seconds=k * 12)) for k in range(1, 45)] + [("null-only", None, T0), (None, 5, T0), ("ahead", 9999, T0 + timedelta(days=1)),
+        ("first", 1, T0 - timedelta(days=1))]
     cursors += cursors[:3]
     f, c = spark.createDataFrame(feed, FEED).withColumn("consumer", F.lit("x")), spark.createDataFrame(cursors, "consumer string, seq long, updated_at timestamp_ntz")
     at = fresh(spark, "t5")

@@ -17,7 +17,8 @@ from lattica.sources.shared import fresh
 @pytest.fixture(scope="module")
 def things(spark):
     rows = [
-        (1, 5, 5.0, "Apple", True, datetime(2025, 1, 1), bytearray(b"\x01"), [1, 2], ["x"], (1, "k")), (2, 2**53 + 1, float(2**53), "banana", False, datetime(2025, 1, 2, 3, 4, 5, 678901), bytearray(b"\x02"), [2], None, (2, None)),
+        (1, 5, 5.0, "Apple", True, datetime(2025, 1, 1), bytearray(b"\x01"), [1, 2], ["x"], (1, "k")),
+        (2, 2**53 + 1, float(2**53), "banana", False, datetime(2025, 1, 2, 3, 4, 5, 678901), bytearray(b"\x02"), [2], None, (2, None)),
         (3, None, NAN, None, None, None, None, None, [], None), (4, -7, float("inf"), "100% é", True, datetime(1969, 12, 31), bytearray(b""), [], ["x", "y"], (None, "z")),
     ]
     df = spark.createDataFrame(rows, "id int, n long, x double, s string, b boolean, at timestamp_ntz, raw binary, ints array<int>, names array<string>, sub struct<q:int,r:string>")
@@ -31,15 +32,23 @@ def ids(src, f):
 
 
 @pytest.mark.parametrize(("f", "expected"), [
-    (t("eq", d(5.0), "n"), [1]), (t("eq", d(5.5), "n"), []), (Not(t("eq", d(5.5), "n")), [1, 2, 4]), (t("gt", d(4.5), "n"), [1, 2]), (t("lt", d(-6.5), "n"), [4]), (t("gt", d(float("inf")), "n"), []), (t("lt", d(1e300), "n"), [1, 2, 4]),
-    (t("eq", i(2**53 + 1), "x"), []), (t("eq", i(2**53), "x"), [2]), (t("lt", i(2**53 + 1), "x"), [1, 2]), (t("gte", i(2**53 + 1), "x"), [4]), (t("gt", i(5), "x"), [2, 4]), (t("eq", d(NAN), "x"), [3]), (t("ne", d(5), "x"), [2, 4]), (Unary("isNan", "x"), [3]),
-    (Not(t("gt", i(5), "x")), [1, 3]), (t("eq", s("5"), "n"), []), (Not(t("eq", s("5"), "n")), [1, 2, 4]), (t("gt", V.NULL, "n"), []), (t("ne", V.NULL, "n"), [1, 2, 4]), (Unary("isNull", "n"), []),
-    (t("eq", Value("timestamp", 1735787045678901), "at"), [2]), (t("lt", Value("timestamp", 0), "at"), [4]), (t("gt", Value("bytes", b"\x01"), "raw"), [2]), (t("eq", Value("boolean", False), "b"), [2]),
+    (t("eq", d(5.0), "n"), [1]), (t("eq", d(5.5), "n"), []), (Not(t("eq", d(5.5), "n")), [1, 2, 4]), (t("gt", d(4.5), "n"), [1, 2]),
+    (t("lt", d(-6.5), "n"), [4]), (t("gt", d(float("inf")), "n"), []), (t("lt", d(1e300), "n"), [1, 2, 4]),
+    (t("eq", i(2**53 + 1), "x"), []), (t("eq", i(2**53), "x"), [2]), (t("lt", i(2**53 + 1), "x"), [1, 2]), (t("gte", i(2**53 + 1), "x"), [4]),
+    (t("gt", i(5), "x"), [2, 4]), (t("eq", d(NAN), "x"), [3]), (t("ne", d(5), "x"), [2, 4]), (Unary("isNan", "x"), [3]),
+    (Not(t("gt", i(5), "x")), [1, 3]), (t("eq", s("5"), "n"), []), (Not(t("eq", s("5"), "n")), [1, 2, 4]), (t("gt", V.NULL, "n"), []),
+    (t("ne", V.NULL, "n"), [1, 2, 4]), (Unary("isNull", "n"), []),
+    (t("eq", Value("timestamp", 1735787045678901), "at"), [2]), (t("lt", Value("timestamp", 0), "at"), [4]),
+    (t("gt", Value("bytes", b"\x01"), "raw"), [2]), (t("eq", Value("boolean", False), "b"), [2]),
     (t("contains", s("% É"), "s"), [4]), (t("startsWith", s("BAN"), "s"), [2]), (t("regex", s("^A"), "s"), [1]), (Not(t("contains", s("a"), "s")), [4]),
-    (t("arrayContains", i(2), "ints"), [1, 2]), (t("arrayContains", d(2.0), "ints"), [1, 2]), (t("arrayContainsAny", arr(s("y"), i(1)), "names"), [4]), (t("arrayContainsAll", arr(s("x"), s("y")), "names"), [4]), (t("arrayContainsAll", arr(), "names"), [1, 3, 4]), (Not(t("arrayContains", s("x"), "names")), [2, 3]),
-    (t("eq", arr(i(1), d(2.0)), "ints"), [1]), (t("lt", arr(i(2)), "ints"), [1, 4]), (t("eq", i(2), "sub.q"), [2]), (Unary("exists", "sub.r"), [1, 4]), (t("eq", Value("map", {"q": i(2)}), "sub"), [2]),
+    (t("arrayContains", i(2), "ints"), [1, 2]), (t("arrayContains", d(2.0), "ints"), [1, 2]),
+    (t("arrayContainsAny", arr(s("y"), i(1)), "names"), [4]), (t("arrayContainsAll", arr(s("x"), s("y")), "names"), [4]),
+    (t("arrayContainsAll", arr(), "names"), [1, 3, 4]), (Not(t("arrayContains", s("x"), "names")), [2, 3]),
+    (t("eq", arr(i(1), d(2.0)), "ints"), [1]), (t("lt", arr(i(2)), "ints"), [1, 4]), (t("eq", i(2), "sub.q"), [2]),
+    (Unary("exists", "sub.r"), [1, 4]), (t("eq", Value("map", {"q": i(2)}), "sub"), [2]),
     (Compare("n", "eq", "x"), [1, 2]),  # fields of two number types compare by nearest double
-     (Compare("x", "gt", "n"), [4]), (Compare("n", "ne", "s"), [1, 2, 4]), (Compare("id", "lt", "n"), [1, 2]), (Unary("exists", "nothing"), []), (Not(t("eq", i(1), "nothing")), []), (Not(t("ne", i(1), "nothing")), [1, 2, 3, 4]),
+     (Compare("x", "gt", "n"), [4]), (Compare("n", "ne", "s"), [1, 2, 4]), (Compare("id", "lt", "n"), [1, 2]), (Unary("exists", "nothing"), []),
+     (Not(t("eq", i(1), "nothing")), []), (Not(t("ne", i(1), "nothing")), [1, 2, 3, 4]),
 ])
 def test_typed_filters(things, f, expected):
     assert ids(things, f) == expected
@@ -47,7 +56,8 @@ def test_typed_filters(things, f, expected):
 
 def test_typed_order(things):
     order = lambda f, down=False: [r["id"] for r in page(things, Query("things", None, (Order(f, down),))).collect()]
-    assert order("x") == [3, 1, 2, 4] and order("x", True) == [4, 2, 1, 3] and order("n") == [4, 1, 2] and order("ints") == [4, 1, 2] and order("sub") == [1, 2, 4] and order("nothing") == []
+    assert order("x") == [3, 1, 2, 4] and order("x", True) == [4, 2, 1, 3] and order("n") == [4, 1, 2] and order("ints") == [4, 1,
+        2] and order("sub") == [1, 2, 4] and order("nothing") == []
 
 
 def plan(df):

@@ -71,9 +71,11 @@ def test_comparisons_by_the_rules(every, v):
 def test_a_missing_field_under_not(every):
     """Of the document without the field, not(...) keeps what is false there and drops what is undecided."""
     v = i(1)
-    undecided = [t("eq", v), t("eq", V.NULL), t("eq", d(NAN)), t("in", arr(v)), *[t(op, v) for op in ("gt", "gte", "lt", "lte")], *[t(op, s("x")) for op in ("contains", "startsWith", "endsWith", "regex")],
+    undecided = [t("eq", v), t("eq", V.NULL), t("eq", d(NAN)), t("in", arr(v)), *[t(op, v) for op in ("gt", "gte", "lt", "lte")],
+        *[t(op, s("x")) for op in ("contains", "startsWith", "endsWith", "regex")],
                  Unary("isNull", "f"), Unary("isNan", "f"), *[Compare("f", op, "g") for op in ("eq", "gt", "gte", "lt", "lte")]]
-    false = [t("ne", v), t("ne", V.NULL), t("notIn", arr(v)), t("arrayContains", v), t("arrayContainsAny", arr(v)), t("arrayContainsAll", arr(v)), *[t(op, x) for op in ("gt", "gte", "lt", "lte") for x in (V.NULL, d(NAN))],
+    false = [t("ne", v), t("ne", V.NULL), t("notIn", arr(v)), t("arrayContains", v), t("arrayContainsAny", arr(v)), t("arrayContainsAll", arr(v)),
+        *[t(op, x) for op in ("gt", "gte", "lt", "lte") for x in (V.NULL, d(NAN))],
              Unary("exists", "f"), Compare("f", "ne", "g")]
     columns = [compile_filter(every, Not(rewrite(f))).alias(str(n)) for n, f in enumerate(undecided + false)]
     row = matching(every, Query("c")).where("document_id = 'bare'").select(*columns).first()
@@ -138,7 +140,8 @@ def test_field_names_of_all_sorts(spark):
 
 
 def test_unreadable_documents_have_no_fields(spark):
-    rows = [document_row("c/ok", {"f": i(1)}), *[(*document_row(f"c/{n}", {})[:4], data, *document_row("c/x", {})[5:]) for n, data in (("null", None), ("cut", '{"f":{"integerValue":"1"},"g":{"str'), ("empty", ""))]]
+    rows = [document_row("c/ok", {"f": i(1)}), *[(*document_row(f"c/{n}", {})[:4], data, *document_row("c/x", {})[5:]) for n,
+        data in (("null", None), ("cut", '{"f":{"integerValue":"1"},"g":{"str'), ("empty", ""))]]
     from helpers import SCHEMA
 
     from lattica.sources.collections import TaggedCollections
@@ -212,7 +215,8 @@ def aggregate(src, aggs, **k):
 
 
 def test_aggregates(spark):
-    agg = lambda values, **k: aggregate(source(spark, {f"c/{n}": ({"n": v} if v is not None else {"o": i(1)}) for n, v in enumerate(values)}), [{"kind": "count", "alias": "c"}, {"kind": "sum", "alias": "s", "field": "n"}, {"kind": "average", "alias": "a", "field": "n"}], **k)
+    agg = lambda values, **k: aggregate(source(spark, {f"c/{n}": ({"n": v} if v is not None else {"o": i(1)}) for n, v in enumerate(values)}),
+        [{"kind": "count", "alias": "c"}, {"kind": "sum", "alias": "s", "field": "n"}, {"kind": "average", "alias": "a", "field": "n"}], **k)
     assert agg([i(2), i(3), s("no"), None]) == {"c": i(4), "s": i(5), "a": d(2.5)}
     assert agg([i(2), d(1.5)])["s"] == d(3.5)
     assert agg([i(2), i(4)])["a"] == d(3.0)
@@ -225,7 +229,8 @@ def test_aggregates(spark):
 
 
 def test_projection(spark):
-    docs = {"c/d1": {"address": mp(city=s("X"), zip=s("1")), "name": s("n"), "gone": V.NULL}, "c/d2": {"name": s("m")}, "c/d3": {"address": s("flat")}, "c/d4": {"address": mp(zip=s("2"))}}
+    docs = {"c/d1": {"address": mp(city=s("X"), zip=s("1")), "name": s("n"), "gone": V.NULL}, "c/d2": {"name": s("m")},
+        "c/d3": {"address": s("flat")}, "c/d4": {"address": mp(zip=s("2"))}}
     src = source(spark, docs)
     got = lambda *select: {r["document_id"]: json.loads(r["data"]) for r in page(src, Query("c", select=select)).collect()}
     city = {"mapValue": {"fields": {"city": {"stringValue": "X"}}}}
@@ -236,12 +241,15 @@ def test_projection(spark):
 
 
 def test_round_trip_and_parse_errors():
-    q = {"collection": "c", "where": {"and": [{"field": "f", "op": "eq", "value": {"integerValue": "5"}}, {"not": {"unary": "exists", "field": "g"}}, {"or": [{"compare": {"left": "a", "op": "lt", "right": "b"}}]}]},
+    q = {"collection": "c", "where": {"and": [{"field": "f", "op": "eq", "value": {"integerValue": "5"}}, {"not": {"unary": "exists", "field": "g"}},
+        {"or": [{"compare": {"left": "a", "op": "lt", "right": "b"}}]}]},
          "orderBy": [{"field": "f", "direction": "desc"}], "limit": 5, "start": {"values": [{"integerValue": "1"}], "before": True}, "select": ["f"]}
     assert query_json(parse_query(q)) == q
     for bad, at in (
-        ({"where": {"field": "f", "op": "like", "value": {"nullValue": None}}}, "$.where.op"), ({"where": {"field": "f", "op": "eq"}}, "$.where.value"), ({"where": {"and": [], "or": []}}, "$.where"),
-        ({"orderBy": [{"field": "a..b"}]}, "$.orderBy[0].field"), ({"limit": "5"}, "$.limit"), ({"start": {"values": []}}, "$.start.before"), ({"nope": 1}, "$.nope"), ({"where": {"and": [{"unary": "x", "field": "f"}]}}, "$.where.and[0].unary"),
+        ({"where": {"field": "f", "op": "like", "value": {"nullValue": None}}}, "$.where.op"),
+        ({"where": {"field": "f", "op": "eq"}}, "$.where.value"), ({"where": {"and": [], "or": []}}, "$.where"),
+        ({"orderBy": [{"field": "a..b"}]}, "$.orderBy[0].field"), ({"limit": "5"}, "$.limit"), ({"start": {"values": []}}, "$.start.before"),
+        ({"nope": 1}, "$.nope"), ({"where": {"and": [{"unary": "x", "field": "f"}]}}, "$.where.and[0].unary"),
     ):
         with pytest.raises(ParseError) as e:
             parse_query({"collection": "c", **bad})
@@ -249,10 +257,14 @@ def test_round_trip_and_parse_errors():
 
 
 @pytest.mark.parametrize(("q", "code"), [
-    (Query(""), "EMPTY_COLLECTION"), (Query("a/b"), "BAD_COLLECTION_PATH"), (Query("c", limit=0), "BAD_LIMIT"), (Query("c", offset=-1), "BAD_OFFSET"), (Query("c", None, (Order("f"),), limit_to_last=0), "BAD_LIMIT_TO_LAST"),
-    (Query("c", None, (Order("f"),), limit=1, limit_to_last=1), "LIMIT_CONFLICT"), (Query("c", None, (Order("f"),), offset=1, limit_to_last=1), "OFFSET_LIMIT_TO_LAST"), (Query("c", limit_to_last=1), "LIMIT_TO_LAST_NO_ORDER"),
-    (Query("c", None, (Order("f"),), start=Cursor((), True)), "CURSOR_ARITY"), (Query("c", start=Cursor((i(1),), True)), "CURSOR_TYPE"), (Query("c", And(())), "EMPTY_COMPOSITE"), (Query("c", t("in", i(1))), "OPERAND_TYPE"),
-    (Query("c", t("regex", i(1))), "OPERAND_TYPE"), (Query("c", t("contains", s("x"), "__name__")), "NAME_OPERATOR"), (Query("c", Compare("a", "in", "b")), "COMPARE_OP"), (Query("c", Compare("__name__", "eq", "b")), "COMPARE_OP"),
+    (Query(""), "EMPTY_COLLECTION"), (Query("a/b"), "BAD_COLLECTION_PATH"), (Query("c", limit=0), "BAD_LIMIT"), (Query("c", offset=-1), "BAD_OFFSET"),
+    (Query("c", None, (Order("f"),), limit_to_last=0), "BAD_LIMIT_TO_LAST"),
+    (Query("c", None, (Order("f"),), limit=1, limit_to_last=1), "LIMIT_CONFLICT"),
+    (Query("c", None, (Order("f"),), offset=1, limit_to_last=1), "OFFSET_LIMIT_TO_LAST"), (Query("c", limit_to_last=1), "LIMIT_TO_LAST_NO_ORDER"),
+    (Query("c", None, (Order("f"),), start=Cursor((), True)), "CURSOR_ARITY"), (Query("c", start=Cursor((i(1),), True)), "CURSOR_TYPE"),
+    (Query("c", And(())), "EMPTY_COMPOSITE"), (Query("c", t("in", i(1))), "OPERAND_TYPE"),
+    (Query("c", t("regex", i(1))), "OPERAND_TYPE"), (Query("c", t("contains", s("x"), "__name__")), "NAME_OPERATOR"),
+    (Query("c", Compare("a", "in", "b")), "COMPARE_OP"), (Query("c", Compare("__name__", "eq", "b")), "COMPARE_OP"),
 ])
 def test_validation_codes(q, code):
     with pytest.raises(QueryError) as e:

@@ -123,7 +123,8 @@ def test_difference_with_places(spark):
 def random_write(rng, path):
     value = lambda: rng.choice([i(rng.randrange(9)), s("x"), Value("map", {"k": i(rng.randrange(3))}), Value("array", (i(1), s("y"))), V.NULL])
     fields = {f: value() for f in rng.sample(["a", "b", "c"], rng.randrange(4))}
-    transforms = tuple(rng.sample([Transform("n", "increment", i(2)), Transform("m.x", "maximum", V.double(1.5)), Transform("l", "arrayUnion", Value("array", (i(1),)))], rng.randrange(3)))
+    transforms = tuple(rng.sample([Transform("n", "increment", i(2)), Transform("m.x", "maximum", V.double(1.5)),
+        Transform("l", "arrayUnion", Value("array", (i(1),)))], rng.randrange(3)))
     kind = rng.randrange(6)
     if kind == 0:
         return Delete(path)
@@ -153,8 +154,10 @@ def test_a_table_of_writes_is_like_a_batch(spark):
 
 
 @pytest.mark.parametrize(("writes", "status"), [
-    ([Set("c/a", {}), Update("c/none", {"x": i(1)})], "NOT_FOUND"), ([Set("c/have", {}, precondition=Precondition(exists=False))], "ALREADY_EXISTS"), ([Set("c/have", {}, precondition=Precondition(update_time=5))], "FAILED_PRECONDITION"),
-    ([Set("c/a", {}), Set("c/a", {"x": i(1)})], "INVALID_ARGUMENT"), ([Delete("c/a", cascade=True)], "INVALID_ARGUMENT"), ([Set("c", {})], "INVALID_ARGUMENT"), ([Set("c/a", {"__x__": i(1)})], "INVALID_ARGUMENT"),
+    ([Set("c/a", {}), Update("c/none", {"x": i(1)})], "NOT_FOUND"), ([Set("c/have", {}, precondition=Precondition(exists=False))], "ALREADY_EXISTS"),
+    ([Set("c/have", {}, precondition=Precondition(update_time=5))], "FAILED_PRECONDITION"),
+    ([Set("c/a", {}), Set("c/a", {"x": i(1)})], "INVALID_ARGUMENT"), ([Delete("c/a", cascade=True)], "INVALID_ARGUMENT"),
+    ([Set("c", {})], "INVALID_ARGUMENT"), ([Set("c/a", {"__x__": i(1)})], "INVALID_ARGUMENT"),
 ])
 def test_a_table_of_writes_fails_whole(spark, db, writes, status):
     db.write([Set("c/have", {})])
@@ -165,10 +168,14 @@ def test_a_table_of_writes_fails_whole(spark, db, writes, status):
 
 
 @pytest.mark.parametrize("node", [
-    None, [], {"set": {}, "delete": {}}, {"set": []}, {"set": {"path": 5}}, {"set": {"path": "a/b", "fields": []}}, {"set": {"path": "a/b", "transforms": {}}}, {"set": {"path": "a/b", "transforms": [5]}},
-    {"set": {"path": "a/b", "transforms": [{"kind": "increment"}]}}, {"set": {"path": "a/b", "transforms": [{"field": "x", "kind": "other"}]}}, {"set": {"path": "a/b", "mergeFields": "x"}}, {"set": {"path": "a/b", "mergeFields": ["a..b"]}},
-    {"set": {"path": "a/b", "merge": "yes"}}, {"delete": {"path": "a/b", "precondition": []}}, {"delete": {"path": "a/b", "precondition": {"exists": 1}}}, {"delete": {"path": "a/b", "precondition": {"updateTime": "soon"}}},
-    {"set": {"path": "a/b", "fields": {"x": {"integerValue": "x"}}}}, {"set": {"path": "a/b", "fields": {"x": 5}}}, {"set": {"path": "a/b", "fields": {"x": {"mapValue": {"fields": []}}}}},
+    None, [], {"set": {}, "delete": {}}, {"set": []}, {"set": {"path": 5}}, {"set": {"path": "a/b", "fields": []}},
+    {"set": {"path": "a/b", "transforms": {}}}, {"set": {"path": "a/b", "transforms": [5]}},
+    {"set": {"path": "a/b", "transforms": [{"kind": "increment"}]}}, {"set": {"path": "a/b", "transforms": [{"field": "x", "kind": "other"}]}},
+    {"set": {"path": "a/b", "mergeFields": "x"}}, {"set": {"path": "a/b", "mergeFields": ["a..b"]}},
+    {"set": {"path": "a/b", "merge": "yes"}}, {"delete": {"path": "a/b", "precondition": []}},
+    {"delete": {"path": "a/b", "precondition": {"exists": 1}}}, {"delete": {"path": "a/b", "precondition": {"updateTime": "soon"}}},
+    {"set": {"path": "a/b", "fields": {"x": {"integerValue": "x"}}}}, {"set": {"path": "a/b", "fields": {"x": 5}}},
+    {"set": {"path": "a/b", "fields": {"x": {"mapValue": {"fields": []}}}}},
 ])
 def test_malformed_writes_are_invalid(node):
     with pytest.raises(WriteError) as e:
@@ -178,7 +185,8 @@ def test_malformed_writes_are_invalid(node):
 
 def test_writes_as_json():
     rng = random.Random(6)
-    some = [random_write(rng, f"c/{n}") for n in range(200)] + [Delete("a/b", True, Precondition(True)), Set("a/b", {"m": Value("map", {"x": DELETE})}, merge=True, precondition=Precondition(update_time=77))]
+    some = [random_write(rng, f"c/{n}") for n in range(200)] + [Delete("a/b", True, Precondition(True)),
+        Set("a/b", {"m": Value("map", {"x": DELETE})}, merge=True, precondition=Precondition(update_time=77))]
     assert [parse_write(json.loads(json.dumps(to_json(w)))) for w in some] == some
 
 
@@ -291,7 +299,8 @@ def test_indexes_are_chosen_and_go_stale(spark):
     db.maintain()
     assert isinstance(db.source(q), IndexedCollections) and db.count(q) == 5
     assert "__f0_num" in plan(db.matching(q)) and "from_json" not in plan(db.matching(q))
-    for other in ({"collection": "c"}, {"collection": "d", "orderBy": [{"field": "n"}]}, {"collection": "c", "where": {"not": {"field": "n", "op": "gt", "value": {"integerValue": "1"}}}}):
+    for other in ({"collection": "c"}, {"collection": "d", "orderBy": [{"field": "n"}]},
+        {"collection": "c", "where": {"not": {"field": "n", "op": "gt", "value": {"integerValue": "1"}}}}):
         assert not isinstance(db.source(parse_query(other)), IndexedCollections)
     db.write([Update("c/1", {"n": i(99)})])
     assert not isinstance(db.source(q), IndexedCollections) and db.count(q) == 6
@@ -307,7 +316,8 @@ def test_filtered_indexes_are_chosen_where_the_query_implies_their_filter(spark)
     db.store.load(documents(spark, {f"c/{n}": {"n": i(n), "m": i(n % 3)} for n in range(20)}))
     db.build_indexes()
     where = lambda *tests: parse_query({"collection": "c", "where": {"and": [{"field": f, "op": op, "value": {"integerValue": str(v)}} for f, op, v in tests]}})
-    for q, chosen, many in ((where(("n", "gt", 10)), True, 9), (where(("n", "gte", 10), ("m", "eq", 0)), True, 3), (where(("n", "eq", 12)), True, 1), (where(("n", "gt", 8)), False, 11), (where(("m", "eq", 0)), False, 7), (where(("n", "lt", 12)), False, 12)):
+    for q, chosen, many in ((where(("n", "gt", 10)), True, 9), (where(("n", "gte", 10), ("m", "eq", 0)), True, 3), (where(("n", "eq", 12)), True, 1),
+        (where(("n", "gt", 8)), False, 11), (where(("m", "eq", 0)), False, 7), (where(("n", "lt", 12)), False, 12)):
         assert isinstance(db.source(q), IndexedCollections) is chosen and db.count(q) == many, q
 
 
