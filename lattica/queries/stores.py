@@ -55,17 +55,40 @@ def _writes(paths: DataFrame) -> DataFrame:
     return paths.select(F.replace(form, F.lit("\\u0001"), quoted).alias("write"))
 
 
-def _loaded(spark: SparkSession, root: str, **options) -> Database:
+_kept: dict[tuple[str, str, str], str] = {}
+
+
+def _store(spark: SparkSession, root: str, name: str, make: Callable[[], Database], **options) -> Database:
+    """A store that queries only read: made by the first of them, and there for all of the application."""
+    key = (spark.sparkContext.applicationId, root, name)
+    if key in _kept:
+        db = open_database(spark, _kept[key], **options)
+        if db.store.ends()[1]:
+            return db
+    _kept[key] = make().store.path
+    return open_database(spark, _kept[key], **options)
+
+
+def _own(spark: SparkSession, root: str, **options) -> Database:
+    """A new store with the current rows, for a query that changes it."""
     db = open_database(spark, fresh(spark, "store"), **options)
     db.store.load(stored(spark, root).df)
     return db
 
 
+def _loaded(spark: SparkSession, root: str, **options) -> Database:
+    return _store(spark, root, "loaded", lambda: _own(spark, root), **options)
+
+
 def _written(spark: SparkSession, root: str) -> tuple[Database, int]:
-    db = _loaded(spark, root)
-    at = db.store.ends()[1]
-    db.store.write_all(_writes(db.store.snapshot(data=False)))
-    return db, at
+    """A store after one table of writes to all its documents, and the feed's end before them."""
+    def make() -> Database:
+        db = _own(spark, root)
+        db.store.write_all(_writes(db.store.snapshot(data=False)))
+        return db
+
+    db = _store(spark, root, "written", make)
+    return db, db.store.state()[1]["changes"][-1]["from"] - 1
 
 
 def _field(path: str) -> TaggedField:
@@ -203,7 +226,7 @@ _add("consumer_named", _consumed, f"""{_J} SELECT document_path, 'added' AS type
 
 # removal and expiry
 def _without(spark: SparkSession, root: str) -> DataFrame:
-    db = _loaded(spark, root)
+    db = _own(spark, root)
     db.store.remove_below("tenants/kestrel-works")
     db.store.compact()
     return db.store.snapshot(data=False).select("document_path", "version")
@@ -213,7 +236,7 @@ _add("store_remove_below", _without, "SELECT document_path, max(version) AS vers
 
 
 def _swept(spark: SparkSession, root: str) -> DataFrame:
-    db = _loaded(spark, root, options=Options(ttl=(("sessions", "startedAt"), ("presence", "lastSeen"))))
+    db = _own(spark, root, options=Options(ttl=(("sessions", "startedAt"), ("presence", "lastSeen"))))
     db.maintain(micros("2025-04-01T00:00:00Z"))
     return db.store.changes().where("type = 'removed'").select("document_path", "version")
 
@@ -279,7 +302,7 @@ _add("store_facade", _facade, f"""{_J}, o AS (SELECT document_path, json_extract
 
 def _live(spark: SparkSession, root: str) -> DataFrame:
     """What a live query says after a write: the page's changes with their places before and after."""
-    db = _loaded(spark, root)
+    db = _own(spark, root)
     listener = db.listen(Query(ORDERS, order_by=(Order("placedAt", True),), limit=200))
     listener.take()
     top = db.query(Query(ORDERS, order_by=(Order("placedAt", True),), limit=3)).documents
