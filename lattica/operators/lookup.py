@@ -16,11 +16,12 @@ def rows_for(source, keys: Sequence[str], column: str = "document_path") -> Data
 
     source: a table, or a typed collection, whose own key column then takes the filter.  The keys are the caller's own
     list.  Up to IN_FILTER of them the table is first cut down by an ``IN`` filter that reaches the scan, so the join that
-    follows has no more rows than the list on either side; beyond, it is an ordinary join.
+    follows has no more rows than the list on either side (how large they are decides how they are joined); beyond, it is an
+    ordinary join.
     """
     df = source if isinstance(source, DataFrame) else source.df
     asked = df.sparkSession.createDataFrame(list(enumerate(keys)), f"pos int, `{column}` string")
     if len(keys) > IN_FILTER:
         return asked.join(df, column, "left").orderBy("pos")
     found = df.where(F.col(column).isin(sorted(set(keys)))) if isinstance(source, DataFrame) else source.rows(keys)
-    return asked.join(F.broadcast(found), column, "left").orderBy("pos")
+    return asked.join(found, column, "left").orderBy("pos")

@@ -11,7 +11,7 @@ import json
 import logging
 import re
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -209,8 +209,7 @@ class Hook:
 class Hooks:
     """Hooks by path pattern, called in feed order on the driver; a batch has as many calls as it has matching changes.
 
-    Only changes that some pattern may match reach the driver.  Hooks that need no order are better off on the
-    executors: ``follow`` with a handler that calls ``foreachPartition`` on the joined batch.
+    Only changes that some pattern may match reach the driver.
     """
 
     def __init__(self) -> None:
@@ -220,17 +219,34 @@ class Hooks:
         self.bound.append((Pattern(pattern), hook))
         return self
 
+    def _matching(self, changes: DataFrame, documents: DataFrame) -> DataFrame:
+        joined = changes.alias("c").join(documents.alias("d"), "document_path", "left")
+        rows = joined.select("c.seq", "c.type", "document_path", "d.data", "d.created_at", "d.updated_at", F.col("d.version").alias("version"))
+        return rows.where(F.col("document_path").rlike("|".join(p.regex() for p, _ in self.bound) or "$^"))
+
     def __call__(self, changes: DataFrame, documents: DataFrame) -> None:
-        rows = changes.alias("c").join(documents.alias("d"), "document_path", "left").select("c.seq", "c.type", "document_path", "d.data",
-            "d.created_at", "d.updated_at", F.col("d.version").alias("version"))
-        rows = rows.where(F.col("document_path").rlike("|".join(p.regex() for p, _ in self.bound) or "$^")).orderBy("seq")
-        for r in rows.toLocalIterator():
-            for pattern, hook in self.bound:
-                captures = pattern.match(r["document_path"])
-                if captures is None:
-                    continue
-                if r["type"] == "removed":
-                    hook.on_delete(r["document_path"], captures)
-                elif r["data"] is not None:  # removed again since: the removal will follow
-                    (hook.on_set if r["type"] == "added" else hook.on_update)(r["document_path"], DocumentStore.document(r), captures)
+        _call(self.bound, self._matching(changes, documents).orderBy("seq").toLocalIterator())
+
+
+class PartitionedHooks(Hooks):
+    """Hooks called on the executors: the changes of one document in feed order, different documents side by side.
+
+    The hooks are sent to the executors, so they must be picklable, and what they change there stays there.
+    """
 
+    def __call__(self, changes: DataFrame, documents: DataFrame) -> None:
+        bound = self.bound
+        by_document = self._matching(changes, documents).repartition("document_path").sortWithinPartitions("document_path", "seq")
+        by_document.foreachPartition(lambda rows: _call(bound, rows))
+
+
+def _call(bound: list[tuple[Pattern, Hook]], rows: Iterable) -> None:
+    for r in rows:
+        for pattern, hook in bound:
+            captures = pattern.match(r["document_path"])
+            if captures is None:
+                continue
+            if r["type"] == "removed":
+                hook.on_delete(r["document_path"], captures)
+            elif r["data"] is not None:  # removed again since: the removal will follow
+                (hook.on_set if r["type"] == "added" else hook.on_update)(r["document_path"], DocumentStore.document(r), captures)

@@ -146,3 +146,24 @@ def test_no_local_folder_on_a_cluster(spark, monkeypatch):
 def test_parts_of_an_empty_table(spark):
     p = Parts(spark, "x long").replace(spark.range(0).select(F.col("id").alias("x"), F.lit(1).alias("part")), fresh(spark, "t"))
     assert p.folders == {} and p.read().count() == 0 and p.numbers() == set()
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_later_runs_give_what_is_new_to_each_consumer(spark, seed):
+    """More changes, repeats, saves and a consumer that has started since: a later run gives what is unseen and not given yet."""
+    import random
+
+    from test_pipeline import plain_unseen, tidy
+
+    rng = random.Random(seed)
+    feed = tidy([(n, "modified", f"d{n % 7}", None, n, T0 + timedelta(seconds=n + (rng.randrange(-200, 200) if rng.random() < 0.1 else 0))) for n in range(1, 900) if rng.random() < 0.9])
+    feed += [(r[0] + 3, *r[1:]) for r in feed if rng.random() < 0.1]
+    saves = [(f"c{k % 3}", max(1, k * 12 - rng.randrange(60)), T0 + timedelta(seconds=k * 12)) for k in range(1, 70)]
+    at, given = fresh(spark, "t"), set()
+    for run, (upto, consumers) in enumerate(((300, {"c0"}), (300, {"c0", "c1"}), (640, {"c0", "c1"}), (950, {"c0", "c1", "c2"}))):
+        part = [r for r in feed if r[0] <= upto]
+        held = [s for s in saves if s[0] in consumers and s[1] <= upto]
+        out = M.unseen_changes(spark.createDataFrame(part, FEED), spark.createDataFrame(held, "consumer string, seq long, updated_at timestamp_ntz"), at, 8, 4)
+        got = [tuple(r) for r in out.collect()]
+        assert len(got) == len(set(got)) and set(got) == plain_unseen(part, held) - given, run
+        given |= set(got)

@@ -23,7 +23,7 @@ from lattica.sources.collections import TypedCollection
 from lattica.sources.indexes import Index, IndexedCollections
 from lattica.sources.shared import fresh
 from lattica.sources.store import DocumentStore, PrunedError
-from lattica.streaming.feed import Cursor, catch_up, follow
+from lattica.streaming.feed import Cursor, Hook, PartitionedHooks, catch_up, follow
 
 
 @pytest.fixture
@@ -264,6 +264,32 @@ def test_durable_and_other_streams(spark, db):
     assert tries == [1]
 
 
+def test_hooks_on_the_executors(spark, db, tmp_path):
+    import os
+    import uuid
+
+    class Log(Hook):
+        def __init__(self, folder):
+            self.folder = folder
+
+        def _say(self, *said):
+            with open(os.path.join(self.folder, uuid.uuid4().hex), "w") as f:
+                f.write(" ".join(map(str, said)))
+
+        def on_set(self, path, document, captures):
+            self._say("set", path, captures["id"], document.version)
+
+        def on_delete(self, path, captures):
+            self._say("delete", path)
+
+    db.write([Set(f"c/{n}", {"n": i(n)}) for n in range(6)] + [Set("d/1", {})])
+    db.write([Delete("c/3")])
+    hooks = PartitionedHooks().add("c/{id}", Log(str(tmp_path)))
+    follow(db.store, hooks, fresh(spark, "feed"), start=0, once=True).awaitTermination()
+    said = sorted((tmp_path / f).read_text() for f in os.listdir(tmp_path))
+    assert said == sorted(["delete c/3", *[f"set c/{n} {n} 1" for n in (0, 1, 2, 4, 5)]])
+
+
 def test_one_failing_group_does_not_stop_the_others(db, monkeypatch):
     from lattica import database as D
 
