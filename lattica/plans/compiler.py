@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lattica.operators.numbering import numbered_rows
 from lattica.operators.predicates import compile_filter
-from lattica.plans.ast import Query
+from lattica.plans.ast import Query, QueryError
 from lattica.plans.normalizer import Bound, Plan, normalize
 
 
@@ -41,9 +42,20 @@ def sort_columns(source, plan: Plan) -> list[tuple[Column, bool]]:
     return [(c, o.descending) for o in plan.order for c in source.field(o.field).order()]
 
 
+def directed(keys: list[tuple[Column, bool]]) -> list[Column]:
+    """The keys with their directions; nulls (absent parts of a key) come first ascending and last descending."""
+    return [c.desc_nulls_last() if down else c.asc_nulls_first() for c, down in keys]
+
+
 def sorted_by(df: DataFrame, keys: list[tuple[Column, bool]]) -> DataFrame:
-    """Ordered by the keys; nulls (absent parts of a key) come first ascending and last descending."""
-    return df.orderBy(*[c.desc_nulls_last() if down else c.asc_nulls_first() for c, down in keys])
+    return df.orderBy(*directed(keys))
+
+
+def keyed(source, plan: Plan) -> tuple[DataFrame, list[tuple[Column, bool]], list[str]]:
+    """All rows the plan matches with its sort keys as columns, these keys, and the columns' names."""
+    df, keys = matching(source, plan), sort_columns(source, plan)
+    names = [f"__sort{i}" for i in range(len(keys))]
+    return df.withColumns({n: c for n, (c, _) in zip(names, keys)}), [(F.col(n), down) for n, (_, down) in zip(names, keys)], names
 
 
 def page(source, q: Query | Plan, extra: int = 0) -> DataFrame:
@@ -53,10 +65,8 @@ def page(source, q: Query | Plan, extra: int = 0) -> DataFrame:
     parts of its keys, and the keys are there again to turn a last page round.
     """
     plan = q if isinstance(q, Plan) else normalize(q)
-    df, keys = matching(source, plan), sort_columns(source, plan)
-    names = [f"__sort{i}" for i in range(len(keys))]
-    ready = [(F.col(n), down) for n, (_, down) in zip(names, keys)]
-    df = sorted_by(df.withColumns({n: c for n, (c, _) in zip(names, keys)}), ready)
+    df, ready, names = keyed(source, plan)
+    df = sorted_by(df, ready)
     if plan.offset:
         df = df.offset(plan.offset)
     df = df.limit(plan.limit + extra)
@@ -65,3 +75,14 @@ def page(source, q: Query | Plan, extra: int = 0) -> DataFrame:
     df = df.drop(*names)
     return source.project(df, plan.select)
 
+
+def placed(source, q: Query | Plan, *columns: str) -> DataFrame:
+    """All rows the query matches with their ``place`` in its order, from 0, before page and projection; of ``columns`` only, if named.
+
+    One sort on the cluster, whatever the size of a page: pages asked for one by one would each look at the whole collection.
+    """
+    plan = q if isinstance(q, Plan) else normalize(q)
+    if plan.offset or plan.reverse:
+        raise QueryError("PLACED_PAGE", "places take no offset and no limitToLast")
+    df, ready, names = keyed(source, plan)
+    return numbered_rows(df.select(*columns, *names) if columns else df, directed(ready), "place")[0].drop(*names)

@@ -15,7 +15,7 @@ from lattica.functions.values import Value, micros
 from lattica.operators.diff import frame_difference
 from lattica.operators.lookup import rows_for
 from lattica.operators.writes import DELETE, Delete, Set, Transform, Update, to_json
-from lattica.plans.ast import Cursor, Order, Query, Unary
+from lattica.plans.ast import Order, Query, Unary
 from lattica.plans.compiler import matching
 from lattica.plans.parser import parse_query
 from lattica.queries.engine import ORDERS, SQL as ENGINE_SQL, stored
@@ -256,15 +256,8 @@ _add("store_chosen_index", lambda spark, root: (lambda db: (db.build_indexes(),
 
 
 def _walk(spark: SparkSession, root: str) -> DataFrame:
-    """A collection in pages, each beginning after the last document of the one before, until there are no more."""
-    db, order, out, start = _loaded(spark, root), (Order("placedAt"),), [], None
-    while True:
-        got = db.query(Query(ORDERS, order_by=order, limit=1000, start=start))
-        out += [(len(out) + n, d.path) for n, d in enumerate(got.documents)]
-        if not got.has_more:
-            return spark.createDataFrame(out, "place long, document_path string")
-        last = got.documents[-1]
-        start = Cursor.of_document(last.fields, last.path, order, before=False)
+    """All pages of a collection, each beginning after the last document of the one before: sorted once, a row per document."""
+    return _loaded(spark, root).walk(Query(ORDERS, order_by=(Order("placedAt"),), limit=1000), data=False).select("place", "document_path")
 
 
 _add("store_page_walk", _walk, f"""{_J} SELECT row_number() OVER (ORDER BY json_extract_string(j, '$.placedAt.timestampValue'), document_path) - 1 AS place, document_path

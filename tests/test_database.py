@@ -1,7 +1,7 @@
 """Writes, transactions, feed, hooks, listeners, expiry, listing and rules over a store."""
 
 import pytest
-from helpers import NAN, arr, d, i, mp, s
+from helpers import NAN, arr, d, documents, i, mp, s, t
 
 from lattica.database import open_database
 from lattica.functions import values as V
@@ -9,7 +9,8 @@ from lattica.functions.paths import Pattern, PathError
 from lattica.functions.values import Value
 from lattica.operators.rules import Need, Rules
 from lattica.operators.writes import DELETE, Batch, Delete, Document, Precondition, Set, Transform, Update, WriteError, apply, parse_write, transformed
-from lattica.plans.ast import Query
+from lattica.plans.ast import Cursor, Order, Query, QueryError
+from lattica.queries import stores
 from lattica.sources.shared import fresh
 from lattica.streaming.feed import Hook, Hooks, follow
 
@@ -264,3 +265,54 @@ def test_rules(spark):
         assert e.value.status == "PERMISSION_DENIED"
     q = {"collection": "notes", "where": {"field": "owner", "op": "eq", "value": {"stringValue": "ann"}}}
     assert len(ann.query(q).documents) == 1
+
+
+def pages_in_turn(db, q):
+    """The pages of a query one after another, each from the cursor at the last document of the one before."""
+    out = []
+    while True:
+        got = db.query(q)
+        out.append([x.path for x in got.documents])
+        if not got.has_more:
+            return out
+        last = got.documents[-1]
+        q = Query(q.collection, q.where, q.order_by, q.limit, start=Cursor.of_document(last.fields, last.path, q.order_by, before=False))
+
+
+def test_walk_gives_the_pages_of_cursors(spark):
+    db = open_database(spark, fresh(spark, "store"))
+    kinds = [V.NULL, Value("boolean", True), d(NAN), i(2), d(1.5), Value("timestamp", 5), s("b"), s("a"), arr(i(1)), arr(i(1), s("x")), mp(a=i(1)), i(2)]
+    db.store.load(documents(spark, {f"c/{n:02d}": {"f": v, "g": i(n)} for n, v in enumerate(kinds)} | {"c/bare": {"g": i(1)}, "c/00/c/deep": {"f": i(1)}, "other/x": {"f": i(1)}}))
+    db.write([Set("c/new", {"f": i(2)}), Update("c/07", {"f": i(2)}), Delete("c/03")])
+    for q in (Query("c", None, (Order("f"),), 4), Query("c", None, (Order("f", True),), 3), Query("c", t("gt", i(3), "g"), (Order("f"),), 2),
+              Query("c", None, (Order("f"),), 2, start=Cursor((i(2),), False)), Query("c", None, (Order("f"),), 4, end=Cursor((s("b"),), False))):
+        rows = sorted(db.walk(q, data=False).collect(), key=lambda r: r["place"])
+        assert [r["place"] for r in rows] == list(range(len(rows))) and "data" not in rows[0]
+        if q.end is None:
+            want = pages_in_turn(db, q)
+            assert len(want) > 1 and [[r["document_path"] for r in rows if r["page"] == n] for n in range(len(want))] == want
+        else:
+            assert {r["document_path"] for r in rows} == {r[0] for r in db.matching(q).select("document_path").collect()}
+    whole = db.walk(Query("c", None, (Order("f"),), 4, select=("g",))).orderBy("place").first()
+    assert (whole["place"], whole["page"], whole["data"]) == (0, 0, '{"g":{"integerValue":"0"}}')
+    assert db.walk(Query("none", None, (Order("f"),), 4)).collect() == []
+    for bad in (Query("c", None, (Order("f"),), 4, offset=1), Query("c", None, (Order("f"),), limit_to_last=4)):
+        with pytest.raises(QueryError, match="PLACED_PAGE"):
+            db.walk(bad)
+
+
+def test_page_walk_sorts_once(spark, tmp_path):
+    """More pages take no more jobs, each of which would look at the whole collection."""
+    jobs = {}
+    for pages in (1, 9):
+        root, path = f"{tmp_path}/{pages}", lambda k: f"tenants/kestrel-works/orders/{k:05d}"
+        docs = {path(k): {"placedAt": Value("timestamp", k * 7919 % 1000)} for k in range(1000 * pages)} | {path(99999): {"total": i(1)}}
+        documents(spark, docs).write.parquet(f"{root}/winche_documents.parquet")
+        stores._loaded(spark, root)
+        spark.sparkContext.setJobGroup(f"walk {pages}", "")
+        got = stores.QUERIES["store_page_walk"](spark, root).collect()
+        jobs[pages] = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"walk {pages}"))
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        want = sorted((f["placedAt"].v, p) for p, f in docs.items() if "placedAt" in f)
+        assert [p for _, p in sorted(map(tuple, got))] == [p for _, p in want] and sorted(r["place"] for r in got) == list(range(1000 * pages))
+    assert jobs[9] <= jobs[1] + 2, jobs
